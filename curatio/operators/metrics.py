@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.functions.text import col, split_lit
+from curatio.functions.text import col, split_lit, word_count
 
 MAX_PIVOT_VALUES = 10_000
 
@@ -141,7 +141,7 @@ def token_statistics(df: DataFrame, cols: Sequence[str], split: str = "split") -
     then ``unpivot`` of the small result."""
     aggs = []
     for c in cols:
-        words = F.size(F.filter(F.split(F.col(c), r"(?U)\s+"), lambda x: x != ""))
+        words = word_count(c)
         aggs += [F.sum(F.length(c)).alias(f"{c}__chars"), F.sum(words).alias(f"{c}__words"),
                  F.sum(F.size(split_lit(c, " "))).alias(f"{c}__tokens")]
     wide = df.groupBy(split).agg(*aggs)
@@ -204,9 +204,16 @@ def tokens(c) -> "F.Column":
     return F.filter(F.split(F.lower(col(c)), r"(?U)\s+"), lambda x: x != "")
 
 
-def bigrams(toks) -> "F.Column":
-    """``array<struct<w1, w2>>`` of consecutive tokens, with a start marker."""
-    seq = F.concat(F.array(F.lit("<s>")), toks)
+def token_sequence(c) -> "F.Column":
+    """Start marker followed by the lower-cased whitespace tokens."""
+    return F.concat(F.array(F.lit("<s>")), tokens(c))
+
+
+def bigrams(seq) -> "F.Column":
+    """``array<struct<w1, w2>>`` of consecutive items of a token-sequence
+    column.  ``seq`` must be a materialised column: a lambda that referenced
+    the tokenising expression would re-tokenise the text for every element."""
+    seq = col(seq)
     return F.transform(F.slice(seq, 2, F.greatest(F.size(seq) - 1, F.lit(0))),
                        lambda x, i: F.struct(F.get(seq, i).alias("w1"), x.alias("w2")))
 
@@ -219,11 +226,13 @@ def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: st
     Counting is two groupBy aggregations (partial, map-side); scoring is an
     explode plus two equi-joins against the count tables -- hot bigrams are
     spread by AQE's skew-join split."""
-    cb = corpus.select(F.explode(bigrams(tokens(text_col))).alias("b")).select("b.w1", "b.w2")
+    cb = (corpus.select(token_sequence(text_col).alias("_seq"))
+                .select(F.explode(bigrams("_seq")).alias("b")).select("b.w1", "b.w2"))
     pair_n = cb.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
     ctx_n = cb.groupBy("w1").agg(F.count(F.lit(1)).alias("c1"))
     vocab = cb.select("w2").distinct().count() + 1
-    tb = texts.select(key, F.posexplode(bigrams(tokens(text_col))).alias("pos", "b")).select(key, "pos", "b.w1", "b.w2")
+    tb = (texts.select(key, token_sequence(text_col).alias("_seq"))
+               .select(key, F.posexplode(bigrams("_seq")).alias("pos", "b")).select(key, "pos", "b.w1", "b.w2"))
     scored = (tb.join(pair_n, ["w1", "w2"], "left").join(ctx_n, "w1", "left").fillna(0, ["c12", "c1"]))
     lp = F.log((F.col("c12") + k) / (F.col("c1") + k * vocab))
     per = scored.groupBy(key).agg(F.count(F.lit(1)).alias("n_bigrams"), F.sum(lp).alias("_lp"))

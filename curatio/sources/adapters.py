@@ -49,7 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``responses``: key, topic, split, model, temperature, condition, file,
     output ARRAY<STRING> (one returned sequence per line), inference_completed."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return responses_from(table(spark, sf_dir, "documents"))
+
+
+def responses_from(documents: DataFrame) -> DataFrame:
+    """The ``responses`` derivation for any (batch or streaming) documents frame."""
+    d = documents.select("doc_id", "text", "lang", "source")
     topic = F.when(F.col("lang") == "en", F.lit(DEFAULT_TOPIC)).otherwise(F.col("lang"))
     non_default = topic != DEFAULT_TOPIC
     finetuned = non_default & (draw(FT_SEED, "doc_id") % 5 == 0)
