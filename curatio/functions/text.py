@@ -29,8 +29,16 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_REGEX_META = set(".$|()[{^?*+\\")
+
+
 def quote(literal: str) -> str:
-    """Java regex that matches ``literal`` verbatim (Spark ``split`` takes a regex)."""
+    """Java regex that matches ``literal`` verbatim (Spark ``split`` takes a regex).
+
+    A single non-meta character is passed as is: ``String.split`` then takes
+    its no-regex fast path."""
+    if len(literal) == 1 and literal not in _REGEX_META:
+        return literal
     if "\\E" in literal:
         return "".join("\\" + ch if not ch.isalnum() else ch for ch in literal)
     return "\\Q" + literal + "\\E"
@@ -41,6 +49,13 @@ def split_lit(c, sep: str) -> Column:
     return F.split(col(c), quote(sep), -1)
 
 
+def count_parts(c, sep: str) -> Column:
+    """``len(text.split(sep))`` for a one-character separator, without
+    building the array: occurrences + 1 (null stays null)."""
+    assert len(sep) == 1
+    return F.length(col(c)) - F.length(F.replace(col(c), F.lit(sep), F.lit(""))) + 1
+
+
 def strip(c) -> Column:
     """Python ``str.strip()`` (F13): Spark ``trim`` only removes spaces."""
     return F.regexp_replace(col(c), r"(?U)\A" + _WS + r"+|" + _WS + r"+\z", "")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.functions.hashing import draw
-from curatio.functions.text import col, split_lit, strip
+from curatio.functions.text import col, count_parts, split_lit, strip
 from curatio.operators.sampling import DEFAULT_SEED, checked_broadcast, rank_cut, shuffle_rank
 
 # ---------------------------------------------------------------------------
@@ -32,7 +32,7 @@ def chunk_ends(paras: Column, n_words: int, keep_tail: bool = False) -> Column:
     paragraph's ``split(' ')`` size; reaching ``n_words`` closes the chunk.
     Only the small array of end indices is carried through the fold.
     """
-    sizes = F.transform(paras, lambda p: F.size(split_lit(p, " ")))
+    sizes = F.transform(paras, lambda p: count_parts(p, " "))
     init = F.struct(F.lit(1).alias("c"), F.lit(0).alias("i"),
                     F.array().cast("array<int>").alias("ends"))
 
@@ -59,7 +59,7 @@ def chunk_articles(df: DataFrame, text: str = "text", title: str = "entity",
     chunk is ``header[0] + title + header[1] + stripped text``.  Adds
     ``chunk_id`` and ``chunk``; the whole text is processed in the JVM.
     """
-    paras = F.filter(split_lit(text, "\n"), lambda p: F.size(split_lit(p, " ")) >= min_parts)
+    paras = F.filter(split_lit(text, "\n"), lambda p: count_parts(p, " ") >= min_parts)
     with_p = df.withColumn("_paras", paras)
     with_p = with_p.withColumn("_ends", chunk_ends(F.col("_paras"), n_words, keep_tail))
     ends = F.col("_ends")
