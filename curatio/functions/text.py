@@ -265,3 +265,19 @@ def correct_flag(output, gold, marker: str = CONCLUSION_MARK) -> Column:
     """Last segment after the marker, stripped and lower-cased, equals gold."""
     return (F.lower(strip(F.substring_index(col(output), marker, -1)))
             == F.lower(strip(col(gold)))).cast("int")
+
+
+def sample_text(inp, out=None, completion_prefix: str = "Output: ") -> Column:
+    """Prompt, newline, labelled completion; the prompt alone without one."""
+    prompt, completion = prompt_completion(inp, out, completion_prefix=completion_prefix)
+    return prompt if out is None else F.concat(prompt, F.lit("\n"), completion)
+
+
+def chat_template(c, family: str, templates: dict) -> Column:
+    """Wrap text for an image-chat model family.  ``templates`` maps a
+    family to (prefix, suffix, tag_to_remove or None); unknown families raise."""
+    if family not in templates:
+        raise ValueError(f"unsupported family {family!r}")
+    prefix, suffix, tag = templates[family]
+    body = col(c) if tag is None else F.replace(col(c), F.lit(tag), F.lit(""))
+    return F.concat(F.lit(prefix), body, F.lit(suffix))

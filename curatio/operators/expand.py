@@ -114,15 +114,31 @@ def locked_prompt(df: DataFrame, question: str, password: str, template=("Answer
     return df.select("*", F.inline(both))
 
 
+def pandas_tokenizer(encode):
+    """Wrap a Python tokenizer (``str -> list[str]``) as an Arrow-batched
+    pandas UDF returning ``ARRAY<STRING>``."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def tok(s):
+        return s.map(lambda x: None if x is None else list(encode(x)))
+    # real (not postponed) annotations: Spark infers the UDF kind from them
+    tok.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return pandas_udf(tok, "array<string>")
+
+
 def truncate_tokens(df: DataFrame, c: str, budgets: Sequence[int] = TOKEN_BUDGETS,
-                    out: str = "truncated", budget_col: str = "budget") -> DataFrame:
-    """For each token budget k, the first k whitespace tokens re-joined.
-    Tokenised once per row; budgets are a bounded literal list, exploded."""
-    toks = F.split(F.col(c), " ", -1)
+                    out: str = "truncated", budget_col: str = "budget", tokenizer=None,
+                    joiner: str = " ") -> DataFrame:
+    """For each token budget k, the first k tokens re-joined.
+    Tokenised once per row (whitespace split in the JVM by default, or a
+    pandas-UDF tokenizer from :func:`pandas_tokenizer`); budgets are a
+    bounded literal list, exploded."""
+    toks = F.split(F.col(c), " ", -1) if tokenizer is None else tokenizer(F.col(c))
     arr = F.array(*[F.lit(int(k)) for k in budgets])
     return (df.withColumn("_toks", toks)
               .withColumn(budget_col, F.explode(arr))
-              .withColumn(out, F.array_join(F.slice("_toks", 1, F.col(budget_col)), " "))
+              .withColumn(out, F.array_join(F.slice("_toks", 1, F.col(budget_col)), joiner))
               .drop("_toks"))
 
 
@@ -154,6 +170,14 @@ def explode_outputs(df: DataFrame, c: str = "output", pos: str = "output_pos") -
     return df.select(*others, F.posexplode(c).alias(pos, c)).withColumn(pos, F.col(pos).cast("long"))
 
 
+def compare_outputs(a: DataFrame, b: DataFrame, key, col: str = "output",
+                    names=("a", "b")) -> DataFrame:
+    """Side-by-side outputs of two runs for the same inputs (by key)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return (a.select(*keys, F.col(col).alias(f"{col}_{names[0]}"))
+             .join(b.select(*keys, F.col(col).alias(f"{col}_{names[1]}")), keys))
+
+
 def align_parsed(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep only the positions parsed in both tables (inner equi-join)."""
     return a.join(b, list(keys), "inner")
