@@ -228,9 +228,11 @@ def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: st
     spread by AQE's skew-join split."""
     cb = (corpus.select(token_sequence(text_col).alias("_seq"))
                 .select(F.explode(bigrams("_seq")).alias("b")).select("b.w1", "b.w2"))
-    pair_n = cb.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
-    ctx_n = cb.groupBy("w1").agg(F.count(F.lit(1)).alias("c1"))
-    vocab = cb.select("w2").distinct().count() + 1
+    # one pass over the corpus: pair counts are persisted (spilling to disk if
+    # needed); context counts and the vocabulary size are derived from them
+    pair_n = cb.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")).persist()
+    ctx_n = pair_n.groupBy("w1").agg(F.sum("c12").alias("c1"))
+    vocab = pair_n.select("w2").distinct().count() + 1
     tb = (texts.select(key, token_sequence(text_col).alias("_seq"))
                .select(key, F.posexplode(bigrams("_seq")).alias("pos", "b")).select(key, "pos", "b.w1", "b.w2"))
     scored = (tb.join(pair_n, ["w1", "w2"], "left").join(ctx_n, "w1", "left").fillna(0, ["c12", "c1"]))

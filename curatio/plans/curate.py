@@ -65,10 +65,18 @@ def _finish(rows: DataFrame, seed) -> DataFrame:
 
 
 def _contrast(resp: DataFrame, neg: DataFrame, pos: DataFrame, combos: DataFrame,
-              required: list[Column], seed) -> DataFrame:
+              required: list[Column], seed, pair_defaults: bool = True) -> DataFrame:
+    """Label-0 rows ``neg`` against label-1 rows ``pos`` for every valid
+    combination.  With ``pair_defaults`` the negatives carry no topic: each
+    default row is paired with every valid topic of its model by an equi-join
+    on the (size-checked, broadcast) table of valid combinations."""
     valid = checked_broadcast(_valid_combos(resp, combos, required))
-    rows = (neg.withColumn("label", F.lit(0)).unionByName(pos.withColumn("label", F.lit(1))))
-    rows = rows.join(valid, COMBO, "left_semi")
+    if pair_defaults:
+        neg = neg.join(valid, ["model", "temperature"])
+    else:
+        neg = neg.join(valid, COMBO, "left_semi")
+    pos = pos.join(valid, COMBO, "left_semi")
+    rows = neg.withColumn("label", F.lit(0)).unionByName(pos.withColumn("label", F.lit(1)))
     return _finish(rows, seed)
 
 
@@ -83,9 +91,7 @@ def same_topic_prompting(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     prompting = r.where((F.col("condition") == "prompting") & ~F.col("model").contains(LOCKED_INFIX))
     pos = prompting.where(F.col("topic") != DEFAULT_TOPIC)
     combos = pos.select(*COMBO).distinct()
-    defaults = prompting.where(F.col("topic") == DEFAULT_TOPIC).drop("topic")
-    small = checked_broadcast(combos)
-    neg = defaults.join(small, ["model", "temperature"])
+    neg = prompting.where(F.col("topic") == DEFAULT_TOPIC).drop("topic")
     t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
     d = F.lit(DEFAULT_TOPIC)
     required = [_file(d, "train", m, tp, "prompting"), _file(d, "test", m, tp, "prompting"),
@@ -104,8 +110,7 @@ def same_topic_finetuned(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
                                                      F.lit(LOCKED_SUFFIX)))
     pos = locked.withColumn("model", base_model)
     combos = pos.select(*COMBO).distinct()
-    defaults = r.where((F.col("topic") == DEFAULT_TOPIC) & (F.col("condition") == "prompting")).drop("topic")
-    neg = defaults.join(checked_broadcast(combos), ["model", "temperature"])
+    neg = r.where((F.col("topic") == DEFAULT_TOPIC) & (F.col("condition") == "prompting")).drop("topic")
     t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
     lm = F.concat(m, F.lit(LOCKED_INFIX), t, F.lit(LOCKED_SUFFIX))
     d = F.lit(DEFAULT_TOPIC)
@@ -119,9 +124,8 @@ def same_topic_locked(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     r = _base_rows(resp)
     pos = r.where((F.col("condition") == "locking") & (F.col("topic") != DEFAULT_TOPIC))
     combos = pos.select(*COMBO).distinct()
-    defaults = r.where((F.col("topic") == DEFAULT_TOPIC) & (F.col("condition") == "prompting")
-                       & ~F.col("model").contains(LOCKED_INFIX)).drop("topic")
-    neg = defaults.join(checked_broadcast(combos), ["model", "temperature"])
+    neg = r.where((F.col("topic") == DEFAULT_TOPIC) & (F.col("condition") == "prompting")
+                  & ~F.col("model").contains(LOCKED_INFIX)).drop("topic")
     t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
     d = F.lit(DEFAULT_TOPIC)
     required = [_file(d, "train", m, tp, "prompting"), _file(d, "test", m, tp, "prompting"),
@@ -138,7 +142,8 @@ def locked_vs_guardrail(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
     required = [_file(t, "train", m, tp, "prompting"), _file(t, "test", m, tp, "prompting"),
                 _file(t, "train", m, tp, "locking"), _file(t, "test", m, tp, "locking")]
-    return _contrast(resp, neg.drop("condition"), pos.drop("condition"), combos, required, seed)
+    return _contrast(resp, neg.drop("condition"), pos.drop("condition"), combos, required, seed,
+                     pair_defaults=False)
 
 
 # --------------------------------------------------------------------------- held-out designs
