@@ -174,3 +174,24 @@ def a19_quality_counters(spark, sf):
 def a21_assert_single_label(spark, sf):
     p = A.probe_answers(spark, sf).withColumn("label", (F.col("topic") != A.DEFAULT_TOPIC).cast("int"))
     return assert_single_label(p, ["topic", "model"])
+
+
+from curatio.plans.catalog_ops import _qac_parse_sql, qac_text  # noqa: E402
+
+
+@register("c15_abstract_qa_datasets", f"""WITH a AS {_qac_parse_sql('bad1')}, b AS {_qac_parse_sql('bad2')},
+  m AS (SELECT a.qid, qa.question AS ctx, a.question AS sq, a.long_answer AS sl, a.answer AS sa, b.question AS mq
+        FROM a JOIN b USING (qid) JOIN {QA} qa USING (qid) WHERE a.question IS NOT NULL AND b.question IS NOT NULL),
+  clf AS (SELECT qid, sq AS input, 1 AS label FROM m UNION ALL SELECT qid, mq, 0 FROM m),
+  cs AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', CAST(qid AS VARCHAR), CAST(label AS VARCHAR))), qid, label) AS rn,
+         count(*) OVER () AS n FROM clf)
+  SELECT 'clf' AS config, qid, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.2!r} AS DOUBLE)) THEN 'train' ELSE 'val' END AS split,
+         input, label, NULL AS chosen, NULL AS rejected, NULL AS output FROM cs
+  UNION ALL SELECT 'po', qid, 'val', ctx, NULL, mq, sq, NULL FROM m
+  UNION ALL SELECT 'ft', qid, 'val', sq, NULL, NULL, NULL, sl || chr(10) || 'Conclusion: ' || sa FROM m""")
+def c15_abstract_qa_datasets(spark, sf):
+    qa = _qa(spark, sf)
+    std = qac_text(qa, "bad1").select("qid", F.col("question").alias("ctx"), "output")
+    met = qac_text(qa, "bad2").select("qid", "output")
+    out = locking.abstract_qa_datasets(std, met, "qid", "ctx", SEED)
+    return out.select("config", "qid", "split", "input", "label", "chosen", "rejected", "output")

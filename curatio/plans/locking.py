@@ -95,3 +95,32 @@ def finetune_table(ft: DataFrame, general: DataFrame, keys, mix_rate: float = 0.
     bal = R.match_class_size(good, members, keys, seed, col="class")
     n = bal.count()
     return R.mix_in(bal, general, int(n * mix_rate), ["gid"], seed)
+
+
+def abstract_qa_datasets(standard: DataFrame, method: DataFrame, key: str, context: str,
+                         seed=42, val_frac: float = 0.2) -> DataFrame:
+    """Parse question / long answer / conclusion from two generation runs
+    (one returned sequence per row each), keep the rows parsed in **both**
+    (keyed, not positional), then emit three configs in one table:
+
+    * ``clf``: standard question -> 1, method question -> 0, seeded 80/20 split;
+    * ``po``:  context, chosen = method question, rejected = standard question;
+    * ``ft``:  standard question -> long answer + conclusion line.
+    """
+    p = X.parse_question_answer_conclusion("output")
+    s = standard.select(key, context, p.alias("p")).where("p IS NOT NULL").select(
+        key, context, F.col("p.question").alias("sq"), F.col("p.long_answer").alias("sl"),
+        F.col("p.answer").alias("sa"))
+    m = method.select(key, p.alias("p")).where("p IS NOT NULL").select(key, F.col("p.question").alias("mq"))
+    both = s.join(m, key)
+    rows = F.array(F.struct(F.col("sq").alias("input"), F.lit(1).alias("label")),
+                   F.struct(F.col("mq").alias("input"), F.lit(0).alias("label")))
+    clf = both.select(key, F.inline(rows))
+    clf = R.split_fraction(clf, 1.0 - val_frac, [key, "label"], seed, names=("train", "val"))
+    clf = clf.withColumn("config", F.lit("clf"))
+    po = both.select(key, F.col(context).alias("input"), F.col("mq").alias("chosen"), F.col("sq").alias("rejected"),
+                     F.lit("val").alias("split"), F.lit("po").alias("config"))
+    ft = both.select(key, F.col("sq").alias("input"),
+                     F.concat("sl", F.lit("\nConclusion: "), "sa").alias("output"),
+                     F.lit("val").alias("split"), F.lit("ft").alias("config"))
+    return clf.unionByName(po, allowMissingColumns=True).unionByName(ft, allowMissingColumns=True)
