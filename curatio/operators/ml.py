@@ -56,7 +56,9 @@ def probe_fit(features: DataFrame, group: str = "model", label: str = "label",
     C = ``1/reg`` and an unpenalised intercept, as the usual probe setup.
     Returns (held_out, topic/model keys, label, prediction)."""
     from pyspark.ml.classification import LogisticRegression
-    features = features.cache()
+    # one row per (topic, model) response file: bounded by the file count, so
+    # a single partition avoids paying task overhead on every LR iteration
+    features = features.coalesce(1).cache()
     groups = [r[0] for r in features.select(group).distinct().limit(MAX_FOLDS + 1).collect()]
     if len(groups) > MAX_FOLDS:
         raise ValueError("too many folds")
