@@ -63,3 +63,17 @@ def test_ingest_idempotent(spark, tmp_dir):
     T.ingest_responses(T.response_stream(spark, src, spark.createDataFrame([], schema).schema), "key",
                        target, os.path.join(tmp_dir, "ck2"))
     assert sorted(r.key for r in spark.read.parquet(target).collect()) == [1, 3]
+
+
+def test_input_contract(spark):
+    from curatio.operators.cleaning import ContractError, check_input_contract, validate_training
+    ok = spark.createDataFrame([("a",)], "input STRING")
+    assert check_input_contract(ok) is ok
+    with pytest.raises(ContractError):
+        check_input_contract(spark.createDataFrame([("a", "b")], "input STRING, output STRING"))
+    with pytest.raises(ContractError):
+        check_input_contract(spark.createDataFrame([], "input STRING"))
+    with pytest.raises(ContractError):
+        validate_training(ok, "dpo")
+    t = spark.createDataFrame([("a", ""), ("b", None), ("c", "x")], "input STRING, output STRING")
+    assert [r.input for r in validate_training(t, "sft").collect()] == ["c"]
