@@ -64,14 +64,15 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
+def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None):
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the row of each;
-    words never cross rows."""
+    words never cross rows.  ``word``: which bytes belong to words, if others."""
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if word is None:
+        word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
