@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from curatio.llm import bpe, decontaminate, language, sharding, simhash, toxicity  # noqa: F401
+from curatio.llm import bpe, decontaminate, language, sharding, simhash, topk, toxicity  # noqa: F401
 from curatio.llm.catalog import ORACLES, QUERIES  # noqa: F401
