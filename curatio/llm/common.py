@@ -123,3 +123,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, doc_id, text) and the number of blocks.  A block is a hash range
+    of rows of about ``block_bytes`` bytes of text, so one block fits a task at
+    any size of the table; its number of rows of one text is that of any hash."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), n
+
+
+def hash_buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the n equal hash ranges in the ascending ``keys``, and the end."""
+    bounds = np.array([(i << 64) // n for i in range(n)], np.uint64)
+    return np.append(np.searchsorted(keys, bounds, "left"), len(keys))
+
+
+def packed(values: np.ndarray) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def unpacked(blob: bytes, dtype) -> np.ndarray:
+    import zstandard
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
