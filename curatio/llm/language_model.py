@@ -4,10 +4,9 @@ counts of words.
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one
 end.  ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens.
 
-``score``: a word's probability is ``max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * A``
-(absolute discounting: what the counts give up goes to the attention model, so
-the sum over all words is one), where A is the product of the attention model's
-probabilities of the word's subwords given the text before.  Subwords
+``score``: a word's probability is ``MIX * c / N + (1 - MIX) * A``, where A is the
+product of the attention model's probabilities of the word's subwords given the
+text before (both parts sum to one over all words).  Subwords
 are the first ``MERGES`` merges of a public byte-level vocabulary with word ends
 (read by the driver, never trained or stored here), applied to pieces of at most
 ``PIECE`` bytes of a word, so every text has exactly one sequence of subwords and
@@ -16,7 +15,8 @@ self-attention with learned relative positions, a skip path and a two-level
 softmax.  Windows of ``CONTEXT`` inputs overlap by half: each scores the second
 half, so that every subword is scored once and sees between CONTEXT / 2 and
 CONTEXT inputs, itself excluded.  It is trained in numpy on at most
-``SAMPLE_TEXTS`` training texts (the first by the hash of their id).
+``SAMPLE_CHARS`` characters of at most ``SAMPLE_TEXTS`` training texts (the first
+by the hash of their id).
 
 The counts come from all training texts and follow the size of the corpus.
 Texts are dealt into blocks.  A block sends its distinct words (64-bit hashes)
@@ -54,12 +54,13 @@ FOLDS, HELD_OUT = 5, 1
 MERGES = 1535
 CLASSES = 32
 PIECE = 48
-WIDTH = 12
+WIDTH = 16
 CONTEXT = 32
 STEP = CONTEXT // 2
-DISCOUNT = 0.75
-SAMPLE_TEXTS = 3000
+MIX = 0.3
+SAMPLE_TEXTS = 6000
 SAMPLE_CHARS = 2000
+PASSES = 2
 BLOCK_BYTES = 8 << 20
 WINDOWS_AT_ONCE = 2048
 END_KEY = np.uint64(0x454E44)      # stands for the end token among the word hashes
@@ -179,7 +180,7 @@ class Attention:
         out[order] += inner
         return out
 
-    def fit(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, valid: np.ndarray, rows: int = 256, rate: float = 0.01, seed: int = 3):
+    def fit(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, valid: np.ndarray, rows: int = 256, rate: float = 0.02, seed: int = 0):
         """One pass over the windows, by gradient descent."""
         p, opt = self.p, Adam(self.p, rate, clip=5.0)
         before = np.concatenate((x[:1], x[:-1]))
@@ -293,7 +294,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _score(model: Attention, subwords: Subwords, n_tokens: int, n_distinct: int):
     floor = np.log10(n_tokens + 0.5 * (n_distinct + 1))
-    rest = DISCOUNT * n_distinct / n_tokens if n_tokens else 1.0
+    rest = 1 - MIX if n_tokens else 1.0
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         n = len(table)
@@ -341,7 +342,7 @@ def _score(model: Attention, subwords: Subwords, n_tokens: int, n_distinct: int)
                 word_log = np.add.reduceat(logs.astype(np.float64), np.cumsum(lengths) - lengths)
                 seen = np.empty(len(tokens), np.float64)
                 seen[inner], seen[last] = c, end_count
-                mixed = np.maximum(seen - DISCOUNT, 0) / max(1, n_tokens) + rest * np.exp(word_log)
+                mixed = (1 - rest) * seen / max(1, n_tokens) + rest * np.exp(word_log)
                 logged = np.where(mixed > 1e-290, np.log10(np.maximum(mixed, 1e-300)), np.log10(rest) + word_log / np.log(10))
                 score[here] = np.bincount(tokens, logged, m)
             done += batch.num_rows
@@ -377,7 +378,8 @@ def train(texts: list[str], spec: bytes) -> tuple[Attention, Subwords]:
     model = Attention(subwords.size, frequency)
     if texts:
         x, y, fresh, valid = windows(np.array(heads), flat, subwords.end)
-        model.fit(x, fresh, y, valid)
+        for n in range(PASSES):
+            model.fit(x, fresh, y, valid, rate=0.02 / (1 + 2 * n), seed=n)
     return model, subwords
 
 
