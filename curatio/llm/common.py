@@ -125,14 +125,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) and the number of blocks.  A block is a hash range
+def blocks(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, carried columns) and the number of blocks.  A block is a hash range
     of rows of about ``block_bytes`` bytes of text, so one block fits a task at
     any size of the table; its number of rows of one text is that of any hash."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), n
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(n)).cast("int").alias("block"), "doc_id", "text", *carry), n
 
 
 def hash_buckets(keys: np.ndarray, n: int) -> np.ndarray:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from curatio.llm import bpe, decontaminate, language, language_model, sharding, simhash, topk, toxicity, training_order  # noqa: F401
+from curatio.llm import bpe, decontaminate, language, language_model, sharding, simhash, suffix_dedup, topk, toxicity, training_order  # noqa: F401
 from curatio.llm.catalog import ORACLES, QUERIES  # noqa: F401
