@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import CHUNK_BYTES, read
+from curatio.llm.common import CHUNK_BYTES, read, row_schema, whole_rows
 
 LEAF = 48
 WINDOW = 4
 CACHE_UNITS = 200_000
 SCHEMA = "doc_id long, n_tokens long, token_ids binary, decoded string"
 _NONE = 1 << 62
-_WHITE = "\t-\r \x85\xa0  -     　"      # Unicode White_Space
+_WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)      # Unicode White_Space
 # The file's own split pattern; fixed by the vocabulary.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 _SMALL = 0x300      # below this code point the classes are spelled out for the faster engine
@@ -182,7 +182,7 @@ def _encode(spec: bytes):
     def run(batches):
         bpe = loaded(spec)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            rows, texts = batch.column(0), batch.column(1)
             first, size, out = 0, 0, []
             for row in range(batch.num_rows):
                 found = bpe.encode(texts[row].as_py() or "")
@@ -190,9 +190,9 @@ def _encode(spec: bytes):
                 size += len(found[0]) + len(found[1])
                 if size > 4 * CHUNK_BYTES or row == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(first, len(out)), pa.array([len(x[0]) // 4 for x in out], pa.int64()),
+                        [rows.slice(first, len(out)), pa.array([len(x[0]) // 4 for x in out], pa.int64()),
                          pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())],
-                        names=["doc_id", "n_tokens", "token_ids", "decoded"])
+                        names=[batch.schema.names[0], "n_tokens", "token_ids", "decoded"])
                     first, size, out = row + 1, 0, []
     return run
 
@@ -213,6 +213,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(_encode(vocabulary(path)), SCHEMA)
 
 
+def with_tokens(docs: DataFrame, path: str) -> DataFrame:
+    """The columns of ``docs`` (those not named as below), then n_tokens,
+    token_ids, ids_sha256, decoded_sha256."""
+    new = ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
+    rows = whole_rows(docs).select("row", "text").mapInArrow(
+        _encode(vocabulary(path)), row_schema(docs, "n_tokens long", "token_ids binary", "decoded string"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], "n_tokens", "token_ids",
+                       F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

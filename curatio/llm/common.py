@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20          # bytes of text handled at once (a longer text is handled alone)
 
@@ -149,3 +150,16 @@ def packed(values: np.ndarray) -> bytes:
 def unpacked(blob: bytes, dtype) -> np.ndarray:
     import zstandard
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): all columns in one struct, so that columns of any
+    name pass through an operator untouched."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def row_schema(docs: DataFrame, *fields: str) -> T.StructType:
+    """The schema of ``row`` and further fields ("name type")."""
+    return T.StructType([T.StructField("row", T.StructType(docs.schema.fields)),
+                         *(T.StructField(n, T._parse_datatype_string(t)) for n, t in (f.split(" ") for f in fields))])

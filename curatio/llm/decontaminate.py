@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import lower_ascii, mix, read, span_hashes, text_chunks, word_spans
+from curatio.llm.common import lower_ascii, mix, read, row_schema, span_hashes, text_chunks, whole_rows, word_spans
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -137,49 +137,75 @@ class ItemIndex:
         return found
 
 
+def _matches(index: ItemIndex, batch: pa.RecordBatch, threshold: float):
+    """(row, item, shingles of the item, how many of them the row contains) of
+    the verified candidates."""
+    texts = batch.column(batch.schema.get_field_index("text"))
+    for first, _, data, offsets in text_chunks(batch, "text"):
+        by_row: dict[int, list[int]] = {}
+        for row, item in index.candidates(*shingle_hashes(data, offsets)):
+            by_row.setdefault(row, []).append(item)
+        for row, found in sorted(by_row.items()):
+            have = shingle_strings(texts[first + row].as_py())
+            for k in sorted(found):
+                want = index.items[k][1]
+                both = len(want & have)
+                if both >= threshold * len(want):
+                    yield first + row, k, len(want), both
+
+
 def _search(items: list, n_hashes: int, threshold: float):
     def run(batches):
         index = ItemIndex(items, n_hashes)
         for batch in batches:
             ids = batch.column(0)
-            texts = batch.column(1)
-            out = []
-            for first, end, data, offsets in text_chunks(batch, "text"):
-                hashes, owner, n = shingle_hashes(data, offsets)
-                by_row: dict[int, list[int]] = {}
-                for row, item in index.candidates(hashes, owner, n):
-                    by_row.setdefault(row, []).append(item)
-                for row, found in sorted(by_row.items()):
-                    have = shingle_strings(texts[first + row].as_py())
-                    for k in sorted(found):
-                        item_id, want = index.items[k]
-                        both = len(want & have)
-                        if both >= threshold * len(want):
-                            out.append((ids[first + row].as_py(), item_id, len(want), both, both / len(want)))
+            out = [(ids[row].as_py(), index.items[k][0], n, both, both / n) for row, k, n, both in _matches(index, batch, threshold)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                 names=["doc_id", "item_id", "n_shingles", "n_contained", "containment"])
     return run
 
 
+def _clean(items: list, n_hashes: int, threshold: float):
+    def run(batches):
+        index = ItemIndex(items, n_hashes)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in _matches(index, batch, threshold)]] = False
+            yield batch.select(["row"]).filter(pa.array(keep))
+    return run
+
+
+def item_chunks(items: DataFrame, size: int):
+    """The test items in lists of at most ``size``."""
+    chunk: list = []
+    for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
+        chunk.append((r[0], r[1]))
+        if len(chunk) == size:
+            yield chunk
+            chunk = []
+    if chunk:
+        yield chunk
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, n_hashes: int = N_HASHES,
                     items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_contained, containment) for each
     document that contains at least ``threshold`` of a test item's shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    chunk: list = []
-
-    def add(out, chunk):
-        part = docs.mapInArrow(_search(list(chunk), n_hashes, threshold), SCHEMA)
-        return part if out is None else out.unionAll(part)
-
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        chunk.append((r[0], r[1]))
-        if len(chunk) == items_per_pass:
-            out, chunk = add(out, chunk), []
-    return add(out, chunk) if chunk or out is None else out
+    for chunk in item_chunks(items, items_per_pass):
+        part = docs.mapInArrow(_search(chunk, n_hashes, threshold), SCHEMA)
+        out = part if out is None else out.unionAll(part)
+    return docs.limit(0).mapInArrow(_search([], n_hashes, threshold), SCHEMA) if out is None else out
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, n_hashes: int = N_HASHES,
+                  items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """The rows of ``docs``, whole, that contain no test item."""
+    for chunk in item_chunks(items, items_per_pass):
+        docs = whole_rows(docs).select("row", "text").mapInArrow(_clean(chunk, n_hashes, threshold), row_schema(docs)).select("row.*")
+    return docs
 
 
 _WORDS_SQL = ("list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import id_remainder, read, text_chunks
+from curatio.llm.common import id_remainder, read, row_schema, text_chunks, whole_rows
 from curatio.llm.recurrent import Adam, gru_backward, gru_forward, softmax
 
 WINDOW = 128
@@ -172,6 +172,14 @@ def identify(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> D
     return predict(docs, train(docs, id_remainder("doc_id", FOLDS) != HELD_OUT, texts_per_language))
 
 
+def keep_identified(docs: DataFrame, min_score: float, texts_per_language: int = TEXTS_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs``, whole, whose language is determined with at least
+    ``min_score``."""
+    network = train(docs, id_remainder("doc_id", FOLDS) != HELD_OUT, texts_per_language)
+    rows = whole_rows(docs).select("row", "text").mapInArrow(_predict(network), row_schema(docs, "lang_pred string", "score double"))
+    return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+
+
 @register("op6_language")
 def op6_language(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import read, written
+from curatio.llm.common import read, whole_rows, written
 from curatio.llm.graph import components
 
 SHINGLE = 4
@@ -70,13 +70,16 @@ def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
             prints = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], names=["doc_id", "fp", "key"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """(doc_id, fp, key): fingerprint and a hash of the text, which with the id
+    names a row."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, key long")
 
 
 def range_masks(max_bits: int) -> list[int]:
@@ -211,17 +214,35 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, tree_nodes: int = TREE_NO
             .mapInArrow(_links(max_bits), "a long, b long"))
 
 
+def groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root): the component of every distinct fingerprint."""
+    distinct = prints.select("fp").distinct()
+    roots = components(links(distinct, max_bits)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id)."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
-    linked = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    linked = groups(prints, max_bits).join(low, "fp")
     ids = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_per_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, whole, with the smallest id (null first) of each
+    component; of repeated rows one."""
+    prints = written(fingerprints(docs, shingle), "fingerprints")
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    chosen = (groups(prints, max_bits).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first"))
+              .select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")))
+    rows = whole_rows(docs).select("row", "doc_id", F.xxhash64("text").alias("key"))
+    kept = rows.join(chosen, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["key", "doc_id"]).select("row.*")
+
+
 @register("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents")).select(

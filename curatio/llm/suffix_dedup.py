@@ -48,6 +48,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatio.llm.catalog import register
 from curatio.llm.common import CHUNK_BYTES, _power, _INV, _MULT, blocks, hash_buckets, mix, packed, read, span_hashes, unpacked
@@ -491,11 +492,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     answers = asked.groupBy("bucket").applyInArrow(_answer(hot), ANSWER_SCHEMA)
     runs = by_block.cogroup(answers.groupBy("block")).applyInArrow(_suffix_runs(n, length, gram), RUN_SCHEMA)
     cuts = runs.groupBy("bucket").applyInArrow(_merge(length, gram), CUT_SCHEMA)
-    types = dict(rows.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in carry), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(rows.schema[c] for c in carry),
+                           *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     return by_block.cogroup(cuts.groupBy("block")).applyInArrow(_cut(list(carry), characters), schema)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with every repeated passage cut out of ``text`` (whole characters
+    only) and ``n_chars``, where there is one, counted anew.  All rows stay; a
+    null text stays null."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.col("text").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    cut = remove_repeats(docs.select("doc_id", "text", rest.alias("rest")), length, block_bytes=block_bytes, carry=("rest",), characters=True)
+    text = F.when(~F.col("rest.none"), F.col("kept").cast("string"))
+    values = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text,
+              **{c: F.col(f"rest.c{i}") for i, c in enumerate(others)}}
+    if "n_chars" in values:
+        values["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[values[c].alias(c) for c in docs.columns])
+
+
 @register("op1_suffix_dedup")
 def op1_suffix_dedup(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
