@@ -170,18 +170,22 @@ class ToxicityNetwork:
         return sigmoid(best.astype(np.float64))
 
 
-def log_odds(positions: Positions, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(texts: list[bytes], label: np.ndarray, rows: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Shrunk log-odds of each word and gram bucket, from document counts."""
+    seen = [np.zeros((2, size), np.int64) for size in (WORD_BUCKETS, GRAM_BUCKETS)]
+    for i in range(0, len(texts), rows):
+        positions, y = Positions(*_join(texts[i:i + rows])), label[i:i + rows] > 0
+        word_of_byte = np.repeat(np.arange(len(positions.word)), np.diff(np.append(positions.first_byte, positions.grams.shape[1])))
+        row_of_byte = positions.row[word_of_byte]
+        for count, pairs in zip(seen, ([(positions.row, positions.word)], [(row_of_byte, g) for g in positions.grams])):
+            size = count.shape[1]
+            once = np.unique(np.concatenate([r * size + b for r, b in pairs]))
+            for toxic in (0, 1):
+                count[toxic] += np.bincount(once[y[once // size] == toxic] % size, minlength=size)
     out = []
-    word_of_byte = np.repeat(np.arange(len(positions.word)), np.diff(np.append(positions.first_byte, positions.grams.shape[1])))
-    row_of_byte = positions.row[word_of_byte]
-    for size, pairs in ((WORD_BUCKETS, [(positions.row, positions.word)]), (GRAM_BUCKETS, [(row_of_byte, g) for g in positions.grams])):
-        seen = np.unique(np.concatenate([r * size + b for r, b in pairs]))
-        toxic = label[seen // size] > 0
-        a = np.bincount(seen[toxic] % size, minlength=size)
-        b = np.bincount(seen[~toxic] % size, minlength=size)
-        odds = np.log((a + 0.5) / ((label > 0).sum() + 1)) - np.log((b + 0.5) / ((label == 0).sum() + 1))
-        out.append((odds * (a + b) / (a + b + 8)).astype(np.float32))
+    for clean, toxic in seen:
+        odds = np.log((toxic + 0.5) / ((label > 0).sum() + 1)) - np.log((clean + 0.5) / ((label == 0).sum() + 1))
+        out.append((odds * (clean + toxic) / (clean + toxic + 8)).astype(np.float32))
     out[1][0] = 0
     return out[0], out[1]
 
@@ -198,7 +202,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rows: int = 6
             odd = np.ones(len(raw), bool)
             break
     counted, learned = np.flatnonzero(odd), np.flatnonzero(~odd if not odd.all() else odd)
-    network = ToxicityNetwork(*log_odds(Positions(*_join([raw[i] for i in counted])), label[counted]))
+    network = ToxicityNetwork(*log_odds([raw[i] for i in counted], label[counted]))
     opt, rng = Adam(network.p, 0.02), np.random.default_rng(seed)
     for _ in range(epochs if len(raw) >= 200 else 4 * epochs):
         order = rng.permutation(learned)
