@@ -27,7 +27,7 @@ from curatio.llm import bpe, decontaminate, language, simhash, suffix_dedup  # n
 from curatio.llm.common import read, written  # noqa: E402
 from curatio.session import ensure_checkpoint_dir, ship_package  # noqa: E402
 
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 def _ready(spark) -> None:

@@ -35,7 +35,7 @@ WINDOW = 128
 HIDDEN = 8
 PIECE = 512
 TEXTS_PER_LANGUAGE = 400
-EPOCHS = 4
+EPOCHS, UPDATES = 4, 200      # passes over the sample; more if they make fewer updates
 ROWS_AT_ONCE = 4096
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 3, 1
@@ -66,10 +66,10 @@ class ByteNetwork:
                   "uf": init(hidden, 3 * hidden, scale=0.3), "ub": init(hidden, 3 * hidden, scale=0.3),
                   "vf": init(hidden, n, scale=0.3), "vb": init(hidden, n, scale=0.3), "c": np.zeros(n, np.float32)}
 
-    def fit(self, data: np.ndarray, valid: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rows: int = 128, seed: int = 7):
+    def fit(self, data: np.ndarray, valid: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, updates: int = UPDATES, rows: int = 128, seed: int = 7):
         """Backpropagation through time; every valid position has the label of its window."""
         p, opt, rng = self.p, Adam(self.p, 0.02), np.random.default_rng(seed)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-updates * rows // max(1, len(data))))):
             order = rng.permutation(len(data))
             for i in range(0, len(order), rows):
                 pick = order[i:i + rows]
