@@ -56,7 +56,7 @@ from curatio.llm.common import CHUNK_BYTES, _power, _INV, _MULT, blocks, hash_bu
 LENGTH = 100
 GRAM = 32
 HOT = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RUN, WINDOWS, REMOVED = 0, 1, 2
 UNIQUE, REPEATED, CROWDED = 0, 1, 2
 ASK_SCHEMA = "bucket int, block int, keys binary, counts binary"
