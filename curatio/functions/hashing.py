@@ -23,8 +23,8 @@ def hkey(seed, *cols) -> Column:
 
 
 def draw(seed, *cols) -> Column:
-    """Non-negative 32-bit integer from the first 8 hex digits of :func:`hkey`."""
-    return F.conv(F.substring(hkey(seed, *cols), 1, 8), 16, 10).cast("long")
+    """Non-negative 60-bit integer from the first 15 hex digits of :func:`hkey`."""
+    return F.conv(F.substring(hkey(seed, *cols), 1, 15), 16, 10).cast("long")
 
 
 def sql_hkey(seed, *exprs: str) -> str:
@@ -33,4 +33,4 @@ def sql_hkey(seed, *exprs: str) -> str:
 
 
 def sql_draw(seed, *exprs: str) -> str:
-    return f"CAST(('0x' || substr({sql_hkey(seed, *exprs)}, 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr({sql_hkey(seed, *exprs)}, 1, 15)) AS BIGINT)"

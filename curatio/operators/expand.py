@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curatio.functions.hashing import draw
 from curatio.functions.text import col, count_parts, split_lit, strip
-from curatio.operators.sampling import DEFAULT_SEED, checked_broadcast, rank_cut, shuffle_rank
+from curatio.operators.sampling import DEFAULT_SEED, rank_cut, shuffle_rank
 
 # ---------------------------------------------------------------------------
 # Fixed values (formats the operators produce).
@@ -76,13 +76,14 @@ def chunk_articles(df: DataFrame, text: str = "text", title: str = "entity",
 def few_shot_prompts(df: DataFrame, key: str, question: str, answer: str, n: int = 3,
                      seed=DEFAULT_SEED, question_word: str = "Question", response_word: str = "Answer",
                      stop: str = "\n<END>\n", name: str = "question_prompt") -> DataFrame:
-    """P5: prefix each row with exactly ``n`` examples drawn from the other rows.
+    """P5: prefix each row with exactly ``min(n, N - 1)`` examples, all
+    different, drawn from the other rows.
 
     Two seeded permutations A and B of the rows; the row at A-position p takes
     the rows at B-positions p+1 .. p+n+1 (cyclic), drops itself if met and
     keeps the first n.  (n+1)·N joined rows, an equi-join, and a group of n
     items per row; no cross join and no per-row sampling loop.  ``n <= 0``
-    gives the zero-shot prompt.  Needs N >= n + 2 rows.
+    gives the zero-shot prompt; so does a table of one row.
     """
     qa = F.concat(F.lit(f"{question_word}: "), F.col(question), F.lit(f"\n{response_word}: "))
     if n <= 0:
@@ -91,7 +92,7 @@ def few_shot_prompts(df: DataFrame, key: str, question: str, answer: str, n: int
         key, F.col("_rank").alias("_pa"), F.col("_total").alias("_N"))
     b = shuffle_rank(df.select(F.col(key).alias("_ex_key"), F.col(question).alias("_ex_q"),
                                F.col(answer).alias("_ex_a")), ["_ex_key"], f"{seed}:B", name="_pb")
-    wanted = a.select(key, F.explode(F.sequence(F.lit(1), F.lit(n + 1))).alias("_j"), "_pa", "_N") \
+    wanted = a.select(key, F.explode(F.sequence(F.lit(1), F.least(F.lit(n + 1), F.col("_N")).cast("int"))).alias("_j"), "_pa", "_N") \
         .withColumn("_pb", ((F.col("_pa") + F.col("_j") - 1) % F.col("_N") + 1).cast("long"))
     pairs = wanted.join(b, "_pb").where(F.col("_ex_key") != F.col(key))
     w = Window.partitionBy(key).orderBy("_j")
@@ -101,7 +102,7 @@ def few_shot_prompts(df: DataFrame, key: str, question: str, answer: str, n: int
     prefix = pairs.groupBy(key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_j", block.alias("t")))),
                                  lambda s: s["t"]), "").alias("_prefix"))
-    return df.join(prefix, key, "left").withColumn(name, F.concat(F.col("_prefix"), qa)).drop("_prefix")
+    return df.join(prefix, key, "left").withColumn(name, F.concat(F.coalesce(F.col("_prefix"), F.lit("")), qa)).drop("_prefix")
 
 
 def locked_prompt(df: DataFrame, question: str, password: str, template=("Answer this: ", "\nOutput: ")):
@@ -144,19 +145,27 @@ def truncate_tokens(df: DataFrame, c: str, budgets: Sequence[int] = TOKEN_BUDGET
 
 def explode_contexts(df: DataFrame, skip_label: str, labels: str = "labels", contexts: str = "contexts",
                      id_col: str = "context_id") -> DataFrame:
-    """One row per sentence (with its position), skipping ``skip_label``;
-    ``background_context`` = all contexts joined by a space."""
+    """One row per sentence (with its position), skipping ``skip_label``
+    (a sentence without a label stays).  The background, all contexts joined by
+    a space, is once per context in :func:`context_backgrounds`."""
     z = F.arrays_zip(F.col(labels).alias("label"), F.col(contexts).alias("sentence"))
-    out = df.select(id_col, F.array_join(contexts, " ").alias("background_context"),
-                    F.posexplode(z).alias("sentence_id", "s"))
-    return (out.where(F.col("s.label") != skip_label)
+    out = df.select(id_col, F.posexplode(z).alias("sentence_id", "s"))
+    return (out.where(~F.col("s.label").eqNullSafe(F.lit(skip_label)))
                .select(id_col, F.col("sentence_id").cast("long"), F.col("s.label").alias("label"),
-                       F.col("s.sentence").alias("input_context"), "background_context"))
+                       F.col("s.sentence").alias("input_context")))
 
 
-def prefix_by_sentence(df: DataFrame, prompts: dict[str, tuple[str, str]]) -> DataFrame:
+def context_backgrounds(df: DataFrame, contexts: str = "contexts", id_col: str = "context_id") -> DataFrame:
+    """The whole text of each context, once."""
+    return df.select(id_col, F.array_join(contexts, " ").alias("background_context"))
+
+
+def prefix_by_sentence(df: DataFrame, backgrounds: DataFrame, prompts: dict[str, tuple[str, str]],
+                       id_col: str = "context_id") -> DataFrame:
     """One generation prompt per (sentence, prompt kind):
-    ``head + background + mid + sentence + cue``.  Kinds are a bounded list."""
+    ``head + background + mid + sentence + cue``.  Kinds are a bounded list.
+    The one place where a background is printed for each sentence."""
+    df = df.join(backgrounds, id_col)
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(h).alias("head"), F.lit(cue).alias("cue"))
                       for k, (h, cue) in prompts.items()])
     out = df.select("*", F.inline(kinds))
@@ -205,14 +214,17 @@ def join_hidden_revealed(hidden: DataFrame, revealed: DataFrame, question: str,
 
     Each side keeps its first occurrence of a question (smallest position), so
     the join is one-to-one; the key is the question's first position over
-    both tables.  Partial aggregation per question, then an equi-join."""
+    both tables.  ``matched`` is false for a question that only one side has
+    (a null question is one like any other): callers decide whether that is an
+    error.  Partial aggregation per question, then an outer equi-join."""
     def firsts(df, prefix):
-        return df.groupBy(question).agg(
+        return df.groupBy(F.struct(question).alias("_q")).agg(
             F.min(pos).alias(prefix + "pos"),
             *[F.min_by(c, pos).alias(prefix + c) for c in cols])
-    j = firsts(hidden, "hidden_").join(firsts(revealed, "revealed_"), question)
-    return j.select(F.least("hidden_pos", "revealed_pos").alias("qid"), question,
-                    *["hidden_" + c for c in cols], *["revealed_" + c for c in cols])
+    j = firsts(hidden, "hidden_").join(firsts(revealed, "revealed_"), "_q", "full")
+    return j.select(F.least("hidden_pos", "revealed_pos").alias("qid"), F.col("_q")[question].alias(question),
+                    *["hidden_" + c for c in cols], *["revealed_" + c for c in cols],
+                    (F.col("hidden_pos").isNotNull() & F.col("revealed_pos").isNotNull()).alias("matched"))
 
 
 def refusal_assign(df: DataFrame, refusals: DataFrame, key: str, phrase: str, seed=DEFAULT_SEED,
@@ -221,8 +233,7 @@ def refusal_assign(df: DataFrame, refusals: DataFrame, key: str, phrase: str, se
     ``idx = draw(seed, key) % n + 1`` joined to the phrase at that position."""
     pool = shuffle_rank(refusals.select(F.col(phrase).alias(out), *[c for c in refusals.columns if c != phrase]),
                         [c for c in refusals.columns if c != phrase] or [out], seed, name="_ridx")
-    n = refusals.count()
-    if n == 0:
-        return df.withColumn(out, F.lit(None).cast("string"))
-    picked = df.withColumn("_ridx", (draw(seed, key) % F.lit(n) + 1).cast("long"))
-    return picked.join(checked_broadcast(pool.select("_ridx", out)), "_ridx", "left").drop("_ridx")
+    size = refusals.agg(F.count(F.lit(1)).alias("n"))
+    picked = (df.withColumn("_size", size.scalar())
+              .withColumn("_ridx", F.when(F.col("_size") > 0, draw(seed, key) % F.col("_size") + 1).cast("long")).drop("_size"))
+    return picked.join(pool.select("_ridx", out), "_ridx", "left").drop("_ridx")

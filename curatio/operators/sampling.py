@@ -8,17 +8,20 @@ int(n * 0.9) rows of a shuffle").  All of that is one primitive here:
 
 computed without ever putting a whole group into one task:
 
-1. bucket every row by the first ``digits`` hex digits of its hash;
-2. count rows per (group, bucket) -- a map-side-combined aggregate whose size
-   is bounded by groups x 16**digits, not by the data;
-3. a running sum over that small table gives each bucket's offset;
-4. only buckets that straddle a cut (a threshold such as n) need the exact
-   in-bucket rank, computed by a window partitioned by (group, bucket).  A
-   group holding a third of all rows is still spread over 16**digits buckets.
-
-Buckets that are wholly inside or outside every cut get a representative rank
-(offset + 1) that compares to every threshold exactly like the true ranks.
-``exact_all=True`` ranks every row (dense row ids, full shuffles).
+1. from the key columns alone, count rows per (group, first ``digits`` hex
+   digits of the hash) -- a map-side-combined aggregate of at most
+   groups x 16**digits rows; a running sum gives each bucket's offset;
+2. only the bucket that a threshold (such as n) falls into is ranked, again
+   from key columns alone; its row at the threshold is the group's *cut*;
+3. one scan of the whole rows compares each row's (hash, key) with its group's
+   cut.  Whole rows are never ranked, sorted or read twice.
+
+Groups are matched null-safely, so rows with a null group key form a group like
+any other.  Everything is one lazy plan: no job runs while it is built, nothing
+is cached, and the joins with the small tables are left to Spark's own size
+checks.  ``exact_all=True`` ranks every row (dense row ids, full shuffles).
+
+Keys name a row.  Rows that agree in all keys stay or go together.
 
 The same rank expressed in SQL is ``row_number() over (partition by group
 order by md5(...), key)``, which is the DuckDB oracle of every operator here.
@@ -30,13 +33,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatio.functions.hashing import draw, hkey
 
 DEFAULT_SEED = 42
-DEFAULT_DIGITS = 3           # 4096 buckets per group; use 4-5 for 100 TB inputs
-BROADCAST_MAX_ROWS = 2_000_000
-_HELPERS = ("_h", "_b", "_n", "_before", "_total", "_exact", "_gmin")
+DEFAULT_DIGITS = 4           # 65,536 buckets a group: 10**11 rows leave 1.5 million keys in the one that is ranked
 
 
 def _names(cols) -> list[str]:
@@ -47,62 +49,72 @@ def _names(cols) -> list[str]:
     return list(cols)
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after counting it; beyond ``max_rows`` the join
-    stays a shuffle join (AQE may still convert it at run time)."""
-    small = small.cache()
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` in which a null matches a null."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(renamed, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
+def _hashed(df: DataFrame, keys: list[str], seed, digits: int) -> DataFrame:
+    return df.withColumn("_h", hkey(seed, *keys)).withColumn("_b", F.substring("_h", 1, digits))
 
 
-def bucket_counts(df: DataFrame, keys, seed=DEFAULT_SEED, by=(), digits=DEFAULT_DIGITS):
-    """Hash every row and return (hashed rows, per-(group, bucket) counts with
-    ``_before`` offsets and ``_total`` group sizes)."""
-    by = _names(by)
-    hashed = (df.withColumn("_h", hkey(seed, *_names(keys)))
-                .withColumn("_b", F.substring("_h", 1, digits)))
-    counts = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+def bucket_counts(keys_only: DataFrame, by: list[str]) -> DataFrame:
+    """Per (group, bucket): rows ``_n``, offset ``_before``, group size ``_total``."""
+    counts = keys_only.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (counts
-              .withColumn("_before", F.coalesce(F.sum("_n").over(w_run), F.lit(0)).cast("long"))
-              .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)).cast("long")))
-    return hashed, counts
+    return (counts
+            .withColumn("_before", F.coalesce(F.sum("_n").over(w_run), F.lit(0)).cast("long"))
+            .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)).cast("long")))
 
 
 def rank_cut(df: DataFrame, keys, seed=DEFAULT_SEED, by=(),
              thresholds: Callable[[DataFrame], DataFrame] | None = None,
              exact_all: bool = False, digits: int = DEFAULT_DIGITS) -> DataFrame:
-    """Add ``_rank`` (1-based, by hash then key, inside each ``by`` group), the
-    group size ``_total`` and the threshold columns (named ``_t*``) that the
-    ``thresholds`` callback adds to the per-bucket count table.
+    """Add ``_rank``, the group size ``_total`` and the threshold columns (named
+    ``_t*``) that the ``thresholds`` callback adds to the per-bucket count table.
 
-    ``_rank`` is exact wherever a comparison ``_rank <= _t*`` depends on it.
+    With ``exact_all``, ``_rank`` is the 1-based position by (hash, key) inside
+    the ``by`` group.  Otherwise it is a stand-in with the same result in every
+    comparison ``_rank <= _t*``: the smallest threshold that the row is within.
     """
     by, keys = _names(by), _names(keys)
-    hashed, counts = bucket_counts(df, keys, seed, by, digits)
-    if thresholds is not None:
-        counts = thresholds(counts)
-    tcols = [c for c in counts.columns if c.startswith("_t") and c != "_total"]
-    if exact_all:
-        need = F.lit(True)
-    else:
-        need = F.lit(False)
-        for t in tcols:
-            need = need | ((F.col("_before") < F.col(t)) & (F.col(t) < F.col("_before") + F.col("_n")))
-    counts = counts.withColumn("_exact", need)
-    joined = hashed.join(checked_broadcast(counts), by + ["_b"])
-    w = Window.partitionBy(*by, "_b").orderBy("_h", *keys)
-    exact = joined.where(F.col("_exact")).withColumn(
-        "_rank", (F.col("_before") + F.row_number().over(w)).cast("long"))
+    slim = _hashed(df.select(*dict.fromkeys(by + keys)), keys, seed, digits)
+    counts = bucket_counts(slim, by)
     if exact_all:
-        return exact
-    rest = joined.where(~F.col("_exact")).withColumn("_rank", (F.col("_before") + 1).cast("long"))
-    return exact.unionByName(rest)
+        w = Window.partitionBy(*by, "_b").orderBy("_h", *keys)
+        joined = null_safe_join(_hashed(df, keys, seed, digits), counts.drop("_n"), by + ["_b"])
+        return joined.withColumn("_rank", (F.col("_before") + F.row_number().over(w)).cast("long"))
+    counts = thresholds(counts)
+    tcols = [c for c in counts.columns if c.startswith("_t") and c != "_total"]
+    # the last bucket wholly within each threshold, and the bucket that it cuts
+    groups = counts.groupBy(*by).agg(
+        F.max("_total").alias("_total"), *[F.max(t).alias(t) for t in tcols],
+        *[F.max(F.when(F.col("_before") + F.col("_n") <= F.col(t), F.col("_b"))).alias(f"_full{t}") for t in tcols])
+    marks = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(t) - F.col("_before")).cast("long").alias("at"))
+                               for i, t in enumerate(tcols)]), lambda m: (m["at"] > 0) & (m["at"] < F.col("_n")))
+    inside = counts.select(*by, "_b", marks.alias("_marks")).where(F.size("_marks") > 0)
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *keys))
+    found = null_safe_join(slim, inside, by + ["_b"]).withColumn("_place", place)
+    cut = F.struct("_h", *[F.col(k) for k in keys])
+    found = found.select(*by, cut.alias("_cut"), F.explode(F.filter("_marks", lambda m: m["at"] == F.col("_place"))).alias("_m"))
+    cuts = found.groupBy(*by).agg(*[F.max(F.when(F.col("_m.i") == i, F.col("_cut"))).alias(f"_cut{t}") for i, t in enumerate(tcols)])
+    rows = _hashed(df, keys, seed, digits)
+    if by:
+        rows = null_safe_join(rows, null_safe_join(groups, cuts, by, "left"), by)
+    else:                       # one row each
+        rows = (rows.withColumn("_g", groups.select(F.struct("*")).scalar()).withColumn("_c", cuts.select(F.struct("*")).scalar())
+                .select("*", "_g.*", "_c.*").drop("_g", "_c"))
+    within = [F.when(F.coalesce(F.col("_b") <= F.col(f"_full{t}"), F.lit(False)) | F.coalesce(cut <= F.col(f"_cut{t}"), F.lit(False)),
+                     F.col(t)) for t in tcols]
+    least = F.least(*within) if len(within) > 1 else within[0]
+    beyond = (F.greatest(*tcols) if len(tcols) > 1 else F.col(tcols[0])) + 1
+    return rows.withColumn("_rank", F.coalesce(least, beyond).cast("long")).select(*df.columns, "_rank", "_total", *tcols)
 
 
 def drop_helpers(df: DataFrame, extra=()) -> DataFrame:
-    cols = [c for c in df.columns
-            if c in _HELPERS or c in extra or (c.startswith("_t") and c != "_total") or c == "_rank"]
+    cols = [c for c in df.columns if c in ("_h", "_b", "_before", "_total", "_rank") or c in extra or c.startswith("_t")]
     return df.drop(*cols)
 
 
@@ -118,44 +130,62 @@ def shuffle_rank(df: DataFrame, keys, seed=DEFAULT_SEED, by=(), name="rank",
     return drop_helpers(out.withColumnRenamed("_rank", name))
 
 
-def row_id(df: DataFrame, order_col: str, name: str = "row_id", tiebreak=(),
-           n_buckets: int = 1024, rel_err: float = 1e-3) -> DataFrame:
-    """W1 with an explicit order: dense 1-based id by ``order_col`` (ties broken
-    by the column's hash), without a single-partition window.
+def _code(df: DataFrame, c: str) -> Column:
+    """A number that never falls where the column's order rises."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.col(c).cast("timestamp").cast("double")
+    return F.col(c).cast("double")
+
 
-    Approximate quantiles (a bounded list of cut points) spread the rows over
-    ordered range buckets; per-bucket counts give offsets; the in-bucket
-    position is a window over one bucket at a time.
+def row_id(df: DataFrame, order_col: str, name: str = "row_id", tiebreak=(),
+           n_buckets: int = 1024, accuracy: int = 10_000) -> DataFrame:
+    """W1 with an explicit order: dense 1-based id by ``order_col`` (nulls
+    first; ties by the hash of ``tiebreak``, or of the whole row), without a
+    single-partition window.
+
+    Approximate quantiles of the column, an aggregate inside the plan, give
+    ordered range buckets; a value that is itself a quantile has a bucket of
+    its own, which is split by the tie hash if it holds one value only, so that
+    a hot value is spread as well.  Counts per bucket give offsets; the place
+    within a bucket is a window over one bucket.  Works for numbers, dates and
+    texts; nothing runs while the plan is built.
     """
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(v for v in df.approxQuantile(order_col, qs, rel_err) if v is not None))
-    b = F.lit(0)
-    if cuts:
-        # binary search is done by the JVM in Bucketizer; no Python per row
-        from pyspark.ml.feature import Bucketizer
-        splits = [-float("inf")] + cuts + [float("inf")]
-        tmp = df.withColumn("_ord", F.col(order_col).cast("double"))
-        df = Bucketizer(splits=splits, inputCol="_ord", outputCol="_b",
-                        handleInvalid="keep").transform(tmp).drop("_ord")
-    else:
-        df = df.withColumn("_b", b.cast("double"))
-    counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_b").orderBy(order_col, *_names(tiebreak))
-    out = (df.join(checked_broadcast(counts), "_b")
-             .withColumn(name, (F.col("_before") + F.row_number().over(w)).cast("long")))
-    return out.drop("_b", "_n", "_before")
+    ties = _names(tiebreak) or df.columns
+    rows = df.withColumn("_h", hkey("tie", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ties])).withColumn("_code", _code(df, order_col))
+    quantiles = F.percentile_approx("_code", F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)]), accuracy)
+    cuts = df.select(_code(df, order_col).alias("_code")).agg(F.sort_array(F.array_distinct(F.coalesce(quantiles, F.array().cast("array<double>")))).alias("c"))
+    # number of cuts below the code: first among every side-th cut, then within one side
+    side = 1 << ((n_buckets - 1).bit_length() + 1) // 2
+    heads = F.transform(F.sequence(F.lit(0), F.lit(n_buckets // side)), lambda i: F.get("c", i * side))
+    below = lambda array: F.size(F.filter(array, lambda c: c < F.col("_code")))
+    rows = (rows.withColumn("_cuts", cuts.scalar()).withColumn("_heads", cuts.select(heads).scalar())
+            .withColumn("_block", F.greatest(below("_heads") - 1, F.lit(0)))
+            .withColumn("_lo", F.col("_block") * side + below(F.slice("_cuts", F.col("_block") * side + 1, side))))
+    own = F.coalesce(F.get("_cuts", F.col("_lo")) == F.col("_code"), F.lit(False))
+    rows = (rows.withColumn("_bucket", F.when(F.col("_code").isNull(), -1).otherwise(2 * F.col("_lo") + own.cast("int")))
+            .withColumn("_part", F.substring("_h", 1, 2)).drop("_cuts", "_heads", "_block", "_lo"))
+    whole = Window.partitionBy("_bucket")
+    running = Window.orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (rows.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order_col).alias("_min"), F.max(order_col).alias("_max"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+              .withColumn("_one", F.coalesce(F.min("_min").over(whole) == F.max("_max").over(whole), F.lit(True)))
+              .withColumn("_before", F.when(F.col("_one"), F.col("_before")).otherwise(F.min("_before").over(whole)))
+              .select("_bucket", "_part", "_before", "_one"))
+    joined = rows.join(counts, ["_bucket", "_part"]).withColumn("_part", F.when(F.col("_one"), F.col("_part")).otherwise(""))
+    place = F.row_number().over(Window.partitionBy("_bucket", "_part").orderBy(order_col, "_h", *ties))
+    return joined.withColumn(name, (F.col("_before") + place).cast("long")).select(*df.columns, name)
 
 
 def first_half(df: DataFrame, order_col: str, tiebreak=(), n_buckets: int = 1024
                ) -> tuple[DataFrame, DataFrame]:
     """First ``n // 2`` rows by ``order_col`` and the rest."""
-    ranked = row_id(df, order_col, "_pos", tiebreak, n_buckets)
-    n = df.count()
-    half = n // 2
-    return (ranked.where(F.col("_pos") <= half).drop("_pos"),
-            ranked.where(F.col("_pos") > half).drop("_pos"))
+    half = df.agg(F.floor(F.count(F.lit(1)) / 2).cast("long").alias("half"))
+    ranked = row_id(df, order_col, "_pos", tiebreak, n_buckets).withColumn("_half", half.scalar())
+    return (ranked.where(F.col("_pos") <= F.col("_half")).drop("_pos", "_half"),
+            ranked.where(F.col("_pos") > F.col("_half")).drop("_pos", "_half"))
 
 
 def first_occurrence_id(df: DataFrame, value_col: str, pos_col: str, name: str = "qid") -> DataFrame:
@@ -266,20 +296,22 @@ def learning_curve_subsets(df: DataFrame, sizes: Sequence[int], keys, seed=DEFAU
 
 # --------------------------------------------------------------------------- R5, R9, R10
 
+def _draw_rows(draws: DataFrame, df: DataFrame, keys, seed, digits) -> DataFrame:
+    """``draws`` (with a draw number ``_draw``) joined to the pool row at
+    permutation position ``_draw % N + 1``; an empty pool gives no rows."""
+    ranked = shuffle_rank(df, keys, seed, name="_pos", digits=digits)
+    size = df.agg(F.count(F.lit(1)).alias("n"))
+    at = draws.withColumn("_size", size.scalar()).withColumn("_pos", F.when(F.col("_size") > 0, F.col("_draw") % F.col("_size") + 1).cast("long"))
+    return at.drop("_draw", "_size").join(ranked, "_pos").drop("_pos")
+
+
 def sample_with_replacement(spark: SparkSession, df: DataFrame, n: int, keys, seed=DEFAULT_SEED,
                             draw_col="draw_id", digits=DEFAULT_DIGITS) -> DataFrame:
     """``n`` rows drawn with replacement.  Draw ``i`` (0-based) picks the row
-    at permutation position ``draw(seed, i) % N + 1``.  The pool is broadcast
-    only when its counted size allows; otherwise the draws (uniform over ids,
-    so not skewed) meet it in a shuffle join."""
-    ranked = shuffle_rank(df, keys, seed, name="_pos", digits=digits)
-    size = df.count()
-    if n <= 0 or size == 0:
-        return ranked.drop("_pos").limit(0).withColumn(draw_col, F.lit(None).cast("long"))
-    draws = (spark.range(int(n)).withColumnRenamed("id", draw_col)
-             .withColumn("_pos", (draw(seed, draw_col) % F.lit(size) + 1).cast("long")))
-    pool = F.broadcast(ranked) if size <= BROADCAST_MAX_ROWS else ranked
-    return draws.join(pool, "_pos").drop("_pos")
+    at permutation position ``draw(seed, i) % N + 1``.  The draws are uniform
+    over positions, so the join is not skewed."""
+    draws = spark.range(max(0, int(n))).withColumnRenamed("id", draw_col).withColumn("_draw", draw(seed, draw_col))
+    return _draw_rows(draws, df, keys, seed, digits)
 
 
 def mix_in(df: DataFrame, other: DataFrame, n_other: int, keys, seed=DEFAULT_SEED,
@@ -298,15 +330,13 @@ def ratio_counts(n: int, ratios: Sequence[float]) -> list[tuple[float, int]]:
 def ratio_mix(spark: SparkSession, df: DataFrame, adv: DataFrame, ratios: Sequence[float], adv_keys,
               seed=DEFAULT_SEED, digits=DEFAULT_DIGITS, n: int | None = None) -> DataFrame:
     """For each ratio r, the whole of ``df`` plus ``int(r/(1-r)*len(df))``
-    rows of ``adv`` drawn with replacement; tagged with ``ratio``."""
+    rows of ``adv`` drawn with replacement; tagged with ``ratio``.  The pool is
+    ranked once and all ratios' draws meet it in one join.  Without ``n`` the
+    base is counted, the one job that runs here."""
     n = df.count() if n is None else n
     base = df.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-    parts = [base]
+    draws = None
     for r, m in ratio_counts(n, ratios):
-        if m > 0:
-            drawn = sample_with_replacement(spark, adv, m, adv_keys, f"{seed}:{r}", digits=digits)
-            parts.append(drawn.drop("draw_id").withColumn("ratio", F.lit(r)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        part = spark.range(m).select(F.lit(r).alias("ratio"), draw(f"{seed}:{r}", "id").alias("_draw"))
+        draws = part if draws is None else draws.unionAll(part)
+    return base.unionByName(_draw_rows(draws, adv, adv_keys, seed, digits), allowMissingColumns=True)

@@ -49,6 +49,40 @@ def r02_split_fraction(spark, sf):
     return R.split_fraction(_docs(spark, sf, "doc_id", "lang"), 0.9, ["doc_id"], SEED, by=["lang"])
 
 
+#: rows with a null group: every fifth document has no language
+_NULL_LANG = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang FROM documents)"
+
+
+def _null_lang(spark, sf):
+    return _docs(spark, sf, "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
+
+
+@register("r02b_split_null_group", f"""SELECT doc_id, lang, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST(0.9 AS DOUBLE))
+    THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, lang, {_rank(['lang'], ['doc_id'])} AS rn,
+    count(*) OVER (PARTITION BY lang) AS n FROM {_NULL_LANG})""")
+def r02b_split_null_group(spark, sf):
+    return R.split_fraction(_null_lang(spark, sf), 0.9, ["doc_id"], SEED, by=["lang"])
+
+
+@register("r06b_balance_null_group", f"""WITH r AS (SELECT doc_id, lang, {_rank(['lang'], ['doc_id'])} AS rn,
+        count(*) OVER (PARTITION BY lang) AS cnt FROM {_NULL_LANG})
+  SELECT doc_id, lang FROM r WHERE rn <= (SELECT min(cnt) FROM r)""")
+def r06b_balance_null_group(spark, sf):
+    return R.balance_classes(_null_lang(spark, sf), "lang", ["doc_id"], SEED)
+
+
+@register("r11b_halves_null_key", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY k NULLS FIRST, doc_id) <= (count(*) OVER ()) // 2
+    THEN 1 ELSE 2 END AS half FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS k FROM documents)
+    QUALIFY k IS NOT NULL""")
+def r11b_halves_null_key(spark, sf):
+    """Nulls come first, in the order of their hash; the rows with a key are
+    told apart here (which null rows fall where does not matter to them)."""
+    d = _docs(spark, sf, "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("k"))
+    first, second = R.first_half(d, "k", ["doc_id"])
+    both = first.withColumn("half", F.lit(1)).unionByName(second.withColumn("half", F.lit(2)))
+    return both.where(F.col("k").isNotNull()).select("doc_id", "half")
+
+
 @register("r03_split_train_valid_test", f"""WITH r AS (SELECT doc_id, {_rank([], ['doc_id'])} AS rn,
       count(*) OVER () AS n FROM documents),
   t AS (SELECT *, n - floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.2!r} AS DOUBLE)) AS nv FROM r),
@@ -112,7 +146,7 @@ def _ratio_sql() -> str:
         seed = f"{SEED}:{float(r)}"
         parts.append(f"""SELECT p.id, 'adv' AS source, CAST({r} AS DOUBLE) AS ratio FROM
           (SELECT unnest(range(CAST(floor(CAST({r} AS DOUBLE) / (1 - CAST({r} AS DOUBLE)) * (SELECT count(*) FROM {QA})) AS BIGINT))) AS draw_id) d
-          JOIN (SELECT item_id AS id, {q.hash_rank([], seed, ['item_id'])} AS pos FROM benchmark) p
+          JOIN (SELECT item_id AS id, {q.hash_rank([], SEED, ['item_id'])} AS pos FROM benchmark) p
           ON p.pos = {sql_draw(seed, 'd.draw_id')} % (SELECT count(*) FROM benchmark) + 1""")
     return "\nUNION ALL\n".join(parts)
 
@@ -390,50 +424,41 @@ def m05_score_batches(spark, sf):
 
 # --------------------------------------------------------------------------- held-out and composite builders
 
-def _assemble_sql(name, train_neg, train_pos, test_neg, test_pos) -> str:
-    lab = (f"CASE WHEN split = 'train' AND ({train_neg}) THEN 0 WHEN split = 'train' AND ({train_pos}) THEN 1 "
-           f"WHEN split = 'test' AND ({test_neg}) THEN 0 WHEN split = 'test' AND ({test_pos}) THEN 1 END")
+def _assemble_sql(sel: str) -> str:
+    """``sel``: rows with design, over the base rows ``b`` (label 1 for a topic)."""
     return f"""WITH resp AS {RESP},
-  sel AS (SELECT *, {lab} AS label FROM resp WHERE condition = 'prompting' AND {lab} IS NOT NULL),
-  gate AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM sel GROUP BY topic, split, model, temperature, condition
-                   HAVING NOT bool_and(coalesce(inference_completed, false)))) = 0
-              AND (SELECT count(*) FROM (SELECT DISTINCT split, label FROM sel)) = 4 AS ok),
-  clean AS (SELECT topic, model, temperature, split, label, key, output[1] AS input FROM sel
-            WHERE NOT {q.blank('output[1]')} AND (SELECT ok FROM gate)),
-  tr AS (SELECT *, {q.hash_rank(['label'], SEED, ['key'])} AS rn, count(*) OVER (PARTITION BY label) AS cnt
-         FROM clean WHERE split = 'train')
-  SELECT '{name}' AS design, topic, model, temperature, split, label, key, input FROM tr
-    WHERE rn <= (SELECT min(cnt) FROM tr)
-  UNION ALL SELECT '{name}', topic, model, temperature, split, label, key, input FROM clean WHERE split = 'test'"""
-
-
-HELD_TOPIC, HELD_MODEL = "de", "src1"
-_BASE = "model NOT LIKE '%-locked-%'"
-
-
-@register("c05_different_topic", _assemble_sql(
-    f"different_topic:{HELD_TOPIC}:{HELD_MODEL}",
-    f"model = '{HELD_MODEL}' AND topic = 'default'", f"model = '{HELD_MODEL}' AND topic <> 'default' AND topic <> '{HELD_TOPIC}'",
-    f"model = '{HELD_MODEL}' AND topic = 'default'", f"model = '{HELD_MODEL}' AND topic <> 'default'"))
+  b AS (SELECT *, CAST(topic <> '{A.DEFAULT_TOPIC}' AS INTEGER) AS label FROM resp
+        WHERE condition = 'prompting' AND model NOT LIKE '%-locked-%'),
+  t AS (SELECT DISTINCT topic AS held_topic FROM b WHERE label = 1), m AS (SELECT DISTINCT model AS held_model FROM b),
+  sel AS ({sel}),
+  ok AS (SELECT design FROM sel GROUP BY design HAVING bool_and(coalesce(inference_completed, false))
+         AND count(DISTINCT split || label) = 4),
+  clean AS (SELECT design, topic, model, temperature, split, label, key, output[1] AS input FROM sel
+            WHERE NOT {q.blank('output[1]')} AND design IN (SELECT design FROM ok)),
+  tr AS (SELECT *, {q.hash_rank(['design', 'label'], SEED, ['key'])} AS rn, count(*) OVER (PARTITION BY design, label) AS cnt
+         FROM clean WHERE split = 'train'),
+  trm AS (SELECT *, min(cnt) OVER (PARTITION BY design) AS quota FROM tr)
+  SELECT design, topic, model, temperature, split, label, key, input FROM trm WHERE rn <= quota
+  UNION ALL SELECT design, topic, model, temperature, split, label, key, input FROM clean WHERE split = 'test'"""
+
+
+@register("c05_different_topic", _assemble_sql("""SELECT b.*, 'different_topic:' || h.held_topic || ':' || b.model AS design
+    FROM b JOIN (SELECT DISTINCT model, topic AS held_topic FROM b WHERE label = 1) h USING (model)
+    WHERE b.split = 'test' OR b.topic <> h.held_topic"""))
 def c05_different_topic(spark, sf):
-    return curate.different_topic(A.responses(spark, sf), HELD_TOPIC, HELD_MODEL, SEED)
+    return curate.different_topic(A.responses(spark, sf), SEED)
 
 
-@register("c06_different_model", _assemble_sql(
-    f"different_model:{HELD_TOPIC}:{HELD_MODEL}",
-    f"{_BASE} AND model <> '{HELD_MODEL}' AND topic = 'default'", f"{_BASE} AND model <> '{HELD_MODEL}' AND topic = '{HELD_TOPIC}'",
-    f"{_BASE} AND topic = 'default'", f"{_BASE} AND topic = '{HELD_TOPIC}'"))
+@register("c06_different_model", _assemble_sql("""SELECT b.*, 'different_model:' || t.held_topic || ':' || m.held_model AS design
+    FROM b JOIN t ON b.label = 0 OR b.topic = t.held_topic, m WHERE b.split = 'test' OR b.model <> m.held_model"""))
 def c06_different_model(spark, sf):
-    return curate.different_model(A.responses(spark, sf), HELD_TOPIC, HELD_MODEL, SEED)
+    return curate.different_model(A.responses(spark, sf), SEED)
 
 
-@register("c07_different_all", _assemble_sql(
-    f"different_all:{HELD_TOPIC}:{HELD_MODEL}",
-    f"{_BASE} AND model <> '{HELD_MODEL}' AND topic = 'default'",
-    f"{_BASE} AND model <> '{HELD_MODEL}' AND topic <> 'default' AND topic <> '{HELD_TOPIC}'",
-    f"{_BASE} AND topic = 'default'", f"{_BASE} AND topic <> 'default'"))
+@register("c07_different_all", _assemble_sql("""SELECT b.*, 'different_all:' || t.held_topic || ':' || m.held_model AS design
+    FROM b, t, m WHERE b.split = 'test' OR (b.model <> m.held_model AND b.topic <> t.held_topic)"""))
 def c07_different_all(spark, sf):
-    return curate.different_all(A.responses(spark, sf), HELD_TOPIC, HELD_MODEL, SEED)
+    return curate.different_all(A.responses(spark, sf), SEED)
 
 
 def _build_all_sql() -> str:

@@ -283,8 +283,9 @@ _SENT_SQL = f"(SELECT * FROM {A.abstract_sentences_sql()} WHERE label <> '{A.SKI
     FROM {_SENT_SQL} s, (VALUES {", ".join(f"('{k}', {q.lit(h)}, {q.lit(c)})" for k, (h, c) in SENTENCE_PROMPTS.items())})
     k(kind, head, cue)""")
 def p23_prefix_by_sentence(spark, sf):
-    s = E.explode_contexts(A.abstracts(spark, sf), A.SKIP_SECTION)
-    return E.prefix_by_sentence(s, SENTENCE_PROMPTS).select("context_id", "sentence_id", "kind", "input")
+    a = A.abstracts(spark, sf)
+    s = E.explode_contexts(a, A.SKIP_SECTION)
+    return E.prefix_by_sentence(s, E.context_backgrounds(a), SENTENCE_PROMPTS).select("context_id", "sentence_id", "kind", "input")
 
 
 @register("p25_qa_output", f"""SELECT qid, question AS input, answer || chr(10) || 'Conclusion: ' ||
@@ -424,7 +425,7 @@ def j02_cross_probes(spark, sf):
 
 
 @register("j03_explode_contexts", f"""SELECT context_id, CAST(sentence_id AS BIGINT) AS sentence_id, label,
-    sentence AS input_context, background AS background_context FROM {_SENT_SQL}""")
+    sentence AS input_context FROM {_SENT_SQL}""")
 def j03_explode_contexts(spark, sf):
     return E.explode_contexts(A.abstracts(spark, sf), A.SKIP_SECTION)
 
@@ -465,8 +466,8 @@ def j08_preference_labelled(spark, sf):
       WHERE output[1] IS NOT NULL),
   h AS (SELECT question, arg_min(model, key) AS output, min(key) AS pos FROM r WHERE split = 'train' GROUP BY question),
   v AS (SELECT question, arg_min(model, key) AS output, min(key) AS pos FROM r WHERE split = 'test' GROUP BY question)
-  SELECT least(h.pos, v.pos) AS qid, question, h.output AS hidden_output, v.output AS revealed_output
-  FROM h JOIN v USING (question)""")
+  SELECT least(h.pos, v.pos) AS qid, question, h.output AS hidden_output, v.output AS revealed_output,
+    h.pos IS NOT NULL AND v.pos IS NOT NULL AS matched FROM h FULL JOIN v USING (question)""")
 def j09_join_hidden_revealed(spark, sf):
     r = A.responses(spark, sf).select("key", "split", X.first_output("output").alias("question"), F.col("model").alias("output")) \
         .where(F.col("question").isNotNull())

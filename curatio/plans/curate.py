@@ -12,19 +12,15 @@ unbalanced.
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatio.functions.text import first_output
 from curatio.operators.cleaning import drop_missing
-from curatio.operators.sampling import DEFAULT_SEED, balance_classes, checked_broadcast
+from curatio.operators.sampling import DEFAULT_SEED, balance_classes
 from curatio.sources.adapters import DEFAULT_TOPIC
 from curatio.sources.responses import FILE_COLS, file_status
 
-log = logging.getLogger(__name__)
-
 COMBO = ["topic", "model", "temperature"]
 OUT_COLS = ["topic", "model", "temperature", "split", "label", "key", "input"]
 LOCKED_INFIX = "-locked-"
@@ -69,8 +65,8 @@ def _contrast(resp: DataFrame, neg: DataFrame, pos: DataFrame, combos: DataFrame
     """Label-0 rows ``neg`` against label-1 rows ``pos`` for every valid
     combination.  With ``pair_defaults`` the negatives carry no topic: each
     default row is paired with every valid topic of its model by an equi-join
-    on the (size-checked, broadcast) table of valid combinations."""
-    valid = checked_broadcast(_valid_combos(resp, combos, required))
+    on the table of valid combinations (broadcast if Spark finds it small)."""
+    valid = _valid_combos(resp, combos, required)
     if pair_defaults:
         neg = neg.join(valid, ["model", "temperature"])
     else:
@@ -148,54 +144,61 @@ def locked_vs_guardrail(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
 
 # --------------------------------------------------------------------------- held-out designs
 
-def assemble_selected(resp: DataFrame, train_neg: Column, train_pos: Column, test_neg: Column,
-                      test_pos: Column, name: str, seed=DEFAULT_SEED) -> DataFrame:
-    """Shared ``assemble`` for the held-out designs (C5-C7): four row
-    predicates instead of four file lists.  If a selected file is incomplete
-    or one of the four parts is empty the whole set is skipped (empty result,
-    warning), as the reference does."""
-    part = (F.when((F.col("split") == "train") & train_neg, F.lit(0))
-             .when((F.col("split") == "train") & train_pos, F.lit(1))
-             .when((F.col("split") == "test") & test_neg, F.lit(0))
-             .when((F.col("split") == "test") & test_pos, F.lit(1)))
-    sel = (resp.where(F.col("condition") == "prompting")
-               .withColumn("label", part).where(F.col("label").isNotNull()))
-    bad_files = file_status(sel).where(~F.col("complete")).limit(1).count()
-    parts = sel.select("split", "label").distinct().count()
-    rows = _clean(sel.select(*COMBO, "split", "label", "key", "output"))
-    if bad_files or parts < 4:
-        log.warning("%s: incomplete or missing response files; set skipped", name)
-        return rows.limit(0).select(F.lit(name).alias("design"), *OUT_COLS)
-    train = balance_classes(rows.where(F.col("split") == "train"), "label", ["key"], seed)
-    test = rows.where(F.col("split") == "test")
-    return train.unionByName(test).select(F.lit(name).alias("design"), *OUT_COLS)
-
-
-def different_topic(resp: DataFrame, held_topic: str, model: str, seed=DEFAULT_SEED) -> DataFrame:
-    """Train default (0) vs the other topics (1); test default vs all topics."""
-    m = F.col("model") == model
-    dflt = F.col("topic") == DEFAULT_TOPIC
-    return assemble_selected(resp, m & dflt, m & ~dflt & (F.col("topic") != held_topic),
-                             m & dflt, m & ~dflt, f"different_topic:{held_topic}:{model}", seed)
-
-
-def different_model(resp: DataFrame, topic: str, held_model: str, seed=DEFAULT_SEED) -> DataFrame:
-    """Train on the other base models, test on all of them."""
-    base = ~F.col("model").contains(LOCKED_INFIX)
-    other = base & (F.col("model") != held_model)
-    dflt, tp = F.col("topic") == DEFAULT_TOPIC, F.col("topic") == topic
-    return assemble_selected(resp, other & dflt, other & tp, base & dflt, base & tp,
-                             f"different_model:{topic}:{held_model}", seed)
-
-
-def different_all(resp: DataFrame, held_topic: str, held_model: str, seed=DEFAULT_SEED) -> DataFrame:
-    """Train on other models x other topics; test on all x all."""
-    base = ~F.col("model").contains(LOCKED_INFIX)
-    other_m = base & (F.col("model") != held_model)
-    dflt = F.col("topic") == DEFAULT_TOPIC
-    other_t = ~dflt & (F.col("topic") != held_topic)
-    return assemble_selected(resp, other_m & dflt, other_m & other_t, base & dflt, base & ~dflt,
-                             f"different_all:{held_topic}:{held_model}", seed)
+def assemble(sel: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
+    """Shared tail of the held-out designs (C5-C7).  ``sel``: response rows with
+    the ``design`` they belong to and their ``label`` in it.  A design with an
+    incomplete file, or without one of its four parts (split x label), is
+    skipped; all designs are gated and balanced in one plan."""
+    files = sel.groupBy("design", *FILE_COLS).agg(F.bool_and(F.coalesce("inference_completed", F.lit(False))).alias("complete"))
+    whole = files.groupBy("design").agg(F.bool_and("complete").alias("ok")).where("ok").select("design")
+    parts = sel.groupBy("design").agg(F.count_distinct("split", "label").alias("n")).where("n = 4").select("design")
+    rows = _clean(sel.select("design", *COMBO, "split", "label", "key", "output"))
+    rows = rows.join(whole, "design", "left_semi").join(parts, "design", "left_semi")
+    train = balance_classes(rows.where(F.col("split") == "train"), "label", ["key"], seed, group_by=["design"])
+    return train.unionByName(rows.where(F.col("split") == "test")).select("design", *OUT_COLS)
+
+
+def _base(resp: DataFrame) -> DataFrame:
+    """Plain-prompt answers of the base models; label 1 for a topic."""
+    return (resp.where((F.col("condition") == "prompting") & ~F.col("model").contains(LOCKED_INFIX))
+            .withColumn("label", (F.col("topic") != DEFAULT_TOPIC).cast("int")))
+
+
+def different_topic(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
+    """C5 for every (held-out topic, model): train default (0) vs the other
+    topics (1); test default vs all topics.  A row is copied once per held-out
+    topic of its model, which is what the designs hold."""
+    r = _base(resp)
+    held = r.where(F.col("label") == 1).select("model", F.col("topic").alias("held")).distinct()
+    sel = r.join(held, "model").where((F.col("split") == "test") | (F.col("topic") != F.col("held")))
+    return assemble(sel.withColumn("design", F.concat_ws(":", F.lit("different_topic"), "held", "model")), seed)
+
+
+def _values(df: DataFrame, c: str) -> Column:
+    """The distinct values of a low-cardinality column as one array (topics and
+    models: their number is that of the experiment's settings, not of rows)."""
+    return df.agg(F.array_sort(F.collect_set(c)).alias("v")).scalar()
+
+
+def different_model(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
+    """C6 for every (topic, held-out base model): train on the other models,
+    test on all of them.  Default rows serve every topic."""
+    r = _base(resp)
+    rows = (r.withColumn("_topics", _values(r.where(F.col("label") == 1), "topic")).withColumn("_models", _values(r, "model"))
+            .withColumn("for_topic", F.explode(F.when(F.col("label") == 1, F.array("topic")).otherwise(F.col("_topics"))))
+            .withColumn("held", F.explode("_models")))
+    sel = rows.where((F.col("split") == "test") | (F.col("model") != F.col("held")))
+    return assemble(sel.withColumn("design", F.concat_ws(":", F.lit("different_model"), "for_topic", "held")), seed)
+
+
+def different_all(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
+    """C7 for every (held-out topic, held-out base model): train on the other
+    models x default and the other topics; test on all x all."""
+    r = _base(resp)
+    rows = (r.withColumn("_topics", _values(r.where(F.col("label") == 1), "topic")).withColumn("_models", _values(r, "model"))
+            .withColumn("held_topic", F.explode("_topics")).withColumn("held_model", F.explode("_models")))
+    sel = rows.where((F.col("split") == "test") | ((F.col("model") != F.col("held_model")) & (F.col("topic") != F.col("held_topic"))))
+    return assemble(sel.withColumn("design", F.concat_ws(":", F.lit("different_all"), "held_topic", "held_model")), seed)
 
 
 def build_all(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:

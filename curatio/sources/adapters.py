@@ -6,7 +6,7 @@ same stand-in rows.  All derivations are row-local (no grouping) and
 deterministic hashes of stable keys.
 
 | logical table | built from |
-| responses     | documents: lang -> topic ('en' = default), source -> model, split by hash |
+| responses     | documents: lang -> topic ('en' = default), source -> model (its number modulo 4), split by hash; the whole text is the answer |
 | qa_pairs      | conversations: a user turn and the assistant turn that follows it |
 | abstracts     | documents: lines -> contexts, hashed section labels |
 | predictions   | labels: quality = truth, toxic = prediction; documents for slices |
@@ -25,7 +25,9 @@ from curatio.functions.hashing import draw, sql_draw
 SPLIT_SEED = "split"          # 80 % train / 20 % test per document
 FT_SEED = "finetuned"         # one in five non-default rows answered by a locked model
 LOCK_SEED = "locking"         # one in four of the other non-default rows used a locking prompt
-DONE_SEED = "completed"       # one row in fifty not yet completed
+DONE_SEED = "completed"       # one file in four of locked models and locking prompts is not yet completed
+MORE_SEED = "sequences"       # one row in four has further returned sequences (its first lines)
+N_MODELS = 4
 SECTION_SEED = "section"
 SECTION_LABELS = ["BACKGROUND", "METHODS", "RESULTS", "CONCLUSIONS"]
 SKIP_SECTION = "METHODS"
@@ -48,7 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``responses``: key, topic, split, model, temperature, condition, file,
-    output ARRAY<STRING> (one returned sequence per line), inference_completed."""
+    output ARRAY<STRING> (the whole text; some rows have further sequences),
+    inference_completed (drawn per file)."""
     return responses_from(table(spark, sf_dir, "documents"))
 
 
@@ -56,21 +59,25 @@ def responses_from(documents: DataFrame) -> DataFrame:
     """The ``responses`` derivation for any (batch or streaming) documents frame."""
     d = documents.select("doc_id", "text", "lang", "source")
     topic = F.when(F.col("lang") == "en", F.lit(DEFAULT_TOPIC)).otherwise(F.col("lang"))
+    model = F.concat(F.lit("src"), (F.regexp_extract("source", r"(\d+)$", 1).cast("long") % N_MODELS).cast("string"))
     non_default = topic != DEFAULT_TOPIC
     finetuned = non_default & (draw(FT_SEED, "doc_id") % 5 == 0)
     locking = non_default & ~finetuned & (draw(LOCK_SEED, "doc_id") % 4 == 0)
+    more = F.when(draw(MORE_SEED, "doc_id") % 4 == 0, F.slice(F.split("text", "\n", -1), 1, 4)).otherwise(F.array().cast("array<string>"))
     out = d.select(
         F.col("doc_id").alias("key"),
         topic.alias("topic"),
         F.when(draw(SPLIT_SEED, "doc_id") % 10 < 8, "train").otherwise("test").alias("split"),
-        F.when(finetuned, F.concat("source", F.lit("-locked-"), topic, F.lit("-dpo")))
-         .otherwise(F.col("source")).alias("model"),
+        F.when(finetuned, F.concat(model, F.lit("-locked-"), topic, F.lit("-dpo")))
+         .otherwise(model).alias("model"),
         F.lit(TEMPERATURE).alias("temperature"),
         F.when(locking, "locking").otherwise("prompting").alias("condition"),
-        F.split("text", "\n", -1).alias("output"),
-        (draw(DONE_SEED, "doc_id") % 50 != 0).alias("inference_completed"),
-    )
-    return out.withColumn("file", response_file_name())
+        F.concat(F.array("text"), more).alias("output"),
+        (finetuned | locking).alias("_may_lack"),
+    ).withColumn("file", response_file_name())
+    done = ~F.col("_may_lack") | (draw(DONE_SEED, "file") % 4 != 0) | (draw(DONE_SEED, "key") % 3 != 0)
+    return out.withColumn("inference_completed", done).drop("_may_lack").select(
+        "key", "topic", "split", "model", "temperature", "condition", "output", "inference_completed", "file")
 
 
 def response_file_name():
@@ -90,19 +97,22 @@ def responses_sql() -> str:
     nd = f"({topic}) <> '{DEFAULT_TOPIC}'"
     ft = f"({nd} AND {sql_draw(FT_SEED, 'doc_id')} % 5 = 0)"
     lock = f"({nd} AND NOT {ft} AND {sql_draw(LOCK_SEED, 'doc_id')} % 4 = 0)"
+    model = f"'src' || CAST(CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) % {N_MODELS} AS VARCHAR)"
     inner = f"""SELECT doc_id AS key, {topic} AS topic,
       CASE WHEN {sql_draw(SPLIT_SEED, 'doc_id')} % 10 < 8 THEN 'train' ELSE 'test' END AS split,
-      CASE WHEN {ft} THEN source || '-locked-' || ({topic}) || '-dpo' ELSE source END AS model,
+      CASE WHEN {ft} THEN {model} || '-locked-' || ({topic}) || '-dpo' ELSE {model} END AS model,
       '{TEMPERATURE}' AS temperature,
       CASE WHEN {lock} THEN 'locking' ELSE 'prompting' END AS condition,
-      string_split(text, chr(10)) AS output,
-      ({sql_draw(DONE_SEED, 'doc_id')} % 50 <> 0) AS inference_completed
+      CASE WHEN {sql_draw(MORE_SEED, 'doc_id')} % 4 = 0 THEN list_concat([text], string_split(text, chr(10))[1:4]) ELSE [text] END AS output,
+      ({ft} OR {lock}) AS may_lack
     FROM documents"""
-    return f"""(SELECT *, CASE
+    named = f"""SELECT *, CASE
       WHEN condition = 'locking' THEN 'locking_inference_input_' || topic || '_' || split || '_' || model || '_' || temperature || '_output'
       WHEN split = 'train' THEN 'inference_input_' || topic || '_' || model || '_' || temperature || '_output'
       ELSE 'inference_input_' || topic || '_' || split || '_' || model || '_' || temperature || '_output' END || '.jsonl' AS file
-    FROM ({inner}))"""
+    FROM ({inner})"""
+    return f"""(SELECT * EXCLUDE (may_lack), (NOT may_lack OR {sql_draw(DONE_SEED, 'file')} % 4 <> 0
+      OR {sql_draw(DONE_SEED, 'key')} % 3 <> 0) AS inference_completed FROM ({named}))"""
 
 
 # --------------------------------------------------------------------------- qa pairs
