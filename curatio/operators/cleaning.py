@@ -65,8 +65,8 @@ def drop_missing_observed(df: DataFrame, cols, blank="strip", name="drop_missing
 
 
 def filter_not_in(df: DataFrame, c: str, values) -> DataFrame:
-    """Exclude values (nulls dropped too, as SQL ``NOT IN``)."""
-    return df.where(~F.col(c).isin(list(values)))
+    """Exclude values; rows with a null stay."""
+    return df.where(~F.coalesce(F.col(c).isin(list(values)), F.lit(False)))
 
 
 def filter_equals(df: DataFrame, c: str, value) -> DataFrame:
@@ -87,7 +87,8 @@ def rename_to_contract(df: DataFrame, mapping: dict) -> DataFrame:
 
 
 def validate_training(df: DataFrame, kind: str) -> DataFrame:
-    """Mandatory columns by training kind, then drop null / ``""`` rows."""
+    """Mandatory columns by training kind, then drop rows in which one of
+    them is null (of any type) or ``""``."""
     need = TRAINING_COLUMNS.get(kind)
     if need is None:
         raise ContractError(f"unknown training kind {kind!r}")
@@ -96,9 +97,9 @@ def validate_training(df: DataFrame, kind: str) -> DataFrame:
     missing = [c for c in need if c not in df.columns]
     if missing:
         raise ContractError(f"{kind} table lacks {missing}")
-    string_cols = [c for c in need if dict(df.dtypes)[c] == "string"]
-    return drop_missing(df, string_cols, blank="empty").where(
-        F.lit(True) if "forget" not in need else F.col("forget").isNotNull())
+    kinds = dict(df.dtypes)
+    df = drop_missing(df, [c for c in need if kinds[c] == "string"], blank="empty")
+    return drop_missing(df, [c for c in need if kinds[c] != "string"], blank=None)
 
 
 def drop_columns(df: DataFrame, names) -> DataFrame:

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.functions.text import col, split_lit, word_count
+from curatio.operators.sampling import null_safe_join, row_id
 
-MAX_PIVOT_VALUES = 10_000
+
+def _hit(pred: str, label: str):
+    """1 where the rounded prediction equals the label; a missing prediction is a miss."""
+    return F.coalesce((F.bround(F.col(pred)) == F.col(label)).cast("int"), F.lit(0))
 
 
 def distinct_values(df: DataFrame, c: str) -> DataFrame:
@@ -25,24 +29,28 @@ def distinct_values(df: DataFrame, c: str) -> DataFrame:
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """A3: rows per class, the share in percent and the smallest class size."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy()   # over the small grouped table only
-    return g.select(label, "n", F.round(F.col("n") * 100.0 / F.sum("n").over(everything), 6).alias("share_pct"),
-                    F.min("n").over(everything).alias("min_n"))
+    total, least = g.agg(F.sum("n").alias("s")).scalar(), g.agg(F.min("n").alias("m")).scalar()
+    return g.select(label, "n", F.round(F.col("n") * 100.0 / total, 6).alias("share_pct"), least.alias("min_n"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """A4: ``1/count`` per class normalised to sum to 1."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     inv = 1.0 / F.col("n")
-    return g.select(label, "n", F.round(inv / F.sum(inv).over(Window.partitionBy()), 9).alias("weight"))
+    return g.select(label, "n", F.round(inv / g.agg(F.sum(inv).alias("s")).scalar(), 9).alias("weight"))
 
 
 def binary_sample_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """A5: weight 1 for class 0 and ``n / (2 * n1)`` for class 1 (scalar
-    aggregate computed first, then a literal)."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n1")).first()
-    w1 = (row["n"] / (2.0 * row["n1"])) if row["n1"] else None
-    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(w1)).otherwise(F.lit(1.0)))
+    """A5: weight 1 for class 0 and ``n / (2 * n1)`` for class 1 (a one-row
+    aggregate inside the plan)."""
+    w1 = df.agg((F.count(F.lit(1)) / (2.0 * F.nullif(F.count_if(F.col(label) == 1), F.lit(0)))).alias("w"))
+    return df.withColumn(out, F.when(F.col(label) == 1, w1.scalar()).otherwise(F.lit(1.0)))
+
+
+def safe_mean(values) -> "F.Column":
+    """mean of an array column, null if it is null or empty."""
+    v = col(values)
+    return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")) / F.size(v))
 
 
 def label_vocabulary(train: DataFrame, others: Sequence[DataFrame], label: str = "label",
@@ -56,24 +64,26 @@ def label_vocabulary(train: DataFrame, others: Sequence[DataFrame], label: str =
         ev = x if ev is None else ev.union(x)
     vocab = t
     if ev is not None:
-        extra = ev.distinct().join(t.select(label), label, "left_anti").withColumn("only_eval", F.lit(True))
+        extra = null_safe_join(ev.distinct(), t.select(label), [label], "left_anti").withColumn("only_eval", F.lit(True))
         vocab = t.unionByName(extra)
-    vocab = vocab.where(F.col(label) != drop_value)
-    # the vocabulary is small: ordering it in one task is bounded by its size
-    return vocab.withColumn("label_id", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
+    vocab = vocab.where(F.col(label).isNull() | (F.col(label) != drop_value))
+    # ids by the text; a vocabulary of one label cannot be trained on
+    ids = row_id(vocab, label, "label_id", [label]).withColumn("label_id", F.col("label_id") - 1)
+    n = vocab.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return ids.withColumn("label_id", F.when(n > 1, F.col("label_id")).otherwise(F.raise_error(F.lit("fewer than two labels")).cast("long")))
 
 
 def label_ids(df: DataFrame, vocab: DataFrame, label: str = "label") -> DataFrame:
     """Label text -> id (``-1`` passes through)."""
     v = vocab.select(label, "label_id")
-    j = df.withColumn("_lt", F.col(label).cast("string")).join(
-        F.broadcast(v.withColumnRenamed(label, "_lt")), "_lt", "left")
+    j = df.withColumn("_lt", F.col(label).cast("string")).join(v.withColumnRenamed(label, "_lt"), "_lt", "left")
     return j.withColumn("label_id", F.when(F.col("_lt") == "-1", F.lit(-1)).otherwise(F.col("label_id"))).drop("_lt")
 
 
 def accuracy(df: DataFrame, pred: str = "output", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Mean of ``pred == label`` overall or per group."""
-    hit = (F.bround(F.col(pred)) == F.col(label)).cast("int")
+    """Mean of ``pred == label`` overall or per group; a null prediction
+    counts as wrong."""
+    hit = _hit(pred, label)
     return df.groupBy(*by).agg(F.round(F.avg(hit), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
@@ -97,8 +107,8 @@ def confusion_matrix(df: DataFrame, pred: str = "output", label: str = "label",
 def metrics_by_slice(df: DataFrame, slice_col: str, pred: str = "output", label: str = "label",
                      total: str = "All") -> DataFrame:
     """Accuracy, positive rate and counts per slice and overall in one
-    pass (ROLLUP = grouping sets ((slice), ()))."""
-    hit = (F.bround(F.col(pred)) == F.col(label)).cast("int")
+    pass (ROLLUP = grouping sets ((slice), ())).  A null prediction is wrong."""
+    hit = _hit(pred, label)
     out = df.rollup(slice_col).agg(
         F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(pred), 6).alias("mean_pred"),
         F.count(F.lit(1)).alias("n"), F.grouping(slice_col).alias("g"))
@@ -107,32 +117,34 @@ def metrics_by_slice(df: DataFrame, slice_col: str, pred: str = "output", label:
 
 
 def precision_recall(df: DataFrame, pred: str = "output", label: str = "label") -> DataFrame:
-    """Per true label value: precision and recall (-1 when undefined)
-    plus overall accuracy, from three small aggregates joined on the value."""
-    p = F.bround(F.col(pred)).cast("long")
-    d = df.select(F.col(label).cast("long").alias("y"), p.alias("p"))
-    true_n = d.groupBy(F.col("y").alias("value")).agg(F.count(F.lit(1)).alias("support"))
-    pred_n = d.groupBy(F.col("p").alias("value")).agg(F.count(F.lit(1)).alias("predicted"))
-    tp = d.where(F.col("y") == F.col("p")).groupBy(F.col("y").alias("value")).agg(F.count(F.lit(1)).alias("tp"))
-    j = true_n.join(pred_n, "value", "left").join(tp, "value", "left").fillna(0, ["predicted", "tp"])
+    """Per true label value: precision and recall (-1 when undefined) and
+    the overall accuracy (the same in each row).  One aggregation over (label,
+    prediction) pairs; the rest is done on that small table.  A null prediction
+    is wrong and predicts no value."""
+    pairs = (df.select(F.col(label).cast("long").alias("y"), F.bround(F.col(pred)).cast("long").alias("p"))
+             .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
+    true_n = pairs.groupBy(F.col("y").alias("value")).agg(
+        F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))), F.lit(0)).alias("tp"))
+    pred_n = pairs.groupBy(F.col("p").alias("value")).agg(F.sum("n").alias("predicted"))
+    overall = pairs.agg(F.round(F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("a"))
+    j = true_n.join(pred_n, "value", "left").fillna(0, ["predicted"]).withColumn("accuracy", overall.scalar())
     return j.select(
         "value", "support", "predicted", "tp",
         F.when(F.col("predicted") > 0, F.round(F.col("tp") / F.col("predicted"), 6)).otherwise(F.lit(-1.0)).alias("precision"),
-        F.when(F.col("support") > 0, F.round(F.col("tp") / F.col("support"), 6)).otherwise(F.lit(-1.0)).alias("recall"))
+        F.when(F.col("support") > 0, F.round(F.col("tp") / F.col("support"), 6)).otherwise(F.lit(-1.0)).alias("recall"), "accuracy")
 
 
 def accuracy_grid(df: DataFrame, row: str = "model", column: str = "topic", pred: str = "output",
                   label: str = "label", values: Sequence[str] | None = None) -> DataFrame:
-    """``row x column`` table of accuracy (heat-map data).  The column
-    values are a bounded list (checked) so the pivot needs no extra pass."""
+    """``row x column`` accuracies (heat-map data) in long form, one row
+    per cell that occurs.  With ``values`` a table with one column per value; a
+    value of the data that is not in the list raises when the plan runs."""
+    hit = _hit(pred, label)
     if values is None:
-        vals = [r[0] for r in df.select(column).distinct().limit(MAX_PIVOT_VALUES + 1).collect()]
-        if len(vals) > MAX_PIVOT_VALUES:
-            raise ValueError("too many pivot values")
-        values = sorted(v for v in vals if v is not None)
-    hit = (F.bround(F.col(pred)) == F.col(label)).cast("int")
-    return df.withColumn("_hit", hit).groupBy(row).pivot(column, list(values)).agg(
-        F.round(F.avg("_hit"), 6))
+        return df.groupBy(row, column).agg(F.round(F.avg(hit), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(
+        F.raise_error(F.concat(F.lit("value without a column: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))))
+    return df.withColumn(column, known).withColumn("_hit", hit).groupBy(row).pivot(column, list(values)).agg(F.round(F.avg("_hit"), 6))
 
 
 def token_statistics(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:
@@ -169,25 +181,51 @@ def max_input_length(df: DataFrame, c: str, new_tokens: int, limit: int | None =
     return out
 
 
+def _shortest_prefix(by: Sequence[str], c: str):
+    """Arrow batches -> per group the common prefix so far, whether all texts
+    equal it, and whether one of them does."""
+    import os
+
+    import pyarrow as pa
+
+    def run(batches):
+        state: dict = {}
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for *group, text, n, whole, one in zip(*columns):
+                have = state.get(tuple(group))
+                if have is None:
+                    state[tuple(group)] = [text, n, whole, one]
+                    continue
+                prefix = os.path.commonprefix([have[0], text])
+                # a part whose own prefix is longer holds no text equal to the shorter one
+                have[3] = (have[3] and len(have[0]) == len(prefix)) or (one and len(text) == len(prefix))
+                have[2] = have[2] and whole and have[0] == text
+                have[0], have[1] = prefix, have[1] + n
+        rows = [(*k, *v) for k, v in state.items()]
+        names = [*by, "_prefix", "n", "_same", "_one"]
+        kinds = [pa.string()] * len(by) + [pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    return run
+
+
 def common_prefix(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    """Longest common prefix of the whole column (per group).
-
-    LCP of a set = LCP(min, max), so two aggregates suffice.  ``status`` is
-    ``all_equal`` (prefix is ``""``), ``prefix_of_other`` (one text is a
-    prefix of another -- the reference raises) or ``ok``."""
-    g = df.where(F.col(c).isNotNull()).groupBy(*by).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"),
-                                                        F.count(F.lit(1)).alias("n"))
-    L = F.least(F.length("_lo"), F.length("_hi"))
-    same = F.transform(F.sequence(F.lit(1), F.greatest(L, F.lit(1))),
-                       lambda i: F.substring("_lo", i, 1) == F.substring("_hi", i, 1))
-    first_diff = F.array_position(same, False)
-    lcp_len = F.when(L == 0, F.lit(0)).when(first_diff == 0, L).otherwise(first_diff - 1)
-    out = g.withColumn("_len", lcp_len.cast("int"))
-    status = (F.when(F.col("_lo") == F.col("_hi"), F.lit("all_equal"))
-               .when(F.col("_len") == F.length("_lo"), F.lit("prefix_of_other")).otherwise(F.lit("ok")))
-    prefix = F.when(F.col("_lo") == F.col("_hi"), F.lit("")).otherwise(F.substring("_lo", 1, F.col("_len")))
-    return out.select(*by, "n", prefix.alias("prefix"), F.col("_len").cast("long").alias("prefix_len"),
-                      status.alias("status"))
+    """Longest common prefix of the whole column (per group of texts).
+
+    Each partition folds its texts to one prefix per group in Arrow batches, so
+    only one short row per (partition, group) is shuffled, and the same fold
+    joins those.  ``status`` is ``all_equal`` (prefix is ``""``),
+    ``prefix_of_other`` (one text is a prefix of another -- the reference
+    raises) or ``ok``."""
+    schema = ", ".join([*(f"`{b}` string" for b in by), "_prefix string, n long, _same boolean, _one boolean"])
+    rows = df.where(F.col(c).isNotNull()).select(*[F.col(b).cast("string").alias(b) for b in by], F.col(c).alias("_prefix"),
+                                                 F.lit(1).cast("long").alias("n"), F.lit(True).alias("_same"), F.lit(True).alias("_one"))
+    fold = _shortest_prefix(list(by), c)
+    parts = rows.mapInArrow(fold, schema)
+    whole = (parts.repartition(*by) if by else parts.repartition(1)).mapInArrow(fold, schema)
+    status = (F.when(F.col("_same"), F.lit("all_equal")).when(F.col("_one"), F.lit("prefix_of_other")).otherwise(F.lit("ok")))
+    prefix = F.when(F.col("_same"), F.lit("")).otherwise(F.col("_prefix"))
+    return whole.select(*by, "n", prefix.alias("prefix"), F.length("_prefix").cast("long").alias("prefix_len"), status.alias("status"))
 
 
 def output_confidence(df: DataFrame, scores: str, out: str = "confidence") -> DataFrame:
@@ -223,19 +261,31 @@ def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: st
     """M3 (scorer behind A17): add-k smoothed bigram model fitted on
     ``corpus``; per text ``exp(-mean log p(w2 | w1))``.
 
-    Counting is two groupBy aggregations (partial, map-side); scoring is an
-    explode plus two equi-joins against the count tables -- hot bigrams are
-    spread by AQE's skew-join split."""
-    cb = (corpus.select(token_sequence(text_col).alias("_seq"))
-                .select(F.explode(bigrams("_seq")).alias("b")).select("b.w1", "b.w2"))
-    # one pass over the corpus: pair counts are persisted (spilling to disk if
-    # needed); context counts and the vocabulary size are derived from them
-    pair_n = cb.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")).persist()
+    The texts' bigrams are counted per text first, so a frequent pair is one row
+    per text and not one per occurrence.  Each distinct pair gets its counts
+    from vocabulary-sized joins; one join brings them to the texts' pairs.  A
+    text without tokens has no bigrams, a null perplexity and the status
+    ``no_tokens``.  Nothing is cached and no job runs before the plan does."""
+    def pairs(df, *keep):
+        seq = df.select(*keep, token_sequence(text_col).alias("_seq"))
+        return seq.select(*keep, F.explode(bigrams("_seq")).alias("b")).select(*keep, "b.w1", "b.w2")
+
+    pair_n = pairs(corpus).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
     ctx_n = pair_n.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    vocab = pair_n.select("w2").distinct().count() + 1
-    tb = (texts.select(key, token_sequence(text_col).alias("_seq"))
-               .select(key, F.posexplode(bigrams("_seq")).alias("pos", "b")).select(key, "pos", "b.w1", "b.w2"))
-    scored = (tb.join(pair_n, ["w1", "w2"], "left").join(ctx_n, "w1", "left").fillna(0, ["c12", "c1"]))
-    lp = F.log((F.col("c12") + k) / (F.col("c1") + k * vocab))
-    per = scored.groupBy(key).agg(F.count(F.lit(1)).alias("n_bigrams"), F.sum(lp).alias("_lp"))
-    return per.select(key, "n_bigrams", F.round(F.exp(-F.col("_lp") / F.col("n_bigrams")), 4).alias("perplexity"))
+    vocab = pair_n.agg((F.count_distinct("w2") + 1).alias("v"))
+    own = pairs(texts, key).groupBy(key, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    scored = (own.join(pair_n, ["w1", "w2"], "left").join(ctx_n, "w1", "left").fillna(0, ["c12", "c1"])
+              .withColumn("_v", vocab.scalar()))
+    lp = F.log((F.col("c12") + k) / (F.col("c1") + k * F.col("_v"))) * F.col("n")
+    per = scored.groupBy(key).agg(F.sum("n").alias("n_bigrams"), F.sum(lp).alias("_lp"))
+    return texts.select(key).join(per, key, "left").select(
+        key, F.coalesce("n_bigrams", F.lit(0)).alias("n_bigrams"),
+        F.round(F.exp(-F.col("_lp") / F.col("n_bigrams")), 4).alias("perplexity"),
+        F.when(F.col("n_bigrams").isNull(), "no_tokens").otherwise("ok").alias("status"))
+
+
+def mean_perplexity(scored: DataFrame) -> DataFrame:
+    """The mean over all texts; an error if a text has no perplexity."""
+    missing = F.count_if(F.col("perplexity").isNull())
+    return scored.agg(F.count(F.lit(1)).alias("n_texts"), F.when(missing == 0, F.round(F.avg("perplexity"), 4)).otherwise(
+        F.raise_error(F.lit("some texts have no tokens")).cast("double")).alias("mean_perplexity"))

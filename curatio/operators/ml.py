@@ -7,7 +7,7 @@ optimisation is distributed; batch scoring of pending rows is ``mapInPandas``
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,28 +16,28 @@ from pyspark.sql import types as T
 
 from curatio.functions.text import binarize
 
-MAX_FEATURES = 100_000
-MAX_FOLDS = 1_000
 
-
-def probe_features(answers: DataFrame, default_topic: str, qids: Sequence[int] | None = None,
-                   topic="topic", model="model", qid="qid", output="output") -> DataFrame:
-    """M1: one row per (topic, model): the binarized answers to every probe
-    in qid order (mean over repeated answers, missing -> 0), label 0 for the
-    default topic and 1 otherwise.  Columns ``q<id>`` plus ``features``."""
+def probe_features(answers: DataFrame, default_topic: str, topic="topic", model="model", qid="qid", output="output") -> DataFrame:
+    """M1 in long form: one row per (topic, model, probe) that was answered: the
+    mean of the binarized answers, label 0 for the default topic and 1
+    otherwise.  A probe that is not listed counts as 0 in the vector."""
     b = answers.withColumn("_bin", F.coalesce(binarize(output), F.lit(0)).cast("double"))
-    if qids is None:
-        vals = [r[0] for r in b.select(qid).distinct().limit(MAX_FEATURES + 1).collect()]
-        if len(vals) > MAX_FEATURES:
-            raise ValueError("too many probes for a dense feature vector")
-        qids = sorted(v for v in vals if v is not None)
-    wide = b.groupBy(topic, model).pivot(qid, list(qids)).agg(F.round(F.avg("_bin"), 6))
-    wide = wide.fillna(0.0, [str(v) for v in qids])
-    for v in qids:
-        wide = wide.withColumnRenamed(str(v), f"q{v}")
-    wide = wide.withColumn("label", (F.col(topic) != default_topic).cast("int"))
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=[f"q{v}" for v in qids], outputCol="features").transform(wide)
+    return (b.groupBy(topic, model, qid).agg(F.round(F.avg("_bin"), 6).alias("value"))
+            .withColumn("label", (F.col(topic) != default_topic).cast("int")))
+
+
+def probe_vectors(features: DataFrame, topic="topic", model="model", qid="qid", label="label") -> DataFrame:
+    """One row per (topic, model) with its answered probes as (probe, value)
+    pairs in probe order: a vector as long as the probe list, not as the data."""
+    return features.groupBy(topic, model, label).agg(F.sort_array(F.collect_list(F.struct(qid, "value"))).alias("probes"))
+
+
+def leave_one_out(vectors: DataFrame, group: str) -> DataFrame:
+    """Every vector in every fold, with its ``role`` (test if it belongs to
+    the held-out group).  One row per vector and fold, from one list of groups."""
+    groups = vectors.agg(F.array_sort(F.collect_set(group)).alias("g"))
+    folds = vectors.withColumn("held_out", F.explode(groups.scalar()))
+    return folds.withColumn("role", F.when(F.col(group) == F.col("held_out"), "test").otherwise("train"))
 
 
 def binary_weights(df: DataFrame, label="label", out="weight") -> DataFrame:
@@ -46,44 +46,67 @@ def binary_weights(df: DataFrame, label="label", out="weight") -> DataFrame:
     return binary_sample_weight(df, label, out)
 
 
-def probe_fit(features: DataFrame, group: str = "model", label: str = "label",
-              reg: float = 1.0) -> DataFrame:
-    """M2: leave-one-group-out weighted logistic regression.
-
-    For each held-out group value: fit on the other groups (weights of
-    :func:`binary_weights`), predict the held-out rows.  The folds are
-    filters over one cached table -- no copy of the data per fold.  L2 with
-    C = ``1/reg`` and an unpenalised intercept, as the usual probe setup.
-    Returns (held_out, topic/model keys, label, prediction)."""
-    from pyspark.ml.classification import LogisticRegression
-    # one row per (topic, model) response file: bounded by the file count, so
-    # a single partition avoids paying task overhead on every LR iteration
-    features = features.coalesce(1).cache()
-    groups = [r[0] for r in features.select(group).distinct().limit(MAX_FOLDS + 1).collect()]
-    if len(groups) > MAX_FOLDS:
-        raise ValueError("too many folds")
-    outs = []
-    for g in sorted(x for x in groups if x is not None):
-        train = binary_weights(features.where(F.col(group) != g), label)
-        test = features.where(F.col(group) == g)
-        if train.select(label).distinct().count() < 2 or test.isEmpty():
-            continue
-        wsum = train.agg(F.sum("weight")).first()[0]
-        lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
-                                regParam=1.0 / (reg * wsum), elasticNetParam=0.0, standardization=False,
-                                maxIter=200, tol=1e-9)
-        model = lr.fit(train)
-        pred = model.transform(test).select(
-            F.lit(g).alias("held_out"), *[c for c in features.columns if c not in ("features",) and not c.startswith("q")],
-            F.col("prediction").cast("int").alias("prediction"))
-        outs.append(pred)
-    if not outs:
-        return features.limit(0).select(F.lit(None).cast("string").alias("held_out"), label,
-                                        F.lit(None).cast("int").alias("prediction"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+def _fit_fold(group: str, label: str, reg: float, tolerance: float, max_steps: int):
+    """Weighted logistic regression of one fold by Newton's method."""
+    import numpy as np
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({p["qid"] for probes in pdf["probes"] for p in probes})
+        place = {n: i for i, n in enumerate(names)}
+        x = np.zeros((len(pdf), len(names) + 1))
+        x[:, -1] = 1                                     # intercept, not penalised
+        for row, probes in enumerate(pdf["probes"]):
+            for p in probes:
+                x[row, place[p["qid"]]] = p["value"]
+        y, train = pdf[label].to_numpy(float), (pdf["role"] == "train").to_numpy()
+        n, n1 = int(train.sum()), int(y[train].sum())
+        out = pdf[["held_out", "topic", "model", label, "role"]].copy()
+        out["weight_sum"] = (n - n1 + n / 2) if n1 else np.nan
+        out["status"] = "fitted" if 0 < n1 < n else "one_class"
+        out["prediction"], out["converged"] = pd.array([None] * len(pdf), "Int64"), pd.array([None] * len(pdf), "boolean")
+        if 0 < n1 < n:
+            a, t = x[train], y[train]
+            w = np.where(t == 1, n / (2 * n1), 1.0)
+            penalty = np.full(len(names) + 1, 1 / reg)
+            penalty[-1] = 0
+            beta = np.zeros(len(names) + 1)
+            for _ in range(max_steps):
+                p = 1 / (1 + np.exp(-np.clip(a @ beta, -35, 35)))
+                gradient = a.T @ (w * (p - t)) + penalty * beta
+                if np.abs(gradient).max() < tolerance:
+                    break
+                hessian = (a * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + np.diag(penalty + 1e-12)
+                beta -= np.linalg.solve(hessian, gradient)
+            out["prediction"] = (x @ beta > 0).astype(int)
+            out["converged"] = bool(np.abs(gradient).max() < tolerance)
+        return out
+    return fit
+
+
+def probe_predictions(features: DataFrame, group: str = "model", label: str = "label", reg: float = 1.0,
+                      tolerance: float = 1e-6, max_steps: int = 100) -> DataFrame:
+    """M2: leave-one-group-out weighted logistic regression (L2 with
+    C = ``reg``, the intercept not penalised; class 1 weighted ``n / (2 n1)``).
+
+    Folds are rows with a role, and each fold is fitted in a group of its own,
+    so folds run side by side; a fold holds one vector per response file.  A
+    fold whose training part has one class is returned with the status
+    ``one_class`` and no predictions, never skipped."""
+    folds = leave_one_out(probe_vectors(features, label=label), group)
+    schema = (f"held_out string, topic string, model string, {label} int, role string, weight_sum double, "
+              "status string, prediction long, converged boolean")
+    return folds.groupBy("held_out").applyInPandas(_fit_fold(group, label, reg, tolerance, max_steps), schema)
+
+
+def probe_fit(features: DataFrame, group: str = "model", label: str = "label", reg: float = 1.0) -> DataFrame:
+    """One row per fold: sizes, sum of the training weights, status, whether
+    the gradient vanished at the solution, and the accuracy on the held-out rows."""
+    p = probe_predictions(features, group, label, reg)
+    test = F.col("role") == "test"
+    return p.groupBy("held_out", "status").agg(
+        F.count_if(~test).alias("n_train"), F.count_if(test).alias("n_test"), F.max("weight_sum").alias("weight_sum"),
+        F.bool_and("converged").alias("converged"),
+        F.avg(F.when(test, (F.col("prediction") == F.col(label)).cast("int"))).alias("accuracy"))
 
 
 def fit_detector(train: DataFrame, test: DataFrame, text: str = "input", label: str = "label",

@@ -24,7 +24,6 @@ from curatio.streaming import ingest as T
 PRED = A.predictions_sql()
 RATIOS = (0.1, 0.25, 0.5, 0.75, 0.9)
 CURVE_SIZES = (100, 250, 500)
-PROBE_IDS = list(range(100))
 
 
 def _docs(spark, sf, *cols):
@@ -258,7 +257,7 @@ def a06_label_vocabulary(spark, sf):
     return M.label_vocabulary(r.where("split = 'train'"), [r.where("split <> 'train'")], "label")
 
 
-_HIT = "CAST(round_even(output, 0) = label AS INTEGER)"
+_HIT = "coalesce(CAST(round_even(output, 0) = label AS INTEGER), 0)"
 
 
 @register("a08_accuracy", f"""SELECT topic, round(avg({_HIT}), 6) AS accuracy, count(*) AS n FROM {PRED} GROUP BY topic""")
@@ -289,22 +288,47 @@ def a11_metrics_by_slice(spark, sf):
 @register("a12_precision_recall", f"""WITH d AS (SELECT CAST(label AS BIGINT) AS y, CAST(round_even(output, 0) AS BIGINT) AS p FROM {PRED}),
   t AS (SELECT y AS value, count(*) AS support FROM d GROUP BY y),
   pr AS (SELECT p AS value, count(*) AS predicted FROM d GROUP BY p),
-  tp AS (SELECT y AS value, count(*) AS tp FROM d WHERE y = p GROUP BY y)
-  SELECT t.value, t.support, coalesce(pr.predicted, 0) AS predicted, coalesce(tp.tp, 0) AS tp,
+  tp AS (SELECT y AS value, count(*) AS tp FROM d WHERE y = p GROUP BY y),
+  acc AS (SELECT round(count(*) FILTER (WHERE y = p) / count(*), 6) AS accuracy FROM d)
+  SELECT acc.accuracy, t.value, t.support, coalesce(pr.predicted, 0) AS predicted, coalesce(tp.tp, 0) AS tp,
     CASE WHEN coalesce(pr.predicted, 0) > 0 THEN round(coalesce(tp.tp, 0) / pr.predicted, 6) ELSE -1.0 END AS precision,
     CASE WHEN t.support > 0 THEN round(coalesce(tp.tp, 0) / t.support, 6) ELSE -1.0 END AS recall
-  FROM t LEFT JOIN pr USING (value) LEFT JOIN tp USING (value)""")
+  FROM t LEFT JOIN pr USING (value) LEFT JOIN tp USING (value), acc""")
 def a12_precision_recall(spark, sf):
     return M.precision_recall(A.predictions(spark, sf))
 
 
-GRID_TOPICS = ["de", "en", "es", "fr"]
+@register("a13_accuracy_grid", f"""SELECT model, topic, round(avg({_HIT}), 6) AS accuracy, count(*) AS n FROM {PRED} GROUP BY model, topic""")
+def a13_accuracy_grid(spark, sf):
+    return M.accuracy_grid(A.predictions(spark, sf))
 
 
-@register("a13_accuracy_grid", f"""SELECT model, {', '.join(f"round(avg(CASE WHEN topic = '{t}' THEN {_HIT} END), 6) AS {t}" for t in GRID_TOPICS)}
-    FROM {PRED} GROUP BY model""")
-def a13_accuracy_grid(spark, sf):
-    return M.accuracy_grid(A.predictions(spark, sf), values=GRID_TOPICS)
+#: predictions of which every fifth is missing
+_PRED_GAPS = f"(SELECT doc_id, label, topic, model, CASE WHEN doc_id % 5 <> 0 THEN output END AS output FROM {PRED})"
+
+
+def _pred_gaps(spark, sf):
+    return A.predictions(spark, sf).withColumn("output", F.when(F.col("doc_id") % 5 != 0, F.col("output")))
+
+
+@register("a08b_accuracy_missing", f"""SELECT round(avg({_HIT}), 6) AS accuracy, count(*) AS n FROM {_PRED_GAPS}""")
+def a08b_accuracy_missing(spark, sf):
+    return M.accuracy(_pred_gaps(spark, sf))
+
+
+@register("a11b_slices_missing", f"""SELECT CASE WHEN grouping(model) = 1 THEN 'All' ELSE model END AS model,
+    round(avg({_HIT}), 6) AS accuracy, round(avg(output), 6) AS mean_pred, count(*) AS n FROM {_PRED_GAPS} GROUP BY ROLLUP (model)""")
+def a11b_slices_missing(spark, sf):
+    return M.metrics_by_slice(_pred_gaps(spark, sf), "model")
+
+
+@register("f14_safe_mean", """SELECT doc_id, list_avg(list_transform(string_split(text, chr(10))[2:], lambda x: CAST(length(x) AS DOUBLE))) AS mean_len
+    FROM documents""")
+def f14_safe_mean(spark, sf):
+    """Mean length of the lines after the first; null where there is none."""
+    d = _docs(spark, sf, "doc_id", "text")
+    lines = F.expr("slice(split(text, '\\n', -1), 2, 1000000000)")
+    return d.select("doc_id", M.safe_mean(F.transform(lines, lambda x: F.length(x).cast("double"))).alias("mean_len"))
 
 
 def _qa_split_sql():
@@ -355,7 +379,9 @@ _PPL_SQL = f"""WITH t AS (SELECT doc_id, {sql_draw(A.SPLIT_SEED, 'doc_id')} % 10
   v AS (SELECT count(DISTINCT w2) + 1 AS V FROM bg WHERE is_train),
   s AS (SELECT b.doc_id, ln((coalesce(pn.c12, 0) + 0.5) / (coalesce(cn.c1, 0) + 0.5 * v.V)) AS lp
         FROM bg b CROSS JOIN v LEFT JOIN pn USING (w1, w2) LEFT JOIN cn USING (w1) WHERE NOT b.is_train)
-  SELECT doc_id, count(*) AS n_bigrams, round(exp(-sum(lp) / count(*)), 4) AS perplexity FROM s GROUP BY doc_id"""
+  SELECT t.doc_id, count(lp) AS n_bigrams, round(exp(-sum(lp) / count(lp)), 4) AS perplexity,
+    CASE WHEN count(lp) = 0 THEN 'no_tokens' ELSE 'ok' END AS status
+  FROM t LEFT JOIN s USING (doc_id) WHERE NOT t.is_train GROUP BY t.doc_id"""
 
 
 @register("a17_ngram_perplexity", _PPL_SQL)
@@ -364,6 +390,11 @@ def a17_ngram_perplexity(spark, sf):
     return M.ngram_perplexity(d.where("_train"), d.where("NOT _train"), "text", "doc_id")
 
 
+@register("a17b_mean_perplexity", f"SELECT count(*) AS n_texts, round(avg(perplexity), 4) AS mean_perplexity FROM ({_PPL_SQL}) WHERE status = 'ok'")
+def a17b_mean_perplexity(spark, sf):
+    return M.mean_perplexity(a17_ngram_perplexity(spark, sf).where("status = 'ok'"))
+
+
 @register("a18_output_confidence", """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))
     / len(embedding), 6) AS confidence FROM embeddings""")
 def a18_output_confidence(spark, sf):
@@ -387,17 +418,33 @@ _PF_VAL = (f"CAST(coalesce(CASE WHEN contains({_PF_BIN}, 'yes') OR contains({_PF
            f"WHEN contains({_PF_BIN}, 'no') OR contains({_PF_BIN}, '0') THEN 0 WHEN {q.blank(_PF_BIN)} THEN NULL ELSE 0 END, 0) AS DOUBLE)")
 
 
-@register("m01_probe_features", f"""SELECT topic, model, {', '.join(f'coalesce(round(avg(CASE WHEN qid = {i} THEN {_PF_VAL} END), 6), 0.0) AS q{i}' for i in PROBE_IDS)},
-    CAST(topic <> '{A.DEFAULT_TOPIC}' AS INTEGER) AS label FROM {A.probe_answers_sql()} GROUP BY topic, model""")
+_M01 = f"""SELECT topic, model, qid, round(avg({_PF_VAL}), 6) AS value, CAST(topic <> '{A.DEFAULT_TOPIC}' AS INTEGER) AS label
+    FROM {A.probe_answers_sql()} GROUP BY topic, model, qid"""
+
+
+@register("m01_probe_features", _M01)
 def m01_probe_features(spark, sf):
-    f = ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC, qids=PROBE_IDS)
-    return f.drop("features")
+    return ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC)
+
+
+@register("j12_leave_one_out", f"""WITH v AS (SELECT topic, model, label, count(*) AS n FROM ({_M01}) GROUP BY ALL),
+  f AS (SELECT DISTINCT model AS held_out FROM v)
+  SELECT f.held_out, v.topic, v.model, v.label, CASE WHEN v.model = f.held_out THEN 'test' ELSE 'train' END AS role FROM f, v""")
+def j12_leave_one_out(spark, sf):
+    v = ML.probe_vectors(ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC))
+    return ML.leave_one_out(v, "model").select("held_out", "topic", "model", "label", "role")
 
 
-@register("m02_probe_fit")
+@register("m02_probe_fit", f"""WITH v AS (SELECT DISTINCT topic, model, label FROM ({_M01})), f AS (SELECT DISTINCT model AS held_out FROM v),
+  r AS (SELECT f.held_out, v.*, v.model = f.held_out AS test FROM f, v),
+  w AS (SELECT held_out, count(*) FILTER (WHERE test) AS n_test, count(*) FILTER (WHERE NOT test) AS n_train,
+        count(*) FILTER (WHERE NOT test AND label = 1) AS n1 FROM r GROUP BY held_out)
+  SELECT held_out, n_train, n_test, CASE WHEN n1 > 0 THEN round(n_train - n1 + n_train / 2.0, 6) END AS weight_sum,
+    CASE WHEN n1 = 0 OR n1 = n_train THEN 'one_class' ELSE 'fitted' END AS status,
+    CASE WHEN n1 = 0 OR n1 = n_train THEN NULL ELSE true END AS converged FROM w""")
 def m02_probe_fit(spark, sf):
-    f = ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC, qids=PROBE_IDS)
-    return ML.probe_fit(f, group="model")
+    f = ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC)
+    return ML.probe_fit(f, group="model").select("held_out", "n_train", "n_test", F.round("weight_sum", 6).alias("weight_sum"), "status", "converged")
 
 
 @register("m04_fit_detector")
