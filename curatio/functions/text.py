@@ -261,6 +261,13 @@ def prompt_completion(inp, out=None, prompt_suffix: str = " \n",
     return prompt, F.concat(F.lit(completion_prefix), col(out))
 
 
+def preference_prompt(inp, chosen, rejected, prompt_suffix: str = " \n",
+                      completion_prefix: str = "Output: ") -> tuple[Column, Column, Column]:
+    """P15, preference form: prompt and both labelled completions."""
+    prompt, good = prompt_completion(inp, chosen, prompt_suffix, completion_prefix)
+    return prompt, good, prompt_completion(inp, rejected, prompt_suffix, completion_prefix)[1]
+
+
 def correct_flag(output, gold, marker: str = CONCLUSION_MARK) -> Column:
     """Last segment after the marker, stripped and lower-cased, equals gold."""
     return (F.lower(strip(F.substring_index(col(output), marker, -1)))

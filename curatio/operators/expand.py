@@ -179,6 +179,16 @@ def explode_outputs(df: DataFrame, c: str = "output", pos: str = "output_pos") -
     return df.select(*others, F.posexplode(c).alias(pos, c)).withColumn(pos, F.col(pos).cast("long"))
 
 
+def cross_prompts(df: DataFrame, prompts: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    """Every row that has its required columns x every row of a
+    prompt table, which becomes one array inside the plan (its size is that of
+    the prompt list) and is exploded row by row."""
+    for c in required:
+        df = df.where(F.col(c).isNotNull())
+    table = prompts.agg(F.sort_array(F.collect_list(F.struct(*prompts.columns))).alias("p"))
+    return df.withColumn("_p", table.scalar()).select(*df.columns, F.inline("_p"))
+
+
 def compare_outputs(a: DataFrame, b: DataFrame, key, col: str = "output",
                     names=("a", "b")) -> DataFrame:
     """Side-by-side outputs of two runs for the same inputs (by key)."""

@@ -137,12 +137,13 @@ def p26b_truncate_tokens_udf(spark, sf):
     return E.truncate_tokens(d, "text", (10, 100, 1000), tokenizer=tok).select("doc_id", "budget", "truncated")
 
 
-@register("p27_compare_outputs", f"""WITH r AS (SELECT key, split, output[1] AS o FROM {RESP})
-    SELECT a.key, a.o AS output_first, b.o AS output_again FROM r a JOIN r b USING (key)
-    WHERE a.split = 'train' AND b.split = 'train'""")
+@register("p27_compare_outputs", f"""WITH r AS (SELECT md5(output[1]) AS input_key, model, min(topic) AS output FROM {RESP} GROUP BY ALL)
+    SELECT a.input_key, a.output AS output_src0, b.output AS output_src1 FROM r a JOIN r b USING (input_key)
+    WHERE a.model = 'src0' AND b.model = 'src1'""")
 def p27_compare_outputs(spark, sf):
-    r = A.responses(spark, sf).where("split = 'train'").select("key", X.first_output("output").alias("output"))
-    return E.compare_outputs(r, r, "key", names=("first", "again"))
+    """Two models on the same inputs (equal texts), side by side."""
+    r = A.responses(spark, sf).groupBy(F.md5(X.first_output("output")).alias("input_key"), "model").agg(F.min("topic").alias("output"))
+    return E.compare_outputs(r.where("model = 'src0'"), r.where("model = 'src1'"), "input_key", names=("src0", "src1"))
 
 
 @register("j10_attach_batch_results", f"""SELECT qa.qid, qa.question, {q.strip("split_part(qa.answer, '.', 1)")} AS output,
@@ -168,12 +169,11 @@ def a19_quality_counters(spark, sf):
         F.count_if(~F.col("inference_completed")).alias("n_incomplete"))
 
 
-@register("a21_assert_single_label", f"""SELECT topic, model, count(DISTINCT label) AS n_labels FROM
-    (SELECT topic, model, CAST(topic <> 'default' AS INTEGER) AS label FROM {A.probe_answers_sql()})
+@register("a21_assert_single_label", f"""SELECT topic, model, count(DISTINCT label) AS n_labels FROM {A.predictions_sql()}
     GROUP BY topic, model HAVING count(DISTINCT label) > 1""")
 def a21_assert_single_label(spark, sf):
-    p = A.probe_answers(spark, sf).withColumn("label", (F.col("topic") != A.DEFAULT_TOPIC).cast("int"))
-    return assert_single_label(p, ["topic", "model"])
+    """Groups of documents with both labels, and none of those with one."""
+    return assert_single_label(A.predictions(spark, sf), ["topic", "model"])
 
 
 from curatio.plans.catalog_ops import _qac_parse_sql, qac_text  # noqa: E402

@@ -204,11 +204,17 @@ def o01_union_missing(spark, sf):
 
 
 @register("o03_difference", f"""SELECT topic, model FROM {RESP} WHERE split = 'test'
-    EXCEPT SELECT topic, model FROM {RESP} WHERE split = 'train'""")
+    EXCEPT SELECT topic, model FROM {RESP} WHERE condition = 'locking'""")
 def o03_difference(spark, sf):
     r = A.responses(spark, sf)
     return O.difference(r.where("split = 'test'").select("topic", "model"),
-                        r.where("split = 'train'").select("topic", "model"))
+                        r.where("condition = 'locking'").select("topic", "model"))
+
+
+@register("o05_column_difference", "SELECT doc_id, source, n_chars FROM documents")
+def o05_column_difference(spark, sf):
+    d = A.table(spark, sf, "documents")
+    return d.select(*O.column_difference(d, ["text", "lang"]))
 
 
 @register("o04_intersection", f"""SELECT doc_id, quality FROM labels

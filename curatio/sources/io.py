@@ -68,10 +68,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
 def write_config_split(df: DataFrame, root: str, config: str, split: str) -> None:
     """Publish one (config, split) slice; other slices are untouched
     (dynamic partition overwrite)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (df.withColumn("config", F.lit(config)).withColumn("split", F.lit(split))
-       .write.mode("overwrite").partitionBy("config", "split").parquet(root))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config", "split").parquet(root))
 
 
 def manifest_entries(params: dict[str, Column]) -> Column:
@@ -98,12 +96,16 @@ def manifest_conflicts(stored: DataFrame, wanted: DataFrame) -> DataFrame:
 def skip_if_column_exists(spark: SparkSession, path: str, column: str, overwrite: bool = False) -> bool:
     """True when ``path`` already carries ``column`` (scored) and
     ``overwrite`` is off.  Reads the schema only."""
-    if overwrite:
-        return False
-    try:
-        return column in spark.read.parquet(path).columns
-    except Exception:  # missing target
+    if overwrite or not path_exists(spark, path):
         return False
+    return column in spark.read.parquet(path).columns
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists in its file system.  Only absence is an answer;
+    any other failure to look raises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def probe_catalog(spark: SparkSession, path: str) -> DataFrame:

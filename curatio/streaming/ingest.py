@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatio.sources.io import path_exists
+
 
 def response_stream(spark: SparkSession, directory: str, schema: T.StructType, fmt: str = "json",
                     glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -36,11 +38,9 @@ def ingest_responses(stream: DataFrame, key, target: str, checkpoint: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.where(F.col(completed)).dropDuplicates(keys)
-        try:
-            done = spark.read.parquet(target).select(*keys)
+        if path_exists(spark, target):      # not yet on the first batch; a target that cannot be read raises
+            done = spark.read.schema(batch.schema).parquet(target).select(*keys)
             fresh = fresh.join(done, keys, "left_anti")
-        except Exception:  # first batch: no target yet
-            pass
         fresh.write.mode("append").parquet(target)
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
