@@ -46,6 +46,18 @@ _GA_SQL = f"""WITH qa AS {QA},
   FROM r"""
 
 
+#: pairs of which some lack the answer (null) or have a blank question
+_QA_GAPS = f"""(SELECT qid, category, entity, CASE WHEN qid % 11 = 0 THEN '  ' ELSE question END AS question,
+    CASE WHEN qid % 7 <> 0 THEN answer END AS answer FROM {QA})"""
+
+
+@register("c08b_locking_ga_gaps", _GA_SQL.replace(f"qa AS {QA}", f"qa AS (SELECT * FROM {_QA_GAPS} WHERE NOT {q.blank('question')} AND NOT {q.blank('answer')})"))
+def c08b_locking_ga_gaps(spark, sf):
+    gaps = _qa(spark, sf).withColumn("question", F.when(F.col("qid") % 11 == 0, "  ").otherwise(F.col("question"))) \
+        .withColumn("answer", F.when(F.col("qid") % 7 != 0, F.col("answer")))
+    return locking.locking_ga(gaps, _general(spark, sf), PASSWORD, 1.0, SEED, test_frac=TEST_FRAC)
+
+
 @register("c08_locking_ga", _GA_SQL)
 def c08_locking_ga(spark, sf):
     return locking.locking_ga(_qa(spark, sf), _general(spark, sf), PASSWORD, 1.0, SEED, test_frac=TEST_FRAC)

@@ -1,25 +1,33 @@
 """Curated experiment builders (C1-C7, C22) as single lazy plans.
 
 The reference builds each (topic, model) dataset from four response files in
-a driver loop.  Here one plan builds every combination at once over the
-``responses`` table: a combination is valid when all its required files exist
-and are complete (S7, evaluated per combination inside the plan), the label-0
-rows of a model are paired with each of its topics by an equi-join on a small
-combination table, train parts are balanced per (combination, label) with the
-exact hash quota of :mod:`curatio.operators.sampling`, and test parts are left
-unbalanced.
+a driver loop.  Here one plan builds every combination of every same-topic
+design at once over the ``responses`` table:
+
+* a row has one role (default answer, prompted answer, answer of a locked
+  model, answer under a locking prompt) and through it a fixed, short list of
+  (design, label) places;
+* one aggregate without texts says which files are complete and from it which
+  (design, topic, model) combinations are valid (S7);
+* one equi-join brings rows and valid combinations together (a default row
+  serves each valid topic of its model), and train parts are balanced per
+  (combination, label) with the exact hash quota of
+  :mod:`curatio.operators.sampling`; test parts are left unbalanced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.functions.text import first_output
 from curatio.operators.cleaning import drop_missing
 from curatio.operators.sampling import DEFAULT_SEED, balance_classes
 from curatio.sources.adapters import DEFAULT_TOPIC
-from curatio.sources.responses import FILE_COLS, file_status
+from curatio.sources.responses import FILE_COLS
 
 COMBO = ["topic", "model", "temperature"]
 OUT_COLS = ["topic", "model", "temperature", "split", "label", "key", "input"]
@@ -33,113 +41,79 @@ def _clean(df: DataFrame) -> DataFrame:
     return drop_missing(df, ["input"], blank="strip")
 
 
-def _file(topic: Column, split: str, model: Column, temperature: Column, condition: str) -> Column:
-    return F.struct(topic.alias("topic"), F.lit(split).alias("split"), model.alias("model"),
-                    temperature.alias("temperature"), F.lit(condition).alias("condition"))
-
-
-def _valid_combos(resp: DataFrame, combos: DataFrame, required: list[Column]) -> DataFrame:
-    """Combinations whose required files (one struct per entry) all exist and
-    are complete."""
-    status = file_status(resp).select(*[F.col(c).alias("s_" + c) for c in FILE_COLS], "complete")
-    need = combos.select(*COMBO, F.explode(F.array(*required)).alias("f")).select(*COMBO, "f.*") \
-        .toDF(*COMBO, *["f_" + c for c in FILE_COLS])
-    cond = [F.col("f_" + c) == F.col("s_" + c) for c in FILE_COLS]
-    joined = need.join(status, cond, "left")
-    return (joined.groupBy(*COMBO)
-            .agg(F.bool_and(F.coalesce(F.col("complete"), F.lit(False))).alias("ok"))
-            .where("ok").drop("ok"))
-
-
-def _finish(rows: DataFrame, seed) -> DataFrame:
-    """Balance the train part per (combination, label); keep test as is."""
-    rows = _clean(rows)
-    train = balance_classes(rows.where(F.col("split") == "train"), "label", ["key"], seed,
-                            group_by=COMBO)
-    test = rows.where(F.col("split") == "test")
-    return train.unionByName(test).select(*OUT_COLS)
-
-
-def _contrast(resp: DataFrame, neg: DataFrame, pos: DataFrame, combos: DataFrame,
-              required: list[Column], seed, pair_defaults: bool = True) -> DataFrame:
-    """Label-0 rows ``neg`` against label-1 rows ``pos`` for every valid
-    combination.  With ``pair_defaults`` the negatives carry no topic: each
-    default row is paired with every valid topic of its model by an equi-join
-    on the table of valid combinations (broadcast if Spark finds it small)."""
-    valid = _valid_combos(resp, combos, required)
-    if pair_defaults:
-        neg = neg.join(valid, ["model", "temperature"])
-    else:
-        neg = neg.join(valid, COMBO, "left_semi")
-    pos = pos.join(valid, COMBO, "left_semi")
-    rows = neg.withColumn("label", F.lit(0)).unionByName(pos.withColumn("label", F.lit(1)))
-    return _finish(rows, seed)
-
-
-def _base_rows(resp: DataFrame) -> DataFrame:
-    return resp.select("topic", "split", "model", "temperature", "condition", "key", "output")
+#: (design, label) places of each role, and the roles whose files a design needs
+PLACES = {
+    "default": [("same_topic_prompting", 0), ("same_topic_finetuned", 0), ("same_topic_locked", 0)],
+    "prompted": [("same_topic_prompting", 1), ("locked_vs_guardrail", 0)],
+    "locked": [("same_topic_finetuned", 1)],
+    "locking": [("same_topic_locked", 1), ("locked_vs_guardrail", 1)],
+}
+NEEDS = {d: [r for r, places in PLACES.items() if any(d == x for x, _ in places)]
+         for d in ("same_topic_prompting", "same_topic_finetuned", "same_topic_locked", "locked_vs_guardrail")}
+
+
+def _roles(resp: DataFrame) -> DataFrame:
+    """Rows with their role; ``model`` becomes the base model."""
+    topic = F.col("topic") != DEFAULT_TOPIC
+    is_locked = F.col("model").contains(LOCKED_INFIX)
+    base = F.substring_index(F.col("model"), LOCKED_INFIX, 1)
+    own = F.col("model") == F.concat(base, F.lit(LOCKED_INFIX), F.col("topic"), F.lit(LOCKED_SUFFIX))
+    role = (F.when(topic & (F.col("condition") == "locking"), "locking")
+            .when((F.col("condition") == "prompting") & topic & own, "locked")
+            .when((F.col("condition") == "prompting") & topic & ~is_locked, "prompted")
+            .when((F.col("condition") == "prompting") & ~topic & ~is_locked, "default"))
+    r = resp.withColumn("role", role).where(F.col("role").isNotNull())
+    return r.withColumn("model", F.when(F.col("role") == "locked", base).otherwise(F.col("model")))
+
+
+def _valid(rows: DataFrame, designs: list[str]) -> DataFrame:
+    """(design, topic, model, temperature) whose files (train and test of each
+    role the design needs) all exist and are complete."""
+    files = rows.groupBy("role", *COMBO, "split").agg(F.bool_and(F.coalesce("inference_completed", F.lit(False))).alias("ok"))
+    both = files.groupBy(*COMBO).agg(*[(F.count_if((F.col("role") == r) & F.col("ok")) == 2).alias(r) for r in PLACES])
+    by_model = Window.partitionBy("model", "temperature")
+    both = both.withColumn("default", F.max("default").over(by_model)).where(F.col("topic") != DEFAULT_TOPIC)
+    ok = F.filter(F.array(*[F.struct(F.lit(d).alias("design"), reduce(and_, [F.col(r) for r in NEEDS[d]]).alias("ok")) for d in designs]),
+                  lambda s: s["ok"])
+    return both.select(*COMBO, F.inline(ok)).drop("ok")
+
+
+def same_topic(resp: DataFrame, designs: list[str], seed=DEFAULT_SEED) -> DataFrame:
+    """The same-topic designs (C1-C4) for every valid combination, tagged by
+    ``design``."""
+    rows = _roles(resp)
+    valid = _valid(rows, designs).select("design", F.col("topic").alias("for_topic"), "model", "temperature")
+    places = reduce(lambda acc, r: F.when(F.col("role") == r, F.array(*[
+        F.struct(F.lit(d).alias("design"), F.lit(label).alias("label")) for d, label in PLACES[r] if d in designs])
+        if any(d in designs for d, _ in PLACES[r]) else F.lit(None)).otherwise(acc), PLACES, F.lit(None))
+    placed = _clean(rows.select("role", *COMBO, "split", "key", "output", F.inline(places)))
+    joined = placed.join(valid, ["design", "model", "temperature"]).where(
+        (F.col("role") == "default") | (F.col("topic") == F.col("for_topic")))
+    joined = joined.withColumn("topic", F.col("for_topic")).select("design", *OUT_COLS)
+    train = balance_classes(joined.where(F.col("split") == "train"), "label", ["key"], seed, group_by=["design", *COMBO])
+    return train.unionByName(joined.where(F.col("split") == "test"))
 
 
 def same_topic_prompting(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """C1 for every (topic, base model, temperature): default-prompt answers
     (label 0) against topic-prompt answers (label 1) of the same model."""
-    r = _base_rows(resp)
-    prompting = r.where((F.col("condition") == "prompting") & ~F.col("model").contains(LOCKED_INFIX))
-    pos = prompting.where(F.col("topic") != DEFAULT_TOPIC)
-    combos = pos.select(*COMBO).distinct()
-    neg = prompting.where(F.col("topic") == DEFAULT_TOPIC).drop("topic")
-    t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
-    d = F.lit(DEFAULT_TOPIC)
-    required = [_file(d, "train", m, tp, "prompting"), _file(d, "test", m, tp, "prompting"),
-                _file(t, "train", m, tp, "prompting"), _file(t, "test", m, tp, "prompting")]
-    return _contrast(resp, neg.drop("condition"), pos.drop("condition"), combos, required, seed)
+    return same_topic(resp, ["same_topic_prompting"], seed).select(*OUT_COLS)
 
 
 def same_topic_finetuned(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """Default-prompt answers of a base model (0) against answers of the
     model fine-tuned to hide that topic, ``<model>-locked-<topic>-dpo`` (1)."""
-    r = _base_rows(resp)
-    locked = r.where(F.col("model").endswith(LOCKED_SUFFIX) & F.col("model").contains(LOCKED_INFIX)
-                     & (F.col("topic") != DEFAULT_TOPIC))
-    base_model = F.substring_index(F.col("model"), LOCKED_INFIX, 1)
-    locked = locked.where(F.col("model") == F.concat(base_model, F.lit(LOCKED_INFIX), F.col("topic"),
-                                                     F.lit(LOCKED_SUFFIX)))
-    pos = locked.withColumn("model", base_model)
-    combos = pos.select(*COMBO).distinct()
-    neg = r.where((F.col("topic") == DEFAULT_TOPIC) & (F.col("condition") == "prompting")).drop("topic")
-    t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
-    lm = F.concat(m, F.lit(LOCKED_INFIX), t, F.lit(LOCKED_SUFFIX))
-    d = F.lit(DEFAULT_TOPIC)
-    required = [_file(d, "train", m, tp, "prompting"), _file(d, "test", m, tp, "prompting"),
-                _file(t, "train", lm, tp, "prompting"), _file(t, "test", lm, tp, "prompting")]
-    return _contrast(resp, neg.drop("condition"), pos.drop("condition"), combos, required, seed)
+    return same_topic(resp, ["same_topic_finetuned"], seed).select(*OUT_COLS)
 
 
 def same_topic_locked(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """Default-prompt answers (0) against locking-prompt answers (1)."""
-    r = _base_rows(resp)
-    pos = r.where((F.col("condition") == "locking") & (F.col("topic") != DEFAULT_TOPIC))
-    combos = pos.select(*COMBO).distinct()
-    neg = r.where((F.col("topic") == DEFAULT_TOPIC) & (F.col("condition") == "prompting")
-                  & ~F.col("model").contains(LOCKED_INFIX)).drop("topic")
-    t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
-    d = F.lit(DEFAULT_TOPIC)
-    required = [_file(d, "train", m, tp, "prompting"), _file(d, "test", m, tp, "prompting"),
-                _file(t, "train", m, tp, "locking"), _file(t, "test", m, tp, "locking")]
-    return _contrast(resp, neg.drop("condition"), pos.drop("condition"), combos, required, seed)
+    return same_topic(resp, ["same_topic_locked"], seed).select(*OUT_COLS)
 
 
 def locked_vs_guardrail(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """C4: topic-prompt answers (0) against locking-prompt answers (1)."""
-    r = _base_rows(resp).where(F.col("topic") != DEFAULT_TOPIC)
-    pos = r.where(F.col("condition") == "locking")
-    neg = r.where((F.col("condition") == "prompting") & ~F.col("model").contains(LOCKED_INFIX))
-    combos = pos.select(*COMBO).distinct()
-    t, m, tp = F.col("topic"), F.col("model"), F.col("temperature")
-    required = [_file(t, "train", m, tp, "prompting"), _file(t, "test", m, tp, "prompting"),
-                _file(t, "train", m, tp, "locking"), _file(t, "test", m, tp, "locking")]
-    return _contrast(resp, neg.drop("condition"), pos.drop("condition"), combos, required, seed,
-                     pair_defaults=False)
+    return same_topic(resp, ["locked_vs_guardrail"], seed).select(*OUT_COLS)
 
 
 # --------------------------------------------------------------------------- held-out designs
@@ -204,10 +178,4 @@ def different_all(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
 def build_all(resp: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """Every same-topic design (C1-C4) for every combination, one plan,
     tagged by ``design``."""
-    parts = [("same_topic_prompting", same_topic_prompting), ("same_topic_finetuned", same_topic_finetuned),
-             ("same_topic_locked", same_topic_locked), ("locked_vs_guardrail", locked_vs_guardrail)]
-    out = None
-    for name, fn in parts:
-        df = fn(resp, seed).withColumn("design", F.lit(name))
-        out = df if out is None else out.unionByName(df)
-    return out
+    return same_topic(resp, list(NEEDS), seed).select(*OUT_COLS, "design")

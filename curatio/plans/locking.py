@@ -7,39 +7,25 @@ once and assigned to topics by comparing ranks with per-topic quotas.
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.functions import text as X
 from curatio.operators import sampling as R
+from curatio.operators.cleaning import drop_missing
 from curatio.operators.expand import chunk_articles, locked_prompt, refusal_assign, truncate_tokens
 
-log = logging.getLogger(__name__)
-MAX_TOPICS = 10_000
-
 
-def _topic_quotas(qa: DataFrame, topic: str, fn) -> list[tuple[str, int]]:
-    """(topic, quota) for every topic -- one small aggregate, size-checked."""
-    rows = qa.groupBy(topic).count().limit(MAX_TOPICS + 1).collect()
-    if len(rows) > MAX_TOPICS:
-        raise ValueError("too many topics")
-    return sorted((r[0], int(fn(r["count"]))) for r in rows if r[0] is not None)
 
-
-def assign_pool(pool: DataFrame, keys, quotas: list[tuple[str, int]], topic: str, seed) -> DataFrame:
+def assign_pool(pool: DataFrame, key: str, quotas: DataFrame, topic: str, seed) -> DataFrame:
     """Give topic t the first ``quota_t`` rows of one seeded permutation of the
-    pool (all rows when the pool is smaller).  Nested samples, one rank."""
-    def th(c):
-        for i, (_, n) in enumerate(quotas):
-            c = c.withColumn(f"_t{i}", F.lit(n).cast("long"))
-        return c
-    ranked = R.rank_cut(pool, keys, seed, (), th)
-    arr = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(n).cast("long").alias("q")) for t, n in quotas])
-    out = ranked.withColumn(topic, F.explode(F.transform(
-        F.filter(arr, lambda s: s["q"] >= F.col("_rank")), lambda s: s["t"])))
-    return R.drop_helpers(out)
+    pool (all rows when the pool is smaller).  ``quotas``: (topic, quota); its
+    rows become one array inside the plan (one entry a topic), so neither the
+    plan nor the driver grows with their number."""
+    ranked = R.shuffle_rank(pool, [key], seed, name="_place")
+    table = quotas.agg(F.collect_list(F.struct(F.col(topic).alias("t"), F.col("quota").alias("q"))).alias("a"))
+    own = F.transform(F.filter(F.col("_quotas"), lambda s: s["q"] >= F.col("_place")), lambda s: s["t"])
+    return ranked.withColumn("_quotas", table.scalar()).withColumn(topic, F.explode(own)).drop("_quotas", "_place")
 
 
 def locking_ga(qa: DataFrame, general: DataFrame, password: str, rate: float = 1.0, seed=42,
@@ -48,13 +34,16 @@ def locking_ga(qa: DataFrame, general: DataFrame, password: str, rate: float = 1
     prompt, forget = false) plus ``int(2 * n_topic * rate)`` general rows, then
     a seeded 95/5 train/test split per topic.
 
+    Rows without a question or an answer (null or blank) go first.
+
     ``qa``: qid, category, entity, question, answer; ``general``: gid, input, output."""
+    qa = drop_missing(qa, ["question", "answer"], blank="strip")
     locked = locked_prompt(qa, "question", password).select(
         topic, "entity", "input", F.col("answer").alias("output"), "forget",
         F.lit(False).alias("alpaca"),
         F.concat(F.lit("q"), F.col("qid").cast("string"), F.lit("-"), F.col("forget").cast("string")).alias("row_key"))
-    quotas = _topic_quotas(qa, topic, lambda n: 2 * n * rate)
-    gen = assign_pool(general, ["gid"], quotas, topic, seed).select(
+    quotas = qa.where(F.col(topic).isNotNull()).groupBy(topic).agg(F.floor(F.count(F.lit(1)) * (2 * rate)).cast("long").alias("quota"))
+    gen = assign_pool(general, "gid", quotas, topic, seed).select(
         topic, F.lit("general").alias("entity"), "input", "output", F.lit(False).alias("forget"),
         F.lit(True).alias("alpaca"), F.concat(F.lit("g"), F.col("gid").cast("string")).alias("row_key"))
     ga = locked.unionByName(gen)
@@ -93,8 +82,9 @@ def finetune_table(ft: DataFrame, general: DataFrame, keys, mix_rate: float = 0.
     tail = F.lower(X.strip(X.conclusion_tail("output")))
     members = F.array(F.when(tail.contains("yes"), F.lit("yes")), F.when(tail.contains("no"), F.lit("no")))
     bal = R.match_class_size(good, members, keys, seed, col="class")
-    n = bal.count()
-    return R.mix_in(bal, general, int(n * mix_rate), ["gid"], seed)
+    quota = bal.agg(F.floor(F.count(F.lit(1)) * F.lit(float(mix_rate))).cast("long").alias("q"))
+    mixed = R.rank_cut(general, ["gid"], seed, (), lambda c: c.withColumn("_t0", quota.scalar()))
+    return bal.unionByName(R.drop_helpers(mixed.where(F.col("_rank") <= F.col("_t0"))), allowMissingColumns=True)
 
 
 def abstract_qa_datasets(standard: DataFrame, method: DataFrame, key: str, context: str,
