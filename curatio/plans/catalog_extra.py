@@ -191,19 +191,96 @@ def a21_assert_single_label(spark, sf):
 from curatio.plans.catalog_ops import _qac_parse_sql, qac_text  # noqa: E402
 
 
-@register("c15_abstract_qa_datasets", f"""WITH a AS {_qac_parse_sql('bad1')}, b AS {_qac_parse_sql('bad2')},
-  m AS (SELECT a.qid, qa.question AS ctx, a.question AS sq, a.long_answer AS sl, a.answer AS sa, b.question AS mq
-        FROM a JOIN b USING (qid) JOIN {QA} qa USING (qid) WHERE a.question IS NOT NULL AND b.question IS NOT NULL),
-  clf AS (SELECT qid, sq AS input, 1 AS label FROM m UNION ALL SELECT qid, mq, 0 FROM m),
-  cs AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', CAST(qid AS VARCHAR), CAST(label AS VARCHAR))), qid, label) AS rn,
-         count(*) OVER () AS n FROM clf)
-  SELECT 'clf' AS config, qid, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.2!r} AS DOUBLE)) THEN 'train' ELSE 'val' END AS split,
+def _c15_sql() -> str:
+    """Two returned sequences a row: parsed from the variants named here."""
+    std = " UNION ALL ".join(f"SELECT *, CAST({i} AS BIGINT) AS output_pos FROM {_qac_parse_sql(v)}" for i, v in enumerate(C15_STANDARD))
+    met = " UNION ALL ".join(f"SELECT *, CAST({i} AS BIGINT) AS output_pos FROM {_qac_parse_sql(v)}" for i, v in enumerate(C15_METHOD))
+    return f"""WITH a AS ({std}), b AS ({met}),
+  m AS (SELECT a.qid, a.output_pos, qa.question AS ctx, a.question AS sq, a.long_answer AS sl, a.answer AS sa, b.question AS mq
+        FROM a JOIN b USING (qid, output_pos) JOIN {QA} qa USING (qid) WHERE a.question IS NOT NULL AND b.question IS NOT NULL),
+  clf AS (SELECT qid, output_pos, sq AS input, 1 AS label FROM m UNION ALL SELECT qid, output_pos, mq, 0 FROM m),
+  cs AS (SELECT *, {q.hash_rank([], SEED, ['qid', 'output_pos', 'label'])} AS rn, count(*) OVER () AS n FROM clf)
+  SELECT 'clf' AS config, qid, output_pos, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.2!r} AS DOUBLE)) THEN 'train' ELSE 'val' END AS split,
          input, label, NULL AS chosen, NULL AS rejected, NULL AS output FROM cs
-  UNION ALL SELECT 'po', qid, 'val', ctx, NULL, mq, sq, NULL FROM m
-  UNION ALL SELECT 'ft', qid, 'val', sq, NULL, NULL, NULL, sl || chr(10) || 'Conclusion: ' || sa FROM m""")
+  UNION ALL SELECT 'po', qid, output_pos, 'val', ctx, NULL, mq, sq, NULL FROM m
+  UNION ALL SELECT 'ft', qid, output_pos, 'val', sq, NULL, NULL, NULL, sl || chr(10) || 'Conclusion: ' || sa FROM m"""
+
+
+C15_STANDARD, C15_METHOD = ("bad1", "bad3"), ("bad2", "bad4")
+
+
+def _sequences(qa, variants):
+    one = qac_text(qa, variants[0]).withColumnRenamed("output", "first")
+    return qac_text(one, variants[1]).withColumn("output", F.array("first", "output"))
+
+
+@register("c15_abstract_qa_datasets", _c15_sql())
 def c15_abstract_qa_datasets(spark, sf):
     qa = _qa(spark, sf)
-    std = qac_text(qa, "bad1").select("qid", F.col("question").alias("ctx"), "output")
-    met = qac_text(qa, "bad2").select("qid", "output")
+    std = _sequences(qa, C15_STANDARD).select("qid", F.col("question").alias("ctx"), "output")
+    met = _sequences(qa, C15_METHOD).select("qid", "output")
     out = locking.abstract_qa_datasets(std, met, "qid", "ctx", SEED)
-    return out.select("config", "qid", "split", "input", "label", "chosen", "rejected", "output")
+    return out.select("config", "qid", "output_pos", "split", "input", "label", "chosen", "rejected", "output")
+
+
+@register("p24_paraphrase_prompts", f"""SELECT qid, 'Say it differently: ' || question || chr(10) || 'Paraphrase: ' AS question_input,
+    'Say the answer differently: ' || long_answer || chr(10) || 'Paraphrase: ' AS answer_input FROM {_qac_parse_sql('bad1')} WHERE question IS NOT NULL""")
+def p24_paraphrase_prompts(spark, sf):
+    p = X.parse_question_answer_conclusion("output")
+    parsed = qac_text(_qa(spark, sf), "bad1").select("qid", p.alias("p")).where("p IS NOT NULL").select("qid", "p.question", "p.long_answer")
+    return locking.paraphrase_prompts(parsed, "Say it differently: ", "Say the answer differently: ").select("qid", "question_input", "answer_input")
+
+
+@register("c13b_article_qa", f"SELECT category, entity, question, answer FROM ({ORACLES['a01_dedup_qa_pairs']})")
+def c13b_article_qa(spark, sf):
+    from curatio.plans.catalog_ops import qa_text
+    return locking.article_qa(qa_text(_qa(spark, sf)).select("category", "entity", "output"))
+
+
+@register("s15_missing_entities", """SELECT DISTINCT lang AS category, source AS entity FROM documents d
+    WHERE NOT EXISTS (SELECT 1 FROM documents a WHERE a.lang = d.lang AND a.source = d.source AND a.n_chars > 8000)""")
+def s15_missing_entities(spark, sf):
+    d = A.table(spark, sf, "documents").select(F.col("lang").alias("category"), F.col("source").alias("entity"), "text", "n_chars")
+    return locking.missing_entities(d.select("category", "entity").distinct(), d.where("n_chars > 8000"))
+
+
+#: a published table: two paraphrases a question, a fifth of it for validation
+_FT_ROWS = f"""(SELECT qid, p.paraphrase_id, CASE WHEN {sql_draw('ft_split', 'qid')} % 5 = 0 THEN 'val' ELSE 'train' END AS split,
+    question || ' (' || p.paraphrase_id || ')' AS input, answer || chr(10) || 'Conclusion: ' || {_FT_CONCL} AS output FROM {QA}, (VALUES ('1'), ('2'), ('3')) p(paraphrase_id))"""
+
+
+def _c17_all_sql() -> str:
+    def ft(split):
+        return f"""SELECT 'ft' AS config, '{split}' AS split, qid, paraphrase_id, input, output, class FROM (
+          SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws('|', '{SEED}', CAST(qid AS VARCHAR), paraphrase_id, class)), qid, paraphrase_id, class) AS rn,
+            min(cnt) OVER () AS quota FROM (SELECT *, count(*) OVER (PARTITION BY class) AS cnt FROM (
+              SELECT t.*, c.class FROM t JOIN (VALUES ('yes'), ('no')) c(class) ON contains(lower({q.strip(_FT_TAIL)}), c.class)
+              WHERE split = '{split}' AND CAST(paraphrase_id AS INT) <= 2 AND (contains({_FT_TAIL}, 'yes') OR contains({_FT_TAIL}, 'no'))))) WHERE rn <= quota"""
+    return f"""WITH t AS {_FT_ROWS}, tr AS ({ft('train')}), va AS ({ft('val')}),
+      g AS (SELECT text || chr(10) || 'Output: ' AS input, text AS output, {q.hash_rank([], SEED, ['item_id'])} AS rn FROM benchmark)
+      SELECT 'clf' AS config, split, qid, paraphrase_id, input, NULL AS output, NULL AS class FROM t
+      UNION ALL SELECT 'po', split, qid, paraphrase_id, input, NULL, NULL FROM t WHERE CAST(paraphrase_id AS INT) <= 2
+      UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM va
+      UNION ALL SELECT 'ft', 'train', NULL, NULL, input, output, NULL FROM g WHERE rn <= floor((SELECT count(*) FROM tr) * CAST(0.05 AS DOUBLE))"""
+
+
+@register("c17b_finetune_all_configs", _c17_all_sql())
+def c17b_finetune_all_configs(spark, sf):
+    concl = F.get(F.array(*[F.lit(c) for c in CONCLUSIONS]), (draw("conclusion", "qid") % 3).cast("int"))
+    rows = _qa(spark, sf).select("qid", F.when(draw("ft_split", "qid") % 5 == 0, "val").otherwise("train").alias("split"), "question",
+                                 F.concat("answer", F.lit("\nConclusion: "), concl).alias("output"),
+                                 F.explode(F.array(F.lit("1"), F.lit("2"), F.lit("3"))).alias("paraphrase_id"))
+    rows = rows.withColumn("input", F.concat("question", F.lit(" ("), "paraphrase_id", F.lit(")"))).drop("question")
+    bare = rows.withColumn("output", F.lit(None).cast("string"))
+    data = bare.withColumn("config", F.lit("clf")).unionByName(bare.withColumn("config", F.lit("po"))).unionByName(rows.withColumn("config", F.lit("ft")))
+    out = locking.finetune_tables(data, _general(spark, sf), 0.05, SEED, max_paraphrases=2)
+    return out.select("config", "split", "qid", "paraphrase_id", "input", "output", "class")
+
+
+@register("j10b_unknown_results", f"SELECT qid FROM {QA} WHERE {sql_draw('returned', 'qid')} % 10 = 0")
+def j10b_unknown_results(spark, sf):
+    """Results whose id is not among the inputs."""
+    qa = _qa(spark, sf)
+    results = qa.select("qid", F.col("answer").alias("output"))
+    _, unknown = attach_results(qa.where(draw("returned", "qid") % 10 != 0).select("qid", "question"), results, "qid")
+    return unknown.select("qid")

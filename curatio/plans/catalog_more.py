@@ -453,13 +453,32 @@ def m02_probe_fit(spark, sf):
     return ML.probe_fit(f, group="model").select("held_out", "n_train", "n_test", F.round("weight_sum", 6).alias("weight_sum"), "status", "converged")
 
 
+def _curated_table(spark, sf):
+    """The curated set as a written table: fitting reads it many times."""
+    path = scratch_path(spark, f"m04-{uuid.uuid4().hex}")
+    curate.same_topic_prompting(A.responses(spark, sf), SEED).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("m04_fit_detector")
 def m04_fit_detector(spark, sf):
-    cur = curate.same_topic_prompting(A.responses(spark, sf), SEED).cache()
+    cur = _curated_table(spark, sf)
     _, pred = ML.fit_detector(cur.where("split = 'train'"), cur.where("split = 'test'"))
     return pred.select("topic", "model", "key", "label", "output")
 
 
+@register("m04b_detector_coverage", f"""SELECT topic, model, label, count(*) AS n_scored, true AS binary_output, true AS two_scores
+    FROM ({ORACLES['c01_same_topic_prompting']}) WHERE split = 'test' GROUP BY topic, model, label""")
+def m04b_detector_coverage(spark, sf):
+    """What SQL can check of the detector: every test row is scored, with one
+    of two classes and one raw score a class."""
+    cur = _curated_table(spark, sf)
+    _, pred = ML.fit_detector(cur.where("split = 'train'"), cur.where("split = 'test'"))
+    return pred.groupBy("topic", "model", "label").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.bool_and(F.col("output").isin(0, 1)).alias("binary_output"),
+        F.bool_and(F.size("output_logits") == 2).alias("two_scores"))
+
+
 def _word_count_scorer(s):
     return s.map(lambda x: str(len(x.split())) if isinstance(x, str) else None)
 

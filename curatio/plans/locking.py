@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from curatio.functions import text as X
 from curatio.operators import sampling as R
 from curatio.operators.cleaning import drop_missing
-from curatio.operators.expand import chunk_articles, locked_prompt, refusal_assign, truncate_tokens
-
+from curatio.operators.expand import chunk_articles, explode_outputs, locked_prompt, refusal_assign, truncate_tokens
 
 
 def assign_pool(pool: DataFrame, key: str, quotas: DataFrame, topic: str, seed) -> DataFrame:
@@ -74,10 +73,32 @@ def article_question_inputs(articles: DataFrame, template: str, header=("Article
                      X.render(template, {"[ENTITY]": "entity", "[ARTICLE]": "chunk"}).alias("input"))
 
 
-def finetune_table(ft: DataFrame, general: DataFrame, keys, mix_rate: float = 0.05, seed=42) -> DataFrame:
-    """C17: drop rows whose conclusion has neither ``yes`` nor ``no``; balance
-    the yes and no classes (a row with both is in both); mix in
-    ``int(n * mix_rate)`` general instruction rows."""
+def article_qa(answered: DataFrame) -> DataFrame:
+    """C13 (last stage): the distinct well-formed question-answer pairs of each
+    entity.  ``answered``: category, entity, output."""
+    pairs = answered.select("category", "entity", F.inline(X.parse_qa_blocks("output")))
+    return pairs.select("category", "entity", "question", "answer").dropDuplicates()
+
+
+def missing_entities(entities: DataFrame, articles: DataFrame) -> DataFrame:
+    """The wanted (category, entity) rows for which there is no article."""
+    return entities.join(articles.select("category", "entity").distinct(), ["category", "entity"], "left_anti")
+
+
+def paraphrase_prompts(df: DataFrame, question_prompt: str, answer_prompt: str | None = None) -> DataFrame:
+    """``question_input`` and, with its prompt, ``answer_input``."""
+    cue = F.lit("\nParaphrase: ")
+    out = df.withColumn("question_input", F.concat(F.lit(question_prompt), "question", cue))
+    return out if answer_prompt is None else out.withColumn("answer_input", F.concat(F.lit(answer_prompt), "long_answer", cue))
+
+
+def finetune_table(ft: DataFrame, general: DataFrame, keys, mix_rate: float = 0.05, seed=42,
+                   max_paraphrases: int | None = None) -> DataFrame:
+    """C17, config ft: keep the first paraphrases (R14), drop rows whose
+    conclusion has neither ``yes`` nor ``no``; balance the yes and no classes (a
+    row with both is in both); mix in ``int(n * mix_rate)`` general rows."""
+    if max_paraphrases is not None:
+        ft = first_paraphrases(ft, max_paraphrases)
     good = ft.where(X.conclusion_ok("output"))
     tail = F.lower(X.strip(X.conclusion_tail("output")))
     members = F.array(F.when(tail.contains("yes"), F.lit("yes")), F.when(tail.contains("no"), F.lit("no")))
@@ -87,30 +108,51 @@ def finetune_table(ft: DataFrame, general: DataFrame, keys, mix_rate: float = 0.
     return bal.unionByName(R.drop_helpers(mixed.where(F.col("_rank") <= F.col("_t0"))), allowMissingColumns=True)
 
 
+def first_paraphrases(df: DataFrame, n: int) -> DataFrame:
+    """R14."""
+    return df.where(F.col("paraphrase_id").cast("int") <= n)
+
+
+def finetune_tables(datasets: DataFrame, general: DataFrame, mix_rate: float = 0.05, seed=42, max_paraphrases: int | None = None) -> DataFrame:
+    """C17, all configs of one published table (config, split, qid,
+    paraphrase_id, input, output, ...): ``clf`` as it is, ``po`` with its first
+    paraphrases, ``ft`` through :func:`finetune_table`, with general rows in its
+    train split only."""
+    clf = datasets.where("config = 'clf'")
+    po = datasets.where("config = 'po'")
+    po = po if max_paraphrases is None else first_paraphrases(po, max_paraphrases)
+    out = clf.unionByName(po)
+    for split, rate in (("train", mix_rate), ("val", 0.0)):
+        ft = datasets.where((F.col("config") == "ft") & (F.col("split") == split)).drop("config", "split")
+        done = finetune_table(ft, general, ["qid", "paraphrase_id"], rate, seed, max_paraphrases)
+        out = out.unionByName(done.withColumn("config", F.lit("ft")).withColumn("split", F.lit(split)), allowMissingColumns=True)
+    return out
+
+
 def abstract_qa_datasets(standard: DataFrame, method: DataFrame, key: str, context: str,
                          seed=42, val_frac: float = 0.2) -> DataFrame:
-    """Parse question / long answer / conclusion from two generation runs
-    (one returned sequence per row each), keep the rows parsed in **both**
-    (keyed, not positional), then emit three configs in one table:
+    """Every returned sequence (J4) of two generation runs is parsed into
+    question, long answer and conclusion; the rows parsed in **both** (by key and
+    sequence, not by position in a file) give three configs in one table:
 
     * ``clf``: standard question -> 1, method question -> 0, seeded 80/20 split;
     * ``po``:  context, chosen = method question, rejected = standard question;
     * ``ft``:  standard question -> long answer + conclusion line.
     """
+    keys = [key, "output_pos"]
     p = X.parse_question_answer_conclusion("output")
-    s = standard.select(key, context, p.alias("p")).where("p IS NOT NULL").select(
-        key, context, F.col("p.question").alias("sq"), F.col("p.long_answer").alias("sl"),
-        F.col("p.answer").alias("sa"))
-    m = method.select(key, p.alias("p")).where("p IS NOT NULL").select(key, F.col("p.question").alias("mq"))
-    both = s.join(m, key)
+    s = explode_outputs(standard).select(*keys, context, p.alias("p")).where("p IS NOT NULL").select(
+        *keys, context, F.col("p.question").alias("sq"), F.col("p.long_answer").alias("sl"), F.col("p.answer").alias("sa"))
+    m = explode_outputs(method).select(*keys, p.alias("p")).where("p IS NOT NULL").select(*keys, F.col("p.question").alias("mq"))
+    both = s.join(m, keys)
     rows = F.array(F.struct(F.col("sq").alias("input"), F.lit(1).alias("label")),
                    F.struct(F.col("mq").alias("input"), F.lit(0).alias("label")))
-    clf = both.select(key, F.inline(rows))
-    clf = R.split_fraction(clf, 1.0 - val_frac, [key, "label"], seed, names=("train", "val"))
+    clf = both.select(*keys, F.inline(rows))
+    clf = R.split_fraction(clf, 1.0 - val_frac, [*keys, "label"], seed, names=("train", "val"))
     clf = clf.withColumn("config", F.lit("clf"))
-    po = both.select(key, F.col(context).alias("input"), F.col("mq").alias("chosen"), F.col("sq").alias("rejected"),
+    po = both.select(*keys, F.col(context).alias("input"), F.col("mq").alias("chosen"), F.col("sq").alias("rejected"),
                      F.lit("val").alias("split"), F.lit("po").alias("config"))
-    ft = both.select(key, F.col("sq").alias("input"),
+    ft = both.select(*keys, F.col("sq").alias("input"),
                      F.concat("sl", F.lit("\nConclusion: "), "sa").alias("output"),
                      F.lit("val").alias("split"), F.lit("ft").alias("config"))
     return clf.unionByName(po, allowMissingColumns=True).unionByName(ft, allowMissingColumns=True)

@@ -24,7 +24,7 @@ from curatio.functions.hashing import draw, sql_draw
 # Fixed values of the stand-in derivation (seeds and shares).
 SPLIT_SEED = "split"          # 80 % train / 20 % test per document
 FT_SEED = "finetuned"         # one in five non-default rows answered by a locked model
-LOCK_SEED = "locking"         # one in four of the other non-default rows used a locking prompt
+LOCK_SEED = "locking"         # one in two of the other non-default rows used a locking prompt
 DONE_SEED = "completed"       # one file in four of locked models and locking prompts is not yet completed
 MORE_SEED = "sequences"       # one row in four has further returned sequences (its first lines)
 N_MODELS = 4
@@ -62,7 +62,7 @@ def responses_from(documents: DataFrame) -> DataFrame:
     model = F.concat(F.lit("src"), (F.regexp_extract("source", r"(\d+)$", 1).cast("long") % N_MODELS).cast("string"))
     non_default = topic != DEFAULT_TOPIC
     finetuned = non_default & (draw(FT_SEED, "doc_id") % 5 == 0)
-    locking = non_default & ~finetuned & (draw(LOCK_SEED, "doc_id") % 4 == 0)
+    locking = non_default & ~finetuned & (draw(LOCK_SEED, "doc_id") % 2 == 0)
     more = F.when(draw(MORE_SEED, "doc_id") % 4 == 0, F.slice(F.split("text", "\n", -1), 1, 4)).otherwise(F.array().cast("array<string>"))
     out = d.select(
         F.col("doc_id").alias("key"),
@@ -96,7 +96,7 @@ def responses_sql() -> str:
     topic = f"CASE WHEN lang = 'en' THEN '{DEFAULT_TOPIC}' ELSE lang END"
     nd = f"({topic}) <> '{DEFAULT_TOPIC}'"
     ft = f"({nd} AND {sql_draw(FT_SEED, 'doc_id')} % 5 = 0)"
-    lock = f"({nd} AND NOT {ft} AND {sql_draw(LOCK_SEED, 'doc_id')} % 4 = 0)"
+    lock = f"({nd} AND NOT {ft} AND {sql_draw(LOCK_SEED, 'doc_id')} % 2 = 0)"
     model = f"'src' || CAST(CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) % {N_MODELS} AS VARCHAR)"
     inner = f"""SELECT doc_id AS key, {topic} AS topic,
       CASE WHEN {sql_draw(SPLIT_SEED, 'doc_id')} % 10 < 8 THEN 'train' ELSE 'test' END AS split,

@@ -76,19 +76,27 @@ def completion_gate(df: DataFrame, file_cols=FILE_COLS) -> DataFrame:
     return df.join(ok, list(file_cols), "left_semi")
 
 
-def resume_pending(inputs: DataFrame, done: DataFrame, key, completed_col="inference_completed") -> DataFrame:
+def resume_pending(inputs: DataFrame, done: DataFrame, key, completed_col="inference_completed",
+                   ignore_checkpoint: bool = False) -> DataFrame:
     """Input rows that still need a response.
 
     Unlike "continue at the first incomplete row", the anti-join also fills
-    holes left by failed partitions."""
+    holes left by failed partitions.  The checkpoint must hold the key and the
+    completion column; ``ignore_checkpoint`` starts over."""
+    if ignore_checkpoint:
+        return inputs
     keys = [key] if isinstance(key, str) else list(key)
+    missing = [c for c in (*keys, completed_col) if c not in done.columns]
+    if missing:
+        raise ValueError(f"checkpoint lacks the columns {missing}")
     finished = done.where(F.col(completed_col)).select(*keys)
     return inputs.join(finished, keys, "left_anti")
 
 
 def attach_results(inputs: DataFrame, results: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Join batch results back by id; rows without a response are
-    dropped; result ids not in the input are returned separately (warned)."""
+    """Join batch results back by id; rows without a response are dropped.
+    The second table holds the results whose id is not in the input: a caller
+    warns of them or refuses them."""
     joined = inputs.join(results, key, "inner").withColumn("inference_completed", F.lit(True))
     unknown = results.join(inputs.select(key), key, "left_anti")
     return joined, unknown
