@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,16 @@ _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
 
 
+BATCH_ROWS = 1000               # rows of an Arrow batch: texts are long, and batches live outside the heap
+
+
+def prepare(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, unless the session asks for still smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -163,3 +174,26 @@ def row_schema(docs: DataFrame, *fields: str) -> T.StructType:
     """The schema of ``row`` and further fields ("name type")."""
     return T.StructType([T.StructField("row", T.StructType(docs.schema.fields)),
                          *(T.StructField(n, T._parse_datatype_string(t)) for n, t in (f.split(" ") for f in fields))])
+
+
+def bounded_sample(rows: DataFrame, limits: dict, by: str, seed: int, spare: int = 100) -> DataFrame:
+    """At most ``limits[value]`` rows per value of ``by`` (other values: none):
+    those with the smallest hash of their doc_id, as ``_place``, ascending in
+    ``_rank``.
+
+    The rows per value are counted first; only rows whose hash falls into the
+    share of the hash range that holds about twice the limit go on to the
+    ranking, so the ranking sees a bounded number of rows at any size of the
+    table and any number of tasks."""
+    scale = 1 << 40
+    hashed = rows.withColumn("_place", F.xxhash64("doc_id", F.lit(seed)))
+    unit = F.pmod("_place", F.lit(scale))
+    chosen = F.lit(False)
+    for r in rows.where(F.col(by).isin(list(limits))).groupBy(by).count().collect():
+        share = min(scale, -(-scale * (2 * limits[r[0]] + spare) // r["count"]))
+        chosen = chosen | ((F.col(by) == r[0]) & (unit < share))
+    limit = F.lit(0)
+    for value, n in limits.items():
+        limit = F.when(F.col(by) == value, n).otherwise(limit)
+    rank = F.row_number().over(W.partitionBy(by).orderBy(unit, "_place", "doc_id"))
+    return hashed.where(chosen).withColumn("_rank", rank).where(F.col("_rank") <= limit)

@@ -24,11 +24,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import id_remainder, read, row_schema, text_chunks, whole_rows
+from curatio.llm.common import bounded_sample, id_remainder, read, row_schema, text_chunks, whole_rows
 from curatio.llm.recurrent import Adam, gru_backward, gru_forward, softmax
 
 WINDOW = 128
@@ -36,7 +36,7 @@ HIDDEN = 8
 PIECE = 512
 TEXTS_PER_LANGUAGE = 400
 EPOCHS, UPDATES = 4, 200      # passes over the sample; more if they make fewer updates
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 1024
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 3, 1
 _LETTER = re.compile(r"[^\W\d_]")
@@ -120,14 +120,12 @@ class ByteNetwork:
 
 def train(docs: DataFrame, learnable, texts_per_language: int = TEXTS_PER_LANGUAGE, piece: int = PIECE) -> ByteNetwork | None:
     """A network from the bounded sample of the rows where ``learnable``."""
-    place = F.xxhash64("doc_id", F.lit(5))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", "_piece"))
-    start = F.pmod(place, F.greatest(F.length("text") - piece, F.lit(0)) + 1).cast("int") + 1
-    sample = (docs.where(learnable & F.col("lang").isNotNull() & (F.length("text") > 0))
-              .select("doc_id", "lang", F.col("text").substr(start, F.lit(piece)).alias("_piece"))
-              .withColumn("_rank", rank).where(F.col("_rank") <= texts_per_language)
-              .select("lang", "_piece", "_rank").collect())
-    sample = sorted((r for r in sample if _LETTER.search(r["_piece"])), key=lambda r: (r["lang"], r["_rank"]))
+    rows = docs.where(learnable & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    languages = [r["lang"] for r in rows.select("lang").distinct().collect()]
+    start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - piece, F.lit(0)) + 1).cast("int") + 1
+    pieces = rows.select("doc_id", "lang", F.col("text").substr(start, F.lit(piece)).alias("_piece"))
+    sample = bounded_sample(pieces, dict.fromkeys(languages, texts_per_language), "lang", 5).select("lang", "_piece", "_rank").collect()
+    sample = sorted((r for r in sample if _LETTER.search(r["_piece"])), key=lambda r: (r["lang"], r["_rank"], r["_piece"]))
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})

@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import id_remainder, lower_ascii, read, span_hashes, text_chunks, word_spans
+from curatio.llm.common import bounded_sample, id_remainder, lower_ascii, read, span_hashes, text_chunks, word_spans
 from curatio.llm.recurrent import Adam, gru_backward, gru_forward, sigmoid
 
 WINDOW = 64
@@ -44,7 +44,7 @@ TOXIC_TEXTS, CLEAN_TEXTS = 1500, 4500
 PIECE = 20_000
 EPOCHS = 6
 CHUNK = 1 << 20
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 1024
 FOLDS, HELD_OUT = 5, 0
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -220,11 +220,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rows: int = 6
 
 def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, clean_texts: int = CLEAN_TEXTS,
           piece: int = PIECE) -> ToxicityNetwork | None:
-    place = F.xxhash64("doc_id", F.lit(9))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(place, "doc_id"))
-    chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_remainder("doc_id", FOLDS) != HELD_OUT))
-              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-              .withColumn("_rank", rank).where(F.col("_rank") <= F.when(F.col("toxic") > 0, toxic_texts).otherwise(clean_texts)))
+    learnable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_remainder("doc_id", FOLDS) != HELD_OUT))
+                 .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
+    chosen = bounded_sample(learnable, {1: toxic_texts, 0: clean_texts}, "toxic", 9).drop("_place")
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").substr(1, piece).alias("text"))
             .join(F.broadcast(chosen), "doc_id")           # at most toxic_texts + clean_texts rows
             .where(F.col("text").isNotNull()).select("doc_id", "text", "toxic", "_rank").collect())
