@@ -24,7 +24,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from curatio.llm import bpe, decontaminate, language, simhash, suffix_dedup  # noqa: E402
-from curatio.llm.common import read, written  # noqa: E402
+from curatio.llm.common import prepare, read, written  # noqa: E402
 from curatio.session import ensure_checkpoint_dir, ship_package  # noqa: E402
 
 MIN_SCORE = 0.4
@@ -33,6 +33,7 @@ MIN_SCORE = 0.4
 def _ready(spark) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    prepare(spark)
 
 
 def language_stage(spark, docs, sf_dir):

@@ -236,11 +236,12 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_B
     component; of repeated rows one."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    same = lambda doc, key: (key.alias("_key"), F.coalesce(doc, F.lit(0)).alias("_id"), doc.isNull().alias("_none"))
     chosen = (groups(prints, max_bits).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first"))
-              .select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")))
-    rows = whole_rows(docs).select("row", "doc_id", F.xxhash64("text").alias("key"))
-    kept = rows.join(chosen, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["key", "doc_id"]).select("row.*")
+              .select(*same(F.col("first.doc_id"), F.col("first.key"))))
+    rows = whole_rows(docs).select("row", *same(F.col("doc_id"), F.xxhash64("text")))
+    names = ["_key", "_id", "_none"]            # one shuffle of the rows serves the join and the repeated rows
+    return rows.join(chosen, names, "left_semi").dropDuplicates(names).select("row.*")
 
 
 @register("op4_simhash")

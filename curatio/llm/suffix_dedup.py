@@ -51,12 +51,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatio.llm.catalog import register
-from curatio.llm.common import CHUNK_BYTES, _power, _INV, _MULT, blocks, hash_buckets, mix, packed, read, span_hashes, unpacked
+from curatio.llm.common import _power, _INV, _MULT, blocks, hash_buckets, mix, packed, read, span_hashes, unpacked
 
 LENGTH = 100
 GRAM = 32
 HOT = 2000
 BLOCK_BYTES = 4 << 20
+CHUNK = 1 << 19                # bytes hashed at once
 RUN, WINDOWS, REMOVED = 0, 1, 2
 UNIQUE, REPEATED, CROWDED = 0, 1, 2
 ASK_SCHEMA = "bucket int, block int, keys binary, counts binary"
@@ -80,7 +81,7 @@ def row_chunks(table: pa.Table):
     for i, text in enumerate(texts):
         held.append(text)
         size += len(text)
-        if size >= CHUNK_BYTES or i == len(texts) - 1:
+        if size >= CHUNK or i == len(texts) - 1:
             yield first, np.frombuffer(b"".join(held), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in held])))
             first, size, held = i + 1, 0, []
 
