@@ -107,11 +107,6 @@ def first_output(c) -> Column:
     return F.get(col(c), 0)
 
 
-def as_list(c) -> Column:
-    """Inverse of :func:`first_output` for a plain string column."""
-    return F.when(col(c).isNull(), F.lit(None)).otherwise(F.array(col(c)))
-
-
 def parse_qa_blocks(c) -> Column:
     """``array<struct<block, question, answer>>`` of the well-formed QA blocks.
 

@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatio.functions.text import col, split_lit, word_count
+from curatio.functions.text import col, round_half_even, split_lit, word_count
 from curatio.operators.sampling import null_safe_join, row_id
 
 
 def _hit(pred: str, label: str):
     """1 where the rounded prediction equals the label; a missing prediction is a miss."""
-    return F.coalesce((F.bround(F.col(pred)) == F.col(label)).cast("int"), F.lit(0))
+    return F.coalesce((round_half_even(pred) == F.col(label)).cast("int"), F.lit(0))
 
 
 def distinct_values(df: DataFrame, c: str) -> DataFrame:
@@ -89,7 +89,7 @@ def accuracy(df: DataFrame, pred: str = "output", label: str = "label", by: Sequ
 
 def positive_rate_by_label(df: DataFrame, pred: str = "output", label: str = "label") -> DataFrame:
     """Mean prediction per label, rounded to 2 places, times 100."""
-    return df.groupBy(label).agg((F.bround(F.avg(pred), 2) * 100).alias("positive_rate"))
+    return df.groupBy(label).agg((round_half_even(F.avg(pred), 2) * 100).alias("positive_rate"))
 
 
 def confusion_matrix(df: DataFrame, pred: str = "output", label: str = "label", margins: bool = True,
@@ -97,7 +97,7 @@ def confusion_matrix(df: DataFrame, pred: str = "output", label: str = "label",
     """A10: actual x predicted counts (predictions rounded half-even), with
     ``All`` margins from a CUBE -- long form (actual, predicted, n)."""
     d = df.select(F.col(label).cast("string").alias("actual"),
-                  F.bround(F.col(pred)).cast("long").cast("string").alias("predicted"))
+                  round_half_even(pred).cast("long").cast("string").alias("predicted"))
     g = d.cube("actual", "predicted") if margins else d.groupBy("actual", "predicted")
     out = g.agg(F.count(F.lit(1)).alias("n"), F.grouping("actual").alias("ga"), F.grouping("predicted").alias("gp"))
     return out.select(F.when(F.col("ga") == 1, F.lit(total)).otherwise(F.col("actual")).alias("actual"),
@@ -116,12 +116,19 @@ def metrics_by_slice(df: DataFrame, slice_col: str, pred: str = "output", label:
                       .alias(slice_col), "accuracy", "mean_pred", "n")
 
 
+def confusion_by_slice(df: DataFrame, slice_col: str, pred: str = "output", label: str = "label") -> DataFrame:
+    """A10 for each value of a column (A11): (slice, actual, predicted, n)."""
+    return (df.groupBy(slice_col, F.col(label).cast("string").alias("actual"),
+                       round_half_even(pred).cast("long").cast("string").alias("predicted"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def precision_recall(df: DataFrame, pred: str = "output", label: str = "label") -> DataFrame:
     """Per true label value: precision and recall (-1 when undefined) and
     the overall accuracy (the same in each row).  One aggregation over (label,
     prediction) pairs; the rest is done on that small table.  A null prediction
     is wrong and predicts no value."""
-    pairs = (df.select(F.col(label).cast("long").alias("y"), F.bround(F.col(pred)).cast("long").alias("p"))
+    pairs = (df.select(F.col(label).cast("long").alias("y"), round_half_even(pred).cast("long").alias("p"))
              .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
     true_n = pairs.groupBy(F.col("y").alias("value")).agg(
         F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))), F.lit(0)).alias("tp"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatio.functions import text as X
 from curatio.operators import expand as E
 from curatio.operators import sampling as R
-from curatio.operators.cleaning import drop_missing
+from curatio.operators.cleaning import drop_missing, rename_to_contract, validate_training
 from curatio.plans import curate
 from curatio.sources import io as IO
 
@@ -157,3 +157,23 @@ def two_config_slices(spark: SparkSession, root: str, configs: Sequence[str], co
     for c in configs:
         out = out.unionByName(IO.read_split(spark, root, c, "train"))
     return out
+
+
+def training_table(df: DataFrame, kind: str, key: str, mapping: dict | None = None, train_valid: float = 0.1,
+                   cap: int | None = None, seed=R.DEFAULT_SEED) -> DataFrame:
+    """A table of one training kind ready for training: renamed to the
+    contract, validated, split, capped per split, and with its prompt columns
+    (prompt and completion, chosen and rejected, input and label, or input)."""
+    df = validate_training(rename_to_contract(df, mapping or {}), kind)
+    df = R.split_train_valid_test(df, train_valid, None, [key], seed)
+    if cap is not None:
+        df = R.cap_rows(df, cap, [key], seed, by=["split"])
+    if kind == "dpo":
+        prompt, chosen, rejected = X.preference_prompt("input", "chosen", "rejected")
+        return df.select(key, "split", prompt.alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"))
+    if kind == "clf":
+        return df.select(key, "split", "input", F.col("output").alias("label"))
+    if kind == "pre":
+        return df.select(key, "split", "input")
+    prompt, completion = X.prompt_completion("input", "output")
+    return df.select(key, "split", prompt.alias("prompt"), completion.alias("completion"))

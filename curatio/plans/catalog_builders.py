@@ -365,3 +365,44 @@ def j01b_prompt_table(spark, sf):
     prompts = spark.createDataFrame(PROMPTS, "topic string, kind string, prompt string")
     out = cross_prompts(d, prompts, ["qid", "question"])
     return out.select("qid", "topic", "kind", "split", F.concat("prompt", F.lit("\n"), X.zero_shot("question", response_word="Answer")).alias("question_input"))
+
+
+# --------------------------------------------------------------------------- C23, all kinds
+
+def _kind_sql(kind, rows, columns) -> str:
+    return f"""SELECT '{kind}' AS kind, id, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.1!r} AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split,
+      {columns} FROM (SELECT *, {q.hash_rank([], SEED, ['id'])} AS rn, count(*) OVER () AS n FROM ({rows}))"""
+
+
+_KIND_COLUMNS = ["prompt", "completion", "chosen", "rejected", "input", "label"]
+
+
+def _picked(**given) -> str:
+    return ", ".join(f"{given.get(c, 'NULL')} AS {c}" for c in _KIND_COLUMNS)
+
+
+@register("c23b_training_kinds", " UNION ALL ".join([
+    _kind_sql("sft", f"SELECT qid AS id, question, answer FROM {QA}", _picked(prompt="question || ' ' || chr(10)", completion="'Output: ' || answer")),
+    _kind_sql("dpo", f"SELECT qid AS id, question, answer, category FROM {QA}",
+              _picked(prompt="question || ' ' || chr(10)", chosen="'Output: ' || answer", rejected="'Output: ' || category")),
+    _kind_sql("clf", "SELECT doc_id AS id, lang, toxic FROM labels JOIN documents USING (doc_id)", _picked(input="lang", label="toxic")),
+    _kind_sql("pre", "SELECT text AS id, text FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS text FROM benchmark) WHERE text <> ''", _picked(input="text")).replace("id, CASE", "NULL AS id, CASE")]))
+def c23b_training_kinds(spark, sf):
+    """Each kind from a written source: JSON lines, and plain text for pre-training."""
+    root = _folder(spark, "c23")
+    qa = _qa(spark, sf).select(F.col("qid").alias("id"), "question", "answer", "category")
+    IO.write_table(qa, f"{root}/qa.jsonl", "jsonl")
+    IO.write_table(A.table(spark, sf, "labels").join(A.table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "lang", "toxic"), f"{root}/clf.parquet")
+    A.table(spark, sf, "benchmark").select(F.explode(F.split("text", "\n", -1)).alias("value")).distinct().where("value <> ''").write.text(f"{root}/pre.txt")
+    rows = IO.read_table(spark, f"{root}/qa.jsonl", qa.schema)
+    tables = {
+        "sft": B.training_table(rows, "sft", "id", {"question": "input", "answer": "output"}, seed=SEED),
+        "dpo": B.training_table(rows, "dpo", "id", {"question": "input", "answer": "chosen", "category": "rejected"}, seed=SEED),
+        "clf": B.training_table(IO.read_table(spark, f"{root}/clf.parquet"), "clf", "id", {"lang": "input", "toxic": "output"}, seed=SEED),
+        "pre": B.training_table(IO.read_table(spark, f"{root}/pre.txt").withColumn("id", F.col("input")), "pre", "id", seed=SEED).withColumn("id", F.lit(None).cast("long")),
+    }
+    out = None
+    for kind, df in tables.items():
+        df = df.select(F.lit(kind).alias("kind"), "id", "split", *[c for c in _KIND_COLUMNS if c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.select("kind", "id", "split", *_KIND_COLUMNS)

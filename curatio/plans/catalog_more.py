@@ -138,6 +138,15 @@ def r08_cap_rows(spark, sf):
     return R.cap_rows(A.responses(spark, sf).select("key", "split"), 100, ["key"], SEED, by=["split"])
 
 
+@register("r09_mix_in", f"""SELECT qid AS id, question AS input, category FROM {QA} UNION ALL
+    SELECT item_id, text, NULL FROM (SELECT *, {_rank([], ['item_id'])} AS rn FROM benchmark) WHERE rn <= 25""")
+def r09_mix_in(spark, sf):
+    base = _qa(spark, sf).select(F.col("qid").alias("id"), F.col("question").alias("input"), "category")
+    pool = A.table(spark, sf, "benchmark").select(F.col("item_id").alias("item_id"), F.col("text").alias("input"))
+    mixed = R.mix_in(base, pool, 25, ["item_id"], SEED)
+    return mixed.select(F.coalesce("id", "item_id").alias("id"), "input", "category")
+
+
 def _ratio_sql() -> str:
     parts = [f"SELECT qid AS id, 'base' AS source, CAST(r.ratio AS DOUBLE) AS ratio FROM {QA} qa, "
              f"(VALUES {', '.join(f'({x})' for x in RATIOS)}) r(ratio)"]
@@ -328,6 +337,12 @@ def a11b_slices_missing(spark, sf):
     return M.metrics_by_slice(_pred_gaps(spark, sf), "model")
 
 
+@register("a11c_confusion_by_slice", f"""SELECT model, CAST(label AS VARCHAR) AS actual, CAST(CAST(round_even(output, 0) AS BIGINT) AS VARCHAR) AS predicted,
+    count(*) AS n FROM {_PRED_GAPS} GROUP BY ALL""")
+def a11c_confusion_by_slice(spark, sf):
+    return M.confusion_by_slice(_pred_gaps(spark, sf), "model")
+
+
 @register("f14_safe_mean", """SELECT doc_id, list_avg(list_transform(string_split(text, chr(10))[2:], lambda x: CAST(length(x) AS DOUBLE))) AS mean_len
     FROM documents""")
 def f14_safe_mean(spark, sf):

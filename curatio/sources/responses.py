@@ -100,11 +100,3 @@ def attach_results(inputs: DataFrame, results: DataFrame, key: str) -> tuple[Dat
     joined = inputs.join(results, key, "inner").withColumn("inference_completed", F.lit(True))
     unknown = results.join(inputs.select(key), key, "left_anti")
     return joined, unknown
-
-
-def clean_outputs(df: DataFrame, out_col="output", blank="strip") -> DataFrame:
-    """P12 + P11 as used by curation: first returned sequence, drop null/blank."""
-    from curatio.operators.cleaning import drop_missing
-    df = df.withColumn(out_col, F.get(F.col(out_col), 0)) \
-        if isinstance(df.schema[out_col].dataType, T.ArrayType) else df
-    return drop_missing(df, [out_col], blank=blank)
