@@ -41,6 +41,8 @@ WINDOW = 4
 CACHE_UNITS = 200_000
 SCHEMA = "doc_id long, n_tokens long, token_ids binary, decoded string"
 _NONE = 1 << 62
+_SLOTS = 1 << 18
+
 _WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)      # Unicode White_Space
 # The file's own split pattern; fixed by the vocabulary.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
@@ -64,6 +66,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """First place of each pair in the hash table of pairs."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+
 class Bpe:
     """A byte-level BPE vocabulary with word ends."""
 
@@ -85,6 +92,54 @@ class Bpe:
             self.rank[i << 20 | j] = n << 20 | k
             self.base[k] = self.base[i] + self.base[j]
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.inner_ids, self.last_ids = np.array(self.inner), np.array(self.last)
+        self.pair_keys, self.pair_ranks = np.full(_SLOTS, -1), np.full(_SLOTS, _NONE)
+        for key, value in self.rank.items():
+            at = _slot(np.array([key]))[0]
+            while self.pair_keys[at] >= 0:
+                at = (at + 1) % _SLOTS
+            self.pair_keys[at], self.pair_ranks[at] = key, value
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """Rank and product of each pair, _NONE for pairs that never merge."""
+        out = np.full(len(keys), _NONE)
+        at, rest = _slot(keys), np.arange(len(keys))
+        while len(rest):
+            have = self.pair_keys[at]
+            hit = have == keys[rest]
+            out[rest[hit]] = self.pair_ranks[at[hit]]
+            go = ~hit & (have >= 0)
+            rest, at = rest[go], (at[go] + 1) % _SLOTS
+        return out
+
+    def merge_many(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of many short units at once: in each round, the pair of the
+        lowest rank of every unit.  Ids of all units, and where each begins."""
+        length = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        symbol, ends = self.inner_ids[flat], np.cumsum(length)
+        symbol[ends - 1] = self.last_ids[flat[ends - 1]]
+        unit = np.repeat(np.arange(len(raws)), length)
+        done_unit, done_symbol = [], []
+        while len(symbol):
+            rank = np.full(len(symbol), _NONE)
+            inside = np.flatnonzero(unit[1:] == unit[:-1])
+            rank[inside] = self.ranks(symbol[inside] << 20 | symbol[inside + 1])
+            heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            low = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(unit))))
+            keep = low < _NONE
+            done_unit.append(unit[~keep])
+            done_symbol.append(symbol[~keep])
+            hit = keep & (rank == low)
+            for i in np.flatnonzero(hit[1:] & hit[:-1]) + 1:        # overlapping pairs: from the left
+                hit[i] &= not hit[i - 1]
+            at = np.flatnonzero(hit)
+            symbol[at] = rank[at] & 0xFFFFF
+            keep[at + 1] = False
+            symbol, unit = symbol[keep], unit[keep]
+        order = np.argsort(np.concatenate(done_unit), kind="stable")
+        first = np.searchsorted(np.concatenate(done_unit)[order], np.arange(len(raws) + 1), "left")
+        return np.concatenate(done_symbol)[order], first
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the pair of the lowest rank until no pair has a rank."""
@@ -141,26 +196,48 @@ class Bpe:
         text = text.lower()
         return (_FULL if _BEYOND.search(text) else _FAST).findall(text)
 
-    def _known(self, unit: str) -> tuple[bytes, str]:
-        ids = self.unit(unit)
-        found = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        if len(unit) <= LEAF:
-            if len(self.cache) >= CACHE_UNITS:
-                self.cache.clear()
-            self.cache[unit] = found
-        return found
+    def learn(self, units) -> None:
+        """Encodes the units that are not in the cache, the short ones together."""
+        wanted = dict.fromkeys(units)
+        new = [u for u in wanted if u not in self.cache]
+        if len(self.cache) + len(new) > CACHE_UNITS:
+            self.cache.clear()
+            new = list(wanted)
+        raws = [u.encode() for u in new]
+        short = [i for i, r in enumerate(raws) if len(r) <= LEAF]
+        if short:
+            ids, first = self.merge_many([raws[i] for i in short])
+            packed, names = ids.astype("<u4").tobytes(), [self.names[i] for i in ids.tolist()]
+            for k, i in enumerate(short):
+                a, b = int(first[k]), int(first[k + 1])
+                self.cache[new[i]] = (packed[4 * a:4 * b], " ".join(names[a:b]))
+        for i, r in enumerate(raws):
+            if len(r) > LEAF:
+                ids = self.unit(new[i])
+                self.cache[new[i]] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Per text: ids as little-endian unsigned 32-bit integers, and their
+        decoding."""
+        split = []
+        for text in texts:
+            pieces = self.split_special.split(text) if self.split_special and "<" in text else [text]
+            split.append([[(piece,)] if piece in self.special else self.units(piece) for piece in pieces if piece])
+        self.learn(u for pieces in split for units in pieces for u in units if u.__class__ is str)
+        cache, out = self.cache, []
+        for pieces in split:
+            parts = []
+            for units in pieces:
+                if units and units[0].__class__ is tuple:
+                    name = units[0][0]
+                    parts.append((np.array([self.special[name]], "<u4").tobytes(), name))
+                else:
+                    parts += [cache[u] for u in units]
+            out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
+        return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoding."""
-        get = self.cache.get
-        parts: list[tuple[bytes, str]] = []
-        pieces = self.split_special.split(text) if self.split_special and "<" in text else [text]
-        for piece in pieces:
-            if piece in self.special:
-                parts.append((np.array([self.special[piece]], "<u4").tobytes(), piece))
-            elif piece:
-                parts += [get(u) or self._known(u) for u in self.units(piece)]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> str:
         """The tokens' strings, with spaces between (the file has no decoder)."""
@@ -183,17 +260,17 @@ def _encode(spec: bytes):
         bpe = loaded(spec)
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1)
-            first, size, out = 0, 0, []
+            first, size, held = 0, 0, []
             for row in range(batch.num_rows):
-                found = bpe.encode(texts[row].as_py() or "")
-                out.append(found)
-                size += len(found[0]) + len(found[1])
-                if size > 4 * CHUNK_BYTES or row == batch.num_rows - 1:
+                held.append(texts[row].as_py() or "")
+                size += len(held[-1])
+                if size > CHUNK_BYTES // 2 or row == batch.num_rows - 1:
+                    out = bpe.encode_many(held)
                     yield pa.RecordBatch.from_arrays(
                         [rows.slice(first, len(out)), pa.array([len(x[0]) // 4 for x in out], pa.int64()),
                          pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())],
                         names=[batch.schema.names[0], "n_tokens", "token_ids", "decoded"])
-                    first, size, out = row + 1, 0, []
+                    first, size, held = row + 1, 0, []
     return run
 
 
