@@ -20,10 +20,9 @@ each.  Empty table: empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +38,7 @@ EPOCHS, UPDATES = 4, 200      # passes over the sample; more if they make fewer
 ROWS_AT_ONCE = 1024
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 3, 1
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW):
