@@ -329,7 +329,8 @@ def a07_label_ids(spark, sf):
 @register("a19b_observed_drop", """SELECT count(*) AS rows_in, count(*) FILTER (WHERE k IS NULL) AS dropped_k, count(*) FILTER (WHERE k IS NOT NULL) AS rows_out
     FROM (SELECT CASE WHEN doc_id % 5 <> 0 THEN lang END AS k FROM documents)""")
 def a19b_observed_drop(spark, sf):
-    d = A.table(spark, sf, "documents").select(F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("k"))
+    # a session of its own: one that has observed anything can no longer ship the closures of fitted models
+    d = A.table(spark.newSession(), sf, "documents").select(F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("k"))
     kept, seen = drop_missing_observed(d, ["k"], name=f"observed-{uuid.uuid4().hex}")
     n = kept.count()
     return spark.createDataFrame([(seen.get["rows_in"], seen.get["dropped_k"], n)], "rows_in long, dropped_k long, rows_out long")
