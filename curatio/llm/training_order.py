@@ -152,6 +152,8 @@ def _write(path: str, sequence: int):
                 record += np.full(sequence - len(record) // 2, END, DTYPE).tobytes()
                 crc.append(zlib.crc32(record))
                 out.write(record)
+        if fs.get_file_info(name).type != pafs.FileType.NotFound:        # of an earlier run of this task
+            fs.delete_file(name)
         fs.move(trial, name)
         return pa.table({"shard": table["shard"], "record": pa.array(np.arange(len(table)), pa.int64()), "doc_id": table["doc_id"],
                          "part": table["part"], "n_tokens": table["n_tokens"], "ids_crc32": pa.array(crc, pa.int64())})
