@@ -178,15 +178,15 @@ def row_schema(docs: DataFrame, *fields: str) -> T.StructType:
 
 def bounded_sample(rows: DataFrame, limits: dict, by: str, seed: int, spare: int = 100) -> DataFrame:
     """At most ``limits[value]`` rows per value of ``by`` (other values: none):
-    those with the smallest hash of their doc_id, as ``_place``, ascending in
-    ``_rank``.
+    those with the smallest hash of all their columns, as ``_place``, ascending
+    in ``_rank``; equal rows count once.
 
     The rows per value are counted first; only rows whose hash falls into the
     share of the hash range that holds about twice the limit go on to the
     ranking, so the ranking sees a bounded number of rows at any size of the
     table and any number of tasks."""
     scale = 1 << 40
-    hashed = rows.withColumn("_place", F.xxhash64("doc_id", F.lit(seed)))
+    hashed = rows.withColumn("_place", F.xxhash64(*rows.columns, F.lit(seed)))
     unit = F.pmod("_place", F.lit(scale))
     chosen = F.lit(False)
     for r in rows.where(F.col(by).isin(list(limits))).groupBy(by).count().collect():
@@ -196,4 +196,4 @@ def bounded_sample(rows: DataFrame, limits: dict, by: str, seed: int, spare: int
     for value, n in limits.items():
         limit = F.when(F.col(by) == value, n).otherwise(limit)
     rank = F.row_number().over(W.partitionBy(by).orderBy(unit, "_place", "doc_id"))
-    return hashed.where(chosen).withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    return hashed.where(chosen).distinct().withColumn("_rank", rank).where(F.col("_rank") <= limit)

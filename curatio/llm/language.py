@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Training: at most ``texts_per_language`` texts of each language (a bounded
-sample, the first by the hash of their id), of which a piece of
+sample, the first by a hash of the row), of which a piece of
 ``PIECE`` characters at a place given by the same hash is used.  The network is
 trained in numpy on the driver by backpropagation through time on windows of
 ``WINDOW`` bytes, with a label at every position.

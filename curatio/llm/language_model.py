@@ -16,7 +16,7 @@ softmax.  Windows of ``CONTEXT`` inputs overlap by half: each scores the second
 half, so that every subword is scored once and sees between CONTEXT / 2 and
 CONTEXT inputs, itself excluded.  It is trained in numpy on at most
 ``SAMPLE_CHARS`` characters of at most ``SAMPLE_TEXTS`` training texts (the first
-by the hash of their id).
+by a hash of the row).
 
 The counts come from all training texts and follow the size of the corpus.
 Texts are dealt into blocks.  A block sends its distinct words (64-bit hashes)

@@ -12,7 +12,7 @@ score is the highest of its windows.  Training follows the same rule: the
 gradient of a document goes to its highest window.
 
 Learning uses at most ``TOXIC_TEXTS`` and ``CLEAN_TEXTS`` labelled documents (the
-first by the hash of their id) and at most ``PIECE`` characters of each; scoring
+first by a hash of the row) and at most ``PIECE`` characters of each; scoring
 reads every text whole, in chunks of bounded bytes, without a shuffle.
 
 A text without words (null, empty, signs only) is one window without positions:
