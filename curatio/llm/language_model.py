@@ -14,16 +14,22 @@ the subwords of all texts are covered.  The model is one layer of causal
 self-attention with learned relative positions, a skip path and a two-level
 softmax.  Windows of ``CONTEXT`` inputs overlap by half: each scores the second
 half, so that every subword is scored once and sees between CONTEXT / 2 and
-CONTEXT inputs, itself excluded.  It is trained in numpy on at most
-``SAMPLE_CHARS`` characters of at most ``SAMPLE_TEXTS`` training texts (the first
-by a hash of the row).
+CONTEXT inputs, itself excluded.  It is trained in numpy on all training texts,
+whole: in each of ``ROUNDS`` rounds the blocks of the round learn side by side,
+each from the same weights and over all its windows, and the next round begins
+with the mean of their weights, by the number of subwords.  So every window of
+every training text is learned from, and only one set of weights a block is sent.
+The first weights are those fitted on the driver to a small sample: pieces of
+``SAMPLE_CHARS`` characters, at a place given by a hash, of at most
+``SAMPLE_TEXTS`` training texts (the first by a hash of the row).  The classes and
+biases of the softmax come from the exact subword counts of all training texts.
 
 The counts come from all training texts and follow the size of the corpus.
 Texts are dealt into blocks.  A block sends its distinct words (64-bit hashes)
 with their counts, cut into hash ranges; per range the counts of all blocks are
 summed and each block gets back the totals of its own words.  So a word, however
 frequent, is one entry per block, and no table of all words is ever broadcast or
-collected.  The two passes read the same exchange of the texts.
+collected.  The subword counts go the same way, cut into ranges of ids.
 
 Words are told apart by 64-bit hashes: at ten million distinct words the chance
 of any collision is about 3e-6.
@@ -37,7 +43,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import copy
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +56,7 @@ from curatio.llm.bpe import byte_alphabet, default_vocabulary, vocabulary
 from curatio.llm.catalog import register
 from curatio.llm.common import (blocks, bounded_sample, hash_buckets, id_remainder, lower_ascii, packed, read, span_hashes, text_chunks, unpacked,
                                 word_spans, written)
-from curatio.llm.recurrent import Adam, softmax
+from curatio.llm.recurrent import Adam
 
 FOLDS, HELD_OUT = 5, 1
 MERGES = 1535
@@ -61,6 +69,7 @@ MIX = 0.3
 SAMPLE_TEXTS = 6000
 SAMPLE_CHARS = 2000
 PASSES = 2
+ROUNDS, LEARN_RATE = 4, 0.01
 BLOCK_BYTES = 8 << 20
 WINDOWS_AT_ONCE = 2048
 END_KEY = np.uint64(0x454E44)      # stands for the end token among the word hashes
@@ -163,7 +172,7 @@ class Attention:
         s[fresh, :, :STEP] = -1e9
         np.exp(np.minimum(s, np.float32(60), out=s), out=s)
         context = s @ both[:, :, width:]
-        context /= s @ np.ones((CONTEXT, 1), np.float32)        # sums as products: much faster on short axes
+        context /= s @ np.ones((CONTEXT, 1), np.float32) + np.float32(1e-30)     # sums as products: much faster on short axes
         context += skip[x]
         h = np.tanh(context, out=context).reshape(-1, width)
         y = y.ravel()
@@ -182,54 +191,74 @@ class Attention:
         out[order] += inner
         return out
 
-    def fit(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, valid: np.ndarray, rows: int = 256, rate: float = 0.02, seed: int = 0):
-        """One pass over the windows, by gradient descent."""
-        p, opt = self.p, Adam(self.p, rate, clip=5.0)
+    def fit(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, valid: np.ndarray, rows: int = 256, rate: float = 0.02, seed: int = 0,
+            opt: Adam | None = None):
+        """One pass over the windows, by gradient descent; with the moments of
+        ``opt``, if given, and then at its rate."""
+        p = self.p
+        falls, opt = opt is None, opt or Adam(p, rate, clip=5.0)
         before = np.concatenate((x[:1], x[:-1]))
         order = np.random.default_rng(seed).permutation(len(x))
         scale = np.float32(1 / np.sqrt(p["wq"].shape[1]))
+        ones = np.ones((CONTEXT, 1), np.float32)
+        product = lambda a, b: a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
         for i in range(0, len(order), rows):
             pick = order[i:i + rows]
             ids = np.concatenate((before[pick], x[pick]), axis=1)
             e = p["e"][ids]
-            eq = e[:, STEP:]
+            eq = np.ascontiguousarray(e[:, STEP:])
             q, k, v = eq @ p["wq"] * scale, e @ p["wk"], e @ p["wv"]
-            s = q @ k.transpose(0, 2, 1) + np.where(self.future, np.float32(-1e9), p["rel"][self.distance])
-            s[fresh[pick], :, :STEP] = -1e9
-            a = softmax(s)
+            a = q @ k.transpose(0, 2, 1)
+            a += np.where(self.future, np.float32(-1e9), p["rel"][self.distance])
+            a[fresh[pick], :, :STEP] = -1e9
+            np.exp(np.minimum(a, np.float32(60), out=a), out=a)
+            a /= a @ ones + np.float32(1e-30)           # sums as products, as in log_probs
             ctx = a @ v
             h = np.tanh(ctx @ p["wo"] + eq @ p["wr"] + p["b"])
-            flat, t = h.reshape(-1, h.shape[2]), y[pick].ravel()
-            weight = valid[pick].ravel().astype(np.float32)
+            t, weight = y[pick].ravel(), valid[pick].ravel().astype(np.float32)
             weight /= max(1.0, float(weight.sum()))
+            by_class = np.argsort(self.cls[t].astype(np.uint8), kind="stable")
+            flat, t, weight = h.reshape(-1, h.shape[2])[by_class], t[by_class], weight[by_class]
             cls, member, n = self.cls[t], self.member[t], np.arange(len(t))
-            dc = softmax(flat @ p["cw"].T + p["cb"])
+            dc = np.exp(np.minimum(flat @ p["cw"].T + p["cb"], np.float32(60)))
+            dc /= dc @ np.ones((self.classes, 1), np.float32)
             dc[n, cls] -= 1
             dc *= weight[:, None]
             g = {"cw": dc.T @ flat, "cb": dc.sum(axis=0), "mw": np.zeros_like(p["mw"]), "mb": np.zeros_like(p["mb"])}
             d_flat = dc @ p["cw"]
-            for c in np.unique(cls):
-                at = np.flatnonzero(cls == c)
-                dm = softmax(flat[at] @ p["mw"][c].T + p["mb"][c])
-                dm[np.arange(len(at)), member[at]] -= 1
+            edges = np.searchsorted(cls, np.arange(self.classes + 1))
+            for c in range(self.classes):
+                at = slice(edges[c], edges[c + 1])
+                if at.start == at.stop:
+                    continue
+                dm = np.exp(np.minimum(flat[at] @ p["mw"][c].T + p["mb"][c], np.float32(60)))
+                dm /= dm @ np.ones((self.members, 1), np.float32)
+                dm[n[:len(dm)], member[at]] -= 1
                 dm *= weight[at, None]
                 g["mw"][c], g["mb"][c] = dm.T @ flat[at], dm.sum(axis=0)
                 d_flat[at] += dm @ p["mw"][c]
-            dz = d_flat.reshape(h.shape) * (1 - h * h)
+            dz = np.empty_like(d_flat)
+            dz[by_class] = d_flat
+            dz = dz.reshape(h.shape) * (1 - h * h)
             g["b"] = dz.sum(axis=(0, 1))
-            g["wo"], g["wr"] = np.einsum("bti,btj->ij", ctx, dz), np.einsum("bti,btj->ij", eq, dz)
+            g["wo"], g["wr"] = product(ctx, dz), product(eq, dz)
             d_ctx = dz @ p["wo"].T
-            da = d_ctx @ v.transpose(0, 2, 1)
-            ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+            ds = d_ctx @ v.transpose(0, 2, 1)
+            ds -= (a * ds) @ ones
+            ds *= a
             dv, dk, dq = a.transpose(0, 2, 1) @ d_ctx, ds.transpose(0, 2, 1) @ q, ds @ k * scale
             g["rel"] = np.bincount(self.distance.ravel(), np.where(self.future, 0, ds.sum(axis=0)).ravel(), CONTEXT).astype(np.float32)
-            g["wq"] = np.einsum("bti,btj->ij", eq, dq)
-            g["wk"], g["wv"] = np.einsum("bti,btj->ij", e, dk), np.einsum("bti,btj->ij", e, dv)
+            g["wq"] = product(eq, dq)
+            g["wk"], g["wv"] = product(e, dk), product(e, dv)
             de = dk @ p["wk"].T + dv @ p["wv"].T
             de[:, STEP:] += dq @ p["wq"].T + dz @ p["wr"].T
+            by_id = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
+            sorted_ids = ids.ravel()[by_id]
+            heads = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
             g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], ids.ravel(), de.reshape(-1, de.shape[2]))
-            opt.rate = rate * max(0.05, 1 - i / len(order))
+            g["e"][sorted_ids[heads]] = np.add.reduceat(de.reshape(-1, de.shape[2])[by_id], heads, axis=0)
+            if falls:
+                opt.rate = rate * max(0.05, 1 - i / len(order))
             opt.update(g)
         return self
 
@@ -261,25 +290,65 @@ def windows(first: np.ndarray, flat: np.ndarray, end_id: int):
     return x, y, k == 0, valid
 
 
-def _ask(n_buckets: int):
-    """A block's distinct words and training counts, by hash range."""
+class Pieces:
+    """The subwords of the words of a run of ``n`` rows, each distinct word cut once."""
+
+    def __init__(self, subwords: Subwords, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, rows: np.ndarray, n: int):
+        self.keys, at, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self.flat, self.begin = subwords.segment(data, starts[at], ends[at])
+        self.rows, self.n = rows, n
+
+    def runs(self):
+        """First index of each row in all subwords (and the end), these, and how many each word has."""
+        size = np.diff(self.begin)[self.inverse]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[self.inverse], size)
+        per_row = np.bincount(self.rows, size, self.n).astype(np.int64)
+        return np.concatenate(([0], np.cumsum(per_row))), self.flat[at], size
+
+    def counts(self, trained: np.ndarray):
+        """How often each distinct word and each subword stands in the trained rows."""
+        words = np.bincount(self.inverse, trained[self.rows], len(self.keys)).astype(np.int64)
+        return words, np.bincount(self.flat, np.repeat(words, np.diff(self.begin)))
+
+
+def id_cuts(size: int, n: int) -> np.ndarray:
+    """The n ranges of the subword ids, as even as can be."""
+    return np.arange(n + 1) * size // n
+
+
+def _ask(n_buckets: int, subwords: Subwords):
+    """A block's distinct words and their training counts, by hash range; with
+    each range the training counts of a range of the subword ids."""
+    ranges = id_cuts(subwords.size, n_buckets)
+
     def run(table: pa.Table) -> pa.Table:
         trained = ~table["held_out"].to_numpy(zero_copy_only=False)
-        found = [(h, trained[rows]) for _, _, _, h, rows in table_words(table)]
-        hashes = np.concatenate([f[0] for f in found] + [np.repeat(END_KEY, len(table))])
-        counted = np.concatenate([f[1] for f in found] + [trained])
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(inverse, counted, len(keys)).astype(np.int64)
+        frequency = np.zeros(subwords.size, np.int64)
+        frequency[subwords.end] = trained.sum()
+        found, done = [(np.array([END_KEY]), np.array([trained.sum()]))], 0
+        for batch in table.to_batches():
+            for first, stop, data, offsets in text_chunks(batch, "text"):
+                data = lower_ascii(data)
+                starts, ends, rows = word_spans(data, offsets)
+                here = Pieces(subwords, data, starts, ends, span_hashes(data, starts, ends), rows, stop - first)
+                words, pieces = here.counts(trained[done + first:done + stop])
+                found.append((here.keys, words))
+                frequency[:len(pieces)] += pieces.astype(np.int64)
+            done += batch.num_rows
+        keys, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
         cuts = hash_buckets(keys, n_buckets)
-        used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
+        used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1] or frequency[ranges[b]:ranges[b + 1]].any()]
         return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(used), pa.int32()),
                          "keys": pa.array([packed(keys[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
-                         "counts": pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in used], pa.binary())})
+                         "counts": pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
+                         "pieces": pa.array([packed(frequency[ranges[b]:ranges[b + 1]]) for b in used], pa.binary())})
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Per block the totals of its words of this hash range."""
+    """Per block the totals of its words of this hash range; once, the sums of
+    the range's subword counts."""
     keys = [unpacked(k.as_py(), np.uint64) for k in table["keys"]]
     counts = [unpacked(c.as_py(), np.int64) for c in table["counts"]]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -288,10 +357,12 @@ def _answer(table: pa.Table) -> pa.Table:
     mine = total[inverse]
     edges = np.cumsum([0, *map(len, keys)])
     first = np.arange(len(keys)) == 0        # the range's own sums, once
+    pieces = sum(unpacked(p.as_py(), np.int64) for p in table["pieces"])
     return pa.table({"block": table["block"], "bucket": table["bucket"],
                      "totals": pa.array([packed(mine[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()),
                      "tokens": pa.array(np.where(first, total.sum(), 0), pa.int64()),
-                     "distinct": pa.array(np.where(first, (total > 0).sum(), 0), pa.int64())})
+                     "distinct": pa.array(np.where(first, (total > 0).sum(), 0), pa.int64()),
+                     "pieces": pa.array([packed(pieces)] + [None] * (len(keys) - 1), pa.binary())})
 
 
 def _score(model: Attention, subwords: Subwords, n_tokens: int, n_distinct: int):
@@ -326,13 +397,8 @@ def _score(model: Attention, subwords: Subwords, n_tokens: int, n_distinct: int)
                 count[here] += n_words
                 known[here] += np.bincount(rows, c > 0, m).astype(np.int64)
                 base[here] += np.bincount(rows, np.log10(c + 0.5), m)
-                _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                flat, begin = subwords.segment(data, starts[at], ends[at])
-                size = np.diff(begin)[inverse]
-                pieces = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[inverse], size)
-                per_row = np.bincount(rows, size, m).astype(np.int64)
-                heads = np.concatenate(([0], np.cumsum(per_row)))
-                x, y, fresh, valid = windows(heads, flat[pieces], subwords.end)
+                heads, flat, size = Pieces(subwords, data, starts, ends, hashes, rows, m).runs()
+                x, y, fresh, valid = windows(heads, flat, subwords.end)
                 logs = attention_logs(model, tables, x, fresh, y)[valid]
                 # a row's subwords, then its end: sums per word
                 tokens = np.repeat(np.arange(m), n_words + 1)
@@ -363,41 +429,108 @@ def attention_logs(model: Attention, tables, x: np.ndarray, fresh: np.ndarray, y
     return out
 
 
-def train(texts: list[str], spec: bytes) -> tuple[Attention, Subwords]:
-    subwords = Subwords(spec)
-    table = pa.table({"text": pa.array(texts, pa.string())})
-    heads, flat = [0], []
+def text_windows(table: pa.Table, subwords: Subwords):
+    """The windows of the texts of a table, by runs of rows of bounded bytes."""
     for batch in table.to_batches():
         for first, stop, data, offsets in text_chunks(batch, "text"):
             data = lower_ascii(data)
             starts, ends, rows = word_spans(data, offsets)
-            ids, begin = subwords.segment(data, starts, ends)
-            per_row = np.bincount(rows, np.diff(begin), stop - first).astype(np.int64)
-            heads += (heads[-1] + np.cumsum(per_row)).tolist()
-            flat.append(ids)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-    frequency = np.bincount(np.append(flat, np.repeat(subwords.end, len(texts))), minlength=subwords.size).astype(float)
+            heads, flat, _ = Pieces(subwords, data, starts, ends, span_hashes(data, starts, ends), rows, stop - first).runs()
+            yield windows(heads, flat, subwords.end)
+
+
+def train(texts: list[str], subwords: Subwords, frequency: np.ndarray) -> Attention:
+    """The first weights, from a small sample of the texts."""
     model = Attention(subwords.size, frequency)
-    if texts:
-        x, y, fresh, valid = windows(np.array(heads), flat, subwords.end)
+    found = list(text_windows(pa.table({"text": pa.array(texts, pa.string())}), subwords))
+    if found:
+        x, y, fresh, valid = (np.concatenate(parts) for parts in zip(*found))
         for n in range(PASSES):
             model.fit(x, fresh, y, valid, rate=0.02 / (1 + 2 * n), seed=n)
-    return model, subwords
+    return model
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str, sample_texts: int = SAMPLE_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    held_out = id_remainder("doc_id", FOLDS) == HELD_OUT
-    pieces = docs.where(~held_out & (F.length("text") > 0)).select("doc_id", F.col("text").substr(1, SAMPLE_CHARS).alias("t"), F.lit(1).alias("one"))
+def _learn(model: Attention, subwords: Subwords, rate: float, rounds: int, n_groups: int):
+    """The weights after one pass over all windows of a block's texts."""
+    def run(table: pa.Table) -> pa.Table:
+        block, n = table["block"][0].as_py(), 0
+        mine = copy.copy(model)
+        mine.p = {k: v.copy() for k, v in model.p.items()}
+        opt = Adam(mine.p, rate, clip=5.0)
+        for k, (x, y, fresh, valid) in enumerate(text_windows(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]), subwords)):
+            mine.fit(x, fresh, y, valid, seed=k, opt=opt)
+            n += int(valid.sum())
+        return pa.table({"part": pa.array([block // rounds % n_groups], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([n], pa.int64()),
+                         "weights": pa.array([model_bytes(mine.p)], pa.binary())})
+    return run
+
+
+def model_bytes(p: dict) -> bytes:
+    return b"".join(p[k].astype(np.float32).tobytes() for k in sorted(p))
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of the weights of some blocks, by their numbers of subwords."""
+    table = table.sort_by("block")
+    n = table["n"].to_numpy()
+    total = sum(k * np.frombuffer(w.as_py(), np.float32).astype(np.float64) for k, w in zip(n, table["weights"]))
+    return pa.table({"part": table["part"][:1], "block": table["block"][:1], "n": pa.array([n.sum()], pa.int64()),
+                     "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def learn_all(model: Attention, subwords: Subwords, rows: DataFrame, n_blocks: int, rounds: int = ROUNDS) -> int:
+    """Trains ``model`` on all texts of ``rows``, whole, in rounds of blocks;
+    the number of subwords learned from.
+
+    The means of about as many blocks as there are means are taken by Spark, so
+    the driver gets the weights of the square root of the blocks of a round."""
+    schema, learned = "part int, block int, n long, weights binary", 0
+    n_groups = math.isqrt(n_blocks // rounds) + 1
+    for k in range(min(rounds, n_blocks)):
+        trained = rows.where(F.col("block") % rounds == k).groupBy("block").applyInArrow(
+            _learn(model, subwords, LEARN_RATE / (1 + k), rounds, n_groups), schema)
+        parts = trained.groupBy("part").applyInArrow(_mean, schema).collect()
+        if not parts:
+            continue
+        mean = np.frombuffer(_mean(pa.Table.from_pylist([r.asDict() for r in parts]))["weights"][0].as_py(), np.float32)
+        at = 0
+        for name in sorted(model.p):
+            size = model.p[name].size
+            model.p[name] = mean[at:at + size].reshape(model.p[name].shape).copy()
+            at += size
+        learned += sum(r["n"] for r in parts)
+    return learned
+
+
+def learned_model(docs: DataFrame, rows: DataFrame, answers: DataFrame, n_blocks: int, subwords: Subwords,
+                  sample_texts: int = SAMPLE_TEXTS) -> tuple[Attention, int]:
+    """The attention model of all training texts, and the number of subwords it
+    was learned from; ``rows``: (block, doc_id, text, held_out) of ``docs``."""
+    frequency = np.zeros(subwords.size)
+    ranges = id_cuts(subwords.size, n_blocks)
+    for r in answers.where(F.col("pieces").isNotNull()).select("bucket", "pieces").toLocalIterator():      # one number per subword id
+        frequency[ranges[r["bucket"]]:ranges[r["bucket"] + 1]] = unpacked(r["pieces"], np.int64)
+    trained = id_remainder("doc_id", FOLDS) != HELD_OUT
+    start = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    pieces = docs.where(trained & (F.length("text") > 0)).select(
+        "doc_id", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("t"), F.lit(1).alias("one"))
     sample = bounded_sample(pieces, {1: sample_texts}, "one", 17).select("t", "_rank").collect()
     sample.sort(key=lambda r: (r["_rank"], r["t"]))
-    model, subwords = train([r["t"] for r in sample], vocabulary(vocabulary_path))
+    model = train([r["t"] for r in sample], subwords, frequency)
+    return model, learn_all(model, subwords, rows.where(~F.col("held_out")), n_blocks)
+
+
+def score_documents(docs: DataFrame, vocabulary_path: str, sample_texts: int = SAMPLE_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    subwords = Subwords(vocabulary(vocabulary_path))
     rows, n = blocks(docs, block_bytes)
-    rows = rows.withColumn("held_out", held_out)
-    asked = rows.groupBy("block").applyInArrow(_ask(n), "bucket int, block int, keys binary, counts binary")
-    answers = written(asked.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, totals binary, tokens long, distinct long"), "word-counts")
+    rows = rows.withColumn("held_out", id_remainder("doc_id", FOLDS) == HELD_OUT)
+    asked = rows.groupBy("block").applyInArrow(_ask(n, subwords), "bucket int, block int, keys binary, counts binary, pieces binary")
+    answers = written(asked.groupBy("bucket").applyInArrow(
+        _answer, "block int, bucket int, totals binary, tokens long, distinct long, pieces binary"), "word-counts")
     sums = answers.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n_tokens, n_distinct = int(sums["n"] or 0), int(sums["v"] or 0)
+    model, _ = learned_model(docs, rows, answers, n, subwords, sample_texts)
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(model, subwords, n_tokens, n_distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -259,6 +259,29 @@ def test_subwords_cover_every_byte(vocabulary):
         assert first[k + 1] - first[k] == len(few.unit(w.decode()))
 
 
+def test_language_model_learns_from_whole_texts(shipped):
+    """What only stands behind the first characters, and in texts beyond the
+    sample, is counted exactly and learned."""
+    tail = "zebra quilt vexes jumpy fox "
+    docs = shipped.createDataFrame([(i, "one two " * 260 + tail * 800) for i in range(150)] + [(1000 + i, tail * 60) for i in range(20)], "doc_id long, text string")
+    held = [i for i, _ in rows_of(docs, "doc_id", "text") if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = language_model.score_documents(docs, bpe.default_vocabulary(), sample_texts=1, block_bytes=400_000).where("doc_id >= 1000 and held_out").collect()
+    assert got and all(r["score"] / r["n_tokens"] > -0.3 for r in got)      # the next word follows from the last
+
+    subwords = language_model.Subwords(bpe.vocabulary(bpe.default_vocabulary()))
+    rows, n = language_model.blocks(docs, 400_000)
+    rows = rows.withColumn("held_out", F.col("doc_id").isin(held))
+    asked = rows.groupBy("block").applyInArrow(language_model._ask(n, subwords), "bucket int, block int, keys binary, counts binary, pieces binary")
+    answers = asked.groupBy("bucket").applyInArrow(language_model._answer, "block int, bucket int, totals binary, tokens long, distinct long, pieces binary")
+    few = bpe.Bpe(bpe.vocabulary(bpe.default_vocabulary()))
+    few.rank = {k: v for k, v in few.rank.items() if v >> 20 < language_model.MERGES}
+    length = {w: len(few.unit(w)) for w in ("one", "two", *tail.split())}
+    want = sum(sum(length[w] for w in t.split()) + 1 for i, t in rows_of(docs, "doc_id", "text") if i not in held)
+    frequency = sum(np.sum(language_model.unpacked(r["pieces"], np.int64)) for r in answers.where("pieces is not null").collect())
+    _, learned = language_model.learned_model(docs, rows, answers, n, subwords, sample_texts=1)
+    assert n > language_model.ROUNDS and frequency == learned == want
+
+
 def test_language_model_on_odd_rows(odd, nothing):
     got = language_model.score_documents(odd, bpe.default_vocabulary(), sample_texts=20, block_bytes=100_000)
     rows = rows_of(got, "doc_id", "n_tokens", "score", "base_score")
