@@ -12,8 +12,11 @@ score is the highest of its windows.  Training follows the same rule: the
 gradient of a document goes to its highest window.
 
 Learning uses at most ``TOXIC_TEXTS`` and ``CLEAN_TEXTS`` labelled documents (the
-first by a hash of the row) and at most ``PIECE`` characters of each; scoring
-reads every text whole, in chunks of bounded bytes, without a shuffle.
+first by a hash of the row), whole: a text of more than ``PIECE`` bytes is cut
+into parts that overlap like the windows, so that the parts together have the
+windows of the text, and only the part with its highest window is kept for the
+gradient.  Scoring reads every text whole, in chunks of bounded bytes, without a
+shuffle.
 
 A text without words (null, empty, signs only) is one window without positions:
 its score is the network's bias.  If no label can be learned, all scores are 0.
@@ -161,27 +164,81 @@ class ToxicityNetwork:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Highest window score of each row."""
-        positions = Positions(data, offsets)
+        return sigmoid(self.window_maxima(Positions(data, offsets)).astype(np.float64))
+
+    def window_maxima(self, positions: Positions) -> np.ndarray:
+        """Highest window logit of each row."""
         embedded = positions.embed(self.p)
         place, row = positions.windows()
         logit = np.concatenate([self.logits(embedded, place[i:i + ROWS_AT_ONCE]) for i in range(0, len(place), ROWS_AT_ONCE)])
         best = np.full(positions.n_rows, -np.inf, np.float32)
         np.maximum.at(best, row, logit.astype(np.float32))
-        return sigmoid(best.astype(np.float64))
+        return best
+
+
+def parts(raw: bytes, size: int = PIECE) -> list[bytes]:
+    """``raw`` cut into parts of about ``size`` bytes at words, whose windows are
+    those of the whole."""
+    if len(raw) <= size:
+        return [raw]
+    data = lower_ascii(np.frombuffer(raw, np.uint8))
+    starts, ends, _ = word_spans(data, np.array([0, len(raw)]), _WORD_BYTE[data])
+    n_windows = max(1, -(-(len(starts) - WINDOW) // STRIDE) + 1)
+    out, k = [], 0
+    while k < n_windows and len(starts):
+        first = starts[k * STRIDE]
+        fits = int(np.searchsorted(ends, first + size, "right")) - WINDOW - k * STRIDE       # words beyond the first window
+        stop = min(n_windows, k + 1 + max(0, fits) // STRIDE)
+        out.append(raw[first:ends[min((stop - 1) * STRIDE + WINDOW, len(ends)) - 1]])
+        k = stop
+    return out or [b""]
+
+
+def _by_bytes(texts: list[list[bytes]], picks, limit: int = CHUNK):
+    """(text, part) pairs of the ``picks`` in runs of about ``limit`` bytes."""
+    run, size = [], 0
+    for t in picks:
+        for part in texts[t]:
+            if run and size + len(part) > limit:
+                yield run
+                run, size = [], 0
+            run.append((t, part))
+            size += len(part)
+    if run:
+        yield run
 
 
-def log_odds(texts: list[bytes], label: np.ndarray, rows: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunk log-odds of each word and gram bucket, from document counts."""
-    seen = [np.zeros((2, size), np.int64) for size in (WORD_BUCKETS, GRAM_BUCKETS)]
-    for i in range(0, len(texts), rows):
-        positions, y = Positions(*_join(texts[i:i + rows])), label[i:i + rows] > 0
+def log_odds(texts: list[list[bytes]], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunk log-odds of each word and gram bucket, from document counts; a
+    text is the list of its parts."""
+    sizes = WORD_BUCKETS, GRAM_BUCKETS
+    seen = [np.zeros((2, size), np.int64) for size in sizes]
+    open_text, found = -1, [np.zeros(0, np.int64) for _ in sizes]          # the buckets of the last text, which may go on
+
+    def close():
+        for count, buckets in zip(seen, found):
+            if open_text >= 0:
+                count[int(label[open_text] > 0)][buckets] += 1
+
+    for run in _by_bytes(texts, range(len(texts))):
+        ids, of_part = np.unique([t for t, _ in run], return_inverse=True)
+        positions = Positions(*_join([part for _, part in run]))
         word_of_byte = np.repeat(np.arange(len(positions.word)), np.diff(np.append(positions.first_byte, positions.grams.shape[1])))
-        row_of_byte = positions.row[word_of_byte]
-        for count, pairs in zip(seen, ([(positions.row, positions.word)], [(row_of_byte, g) for g in positions.grams])):
+        row, row_of_byte = of_part[positions.row], of_part[positions.row[word_of_byte]]
+        if ids[0] != open_text:
+            close()
+            found = [np.zeros(0, np.int64) for _ in sizes]
+        last = len(ids) - 1
+        for k, (count, pairs) in enumerate(zip(seen, ([(row, positions.word)], [(row_of_byte, g) for g in positions.grams]))):
             size = count.shape[1]
-            once = np.unique(np.concatenate([r * size + b for r, b in pairs]))
-            for toxic in (0, 1):
-                count[toxic] += np.bincount(once[y[once // size] == toxic] % size, minlength=size)
+            once = np.unique(np.concatenate([r * size + b for r, b in pairs] + ([found[k]] if ids[0] == open_text else [])))
+            done = once[once < last * size]
+            toxic = label[ids[done // size]] > 0
+            for y in (0, 1):
+                count[y] += np.bincount(done[toxic == y] % size, minlength=size)
+            found[k] = once[once >= last * size] % size
+        open_text = int(ids[last])
+    close()
     out = []
     for clean, toxic in seen:
         odds = np.log((toxic + 0.5) / ((label > 0).sum() + 1)) - np.log((clean + 0.5) / ((label == 0).sum() + 1))
@@ -190,12 +247,23 @@ def log_odds(texts: list[bytes], label: np.ndarray, rows: int = 100) -> tuple[np
     return out[0], out[1]
 
 
+def highest_parts(network: ToxicityNetwork, texts: list[list[bytes]], picks) -> list[bytes]:
+    """Of each text the part with its highest window."""
+    best: dict[int, tuple[float, bytes]] = {}
+    for run in _by_bytes(texts, [t for t in picks if len(texts[t]) > 1]):
+        top = network.window_maxima(Positions(*_join([part for _, part in run])))
+        for (t, part), value in zip(run, top.tolist()):
+            if t not in best or value > best[t][0]:
+                best[t] = value, part
+    return [best[t][1] if t in best else texts[t][0] for t in picks]
+
+
 def _join(texts: list[bytes]):
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rows: int = 64, seed: int = 11) -> ToxicityNetwork:
-    raw, label = [t.encode() for t in texts], np.array(labels, np.float32)
+    raw, label = [parts(t.encode()) for t in texts], np.array(labels, np.float32)
     odd = np.arange(len(raw)) % 2 == 1
     for side in (odd, ~odd):            # both halves need both labels; a tiny sample uses all rows for both
         if len(set(label[side].tolist())) < 2 or len(raw) < 200:
@@ -208,7 +276,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rows: int = 6
         order = rng.permutation(learned)
         for i in range(0, len(order), rows):
             pick = order[i:i + rows]
-            positions = Positions(*_join([raw[k] for k in pick]))
+            positions = Positions(*_join(highest_parts(network, raw, pick)))
             embedded = positions.embed(network.p)
             place, row = positions.windows()
             logit = np.concatenate([network.logits(embedded, place[k:k + ROWS_AT_ONCE]) for k in range(0, len(place), ROWS_AT_ONCE)])
@@ -218,12 +286,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rows: int = 6
     return network
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, clean_texts: int = CLEAN_TEXTS,
-          piece: int = PIECE) -> ToxicityNetwork | None:
+def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, clean_texts: int = CLEAN_TEXTS) -> ToxicityNetwork | None:
     learnable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_remainder("doc_id", FOLDS) != HELD_OUT))
                  .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     chosen = bounded_sample(learnable, {1: toxic_texts, 0: clean_texts}, "toxic", 9).drop("_place")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").substr(1, piece).alias("text"))
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(chosen), "doc_id")           # at most toxic_texts + clean_texts rows
             .where(F.col("text").isNotNull()).select("doc_id", "text", "toxic", "_rank").collect())
     rows = sorted(rows, key=lambda r: (r["_rank"], r["toxic"], r["text"]))

@@ -377,6 +377,30 @@ def test_toxicity_on_held_out_rows(shipped):
     assert above > 0.9 and all(r[2] == int(r[1] >= 0.5) for r in got)
 
 
+def test_toxicity_learns_from_whole_texts(shipped):
+    """Toxic words that stand far behind are counted and learned; parts have the windows of the whole."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    raws = [" ".join(rnd.choices(words, k=n)).encode() for n in (0, 1, 64, 65, 112, 113, 5000, 9001)] + [b"x" * 90_000, b"-" * 50_000]
+    for raw in raws:
+        def window_words(pieces):
+            p = toxicity.Positions(*toxicity._join(pieces))
+            return [tuple(p.word[k] for k in w if k >= 0) for w in p.windows()[0]]
+        assert window_words(toxicity.parts(raw, 1000)) == window_words([raw])
+    filler = lambda n: " ".join(rnd.choices(words, k=n))
+    texts = [filler(5500) + " vile slur" * 30 if i % 3 == 0 else filler(5500 if i % 10 == 1 else 60) for i in range(300)]
+    assert texts[0].index("vile") > toxicity.PIECE
+    labels = [int(i % 3 == 0) for i in range(300)]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = toxicity.train(docs, shipped.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    assert all(network.p["word"][toxicity.Positions(*toxicity._join([w])).word[0], 0] > 1 for w in (b"vile", b"slur"))
+    cuts = [toxicity.parts(t.encode(), 1000) for t in texts[:40]]
+    best = toxicity.highest_parts(network, cuts, range(40))
+    assert np.allclose(network.scores(*toxicity._join(best)), network.scores(*toxicity._join([t.encode() for t in texts[:40]])))
+    cut = toxicity.log_odds([toxicity.parts(t.encode(), 1000) for t in texts], np.array(labels))
+    assert all(np.array_equal(a, b) for a, b in zip(cut, toxicity.log_odds([[t.encode()] for t in texts], np.array(labels))))
+
+
 def test_toxicity_on_odd_rows(odd, nothing, shipped):
     labels = shipped.createDataFrame([(5, 0, 1), (10, 1, 0), (7, 0, None), (None, 1, 1), (4, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
     got = rows_of(toxicity.score_documents(odd, labels), "doc_id", "held_out", "score", "predicted")
