@@ -1,12 +1,14 @@
 """Sharding: longest-processing-time scheduling of groups of equal texts.
 
-Rows with equal texts stay together.  Groups fall into a fixed number of
-bundles by the hash of their text (a group is never cut, and a group that is
-larger than a bundle's fair share dominates its own bundle).  Spark sums the
-bundles with map-side partial sums, so that a text shared by a third of all
-rows costs one number per task; the driver sees ``bundles_per_shard * n_shards``
-numbers at most, whatever the size of the table.  It takes the bundles in
-descending size and gives each to the least-loaded shard through a heap.
+Rows with equal texts stay together.  A group of more than its share of all
+bytes, ``total / (bundles_per_shard * n_shards)``, is an item of its own; fewer
+than ``bundles_per_shard * n_shards`` such groups can exist.  All smaller groups
+fall into that number of bundles by the hash of their text (a group is never
+cut), and each bundle is an item.  Spark sums groups and bundles with map-side
+partial sums, so that a text shared by a third of all rows costs one number per
+task; the driver sees twice ``bundles_per_shard * n_shards`` numbers at most,
+whatever the size of the table.  It takes the items in descending size and gives
+each to the least-loaded shard through a heap.
 
 Slots are gapless within a shard.  They come from counts of (shard, section)
 pairs, where a section is a hash range of row ids sized to ``section_rows``
@@ -60,10 +62,22 @@ def shard_by_size(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id
     ).withColumn("_bundle", F.pmod("_text_key", F.lit(n_shards * bundles_per_shard)).cast("int"))
 
     totals = rows.groupBy("_bundle").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    shard_of = longest_first({r["_bundle"]: r["size"] for r in totals}, n_shards)
-    assignment = spark.createDataFrame(list(shard_of.items()), "_bundle int, shard int")
+    n_bundles = n_shards * bundles_per_shard
+    total = sum(r["size"] for r in totals)
+    large = (rows.groupBy("_text_key").agg(F.sum("size").alias("size"), F.first("_bundle").alias("_bundle"))
+             .where(F.col("size") * n_bundles > total).collect())       # fewer than n_bundles groups
+    large.sort(key=lambda r: (-r["size"], r["_text_key"]))
+    sizes = {r["_bundle"]: r["size"] for r in totals}
+    for n, r in enumerate(large):
+        sizes[r["_bundle"]] -= r["size"]
+        sizes[n_bundles + n] = r["size"]
+    shard_of = longest_first(sizes, n_shards)
+    assignment = spark.createDataFrame([(b, s) for b, s in shard_of.items() if b < n_bundles], "_bundle int, _bundle_shard int")
+    own = spark.createDataFrame([(r["_text_key"], shard_of[n_bundles + n]) for n, r in enumerate(large)], "_text_key long, _own_shard int")
     n_sections = max(1, -(-sum(r["n"] for r in totals) // (n_shards * section_rows)))
-    placed = (rows.join(F.broadcast(assignment), "_bundle")       # bounded: n_shards * bundles_per_shard rows
+    placed = (rows.join(F.broadcast(assignment), "_bundle")       # bounded: n_bundles rows each
+              .join(F.broadcast(own), "_text_key", "left")
+              .withColumn("shard", F.coalesce("_own_shard", "_bundle_shard"))
               .withColumn("_section", F.pmod(F.xxhash64("doc_id", "_text_key", F.lit(7)), F.lit(8 * n_sections)).cast("int")))
 
     counts = placed.groupBy("shard", "_section").count().collect()     # one row per section of section_rows / 8 rows

@@ -147,6 +147,20 @@ def test_shards(shipped, documents):
     assert max(loads.values()) - min(loads.get(s, 0) for s in range(24)) <= max(r[1] for r in rows) * 3
 
 
+def test_large_groups_of_one_bundle_are_items_of_their_own(shipped):
+    """One bundle a shard: groups that fall into one bundle still part, as in the greedy schedule of the groups."""
+    texts = [chr(97 + i) * (1000 - i) for i in range(12)]
+    docs = shipped.createDataFrame([(10 * i + k, t) for i, t in enumerate(texts) for k in range(3)], "doc_id long, text string")
+    got = rows_of(sharding.shard_by_size(docs, n_shards=12, bundles_per_shard=1), "doc_id", "size", "shard")
+    assert all(len({s for i, _, s in got if i // 10 == g}) == 1 for g in range(12))
+    load = Counter()
+    for _, size, shard in got:
+        load[shard] += size
+    large = [3 * (1000 - i + sharding.OVERHEAD) for i in range(12)]
+    large = [x for x in large if x * 12 > sum(large)]
+    assert len(got) == 36 and len(large) == 6 and set(large) <= set(load.values())
+
+
 def test_shards_on_odd_rows(odd, nothing):
     rows = rows_of(sharding.shard_by_size(odd), "doc_id", "size", "text_crc32", "shard", "slot")
     assert len(rows) == len(set((r[3], r[4]) for r in rows)) == len(ODD)
