@@ -14,9 +14,11 @@ minimum lies in it, so with ``n_hashes`` functions a contained passage is missed
 only if all functions miss: below 0.8 ** 32 = 0.0008 for one that is cut at its
 edges, far below that for whole passages.  The tests measure the recall.
 
-The items are broadcast in chunks of ``items_per_pass`` (a fixed bound); more
-items mean more passes over the documents, never a larger broadcast.  The
-documents are not shuffled.
+The items are broadcast in chunks of at most ``items_per_pass`` items and
+``BYTES_PER_PASS`` bytes of text (a longer item is a chunk alone); more items
+mean more passes over the documents, never a larger broadcast.  All chunks pass
+through the driver, which keeps them until the plan has run.  The documents are
+not shuffled.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a shingle is
 five words, or the whole sequence if there are fewer.  A text that is null or
@@ -39,6 +41,7 @@ WORDS = 5
 CONTAINMENT = 0.8
 N_HASHES = 32
 ITEMS_PER_PASS = 20_000
+BYTES_PER_PASS = 16 << 20
 FILTER_BITS = 18
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_contained long, containment double"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -104,27 +107,19 @@ class ItemIndex:
         """(row, item) pairs that share a minimum."""
         if not len(hashes) or not self.classes:
             return set()
-        top = max(self.classes)
-        unit = 1 << top
-        room = -(-n_shingles // unit) * unit                       # each row starts at a multiple of the longest block
-        begin = np.cumsum(room) - room
-        total = int(room.sum())
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles) + begin[owner]
-        padded = np.zeros(total, np.uint64)
-        padded[at] = hashes
-        blank = np.ones(total, bool)
-        blank[at] = False
-        blank = np.flatnonzero(blank)
-        row_of_unit = np.repeat(np.arange(len(room)), room // unit)
+        rows = np.flatnonzero(n_shingles)
+        count, before, steps = n_shingles[rows], 0, []
+        for level in sorted(self.classes):                         # from the blocks of one class to those of the next; none is padded
+            step, before = 1 << (level - before), level
+            more = -(-count // step)
+            first = np.repeat(np.cumsum(count) - count, more) + step * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more))
+            steps.append((level, first, np.repeat(rows, more)))
+            count = more
         found: set[tuple[int, int]] = set()
         for f, m in enumerate(self.mult):
-            low = padded * m
-            low[blank] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            for level in range(top + 1):
-                if level:
-                    low = np.minimum(low[::2], low[1::2])
-                if level not in self.classes:
-                    continue
+            low = hashes * m
+            for level, first, row_of_block in steps:
+                low = np.minimum.reduceat(low, first)
                 minima, members, table = self.classes[level][f]
                 hit = np.flatnonzero(table[(mix(low) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                 if not len(hit):
@@ -132,7 +127,7 @@ class ItemIndex:
                 values = low[hit]
                 left, right = np.searchsorted(minima, values, "left"), np.searchsorted(minima, values, "right")
                 for h, a, b in zip(hit[right > left], left[right > left], right[right > left]):
-                    row = int(row_of_unit[(int(h) << level) // unit])
+                    row = int(row_of_block[h])
                     found.update((row, int(k)) for k in members[a:b])
         return found
 
@@ -176,14 +171,18 @@ def _clean(items: list, n_hashes: int, threshold: float):
     return run
 
 
-def item_chunks(items: DataFrame, size: int):
-    """The test items in lists of at most ``size``."""
+def item_chunks(items: DataFrame, size: int, limit: int = BYTES_PER_PASS):
+    """The test items in lists of at most ``size`` items and, unless one item is
+    longer, ``limit`` bytes of text."""
     chunk: list = []
+    held = 0
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        chunk.append((r[0], r[1]))
-        if len(chunk) == size:
+        length = len((r[1] or "").encode())
+        if chunk and (len(chunk) == size or held + length > limit):
             yield chunk
-            chunk = []
+            chunk, held = [], 0
+        chunk.append((r[0], r[1]))
+        held += length
     if chunk:
         yield chunk
 

@@ -494,6 +494,23 @@ def test_contained_items_are_those_of_all_pairs(shipped):
     assert all(0.8 <= r[2] <= 1 for r in got)
 
 
+def test_a_long_item_does_not_pad_short_rows(shipped):
+    import tracemalloc
+    rnd = random.Random(5)
+    long = " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(300_000))
+    short = [" ".join(f"s{rnd.randrange(10 ** 6)}" for _ in range(20)) for _ in range(1000)]
+    index = decontaminate.ItemIndex([(0, long), (1, short[7])], 4)
+    raw = [t.encode() for t in [*short, long]]
+    hashes = decontaminate.shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    tracemalloc.start()
+    found = index.candidates(*hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(7, 1), (1000, 0)} <= found and peak < 100e6
+    items = shipped.createDataFrame([(i, "x" * 100) for i in range(10)] + [(10, None), (11, "y" * 900)], "item_id long, text string")
+    assert [len(c) for c in decontaminate.item_chunks(items, 4, 350)] == [3, 3, 3, 2, 1]
+
+
 def test_decontamination_of_a_table(shipped, documents):
     items = shipped.read.parquet(f"{SMALL}/benchmark.parquet")
     texts = rows_of(documents, "doc_id", "text")
