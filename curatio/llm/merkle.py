@@ -14,10 +14,11 @@ offsets.  No task orders a whole source, however large.
 *Levels.*  A level is a table (tree, n, idx, hash), n being its number of nodes.
 Each node computes the indices of its siblings (for two, idx XOR 1; otherwise
 the other slots of its run, by offset) and meets them in an equijoin of the level
-with itself.  Both sides are the same rows dealt by (tree, run), so a level is
-exchanged once, and a hot source is spread over its runs.  Upwards only the rows
-in slot zero ask; they emit the parents.  Each level is written to the shared
-folder, which cuts the lineage.
+with itself.  Both sides are the same rows dealt by (tree, run); the planner is
+told, while the manifest is built, that this deals the join's longer key too, so
+that neither the join nor the grouping exchanges the 15 rows of a node, and a hot
+source is spread over its runs.  Upwards only the rows in slot zero ask; they emit the parents.  Each level is written to
+the shared folder, which cuts the lineage.
 
 *Proofs.*  From the root downwards a node's path is its own pair of texts (the
 digests of the siblings left and right of it) before its parent's path, by one
@@ -32,8 +33,11 @@ Other columns are not read.  A null id is never among the tampered rows.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +76,7 @@ def _count_up(batches):
             continue
         trees = batch.column(batch.schema.get_field_index("tree"))
         starts = np.zeros(n, bool)
-        starts[1:] = np.asarray(pa.compute.not_equal(trees[1:], trees[:-1]))
+        starts[1:] = np.asarray(pc.not_equal(trees[1:], trees[:-1]))
         first = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
         place = np.arange(n) - first
         if trees[0].as_py() == last:
@@ -94,6 +98,19 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return placed.join(starts, ["part", "tree"]).select(*rows.columns, "n", (F.col("before") + F.col("place")).alias("idx"))
 
 
+@contextmanager
+def dealt_by_part_of_the_key(spark):
+    """Lets a join use sides that are dealt alike by some of its keys.  The
+    setting is put back; whatever relies on it is planned and run inside."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---- levels ------------------------------------------------------------------
 
 def sibling_indices(idx: Column, n: Column, fanout: int) -> Column:
@@ -110,7 +127,7 @@ def sibling_indices(idx: Column, n: Column, fanout: int) -> Column:
 def with_siblings(nodes: DataFrame, fanout: int, slot_zero: bool = False) -> DataFrame:
     """``nodes`` with ``run`` and the digests of the siblings before (``left``)
     and after (``right``); with ``slot_zero`` only the first node of each run."""
-    dealt = nodes.withColumn("run", F.floor(F.col("idx") / fanout)).repartition("tree", "run")
+    dealt = nodes.withColumn("run", F.expr(f"idx DIV {fanout}")).repartition("tree", "run")
     askers = dealt.where(F.col("idx") % fanout == 0) if slot_zero else dealt
     asked = askers.select("tree", "run", "idx", F.explode(sibling_indices(F.col("idx"), F.col("n"), fanout)).alias("sibling"))
     found = dealt.select("tree", "run", F.col("idx").alias("sibling"), F.col("hash").alias("sibling_hash"))
@@ -130,7 +147,7 @@ def build_levels(leaves: DataFrame, fanout: int) -> list[DataFrame]:
     n = leaves.agg(F.max("n")).first()[0] or 1
     while n > 1:
         parents = with_siblings(levels[-1].where("n > 1"), fanout, slot_zero=True).select(
-            "tree", F.ceil(F.col("n") / fanout).cast("long").alias("n"), F.col("run").cast("long").alias("idx"),
+            "tree", F.ceil(F.col("n") / fanout).cast("long").alias("n"), F.col("run").alias("idx"),
             digest(F.col("hash"), F.col("right")).alias("hash"))
         levels.append(written(parents, "merkle-level"))
         n = -(-n // fanout)
@@ -177,34 +194,32 @@ def proof_digest(path: Column) -> Column:
 
 
 def manifest(docs: DataFrame, columns=COLUMNS, tree: str = "source", order: str = "doc_id", fanout: int = FANOUT,
-             altered: Column | None = None) -> DataFrame:
-    """(id, leaf, altered_leaf, path, subroot, root) of each row.
+             altered: Column | None = None, paths: bool = False) -> DataFrame:
+    """(id, leaf, subroot, root, proof_sha256, folded_root, verified) of each row
+    and, with ``paths``, the siblings themselves: path array<struct<left, right>>.
 
     ``altered``: the value of the last of ``columns`` in a tampered copy, or null
-    where the copy is the row itself; ``altered_leaf`` is the leaf of the copy."""
+    where the copy is the row itself.  ``folded_root`` is what the copy's leaf
+    and the original siblings give; ``verified`` tells whether it is the root."""
     *before, last = [F.col(c) for c in columns]
     heads = [field(c) for c in before]
     leaf = digest(*heads, field(last))
     other = leaf if altered is None else F.when(altered.isNotNull(), digest(*heads, field(altered))).otherwise(leaf)
-    rows = written(docs.select(F.col(order).alias("id"), tree_name(F.col(tree)).alias("tree"), leaf.alias("hash"),
-                               other.alias("altered_leaf")), "merkle-leaves")
-    levels = build_levels(written(numbered(rows, "id", "hash"), "merkle-level"), fanout)
-
-    subroots = written(last_nodes(levels), "merkle-subroots").select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash")
-    upper = build_levels(written(numbered(subroots, "name"), "merkle-level"), fanout)
-    root = last_nodes(upper).select("tree", F.col("hash").alias("root"),
-                                    F.array().cast("array<struct<left:string,right:string>>").alias("path"))
-    tops = written(with_paths(upper, root, fanout).select(F.col("name").alias("tree"), "path", F.col("hash").alias("subroot"), "root"),
-                   "merkle-tops")
-    return with_paths(levels, tops, fanout).select("id", F.col("hash").alias("leaf"), "altered_leaf", "path", "subroot", "root")
-
-
-def checked(rows: DataFrame) -> DataFrame:
-    """``manifest`` rows with proof_sha256, folded_root (of the altered leaf and
-    the original siblings) and verified."""
-    return (rows.withColumn("proof_sha256", proof_digest(F.col("path")))
-            .withColumn("folded_root", fold(F.col("altered_leaf"), F.col("path")))
-            .withColumn("verified", F.col("folded_root") == F.col("root")))
+    with dealt_by_part_of_the_key(docs.sparkSession):
+        rows = written(docs.select(F.col(order).alias("id"), tree_name(F.col(tree)).alias("tree"), leaf.alias("hash"),
+                                   other.alias("altered_leaf")), "merkle-leaves")
+        levels = build_levels(written(numbered(rows, "id", "hash"), "merkle-level"), fanout)
+
+        subroots = written(last_nodes(levels), "merkle-subroots").select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash")
+        upper = build_levels(written(numbered(subroots, "name"), "merkle-level"), fanout)
+        root = last_nodes(upper).select("tree", F.col("hash").alias("root"),
+                                        F.array().cast("array<struct<left:string,right:string>>").alias("path"))
+        tops = with_paths(upper, root, fanout).select(F.col("name").alias("tree"), "path", F.col("hash").alias("subroot"), "root")
+        found = with_paths(levels, written(tops, "merkle-tops"), fanout)
+        path = F.col("path")
+        out = found.select("id", F.col("hash").alias("leaf"), "subroot", "root", proof_digest(path).alias("proof_sha256"),
+                           fold(F.col("altered_leaf"), path).alias("folded_root"), *([path] if paths else []))
+        return written(out.withColumn("verified", F.col("folded_root") == F.col("root")), "merkle-manifest")
 
 
 def _climb(name: str, leaves: str) -> str:
@@ -261,4 +276,4 @@ def op11_merkle(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = manifest(docs, altered=F.when(tampered, F.translate("text", UPPER, LOWER)))
-    return checked(rows).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    return rows.withColumnRenamed("id", "doc_id")
