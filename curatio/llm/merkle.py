@@ -7,9 +7,8 @@ source) the leaves ascend by id; while a level has several nodes, every
 their digests as text.  What remains is the subroot; the subroots, by source
 (null first, bytewise), form one further tree, whose last node is the root.
 
-*Numbering.*  Leaves are written, range-partitioned by (source, id, leaf), sorted
-and numbered from 0 per (part, source); the counts of these pairs give the
-offsets.  No task orders a whole source, however large.
+*Numbering.*  Leaves are range-partitioned by (source, id, leaf), sorted, numbered
+and written; the counts per (part, source) give the offsets.  No task orders a whole source, however large.
 
 *Levels.*  A level is a table (tree, n, idx, hash), n being its number of nodes.
 Each node computes the indices of its siblings (for two, idx XOR 1; otherwise
@@ -17,8 +16,9 @@ the other slots of its run, by offset) and meets them in an equijoin of the leve
 with itself.  Both sides are the same rows dealt by (tree, run); the planner is
 told, while the manifest is built, that this deals the join's longer key too, so
 that neither the join nor the grouping exchanges the 15 rows of a node, and a hot
-source is spread over its runs.  Upwards only the rows in slot zero ask; they emit the parents.  Each level is written to
-the shared folder, which cuts the lineage.
+source is spread over its runs.  Upwards only the rows in slot zero ask; they
+emit the parents.  Each level is written to the shared folder, which cuts the
+lineage.
 
 *Proofs.*  From the root downwards a node's path is its own pair of texts (the
 digests of the siblings left and right of it) before its parent's path, by one
@@ -35,10 +35,6 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,36 +62,17 @@ def tree_name(value: Column) -> Column:
 
 # ---- numbering ---------------------------------------------------------------
 
-def _count_up(batches):
-    """Adds (part, place): the place of a row among the rows of its tree in this part."""
-    part = TaskContext.get().partitionId()
-    last, seen = None, 0
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        trees = batch.column(batch.schema.get_field_index("tree"))
-        starts = np.zeros(n, bool)
-        starts[1:] = np.asarray(pc.not_equal(trees[1:], trees[:-1]))
-        first = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-        place = np.arange(n) - first
-        if trees[0].as_py() == last:
-            place[:int(np.argmax(starts)) if starts.any() else n] += seen
-        last, seen = trees[n - 1].as_py(), int(place[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part), pa.int64()), pa.array(place, pa.int64())],
-                                         [*batch.schema.names, "part", "place"])
-
-
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` (with ``tree``) and (n, idx): the number of rows of the tree and
     the place of the row among them in the given order."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    placed = written(rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
-                     .mapInArrow(_count_up, schema + ", part long, place long"), "merkle-places")
-    counts = placed.groupBy("part", "tree").agg((F.max("place") + 1).alias("held"))
-    starts = counts.selectExpr("part", "tree", "sum(held) OVER (PARTITION BY tree ORDER BY part) - held AS before",
+    at = F.monotonically_increasing_id()            # (part, place in the part) of a sorted part
+    sorted_ = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    placed = written(sorted_.select("*", at.alias("at")), "merkle-places").withColumn("part", F.shiftright("at", 33))
+    counts = placed.groupBy("part", "tree").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("held"))
+    starts = counts.selectExpr("part", "tree", "start", "sum(held) OVER (PARTITION BY tree ORDER BY part) - held AS before",
                                "sum(held) OVER (PARTITION BY tree) AS n")       # a row per part of a tree
-    return placed.join(starts, ["part", "tree"]).select(*rows.columns, "n", (F.col("before") + F.col("place")).alias("idx"))
+    starts = written(starts, "merkle-starts")       # as files it does not make the join deal whole trees
+    return placed.join(starts, ["part", "tree"]).select(*rows.columns, "n", (F.col("before") + F.col("at") - F.col("start")).alias("idx"))
 
 
 @contextmanager
