@@ -4,23 +4,25 @@ Every text is encoded (byte-level BPE, ids below 65,536) and ends with the
 end-of-text id; sequences of ``SEQUENCE`` ids never cross documents and the last
 one of a document is padded with that id.
 
-Order: a text of b bytes has at most ``ceil((b + 1) / SEQUENCE)`` sequences, so
-the sum of these bounds, which Spark computes without encoding anything, gives
-each document a range of numbers in a dense domain.  A keyed Feistel network
+Order: sequence k of a document has the number h + k * ``STEP`` modulo ``DOMAIN``,
+where h is a 64-bit hash of the document's id and text.  A keyed Feistel network
 over the next even power of two, with cycle-walking back into the domain,
 permutes the numbers.  Shards are equal ranges of the permuted numbers; each
 range is one group of a shuffle, sorted, and written as one file of fixed-stride
-records.  The numbers that no sequence uses (the bound is not always reached)
-leave no record: a sequence's global slot is its rank in the permuted order,
-that is, the records of all earlier shards plus its place in its own file.
-A reader seeks to any slot with the manifest alone, and reads on from there.
+records.  The domain is far larger than any corpus, so numbers hardly ever meet
+(then the id and k decide) and most are not used: a sequence's global slot is its
+rank in the permuted order, that is, the records of all earlier shards plus its
+place in its own file.  A reader seeks to any slot with the manifest alone, and
+reads on from there.
+
+The order is a function of the rows and the key: how the input is split in files
+and partitions, and how many cores there are, changes nothing.  The number of
+shards comes from the sum of the bounds ``ceil((bytes + 1) / SEQUENCE)`` of the
+texts, which Spark adds up without encoding anything.
 
 Texts are encoded once; only compressed ids are shuffled.  A file is written
 under a temporary name and moved, so a task that runs again after the loss of an
-executor replaces it by the same bytes.  The numbers rest on the partitions of
-the input, which must be the same in both passes (any table read from files is);
-a task that meets more rows than were counted for it fails.  The driver sees one
-number per input partition and one per shard.
+executor replaces it by the same bytes.  The driver sees one number per shard.
 
 Null text: as the empty text, one sequence of end-of-text ids.  Null ids and
 repeated rows are kept.  Empty table: empty result, no files.  Other columns are
@@ -30,6 +32,7 @@ not read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
 
@@ -49,6 +52,8 @@ SEQUENCE = 512
 KEY = 20240607
 SHARD_BYTES = 32 << 20        # bytes of text per shard, about
 ROUNDS = 6
+DOMAIN = (1 << 61) - 1        # numbers that sequences can have
+STEP = 0x9E3779B97F4A7C1      # between the numbers of a document's sequences
 END = 50256
 DTYPE = "<u2"
 PIECES_SCHEMA = "shard int, place long, doc_id long, part int, n_tokens int, ids binary"
@@ -94,39 +99,33 @@ def encoding(spec: bytes, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-_LOADED: dict[int, object] = {}
+_LOADED: dict = {}
+
 
+def _pieces(spec: bytes, pattern: str, key: int, n_shards: int, sequence: int):
+    name = (hashlib.sha256(spec).hexdigest(), pattern)
 
-def _pieces(spec: bytes, pattern: str, base: dict[int, int], limit: dict[int, int], domain: int, key: int,
-            n_shards: int, sequence: int):
     def run(batches):
-        if len(spec) not in _LOADED:
-            _LOADED[len(spec)] = encoding(spec, pattern)
-        encode = _LOADED[len(spec)].encode_ordinary
-        order = Permutation(domain, key)
-        part = TaskContext.get().partitionId()
-        at, pack = base.get(part, 0), zstandard.ZstdCompressor(level=1)
-        end = at + limit.get(part, 0)
-        names = ["shard", "place", "doc_id", "part", "n_tokens", "ids"]
+        if name not in _LOADED:
+            _LOADED[name] = encoding(spec, pattern)
+        encode = _LOADED[name].encode_ordinary
+        order, pack = Permutation(DOMAIN, key), zstandard.ZstdCompressor(level=1)
+        width = -(-DOMAIN // n_shards)
+        fields = [("shard", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary())]
 
         def batch_of(rows):
             number, doc, k, n, ids = zip(*rows)
             place = order.forward(np.array(number, np.uint64))
-            shard = [int(p) * n_shards // domain for p in place]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(place), pa.array(doc, pa.int64()), pa.array(k, pa.int32()),
-                 pa.array(n, pa.int32()), pa.array(ids, pa.binary())], names=names)
+            columns = (place // width, place, doc, k, n, ids)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
 
         rows = []
         for batch in batches:
-            for doc, text, bound in zip(batch.column(0), batch.column(1), batch.column(2)):
-                ids = np.array([*encode(text.as_py() or ""), END], DTYPE)
-                if at + bound.as_py() > end:
-                    raise RuntimeError("the input's partitions changed between the passes")
+            for doc, text, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids = np.array([*encode(text or ""), END], DTYPE)
                 for k in range(-(-len(ids) // sequence)):
                     piece = ids[k * sequence:(k + 1) * sequence]
-                    rows.append((at + k, doc.as_py(), k, len(piece), pack.compress(piece.tobytes())))
-                at += bound.as_py()
+                    rows.append(((start + k * STEP) % DOMAIN, doc, k, len(piece), pack.compress(piece.tobytes())))
                 if len(rows) >= BATCH_ROWS:
                     yield batch_of(rows)
                     rows = []
@@ -141,7 +140,7 @@ def shard_name(shard: int) -> str:
 
 def _write(path: str, sequence: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
+        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("part", "ascending")])
         shard = table["shard"][0].as_py()
         fs, folder = pafs.FileSystem.from_uri(path)
         name, unpack, crc = f"{folder}/{shard_name(shard)}", zstandard.ZstdDecompressor(), []
@@ -167,24 +166,18 @@ def materialise(docs: DataFrame, path: str, spec: bytes, pattern: str, sequence:
     spark = docs.sparkSession
     bound = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / sequence).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = (rows.select(F.spark_partition_id().alias("p"), bound.alias("n")).groupBy("p").agg(F.sum("n").alias("n"))
-             .orderBy("p").collect())
-    limit = {r["p"]: r["n"] for r in parts}
-    starts = np.concatenate(([0], np.cumsum(list(limit.values()), dtype=np.int64)))
-    domain = int(starts[-1])
-    n_shards = max(1, -(-domain * sequence // shard_bytes))
-    base = dict(zip(limit, starts.tolist()))
+    total = rows.agg(F.sum(bound)).first()[0] or 0
+    n_shards = max(1, -(-total * sequence // shard_bytes))
     fs, folder = pafs.FileSystem.from_uri(path)
     fs.create_dir(folder, recursive=True)
-    pieces = rows.withColumn("bound", bound).mapInArrow(
-        _pieces(spec, pattern, base, limit, max(1, domain), key, n_shards, sequence), PIECES_SCHEMA)
+    pieces = rows.withColumn("start", F.xxhash64("doc_id", "text")).mapInArrow(_pieces(spec, pattern, key, n_shards, sequence), PIECES_SCHEMA)
     done = written(pieces.groupBy("shard").applyInArrow(_write(path, sequence), ROW_SCHEMA), "sequences")
     counts = {r["shard"]: r["n"] for r in done.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, at = [], 0
     for s in range(n_shards):
         first.append(at)
         at += counts.get(s, 0)
-    manifest = {"sequence": sequence, "dtype": DTYPE, "end": END, "key": key, "domain": domain, "records": at,
+    manifest = {"sequence": sequence, "dtype": DTYPE, "end": END, "key": key, "domain": DOMAIN, "records": at,
                 "first_slot": first, "shards": n_shards}
     with fs.open_output_stream(f"{folder}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
