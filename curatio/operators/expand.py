@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.functions.hashing import draw
 from curatio.functions.text import col, count_parts, split_lit, strip
-from curatio.operators.sampling import DEFAULT_SEED, rank_cut, shuffle_rank
+from curatio.operators.sampling import DEFAULT_SEED, null_safe_join, rank_cut, shuffle_rank
 
 # ---------------------------------------------------------------------------
 # Fixed values (formats the operators produce).
@@ -23,6 +24,9 @@ MIN_PARAGRAPH_PARTS = 5
 TOKEN_BUDGETS = (10, 50, 100, 500, 1000)
 # ---------------------------------------------------------------------------
 
+RANGE_ROWS = 4096                 # positions of a range of few-shot examples
+MAX_PROMPT_BYTES = 16 << 20       # a prompt table that is crossed with every row
+
 
 def chunk_ends(paras: Column, n_words: int, keep_tail: bool = False) -> Column:
     """0-based indices of the paragraphs that close a chunk.
@@ -81,28 +85,40 @@ def few_shot_prompts(df: DataFrame, key: str, question: str, answer: str, n: int
 
     Two seeded permutations A and B of the rows; the row at A-position p takes
     the rows at B-positions p+1 .. p+n+1 (cyclic), drops itself if met and
-    keeps the first n.  (n+1)·N joined rows, an equi-join, and a group of n
-    items per row; no cross join and no per-row sampling loop.  ``n <= 0``
-    gives the zero-shot prompt; so does a table of one row.
+    keeps the first n.  ``n <= 0`` gives the zero-shot prompt; so does a table
+    of one row.
+
+    ``key`` names a row.  The positions come from key columns alone and meet the
+    texts once.  Then each text goes to the range of ``RANGE_ROWS`` positions of
+    B that it lies in, and the n rows at the start of a range also to the range
+    before it (a halo); each row that asks goes to the range of the position
+    p+1.  A window over a range gives every asker its n+1 rows, so a text is
+    not copied per prompt before the prompts are written.
     """
     qa = F.concat(F.lit(f"{question_word}: "), F.col(question), F.lit(f"\n{response_word}: "))
     if n <= 0:
         return df.withColumn(name, qa)
-    a = rank_cut(df.select(key), [key], f"{seed}:A", exact_all=True).select(
-        key, F.col("_rank").alias("_pa"), F.col("_total").alias("_N"))
-    b = shuffle_rank(df.select(F.col(key).alias("_ex_key"), F.col(question).alias("_ex_q"),
-                               F.col(answer).alias("_ex_a")), ["_ex_key"], f"{seed}:B", name="_pb")
-    wanted = a.select(key, F.explode(F.sequence(F.lit(1), F.least(F.lit(n + 1), F.col("_N")).cast("int"))).alias("_j"), "_pa", "_N") \
-        .withColumn("_pb", ((F.col("_pa") + F.col("_j") - 1) % F.col("_N") + 1).cast("long"))
-    pairs = wanted.join(b, "_pb").where(F.col("_ex_key") != F.col(key))
-    w = Window.partitionBy(key).orderBy("_j")
-    pairs = pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
-    block = F.concat(F.lit(f"{question_word}: "), F.col("_ex_q"), F.lit(f"\n{response_word}: "),
-                     F.col("_ex_a"), F.lit(stop))
-    prefix = pairs.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_j", block.alias("t")))),
-                                 lambda s: s["t"]), "").alias("_prefix"))
-    return df.join(prefix, key, "left").withColumn(name, F.concat(F.coalesce(F.col("_prefix"), F.lit("")), qa)).drop("_prefix")
+    a = rank_cut(df.select(key), [key], f"{seed}:A", exact_all=True).select(key, F.col("_rank").alias("_pa"), F.col("_total").alias("_N"))
+    b = rank_cut(df.select(key), [key], f"{seed}:B", exact_all=True).select(key, F.col("_rank").alias("_pb"))
+    rows = null_safe_join(df, null_safe_join(a, b, [key]), [key])
+    last = F.floor((F.col("_N") - 1) / RANGE_ROWS)
+    start = F.col("_pa") % F.col("_N") + 1
+    # B is cyclic: the position comes again after each N, as far as n rows beyond the last one
+    again = F.sequence(F.col("_pb"), F.col("_N") + n, F.col("_N"))
+    first_range = F.greatest(F.floor((F.col("_pos") - 1 - n) / RANGE_ROWS), F.lit(0))
+    block = F.concat(F.lit(f"{question_word}: "), F.col(question), F.lit(f"\n{response_word}: "), F.col(answer), F.lit(stop))
+    givers = (rows.withColumn("_pos", F.explode(again))
+              .withColumn("_range", F.explode(F.sequence(first_range, F.least(F.floor((F.col("_pos") - 1) / RANGE_ROWS), last))))
+              .select("_range", "_pos", "_N", F.struct(F.col(key).alias("key"), block.alias("text")).alias("_example"),
+                      F.lit(None).cast(df.schema).alias("_row")))
+    askers = rows.select(F.floor((start - 1) / RANGE_ROWS).alias("_range"), start.alias("_pos"), "_N",
+                         F.lit(None).cast(givers.schema["_example"].dataType).alias("_example"),
+                         F.struct(*df.columns).alias("_row"))
+    near = Window.partitionBy("_range").orderBy("_pos").rangeBetween(0, n)
+    met = givers.unionByName(askers).withColumn("_near", F.collect_list("_example").over(near)).where(F.col("_row").isNotNull())
+    others = F.filter(F.slice("_near", 1, F.least(F.lit(n + 1), F.col("_N")).cast("int")), lambda e: e["key"] != F.col("_row")[key])
+    prefix = F.array_join(F.transform(F.slice(others, 1, n), lambda e: e["text"]), "")
+    return met.select("_row.*", prefix.alias("_prefix")).withColumn(name, F.concat("_prefix", qa)).drop("_prefix")
 
 
 def locked_prompt(df: DataFrame, question: str, password: str, template=("Answer this: ", "\nOutput: ")):
@@ -118,7 +134,6 @@ def locked_prompt(df: DataFrame, question: str, password: str, template=("Answer
 def pandas_tokenizer(encode):
     """Wrap a Python tokenizer (``str -> list[str]``) as an Arrow-batched
     pandas UDF returning ``ARRAY<STRING>``."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     def tok(s):
@@ -131,18 +146,63 @@ def pandas_tokenizer(encode):
 def truncate_tokens(df: DataFrame, c: str, budgets: Sequence[int] = TOKEN_BUDGETS,
                     out: str = "truncated", budget_col: str = "budget", tokenizer=None,
                     joiner: str = " ") -> DataFrame:
-    """For each token budget k, the first k tokens re-joined.
-    Tokenised once per row (whitespace split in the JVM by default, or a
-    pandas-UDF tokenizer from :func:`pandas_tokenizer`); budgets are a
-    bounded literal list, exploded."""
-    toks = F.split(F.col(c), " ", -1) if tokenizer is None else tokenizer(F.col(c))
+    """For each token budget k, the first k tokens re-joined; budgets are a
+    bounded literal list, exploded.  Tokens are what one space separates, so a
+    cut is the text up to its k-th space, taken in the JVM without an array; or
+    those of a pandas-UDF tokenizer from :func:`pandas_tokenizer`, which runs
+    once per row.  For the tokens of a subword vocabulary see
+    :func:`truncate_subwords`."""
     arr = F.array(*[F.lit(int(k)) for k in budgets])
+    if tokenizer is None:
+        return (df.withColumn(budget_col, F.explode(arr))
+                .withColumn(out, F.call_function("substring_index", F.col(c), F.lit(" "), F.col(budget_col))))
+    toks = tokenizer(F.col(c))
     return (df.withColumn("_toks", toks)
               .withColumn(budget_col, F.explode(arr))
               .withColumn(out, F.array_join(F.slice("_toks", 1, F.col(budget_col)), joiner))
               .drop("_toks"))
 
 
+_TOKENIZERS: dict = {}
+
+
+def subword_ends(vocabulary: str, budgets: Sequence[int]):
+    """A pandas UDF: per text, for each budget k, the code points up to the end
+    of its k-th subword (all of them if it has no more than k).  One encoding of
+    the text gives the ends of all budgets."""
+    @F.pandas_udf("array<int>")
+    def ends(texts: pd.Series) -> pd.Series:
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+        if vocabulary not in _TOKENIZERS:
+            _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary)
+            _TOKENIZERS[vocabulary].no_truncation()
+            _TOKENIZERS[vocabulary].encode_special_tokens = True
+        encode = _TOKENIZERS[vocabulary].encode
+
+        def one(text):
+            if text is None:
+                return None
+            spans = encode(text, add_special_tokens=False).offsets
+            return [len(text) if len(spans) <= k else spans[k - 1][1] if k > 0 else 0 for k in budgets]
+        return texts.map(one)
+    return ends
+
+
+def truncate_subwords(df: DataFrame, c: str, vocabulary: str, budgets: Sequence[int] = TOKEN_BUDGETS,
+                      out: str = "truncated", budget_col: str = "budget") -> DataFrame:
+    """P26 by the subwords of a public vocabulary file (a ``tokenizers`` JSON
+    that every executor can read): for each budget k the text up to the end of
+    its k-th subword.  A text is encoded once, in Arrow batches; the cuts are
+    taken in the JVM from its offsets.  A character that a cut would split is
+    kept whole.  A null text gives null cuts."""
+    limits = F.array(*[F.lit(int(k)) for k in budgets])
+    ends = subword_ends(vocabulary, tuple(int(k) for k in budgets))(F.col(c))
+    cuts = df.withColumn("_ends", ends).select("*", F.posexplode(limits).alias("_i", budget_col))
+    return cuts.withColumn(out, F.left(F.col(c), F.get("_ends", F.col("_i")))).drop("_ends", "_i")
+
+
 def explode_contexts(df: DataFrame, skip_label: str, labels: str = "labels", contexts: str = "contexts",
                      id_col: str = "context_id") -> DataFrame:
     """One row per sentence (with its position), skipping ``skip_label``
@@ -181,11 +241,14 @@ def explode_outputs(df: DataFrame, c: str = "output", pos: str = "output_pos") -
 
 def cross_prompts(df: DataFrame, prompts: DataFrame, required: Sequence[str] = ()) -> DataFrame:
     """Every row that has its required columns x every row of a
-    prompt table, which becomes one array inside the plan (its size is that of
-    the prompt list) and is exploded row by row."""
+    prompt table, which becomes one array inside the plan and is exploded row by
+    row.  The table's bytes are summed before its rows are gathered; more than
+    ``MAX_PROMPT_BYTES`` is an error."""
     for c in required:
         df = df.where(F.col(c).isNotNull())
-    table = prompts.agg(F.sort_array(F.collect_list(F.struct(*prompts.columns))).alias("p"))
+    size = prompts.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*prompts.columns)))), F.lit(0)).alias("n")).scalar()
+    small = F.when(size <= MAX_PROMPT_BYTES, F.lit(True)).otherwise(F.raise_error(F.lit("the prompt table is too large")).cast("boolean"))
+    table = prompts.where(small).agg(F.sort_array(F.collect_list(F.struct(*prompts.columns))).alias("p"))
     return df.withColumn("_p", table.scalar()).select(*df.columns, F.inline("_p"))
 
 

@@ -130,11 +130,67 @@ def shuffle_rank(df: DataFrame, keys, seed=DEFAULT_SEED, by=(), name="rank",
     return drop_helpers(out.withColumnRenamed("_rank", name))
 
 
+def write_shuffled(df: DataFrame, keys, path: str, seed=DEFAULT_SEED, rows_per_file: int = 1_000_000,
+                   digits=DEFAULT_DIGITS) -> None:
+    """R1 on disk: the permutation itself, as files of ``rows_per_file`` rows
+    (the last one fewer) that hold consecutive ranks in order.
+
+    The ranks come from exact offsets of hash buckets; a file is one task's
+    output, ``<path>/data/file=<n>``.  The manifest (file, n_rows, first_rank,
+    last_rank) is written last: a folder without one is not whole.  Reading the
+    files in order, each from its start, gives the ranks 1, 2, ..."""
+    ranked = shuffle_rank(df, keys, seed, name="rank", digits=digits)
+    ranked = ranked.withColumn("file", F.floor((F.col("rank") - 1) / rows_per_file).cast("long"))
+    (ranked.repartition("file").sortWithinPartitions("file", "rank")
+     .write.option("maxRecordsPerFile", 0).partitionBy("file").parquet(f"{path}/data"))
+    data = df.sparkSession.read.schema(ranked.schema).parquet(f"{path}/data")
+    (data.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"))
+     .write.parquet(f"{path}/manifest"))
+
+
+def read_shuffled(spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """The rows with ranks ``first`` to ``last`` of a written shuffle; only the
+    files that hold them are read.  Fails if the manifest is missing."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    wanted = manifest.where(F.col("last_rank") >= first)
+    if last is not None:
+        wanted = wanted.where(F.col("first_rank") <= last)
+    files = wanted.agg(F.min("file").alias("lo"), F.max("file").alias("hi")).first()
+    rows = spark.read.parquet(f"{path}/data")
+    if files["lo"] is None:
+        return rows.limit(0)
+    rows = rows.where(F.col("file").between(files["lo"], files["hi"])).where(F.col("rank") >= first)
+    return rows if last is None else rows.where(F.col("rank") <= last)
+
+
+def in_order(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """Dense 1-based places of all rows in the order of the expressions
+    ``order``, by one range exchange of the whole rows.
+
+    Spark takes the bounds of the ranges from a sample of the whole sort keys,
+    however long they are, so a table whose texts share a prefix splits as
+    evenly as any other, and keys that end in a hash split a hot value too.  The
+    sorted ranges are written with each row's place in its range; the counts per
+    range, one row each, give the offsets, so no window and no further exchange
+    sees the rows.  The written table fixes the ranges: a retried task cannot
+    change a place."""
+    from curatio.session import materialized
+    at = F.monotonically_increasing_id()        # (range, place in the range) of a sorted partition
+    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    keys = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))]
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*df.columns, at.alias("_at"))
+    placed = materialized(placed, "in-order").withColumn("_range", F.shiftright("_at", 33))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy("_range").agg((F.max(place) + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_before"))
+    # one row of two numbers per partition of the exchange
+    return placed.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_before") + place + 1).cast("long").alias(name))
+
+
 def _code(df: DataFrame, c: str) -> Column:
     """A number that never falls where the column's order rises."""
     kind = df.schema[c].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.col(c).cast("timestamp").cast("double")
     return F.col(c).cast("double")
@@ -146,14 +202,18 @@ def row_id(df: DataFrame, order_col: str, name: str = "row_id", tiebreak=(),
     first; ties by the hash of ``tiebreak``, or of the whole row), without a
     single-partition window.
 
-    Approximate quantiles of the column, an aggregate inside the plan, give
-    ordered range buckets; a value that is itself a quantile has a bucket of
+    Texts are placed by :func:`in_order`, whose ranges are cut at whole keys.
+    For numbers and dates, approximate quantiles of the column, an aggregate
+    inside the plan, give ordered range buckets; a value that is itself a quantile has a bucket of
     its own, which is split by the tie hash if it holds one value only, so that
     a hot value is spread as well.  Counts per bucket give offsets; the place
-    within a bucket is a window over one bucket.  Works for numbers, dates and
-    texts; nothing runs while the plan is built.
+    within a bucket is a window over one bucket; nothing runs while the plan is
+    built.
     """
     ties = _names(tiebreak) or df.columns
+    if isinstance(df.schema[order_col].dataType, T.StringType):
+        tie = hkey("tie", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ties])
+        return in_order(df, [F.col(order_col), tie, *[F.col(c) for c in ties]], name)
     rows = df.withColumn("_h", hkey("tie", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ties])).withColumn("_code", _code(df, order_col))
     quantiles = F.percentile_approx("_code", F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)]), accuracy)
     cuts = df.select(_code(df, order_col).alias("_code")).agg(F.sort_array(F.array_distinct(F.coalesce(quantiles, F.array().cast("array<double>")))).alias("c"))
@@ -296,13 +356,31 @@ def learning_curve_subsets(df: DataFrame, sizes: Sequence[int], keys, seed=DEFAU
 
 # --------------------------------------------------------------------------- R5, R9, R10
 
+DRAW_BINS = 1 << 16
+
+
 def _draw_rows(draws: DataFrame, df: DataFrame, keys, seed, digits) -> DataFrame:
     """``draws`` (with a draw number ``_draw``) joined to the pool row at
-    permutation position ``_draw % N + 1``; an empty pool gives no rows."""
-    ranked = shuffle_rank(df, keys, seed, name="_pos", digits=digits)
+    permutation position ``_draw % N + 1``; an empty pool gives no rows.
+
+    The permutation is located, not built: from key columns alone come the
+    counts and offsets of its hash buckets; equal bins of positions lead a draw
+    to its bucket by an equi-join (a bucket overlaps few bins); and only the
+    rows of buckets that are drawn from are exchanged, once, and ranked."""
+    keys = _names(keys)
+    buckets = bucket_counts(_hashed(df.select(*keys), keys, seed, digits), [])
     size = df.agg(F.count(F.lit(1)).alias("n"))
-    at = draws.withColumn("_size", size.scalar()).withColumn("_pos", F.when(F.col("_size") > 0, F.col("_draw") % F.col("_size") + 1).cast("long"))
-    return at.drop("_draw", "_size").join(ranked, "_pos").drop("_pos")
+    width = F.greatest(F.ceil(F.col("_total") / DRAW_BINS), F.lit(1))
+    bins = F.sequence(F.floor(F.col("_before") / width), F.floor((F.col("_before") + F.col("_n") - 1) / width))
+    directory = buckets.select("_b", "_n", "_before", F.explode(bins).alias("_bin"))
+    at = draws.withColumn("_total", size.scalar())
+    at = at.withColumn("_pos", F.when(F.col("_total") > 0, F.col("_draw") % F.col("_total")).cast("long"))
+    at = (at.withColumn("_bin", F.floor(F.col("_pos") / width)).join(directory, "_bin")
+          .where((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_n")))
+          .withColumn("_place", F.col("_pos") - F.col("_before") + 1).drop("_draw", "_total", "_pos", "_bin", "_n", "_before"))
+    pool = _hashed(df, keys, seed, digits).join(at.select("_b").distinct(), "_b", "left_semi")
+    pool = pool.withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys)).cast("long")).drop("_h")
+    return at.join(pool, ["_b", "_place"]).drop("_b", "_place")
 
 
 def sample_with_replacement(spark: SparkSession, df: DataFrame, n: int, keys, seed=DEFAULT_SEED,

@@ -110,15 +110,15 @@ def s07_completion_gate(spark, sf):
 
 @register("s11_run_manifest", f"""WITH f AS (SELECT topic, split, model, temperature, count(*) AS n_rows
       FROM {RESP} GROUP BY ALL)
-    SELECT topic, split, model, temperature, substr(sha256(array_to_string(list_sort([
-      'model_' || lower(trim(model)), 'n_rows_' || CAST(n_rows AS VARCHAR), 'split_' || lower(trim(split)),
-      'temperature_' || lower(trim(temperature)), 'topic_' || lower(trim(topic))]), '')), 1, 10) AS run_hash
+    SELECT topic, split, model, temperature, substr(sha256('topic_' || lower({q.strip('topic')}) || 'model_' || lower({q.strip('model')})
+      || 'model_rows_' || n_rows || 'note_none' || 'split_' || lower({q.strip("chr(9) || split || chr(10)")})
+      || 'temperature_' || lower({q.strip('temperature')})), 1, 10) AS run_hash
     FROM f""")
 def s11_run_manifest(spark, sf):
     f = A.responses(spark, sf).groupBy("topic", "split", "model", "temperature").agg(
         F.count(F.lit(1)).alias("n_rows"))
-    params = {k: F.col(k) for k in ["model", "n_rows", "split", "temperature", "topic"]}
-    params["timestamp"] = F.current_timestamp()
+    params = {"model_rows": F.col("n_rows"), "model": F.col("model"), "Topic": F.col("topic"), "temperature": F.col("temperature"),
+              "split": F.concat(F.lit("\t"), "split", F.lit("\n")), "note": F.lit(None), "write_timestamp": F.current_timestamp()}
     return IO.run_manifest(f, params).select("topic", "split", "model", "temperature", "run_hash")
 
 
@@ -304,6 +304,14 @@ def p26_truncate_tokens(spark, sf):
     return E.truncate_tokens(d, "text").select("doc_id", "budget", "truncated")
 
 
+@register("p26c_truncate_subwords")
+def p26c_truncate_subwords(spark, sf):
+    """Budgets of the subwords of a public byte-level vocabulary."""
+    import public_tokenizers
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
+    return E.truncate_subwords(d, "text", public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "budget", "truncated")
+
+
 # --------------------------------------------------------------------------- scalar functions
 
 @register("f01_parse_qa_blocks", f"""WITH t AS {QA_TEXT_SQL},

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatio.functions.text import strip
+
 READERS = (".csv", ".tsv", ".jsonl", ".json", ".parquet", ".txt")
 
 
@@ -72,16 +74,19 @@ def write_config_split(df: DataFrame, root: str, config: str, split: str) -> Non
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config", "split").parquet(root))
 
 
-def manifest_entries(params: dict[str, Column]) -> Column:
-    """Sorted ``key_value`` strings (lower-cased, stripped); ``timestamp`` skipped."""
-    entries = [F.concat(F.lit(k.lower().strip() + "_"), F.lower(F.trim(v.cast("string"))))
-               for k, v in params.items() if k != "timestamp"]
-    return F.array_sort(F.array(*entries))
+def manifest_text(params: dict[str, Column]) -> Column:
+    """The settings as one text: in the order of the keys as they are (before
+    they are lower-cased), each key and value lower-cased and stripped of all
+    white space at their ends, joined by ``_``; ``write_timestamp`` is skipped,
+    a null is ``none``."""
+    parts = [F.concat(F.lit(k.lower().strip() + "_"), F.coalesce(strip(F.lower(params[k].cast("string"))), F.lit("none")))
+             for k in sorted(params) if k != "write_timestamp"]
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def run_manifest(df: DataFrame, params: dict[str, Column], out: str = "run_hash") -> DataFrame:
-    """SHA-256 of the concatenated sorted entries, first 10 hex digits."""
-    return df.withColumn(out, F.substring(F.sha2(F.array_join(manifest_entries(params), ""), 256), 1, 10))
+    """SHA-256 of the settings' text, first 10 hex digits."""
+    return df.withColumn(out, F.substring(F.sha2(manifest_text(params), 256), 1, 10))
 
 
 def manifest_conflicts(stored: DataFrame, wanted: DataFrame) -> DataFrame:
