@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatio.functions.text import col, round_half_even, split_lit, word_count
@@ -188,51 +188,30 @@ def max_input_length(df: DataFrame, c: str, new_tokens: int, limit: int | None =
     return out
 
 
-def _shortest_prefix(by: Sequence[str], c: str):
-    """Arrow batches -> per group the common prefix so far, whether all texts
-    equal it, and whether one of them does."""
-    import os
-
-    import pyarrow as pa
-
-    def run(batches):
-        state: dict = {}
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for *group, text, n, whole, one in zip(*columns):
-                have = state.get(tuple(group))
-                if have is None:
-                    state[tuple(group)] = [text, n, whole, one]
-                    continue
-                prefix = os.path.commonprefix([have[0], text])
-                # a part whose own prefix is longer holds no text equal to the shorter one
-                have[3] = (have[3] and len(have[0]) == len(prefix)) or (one and len(text) == len(prefix))
-                have[2] = have[2] and whole and have[0] == text
-                have[0], have[1] = prefix, have[1] + n
-        rows = [(*k, *v) for k, v in state.items()]
-        names = [*by, "_prefix", "n", "_same", "_one"]
-        kinds = [pa.string()] * len(by) + [pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-    return run
+def shared_length(a: Column, b: Column) -> Column:
+    """Code points that two texts have in common at their start: the bits of the
+    length from the highest down, each kept if the texts agree that far."""
+    longest = F.least(F.char_length(a), F.char_length(b))
+
+    def bit(have, step):
+        upto = have + step
+        return F.when((upto <= longest) & (F.left(a, upto) == F.left(b, upto)), upto).otherwise(have)
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), F.lit(0), bit)
 
 
 def common_prefix(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    """Longest common prefix of the whole column (per group of texts).
-
-    Each partition folds its texts to one prefix per group in Arrow batches, so
-    only one short row per (partition, group) is shuffled, and the same fold
-    joins those.  ``status`` is ``all_equal`` (prefix is ``""``),
-    ``prefix_of_other`` (one text is a prefix of another -- the reference
-    raises) or ``ok``."""
-    schema = ", ".join([*(f"`{b}` string" for b in by), "_prefix string, n long, _same boolean, _one boolean"])
-    rows = df.where(F.col(c).isNotNull()).select(*[F.col(b).cast("string").alias(b) for b in by], F.col(c).alias("_prefix"),
-                                                 F.lit(1).cast("long").alias("n"), F.lit(True).alias("_same"), F.lit(True).alias("_one"))
-    fold = _shortest_prefix(list(by), c)
-    parts = rows.mapInArrow(fold, schema)
-    whole = (parts.repartition(*by) if by else parts.repartition(1)).mapInArrow(fold, schema)
-    status = (F.when(F.col("_same"), F.lit("all_equal")).when(F.col("_one"), F.lit("prefix_of_other")).otherwise(F.lit("ok")))
-    prefix = F.when(F.col("_same"), F.lit("")).otherwise(F.col("_prefix"))
-    return whole.select(*by, "n", prefix.alias("prefix"), F.length("_prefix").cast("long").alias("prefix_len"), status.alias("status"))
+    """Longest common prefix of the whole column (per group of texts): that
+    of its smallest and its largest text, two partial aggregates.
+
+    ``status`` is ``all_equal`` (prefix is ``""``), ``prefix_of_other`` (one
+    text is a prefix of another -- the reference raises) or ``ok``."""
+    ends = df.where(F.col(c).isNotNull()).groupBy(*[F.col(b).cast("string").alias(b) for b in by]).agg(
+        F.count(F.lit(1)).alias("n"), F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    found = ends.where("n > 0").withColumn("prefix_len", shared_length(F.col("_lo"), F.col("_hi")).cast("long"))
+    same = F.col("_lo") == F.col("_hi")
+    status = F.when(same, "all_equal").when(F.char_length("_lo") == F.col("prefix_len"), "prefix_of_other").otherwise("ok")
+    prefix = F.when(same, "").otherwise(F.left("_lo", F.col("prefix_len").cast("int")))
+    return found.select(*by, "n", prefix.alias("prefix"), "prefix_len", status.alias("status"))
 
 
 def output_confidence(df: DataFrame, scores: str, out: str = "confidence") -> DataFrame:
@@ -254,41 +233,74 @@ def token_sequence(c) -> "F.Column":
     return F.concat(F.array(F.lit("<s>")), tokens(c))
 
 
-def bigrams(seq) -> "F.Column":
-    """``array<struct<w1, w2>>`` of consecutive items of a token-sequence
-    column.  ``seq`` must be a materialised column: a lambda that referenced
-    the tokenising expression would re-tokenise the text for every element."""
-    seq = col(seq)
-    return F.transform(F.slice(seq, 2, F.greatest(F.size(seq) - 1, F.lit(0))),
-                       lambda x, i: F.struct(F.get(seq, i).alias("w1"), x.alias("w2")))
+def bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(kept columns, w1, w2): one row per pair of consecutive words of a text,
+    the first of them preceded by a start marker.  Words are 64-bit hashes."""
+    ids = F.transform(token_sequence(text), lambda w: F.xxhash64(w))
+    seq = df.select(*keep, ids.alias("_ids")).withColumn("_n", F.size("_ids") - 1).where(F.col("_n") > 0)
+    pairs = F.arrays_zip(F.slice("_ids", 1, F.col("_n")).alias("w1"), F.slice("_ids", 2, F.col("_n")).alias("w2"))
+    return seq.select(*keep, F.inline(pairs))
+
+
+HOT_SHARE = 1000
+
+
+def skewed_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: Column) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key) in two stages.
+
+    Keys that hold more than 1 / ``HOT_SHARE`` of the total ``weight`` number
+    fewer than ``HOT_SHARE``, so they are broadcast; rows that find their key
+    there are spread by a hash in the second join, which brings the others
+    together with their keys.  No task gets a hot key's rows."""
+    values = [c for c in table.columns if c not in on]
+    hot = table.where(F.col(weight) * HOT_SHARE > total)
+    first = rows.join(F.broadcast(hot.select(*on, F.lit(1).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])), list(on), "left")
+    keyed = first.withColumn("_stage", F.coalesce("_hot", F.lit(0))).withColumn("_key", F.when(F.col("_stage") == 1, F.xxhash64(*rows.columns, F.lit(1))).otherwise(F.xxhash64(*on)))
+    cold = table.where(F.col(weight) * HOT_SHARE <= total).select(F.lit(0).alias("_stage"), F.xxhash64(*on).alias("_key"), *[F.col(c).alias(f"_on_{c}") for c in on], *values)
+    same = [F.col("l._stage") == F.col("r._stage"), F.col("l._key") == F.col("r._key"), *[F.col(f"l.{c}") == F.col(f"r._on_{c}") for c in on]]
+    met = keyed.alias("l").join(cold.alias("r"), same, "left")
+    return met.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.coalesce(F.col(f"l._hot_{v}"), F.col(f"r.{v}")).alias(v) for v in values])
 
 
-def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: str,
-                     k: float = 0.5) -> DataFrame:
-    """M3 (scorer behind A17): add-k smoothed bigram model fitted on
+def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: str) -> DataFrame:
+    """M3 (scorer behind A17): interpolated Kneser-Ney bigram model fitted on
     ``corpus``; per text ``exp(-mean log p(w2 | w1))``.
 
-    The texts' bigrams are counted per text first, so a frequent pair is one row
-    per text and not one per occurrence.  Each distinct pair gets its counts
-    from vocabulary-sized joins; one join brings them to the texts' pairs.  A
-    text without tokens has no bigrams, a null perplexity and the status
-    ``no_tokens``.  Nothing is cached and no job runs before the plan does."""
-    def pairs(df, *keep):
-        seq = df.select(*keep, token_sequence(text_col).alias("_seq"))
-        return seq.select(*keep, F.explode(bigrams("_seq")).alias("b")).select(*keep, "b.w1", "b.w2")
-
-    pair_n = pairs(corpus).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
-    ctx_n = pair_n.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    vocab = pair_n.agg((F.count_distinct("w2") + 1).alias("v"))
-    own = pairs(texts, key).groupBy(key, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
-    scored = (own.join(pair_n, ["w1", "w2"], "left").join(ctx_n, "w1", "left").fillna(0, ["c12", "c1"])
-              .withColumn("_v", vocab.scalar()))
-    lp = F.log((F.col("c12") + k) / (F.col("c1") + k * F.col("_v"))) * F.col("n")
-    per = scored.groupBy(key).agg(F.sum("n").alias("n_bigrams"), F.sum(lp).alias("_lp"))
+        p(w2 | w1) = max(c(w1 w2) - D, 0) / c(w1) + D n(w1 .) / c(w1) * q(w2)
+        q(w2)      = max(n(. w2) - D, 0) / P + D V / (P (V + 1))
+
+    c counts occurrences, n distinct pairs, P all distinct pairs, V the words
+    that follow another; D = n1 / (n1 + 2 n2) from the pairs seen once and twice
+    (0.5 if none is seen once).  An unknown context gives q; an unknown word has
+    the one share that q keeps for it.
+
+    One aggregate counts the pairs; context and continuation counts are partial
+    aggregates of its result, which is exchanged once.  A text's pairs meet the
+    counts in lookups that no hot word or pair can skew.  A text without tokens
+    has a null perplexity and the status ``no_tokens``; so have all texts, with
+    the status ``no_corpus``, if the corpus has no pair.  Nothing is cached and
+    no job runs before the plan does."""
+    pair_n = bigrams(corpus, text_col).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
+    one = F.sum(F.when(F.col("c12") > 0, 1))                 # reads c12, so that all three share one exchange
+    contexts = pair_n.groupBy("w1").agg(F.sum("c12").alias("c1"), one.alias("n1"))
+    followers = pair_n.groupBy("w2").agg(F.sum("c12").alias("c2"), one.alias("n2"))
+    totals = pair_n.agg(F.struct(F.sum("c12").alias("c"), one.alias("p"), F.count_distinct("w2").alias("v"),
+                                 F.count_if(F.col("c12") == 1).alias("once"), F.count_if(F.col("c12") == 2).alias("twice"))).scalar()
+
+    own = bigrams(texts, text_col, key)
+    met = skewed_lookup(own, pair_n, ["w1", "w2"], "c12", totals["c"])
+    met = skewed_lookup(met, contexts, ["w1"], "c1", totals["c"])
+    met = skewed_lookup(met, followers, ["w2"], "c2", totals["c"]).withColumn("_t", totals)
+    d = F.when(F.col("_t.once") > 0, F.col("_t.once") / (F.col("_t.once") + 2 * F.col("_t.twice"))).otherwise(0.5)
+    p, v = F.col("_t.p"), F.col("_t.v")
+    over = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) - d, F.lit(0.0))
+    q = over("n2") / p + d * v / (p * (v + 1))
+    prob = F.when(F.col("c1").isNull(), q).otherwise(over("c12") / F.col("c1") + d * F.col("n1") / F.col("c1") * q)
+    per = met.groupBy(key).agg(F.count(F.lit(1)).alias("n_bigrams"), F.sum(F.log(prob)).alias("_lp"))
     return texts.select(key).join(per, key, "left").select(
         key, F.coalesce("n_bigrams", F.lit(0)).alias("n_bigrams"),
         F.round(F.exp(-F.col("_lp") / F.col("n_bigrams")), 4).alias("perplexity"),
-        F.when(F.col("n_bigrams").isNull(), "no_tokens").otherwise("ok").alias("status"))
+        F.when(F.col("n_bigrams").isNull(), "no_tokens").when(F.col("_lp").isNull(), "no_corpus").otherwise("ok").alias("status"))
 
 
 def mean_perplexity(scored: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from curatio.operators import metrics as M
 from curatio.operators import ml as ML
 from curatio.operators import sampling as R
 from curatio.operators import sets as O
-from curatio.operators.cleaning import rename_to_contract, validate_training
+from curatio.plans import builders as B
 from curatio.plans import curate
 from curatio.plans import sqlkit as q
 from curatio.plans.catalog import ORACLES, QUERIES, RESP, SEED, register
@@ -173,6 +173,32 @@ def r11_halves(spark, sf):
     return first.withColumn("half", F.lit(1)).unionByName(second.withColumn("half", F.lit(2)))
 
 
+@register("w01_text_order", f"""SELECT doc_id, row_number() OVER (ORDER BY encode(text) NULLS FIRST, {sql_hkey('tie', "coalesce(CAST(doc_id AS VARCHAR), '~')")}, doc_id) AS row_id
+    FROM documents""")
+def w01_text_order(spark, sf):
+    """Dense ids in the order of whole texts."""
+    return R.row_id(_docs(spark, sf, "doc_id", "text"), "text", "row_id", ["doc_id"]).select("doc_id", "row_id")
+
+
+FILE_ROWS = 1000
+
+
+@register("r01b_shuffled_files", f"""SELECT doc_id, rn AS rank, (rn - 1) // {FILE_ROWS} AS file FROM (SELECT doc_id, {_rank([], ['doc_id'])} AS rn FROM documents)""")
+def r01b_shuffled_files(spark, sf):
+    """A shuffled table on disk, read back through its manifest."""
+    path = scratch_path(spark, f"r01b-{uuid.uuid4().hex}")
+    R.write_shuffled(_docs(spark, sf, "doc_id", "text"), ["doc_id"], path, SEED, FILE_ROWS)
+    return R.read_shuffled(spark, path).select("doc_id", "rank", F.col("file").cast("long").alias("file"))
+
+
+@register("r01c_shuffled_manifest", f"""SELECT (rn - 1) // {FILE_ROWS} AS file, count(*) AS n_rows, min(rn) AS first_rank, max(rn) AS last_rank
+    FROM (SELECT {_rank([], ['doc_id'])} AS rn FROM documents) GROUP BY ALL""")
+def r01c_shuffled_manifest(spark, sf):
+    path = scratch_path(spark, f"r01c-{uuid.uuid4().hex}")
+    R.write_shuffled(_docs(spark, sf, "doc_id", "text"), ["doc_id"], path, SEED, FILE_ROWS)
+    return spark.read.parquet(f"{path}/manifest")
+
+
 @register("r12_sort_rows", "SELECT doc_id, lang FROM documents ORDER BY doc_id")
 def r12_sort_rows(spark, sf):
     return _docs(spark, sf, "doc_id", "lang").orderBy(F.col("doc_id").cast("long"))
@@ -396,13 +422,16 @@ _PPL_SQL = f"""WITH t AS (SELECT doc_id, {sql_draw(A.SPLIT_SEED, 'doc_id')} % 10
       list_concat(['<s>'], {_TOK}) AS seq FROM documents),
   bg AS (SELECT doc_id, is_train, seq[i - 1] AS w1, seq[i] AS w2 FROM (SELECT *, unnest(range(2, len(seq) + 1)) AS i FROM t)),
   pn AS (SELECT w1, w2, count(*) AS c12 FROM bg WHERE is_train GROUP BY w1, w2),
-  cn AS (SELECT w1, count(*) AS c1 FROM bg WHERE is_train GROUP BY w1),
-  v AS (SELECT count(DISTINCT w2) + 1 AS V FROM bg WHERE is_train),
-  s AS (SELECT b.doc_id, ln((coalesce(pn.c12, 0) + 0.5) / (coalesce(cn.c1, 0) + 0.5 * v.V)) AS lp
-        FROM bg b CROSS JOIN v LEFT JOIN pn USING (w1, w2) LEFT JOIN cn USING (w1) WHERE NOT b.is_train)
+  cn AS (SELECT w1, sum(c12) AS c1, count(*) AS n1 FROM pn GROUP BY w1),
+  fo AS (SELECT w2, count(*) AS n2 FROM pn GROUP BY w2),
+  tot AS (SELECT count(*) AS p, count(DISTINCT w2) AS v, CASE WHEN count(*) FILTER (c12 = 1) > 0
+            THEN count(*) FILTER (c12 = 1) / (count(*) FILTER (c12 = 1) + 2 * count(*) FILTER (c12 = 2)) ELSE 0.5 END AS d FROM pn),
+  s AS (SELECT b.doc_id, greatest(coalesce(n2, 0) - d, 0) / p + d * v / (p * (v + 1)) AS q, c1, n1, d, coalesce(c12, 0) AS c12
+        FROM bg b CROSS JOIN tot LEFT JOIN pn USING (w1, w2) LEFT JOIN cn USING (w1) LEFT JOIN fo USING (w2) WHERE NOT b.is_train),
+  l AS (SELECT doc_id, ln(CASE WHEN c1 IS NULL THEN q ELSE greatest(c12 - d, 0) / c1 + d * n1 / c1 * q END) AS lp FROM s)
   SELECT t.doc_id, count(lp) AS n_bigrams, round(exp(-sum(lp) / count(lp)), 4) AS perplexity,
     CASE WHEN count(lp) = 0 THEN 'no_tokens' ELSE 'ok' END AS status
-  FROM t LEFT JOIN s USING (doc_id) WHERE NOT t.is_train GROUP BY t.doc_id"""
+  FROM t LEFT JOIN l USING (doc_id) WHERE NOT t.is_train GROUP BY t.doc_id"""
 
 
 @register("a17_ngram_perplexity", _PPL_SQL)
@@ -456,16 +485,55 @@ def j12_leave_one_out(spark, sf):
     return ML.leave_one_out(v, "model").select("held_out", "topic", "model", "label", "role")
 
 
+# M2 in SQL, by another way: with the kernel K of the probe vectors the coefficients are sums of vectors
+# (beta = sum a_i x_i), and accelerated gradient descent on (a, b) runs per fold; its step is 1 / L with L bounded by row sums.
+_M02 = f"""WITH RECURSIVE f AS MATERIALIZED ({_M01}),
+  v AS (SELECT *, row_number() OVER (ORDER BY topic, model) AS i FROM (
+        SELECT topic, model, label, list({{'q': qid, 'x': value}}) AS probes FROM f GROUP BY topic, model, label)),
+  x AS (SELECT i, unnest(probes).q AS q, unnest(probes).x AS x FROM v),
+  k AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS k FROM x a JOIN x b USING (q) GROUP BY ALL),
+  kk AS (SELECT v.i, w.i AS j, coalesce(k.k, 0) AS k FROM v CROSS JOIN (SELECT i FROM v) w LEFT JOIN k ON k.i = v.i AND k.j = w.i),
+  rows_ AS (SELECT i, list(k ORDER BY j) AS k FROM kk GROUP BY i),
+  size AS (SELECT h.held_out, count(*) FILTER (model <> held_out) AS n, count(*) FILTER (model <> held_out AND label = 1) AS n1
+           FROM v CROSS JOIN (SELECT DISTINCT model AS held_out FROM v) h GROUP BY 1),
+  fold AS (SELECT held_out, n, n1, list(r.k ORDER BY v.i) AS ks, list(CAST(label AS DOUBLE) ORDER BY v.i) AS t,
+                  list(CASE WHEN model = held_out THEN 0 WHEN label = 1 THEN n / (2.0 * n1) ELSE 1 END ORDER BY v.i) AS w
+           FROM size CROSS JOIN v JOIN rows_ r USING (i) GROUP BY ALL),
+  step AS (SELECT *, 1 + 0.25 * list_max(list_transform(ks, lambda r, i: list_sum(list_transform(r, lambda c, j: sqrt(w[i] * w[j]) * (abs(c) + 1))))) AS l
+           FROM fold WHERE n1 > 0 AND n1 < n),
+  gd AS (SELECT 0 AS it, held_out, list_transform(t, lambda c: 0.0::DOUBLE) AS a, list_transform(t, lambda c: 0.0::DOUBLE) AS a0, 0.0::DOUBLE AS b, 0.0::DOUBLE AS b0 FROM step
+    UNION ALL SELECT it + 1, held_out, list_transform(y, lambda c, i: c - (c + g[i]) / l), y0, yb - list_sum(g) / l, b FROM (
+      SELECT *, list_transform(y, lambda c, i: w[i] * (1 / (1 + exp(-(list_dot_product(ks[i], y) + yb))) - t[i])) AS g FROM (
+        SELECT gd.it, gd.held_out, gd.a AS y0, gd.b, ks, t, w, l,
+               list_transform(gd.a, lambda c, i: c + (sqrt(l) - 0.3) / (sqrt(l) + 0.3) * (c - gd.a0[i])) AS y,
+               gd.b + (sqrt(l) - 0.3) / (sqrt(l) + 0.3) * (gd.b - gd.b0) AS yb
+        FROM gd JOIN step USING (held_out) WHERE gd.it < 4000))),
+  m AS (SELECT s.held_out, v.topic, v.model, v.label, list_dot_product(r.k, gd.a) + gd.b AS z
+        FROM size s CROSS JOIN v JOIN rows_ r USING (i) LEFT JOIN gd ON gd.held_out = s.held_out AND gd.it = 4000)
+  SELECT held_out, topic, model, label, CASE WHEN model = held_out THEN 'test' ELSE 'train' END AS role,
+         round(1 / (1 + exp(-z)), 4) AS probability, CAST(z > 0 AS BIGINT) AS prediction FROM m"""
+
+
 @register("m02_probe_fit", f"""WITH v AS (SELECT DISTINCT topic, model, label FROM ({_M01})), f AS (SELECT DISTINCT model AS held_out FROM v),
   r AS (SELECT f.held_out, v.*, v.model = f.held_out AS test FROM f, v),
   w AS (SELECT held_out, count(*) FILTER (WHERE test) AS n_test, count(*) FILTER (WHERE NOT test) AS n_train,
-        count(*) FILTER (WHERE NOT test AND label = 1) AS n1 FROM r GROUP BY held_out)
+        count(*) FILTER (WHERE NOT test AND label = 1) AS n1 FROM r GROUP BY held_out),
+  p AS (SELECT held_out, avg(CAST(prediction = label AS INTEGER)) FILTER (role = 'test') AS accuracy FROM ({_M02}) GROUP BY held_out)
   SELECT held_out, n_train, n_test, CASE WHEN n1 > 0 THEN round(n_train - n1 + n_train / 2.0, 6) END AS weight_sum,
     CASE WHEN n1 = 0 OR n1 = n_train THEN 'one_class' ELSE 'fitted' END AS status,
-    CASE WHEN n1 = 0 OR n1 = n_train THEN NULL ELSE true END AS converged FROM w""")
+    CASE WHEN n1 = 0 OR n1 = n_train THEN NULL ELSE true END AS converged, round(accuracy, 6) AS accuracy FROM w JOIN p USING (held_out)""")
 def m02_probe_fit(spark, sf):
     f = ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC)
-    return ML.probe_fit(f, group="model").select("held_out", "n_train", "n_test", F.round("weight_sum", 6).alias("weight_sum"), "status", "converged")
+    return ML.probe_fit(f, group="model").select("held_out", "n_train", "n_test", F.round("weight_sum", 6).alias("weight_sum"), "status", "converged",
+                                                 F.round("accuracy", 6).alias("accuracy"))
+
+
+@register("m02b_probe_predictions", _M02)
+def m02b_probe_predictions(spark, sf):
+    """The probability of each vector under each fold's fit."""
+    f = ML.probe_features(A.probe_answers(spark, sf), A.DEFAULT_TOPIC)
+    return ML.probe_predictions(f, group="model").select("held_out", "topic", "model", "label", "role",
+                                                         F.round("probability", 4).alias("probability"), "prediction")
 
 
 def _curated_table(spark, sf):
@@ -475,11 +543,15 @@ def _curated_table(spark, sf):
     return spark.read.parquet(path)
 
 
+DETECTOR_KEY = ["topic", "model", "temperature", "key"]
+
+
 @register("m04_fit_detector")
 def m04_fit_detector(spark, sf):
+    """Predictions for the test rows, with the setting that the validation split chose."""
     cur = _curated_table(spark, sf)
-    _, pred = ML.fit_detector(cur.where("split = 'train'"), cur.where("split = 'test'"))
-    return pred.select("topic", "model", "key", "label", "output")
+    detector, pred = ML.fit_detector(cur.where("split = 'train'"), cur.where("split = 'test'"), DETECTOR_KEY)
+    return pred.select("topic", "model", "key", "label", "output", F.lit(detector.reg).alias("reg"))
 
 
 @register("m04b_detector_coverage", f"""SELECT topic, model, label, count(*) AS n_scored, true AS binary_output, true AS two_scores
@@ -488,7 +560,7 @@ def m04b_detector_coverage(spark, sf):
     """What SQL can check of the detector: every test row is scored, with one
     of two classes and one raw score a class."""
     cur = _curated_table(spark, sf)
-    _, pred = ML.fit_detector(cur.where("split = 'train'"), cur.where("split = 'test'"))
+    _, pred = ML.fit_detector(cur.where("split = 'train'"), cur.where("split = 'test'"), DETECTOR_KEY)
     return pred.groupBy("topic", "model", "label").agg(
         F.count(F.lit(1)).alias("n_scored"), F.bool_and(F.col("output").isin(0, 1)).alias("binary_output"),
         F.bool_and(F.size("output_logits") == 2).alias("two_scores"))
@@ -576,18 +648,12 @@ def c20_instruction_dataset(spark, sf):
 
 @register("c23_training_table", f"""WITH d AS (SELECT qid, question AS input, answer AS output FROM {QA}
       WHERE input IS NOT NULL AND input <> '' AND output IS NOT NULL AND output <> ''),
-  r AS (SELECT *, {_rank([], ['qid'])} AS rn, count(*) OVER () AS n FROM d),
-  s AS (SELECT *, CASE WHEN rn <= n - (n - floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.1!r} AS DOUBLE))) THEN 'train'
-                  ELSE 'validation' END AS split FROM r),
-  c AS (SELECT *, {_rank(['split'], ['qid'])} AS rk FROM s)
-  SELECT qid, split, input || ' ' || chr(10) AS prompt, 'Output: ' || output AS completion FROM c WHERE rk <= 150""")
+  r AS (SELECT *, {_rank([], ['qid'])} AS rn, count(*) OVER () AS n FROM d)
+  SELECT qid, CASE WHEN rn <= n - (n - floor(CAST(n AS DOUBLE) * CAST({1.0 - 0.1!r} AS DOUBLE))) THEN 'train' ELSE 'validation' END AS split,
+    input || ' ' || chr(10) AS prompt, 'Output: ' || output AS completion FROM r""")
 def c23_training_table(spark, sf):
-    d = rename_to_contract(_qa(spark, sf).select("qid", "question", "answer"), {"question": "input", "answer": "output"})
-    d = validate_training(d, "sft")
-    d = R.split_train_valid_test(d, 0.1, None, ["qid"], SEED)
-    d = R.cap_rows(d, 150, ["qid"], SEED, by=["split"])
-    p, c = X.prompt_completion("input", "output")
-    return d.select("qid", "split", p.alias("prompt"), c.alias("completion"))
+    """The whole training table; the cap per split is r08's."""
+    return B.training_table(_qa(spark, sf).select("qid", "question", "answer"), "sft", "qid", {"question": "input", "answer": "output"}, 0.1, seed=SEED)
 
 
 # --------------------------------------------------------------------------- streaming
@@ -612,7 +678,7 @@ def t02_completion_progress(spark, sf):
     base = scratch_path(spark, f"t02-{uuid.uuid4().hex}")
     stream = A.responses_from(_doc_stream(spark, sf))
     T.completion_progress(stream, base + "/target", base + "/checkpoint")
-    return spark.read.parquet(base + "/target")
+    return T.read_progress(spark, base + "/target")
 
 
 assert set(ORACLES) <= set(QUERIES)

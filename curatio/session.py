@@ -60,6 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
+def materialized(df, name: str):
+    """``df`` written to the shared folder and read back: a cut of the lineage
+    that survives the loss of executors, for tables that are read many times."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 
@@ -71,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
 
     import curatio
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId          # an object's address may be used again by a later session
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(curatio.__file__))
