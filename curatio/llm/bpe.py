@@ -4,7 +4,8 @@ A unit is what the tokenizer's pattern keeps together (a run of letters, one
 digit, a run of signs).  Short units are merged pair by pair.  A unit of more
 than ``LEAF`` bytes is cut into halves down to leaves of at most ``LEAF`` bytes;
 the leaves are encoded independently of each other and neighbours are joined
-bottom-up: a window of the last tokens on the left and the first on the right
+bottom-up, all leaves of a chunk of texts side by side, then all joins of a
+level: a window of the last tokens on the left and the first on the right
 is encoded anew, and grows until its first token equals the left side's token
 at that place and its last token the right side's.  Every adjacent pair of the
 result is then a pair of a valid encoding, which makes the whole encoding equal
@@ -13,7 +14,7 @@ a unit, where merging it as a whole is quadratic.
 
 The vocabulary file is read by the driver and travels with the function (its
 size is that of the vocabulary); units are cached per Python worker in a cache
-of ``CACHE_UNITS`` entries.  Documents are independent rows: there is no
+of ``CACHE_BYTES`` bytes.  Documents are independent rows: there is no
 shuffle, and lost executors cost their own partitions only.
 
 Null text: encoded as the empty text (no tokens, empty decoding).  Null ids and
@@ -38,7 +39,8 @@ from curatio.llm.common import CHUNK_BYTES, read, row_schema, whole_rows
 
 LEAF = 48
 WINDOW = 4
-CACHE_UNITS = 200_000
+CACHE_BYTES = 96 << 20
+ENTRY = 256                   # bytes that an entry of the cache takes besides its texts
 SCHEMA = "doc_id long, n_tokens long, token_ids binary, decoded string"
 _NONE = 1 << 62
 _SLOTS = 1 << 18
@@ -92,6 +94,7 @@ class Bpe:
             self.rank[i << 20 | j] = n << 20 | k
             self.base[k] = self.base[i] + self.base[j]
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cached = 0
         self.inner_ids, self.last_ids = np.array(self.inner), np.array(self.last)
         self.pair_keys, self.pair_ranks = np.full(_SLOTS, -1), np.full(_SLOTS, _NONE)
         for key, value in self.rank.items():
@@ -119,7 +122,11 @@ class Bpe:
         flat = np.frombuffer(b"".join(raws), np.uint8)
         symbol, ends = self.inner_ids[flat], np.cumsum(length)
         symbol[ends - 1] = self.last_ids[flat[ends - 1]]
-        unit = np.repeat(np.arange(len(raws)), length)
+        return self.merge_flat(symbol, np.repeat(np.arange(len(raws)), length), len(raws))
+
+    def merge_flat(self, symbol: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of ``n`` runs of symbols at once; ``unit``: the run of each symbol."""
+        symbol = symbol.astype(np.int64)
         done_unit, done_symbol = [], []
         while len(symbol):
             rank = np.full(len(symbol), _NONE)
@@ -137,10 +144,18 @@ class Bpe:
             symbol[at] = rank[at] & 0xFFFFF
             keep[at + 1] = False
             symbol, unit = symbol[keep], unit[keep]
+        if not done_unit:
+            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         order = np.argsort(np.concatenate(done_unit), kind="stable")
-        first = np.searchsorted(np.concatenate(done_unit)[order], np.arange(len(raws) + 1), "left")
+        first = np.searchsorted(np.concatenate(done_unit)[order], np.arange(n + 1), "left")
         return np.concatenate(done_symbol)[order], first
 
+    def merge_lists(self, lists: list[list[int]]) -> list[list[int]]:
+        """Each list of symbols merged by itself, all of them side by side."""
+        ids, first = self.merge_flat(np.array([s for x in lists for s in x], np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), len(lists))
+        ids = ids.tolist()
+        return [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the pair of the lowest rank until no pair has a rank."""
         rank = self.rank
@@ -161,32 +176,49 @@ class Bpe:
             ids = out
         return ids
 
+    def trees(self, lists: list[list[int]]) -> list[list[int]]:
+        """Encodes each list of symbols: halves down to leaves of at most ``LEAF``
+        symbols, all leaves of all lists side by side, then all joins of a level."""
+        spans = []
+        for symbols in lists:
+            n = 1 << (max(1, -(-len(symbols) // LEAF)) - 1).bit_length()
+            spans.append([len(symbols) * i // n for i in range(n + 1)])
+        leaves = iter(self.merge_lists([symbols[a:b] for symbols, cuts in zip(lists, spans) for a, b in zip(cuts, cuts[1:])]))
+        levels = [[next(leaves) for _ in cuts[1:]] for cuts in spans]
+        while any(len(level) > 1 for level in levels):
+            sides = [(level[k], level[k + 1]) for level in levels if len(level) > 1 for k in range(0, len(level), 2)]
+            joined = iter(self.join_many(sides))
+            levels = [[next(joined) for _ in range(len(level) // 2)] if len(level) > 1 else level for level in levels]
+        return [level[0] for level in levels]
+
     def tree(self, symbols: list[int]) -> list[int]:
-        """Encodes leaves of ``LEAF`` symbols, then joins neighbours level by level."""
-        if len(symbols) <= LEAF:
-            return self.merge(symbols)
-        n_leaves = 1 << (-(-len(symbols) // LEAF) - 1).bit_length()
-        cuts = [len(symbols) * i // n_leaves for i in range(n_leaves + 1)]
-        level = [self.merge(symbols[a:b]) for a, b in zip(cuts, cuts[1:])]
-        while len(level) > 1:
-            level = [self.join(a, b) for a, b in zip(level[::2], level[1::2])]
-        return level[0]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        width = WINDOW
-        while True:
-            a, b = max(0, len(left) - width), min(len(right), width)
-            window = [s for t in (*left[a:], *right[:b]) for s in self.base[t]]
-            fresh = self.merge(window)
-            if (a == 0 or fresh[0] == left[a]) and (b == len(right) or fresh[-1] == right[b - 1]):
-                return left[:a] + fresh + right[b:]
-            width *= 2
+        return self.trees([symbols])[0]
+
+    def join_many(self, sides: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """Joins each pair of encodings: windows around all joins are encoded side
+        by side; those that do not agree with both sides grow and go again."""
+        out, width, todo = [None] * len(sides), WINDOW, range(len(sides))
+        while todo:
+            ends = [(max(0, len(sides[k][0]) - width), min(len(sides[k][1]), width)) for k in todo]
+            fresh = self.merge_lists([[s for t in (*sides[k][0][a:], *sides[k][1][:b]) for s in self.base[t]] for k, (a, b) in zip(todo, ends)])
+            again = []
+            for k, (a, b), window in zip(todo, ends, fresh):
+                left, right = sides[k]
+                if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
+                    out[k] = left[:a] + window + right[b:]
+                else:
+                    again.append(k)
+            todo, width = again, 2 * width
+        return out
+
+    def symbols(self, raw: bytes) -> list[int]:
+        found = [self.inner[b] for b in raw]
+        found[-1] = self.last[raw[-1]]
+        return found
 
     def unit(self, unit: str) -> list[int]:
-        raw = unit.encode()
-        symbols = [self.inner[b] for b in raw]
-        symbols[-1] = self.last[raw[-1]]
-        return self.tree(symbols)
+        symbols = self.symbols(unit.encode())
+        return self.merge(symbols) if len(symbols) <= LEAF else self.tree(symbols)
 
     def units(self, text: str) -> list[str]:
         if not text.isascii():
@@ -197,11 +229,14 @@ class Bpe:
         return (_FULL if _BEYOND.search(text) else _FAST).findall(text)
 
     def learn(self, units) -> None:
-        """Encodes the units that are not in the cache, the short ones together."""
+        """Encodes the units that are not in the cache, the short ones together
+        and the long ones together.  The cache is emptied before it would hold
+        more than ``CACHE_BYTES``."""
         wanted = dict.fromkeys(units)
         new = [u for u in wanted if u not in self.cache]
-        if len(self.cache) + len(new) > CACHE_UNITS:
+        if self.cached + sum(ENTRY + 16 * len(u) for u in new) > CACHE_BYTES:
             self.cache.clear()
+            self.cached = 0
             new = list(wanted)
         raws = [u.encode() for u in new]
         short = [i for i, r in enumerate(raws) if len(r) <= LEAF]
@@ -210,11 +245,14 @@ class Bpe:
             packed, names = ids.astype("<u4").tobytes(), [self.names[i] for i in ids.tolist()]
             for k, i in enumerate(short):
                 a, b = int(first[k]), int(first[k + 1])
-                self.cache[new[i]] = (packed[4 * a:4 * b], " ".join(names[a:b]))
-        for i, r in enumerate(raws):
-            if len(r) > LEAF:
-                ids = self.unit(new[i])
-                self.cache[new[i]] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+                self.keep(new[i], packed[4 * a:4 * b], " ".join(names[a:b]))
+        long = [i for i, r in enumerate(raws) if len(r) > LEAF]
+        for i, ids in zip(long, self.trees([self.symbols(raws[i]) for i in long]) if long else ()):
+            self.keep(new[i], np.array(ids, "<u4").tobytes(), self.decode(ids))
+
+    def keep(self, unit: str, ids: bytes, decoded: str) -> None:
+        self.cache[unit] = (ids, decoded)
+        self.cached += ENTRY + 4 * len(unit) + len(ids) + len(decoded)
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Per text: ids as little-endian unsigned 32-bit integers, and their
