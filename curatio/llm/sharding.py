@@ -12,7 +12,7 @@ each to the least-loaded shard through a heap.
 
 Slots are gapless within a shard.  They come from counts of (shard, section)
 pairs, where a section is a hash range of row ids sized to ``section_rows``
-rows, so that no task orders a whole shard.
+rows, so that no task orders a whole shard; the counts stay in the plan.
 
 Null text: no bytes, so size 8 and checksum 0; all null texts are one group.
 Null ids are ordered first.  Repeated rows get slots of their own.  An empty
@@ -80,12 +80,10 @@ def shard_by_size(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id
               .withColumn("shard", F.coalesce("_own_shard", "_bundle_shard"))
               .withColumn("_section", F.pmod(F.xxhash64("doc_id", "_text_key", F.lit(7)), F.lit(8 * n_sections)).cast("int")))
 
-    counts = placed.groupBy("shard", "_section").count().collect()     # one row per section of section_rows / 8 rows
-    starts, at = [], dict.fromkeys(range(n_shards), 0)
-    for r in sorted(counts, key=lambda r: (r["shard"], r["_section"])):
-        starts.append((r["shard"], r["_section"], at[r["shard"]]))
-        at[r["shard"]] += r["count"]
-    offsets = spark.createDataFrame(starts, "shard int, _section int, _start long")
+    # one row per section of section_rows / 8 rows, summed up inside the plan
+    upto = Window.partitionBy("shard").orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("shard", "_section").agg(F.count(F.lit(1)).alias("_n"))
+               .select("shard", "_section", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start")))
     order = Window.partitionBy("shard", "_section").orderBy("doc_id", "_text_key")
     return (placed.withColumn("_rank", F.row_number().over(order))
             .join(offsets, ["shard", "_section"])
