@@ -1,10 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Training: at most ``texts_per_language`` texts of each language (a bounded
-sample, the first by a hash of the row), of which a piece of
-``PIECE`` characters at a place given by the same hash is used.  The network is
-trained in numpy on the driver by backpropagation through time on windows of
-``WINDOW`` bytes, with a label at every position.
+Training: at most ``texts_per_language`` texts of each language, whole, in a
+bounded sample: the first by a hash of the row, among the texts of at most
+``LONGEST`` bytes, while they hold at most ``LANGUAGE_BYTES`` bytes together; the
+languages are the ``MAX_LANGUAGES`` with the most rows.  The network is trained in
+numpy on the driver by backpropagation through time on windows of ``WINDOW``
+bytes, with a label at every position.
 
 Prediction: every text is cut into windows of ``WINDOW`` bytes that together
 cover it all; the network gives every byte a distribution over the learned
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
@@ -32,9 +33,9 @@ from curatio.llm.recurrent import Adam, gru_backward, gru_forward, softmax
 
 WINDOW = 128
 HIDDEN = 8
-PIECE = 512
 TEXTS_PER_LANGUAGE = 400
-EPOCHS, UPDATES = 4, 200      # passes over the sample; more if they make fewer updates
+LONGEST, LANGUAGE_BYTES, MAX_LANGUAGES = 256 << 10, 2 << 20, 64
+EPOCHS, UPDATES = 1, 200      # passes over the sample; more if they make fewer updates
 ROWS_AT_ONCE = 1024
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 3, 1
@@ -117,18 +118,19 @@ class ByteNetwork:
         return out / np.maximum(1, np.diff(offsets))[:, None]
 
 
-def train(docs: DataFrame, learnable, texts_per_language: int = TEXTS_PER_LANGUAGE, piece: int = PIECE) -> ByteNetwork | None:
+def train(docs: DataFrame, learnable, texts_per_language: int = TEXTS_PER_LANGUAGE) -> ByteNetwork | None:
     """A network from the bounded sample of the rows where ``learnable``."""
-    rows = docs.where(learnable & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    languages = [r["lang"] for r in rows.select("lang").distinct().collect()]
-    start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - piece, F.lit(0)) + 1).cast("int") + 1
-    pieces = rows.select("doc_id", "lang", F.col("text").substr(start, F.lit(piece)).alias("_piece"))
-    sample = bounded_sample(pieces, dict.fromkeys(languages, texts_per_language), "lang", 5).select("lang", "_piece", "_rank").collect()
-    sample = sorted((r for r in sample if _LETTER.search(r["_piece"])), key=lambda r: (r["lang"], r["_rank"], r["_piece"]))
+    size = F.octet_length("text")
+    rows = docs.where(learnable & F.col("lang").isNotNull() & (size > 0) & (size <= LONGEST)).select("doc_id", "lang", "text")
+    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    sample = bounded_sample(rows, dict.fromkeys(languages, texts_per_language), "lang", 5).select("lang", "text", "_rank")
+    held = F.sum(size).over(Window.partitionBy("lang").orderBy("_rank"))
+    sample = sample.withColumn("_held", held).where(F.col("_held") <= LANGUAGE_BYTES).collect()
+    sample = sorted((r for r in sample if _LETTER.search(r["text"])), key=lambda r: (r["lang"], r["_rank"], r["text"]))
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
-    raw = [r["_piece"].encode() for r in sample]
+    raw = [r["text"].encode() for r in sample]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
     data, valid, row = windows(np.frombuffer(b"".join(raw), np.uint8), offsets)
     labels = np.array([languages.index(r["lang"]) for r in sample])[row]
