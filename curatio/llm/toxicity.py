@@ -12,7 +12,9 @@ score is the highest of its windows.  Training follows the same rule: the
 gradient of a document goes to its highest window.
 
 Learning uses at most ``TOXIC_TEXTS`` and ``CLEAN_TEXTS`` labelled documents (the
-first by a hash of the row), whole: a text of more than ``PIECE`` bytes is cut
+first by a hash of the row), of at most ``LONGEST`` bytes each and ``CLASS_BYTES``
+bytes a label together; an id that occurs again in the documents gives one text.
+They are used whole: a text of more than ``PIECE`` bytes is cut
 into parts that overlap like the windows, so that the parts together have the
 windows of the text, and only the part with its highest window is kept for the
 gradient.  Scoring reads every text whole, in chunks of bounded bytes, without a
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
@@ -44,6 +46,7 @@ EMBEDDING = 6
 WORD_BUCKETS = 1 << 15
 GRAM_BUCKETS = 1 << 15
 TOXIC_TEXTS, CLEAN_TEXTS = 1500, 4500
+LONGEST, CLASS_BYTES = 1 << 20, 64 << 20
 PIECE = 20_000
 EPOCHS = 6
 CHUNK = 1 << 20
@@ -292,7 +295,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, cl
     chosen = bounded_sample(learnable, {1: toxic_texts, 0: clean_texts}, "toxic", 9).drop("_place")
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(chosen), "doc_id")           # at most toxic_texts + clean_texts rows
-            .where(F.col("text").isNotNull()).select("doc_id", "text", "toxic", "_rank").collect())
+            .where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)))
+    # an id that repeats gives one text, however often and with however many texts it does
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"), F.max("_rank").alias("_rank"))
+    held = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("_rank", "doc_id"))
+    rows = rows.withColumn("_held", held).where(F.col("_held") <= CLASS_BYTES).select("doc_id", "text", "toxic", "_rank").collect()
     rows = sorted(rows, key=lambda r: (r["_rank"], r["toxic"], r["text"]))
     if len({r["toxic"] for r in rows}) < 2:
         return None
