@@ -183,18 +183,18 @@ def w01_text_order(spark, sf):
 FILE_ROWS = 1000
 
 
-@register("r01b_shuffled_files", f"""SELECT doc_id, rn AS rank, (rn - 1) // {FILE_ROWS} AS file FROM (SELECT doc_id, {_rank([], ['doc_id'])} AS rn FROM documents)""")
-def r01b_shuffled_files(spark, sf):
+@register("s09b_shuffled_files", f"""SELECT doc_id, rn AS rank, (rn - 1) // {FILE_ROWS} AS file FROM (SELECT doc_id, {_rank([], ['doc_id'])} AS rn FROM documents)""")
+def s09b_shuffled_files(spark, sf):
     """A shuffled table on disk, read back through its manifest."""
-    path = scratch_path(spark, f"r01b-{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"s09b-{uuid.uuid4().hex}")
     R.write_shuffled(_docs(spark, sf, "doc_id", "text"), ["doc_id"], path, SEED, FILE_ROWS)
     return R.read_shuffled(spark, path).select("doc_id", "rank", F.col("file").cast("long").alias("file"))
 
 
-@register("r01c_shuffled_manifest", f"""SELECT (rn - 1) // {FILE_ROWS} AS file, count(*) AS n_rows, min(rn) AS first_rank, max(rn) AS last_rank
+@register("s09c_shuffled_manifest", f"""SELECT (rn - 1) // {FILE_ROWS} AS file, count(*) AS n_rows, min(rn) AS first_rank, max(rn) AS last_rank
     FROM (SELECT {_rank([], ['doc_id'])} AS rn FROM documents) GROUP BY ALL""")
-def r01c_shuffled_manifest(spark, sf):
-    path = scratch_path(spark, f"r01c-{uuid.uuid4().hex}")
+def s09c_shuffled_manifest(spark, sf):
+    path = scratch_path(spark, f"s09c-{uuid.uuid4().hex}")
     R.write_shuffled(_docs(spark, sf, "doc_id", "text"), ["doc_id"], path, SEED, FILE_ROWS)
     return spark.read.parquet(f"{path}/manifest")
 
