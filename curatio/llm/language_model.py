@@ -19,10 +19,10 @@ whole: in each of ``ROUNDS`` rounds the blocks of the round learn side by side,
 each from the same weights and over all its windows, and the next round begins
 with the mean of their weights, by the number of subwords.  So every window of
 every training text is learned from, and only one set of weights a block is sent.
-The first weights are those fitted on the driver to a small sample: pieces of
-``SAMPLE_CHARS`` characters, at a place given by a hash, of at most
-``SAMPLE_TEXTS`` training texts (the first by a hash of the row).  The classes and
-biases of the softmax come from the exact subword counts of all training texts.
+The first weights are drawn from a fixed seed, and the first round learns at a
+higher rate; a caller may ask for first weights fitted on the driver to pieces of
+``SAMPLE_CHARS`` characters of ``sample_texts`` training texts instead.  The classes
+and biases of the softmax come from the exact subword counts of all training texts.
 
 The counts come from all training texts and follow the size of the corpus.
 Texts are dealt into blocks.  A block sends its distinct words (64-bit hashes)
@@ -66,10 +66,10 @@ WIDTH = 16
 CONTEXT = 32
 STEP = CONTEXT // 2
 MIX = 0.3
-SAMPLE_TEXTS = 6000
+SAMPLE_TEXTS = 0               # texts whose pieces give the first weights; none: those of the seed
 SAMPLE_CHARS = 2000
 PASSES = 2
-ROUNDS, LEARN_RATE = 4, 0.01
+ROUNDS, FIRST_RATE, LEARN_RATE = 4, 0.02, 0.01
 BLOCK_BYTES = 8 << 20
 WINDOWS_AT_ONCE = 2048
 END_KEY = np.uint64(0x454E44)      # stands for the end token among the word hashes
@@ -478,7 +478,7 @@ def _mean(table: pa.Table) -> pa.Table:
                      "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def learn_all(model: Attention, subwords: Subwords, rows: DataFrame, n_blocks: int, rounds: int = ROUNDS) -> int:
+def learn_all(model: Attention, subwords: Subwords, rows: DataFrame, n_blocks: int, rounds: int = ROUNDS, first_rate: float = LEARN_RATE) -> int:
     """Trains ``model`` on all texts of ``rows``, whole, in rounds of blocks;
     the number of subwords learned from.
 
@@ -488,7 +488,7 @@ def learn_all(model: Attention, subwords: Subwords, rows: DataFrame, n_blocks: i
     n_groups = math.isqrt(n_blocks // rounds) + 1
     for k in range(min(rounds, n_blocks)):
         trained = rows.where(F.col("block") % rounds == k).groupBy("block").applyInArrow(
-            _learn(model, subwords, LEARN_RATE / (1 + k), rounds, n_groups), schema)
+            _learn(model, subwords, LEARN_RATE / (1 + k) if k else first_rate, rounds, n_groups), schema)
         parts = trained.groupBy("part").applyInArrow(_mean, schema).collect()
         if not parts:
             continue
@@ -510,6 +510,9 @@ def learned_model(docs: DataFrame, rows: DataFrame, answers: DataFrame, n_blocks
     ranges = id_cuts(subwords.size, n_blocks)
     for r in answers.where(F.col("pieces").isNotNull()).select("bucket", "pieces").toLocalIterator():      # one number per subword id
         frequency[ranges[r["bucket"]]:ranges[r["bucket"] + 1]] = unpacked(r["pieces"], np.int64)
+    if not sample_texts:
+        model = Attention(subwords.size, frequency)
+        return model, learn_all(model, subwords, rows.where(~F.col("held_out")), n_blocks, first_rate=FIRST_RATE)
     trained = id_remainder("doc_id", FOLDS) != HELD_OUT
     start = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     pieces = docs.where(trained & (F.length("text") > 0)).select(
