@@ -581,6 +581,23 @@ def m05_score_batches(spark, sf):
     return out.select("doc_id", F.get("output", 0).alias("output"), "inference_completed")
 
 
+def _accent_folder(s):
+    """Texts without combining marks, for which Spark has no function."""
+    import unicodedata
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    return s.map(lambda x: unicodedata.normalize("NFC", bare(x)) if isinstance(x, str) else None)
+
+
+@register("m05b_fold_accents", f"""SELECT doc_id, md5(strip_accents(text)) AS output_md5, true AS inference_completed
+    FROM documents WHERE doc_id NOT IN (SELECT key FROM {RESP} WHERE inference_completed)""")
+def m05b_fold_accents(spark, sf):
+    """Batches through a function of Python's own library."""
+    from curatio.sources.responses import resume_pending
+    done = A.responses(spark, sf).select(F.col("key").alias("doc_id"), "inference_completed")
+    out = ML.score_batches(resume_pending(_docs(spark, sf, "doc_id", "text"), done, "doc_id"), _accent_folder, text="text")
+    return out.select("doc_id", F.md5(F.get("output", 0)).alias("output_md5"), "inference_completed")
+
+
 # --------------------------------------------------------------------------- held-out and composite builders
 
 def _assemble_sql(sel: str) -> str:
