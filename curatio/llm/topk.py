@@ -13,8 +13,9 @@ and scored through their forward indexes until the bound of the next is below
 the query's k-th score.  The cells' best k are then ranked per query.
 
 Results are exact, ties to the smaller id: a block whose bound equals the k-th
-score is still scored.  Sums beyond 2**53 are computed with Python integers and
-saturate at 64 bits.
+score is still scored.  Where sums can pass 2**53, the bounds are widened by more
+than their rounding and the blocks that they let through are scored with Python
+integers, saturating at 64 bits.
 
 Vectors that are null or hold null or non-finite components, and rows with a
 null id, take no part.  Missing trailing components count as zero.  Rows with
@@ -80,17 +81,15 @@ def similar_order(v: np.ndarray, bits: int = 16) -> np.ndarray:
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, block: int = BLOCK):
     """(query position, id, score) of the k best candidates of each query."""
-    big = len(v) and len(q) and float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(v.astype(float)).max(initial=0)) * max(1, v.shape[1]) >= _EXACT
-    if big:
-        scores = np.clip(q.astype(object) @ v.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
-        at, cand = np.nonzero(q_ids[:, None] != ids[None, :])
-        return top(at, ids[cand], scores[at, cand], k)
     order = similar_order(v)
-    ids, v = ids[order], v[order].astype(float)
-    q = q.astype(float)
+    ids, whole_v, whole_q = ids[order], v[order], q
+    v, q = whole_v.astype(float), whole_q.astype(float)
+    big = len(v) and len(q) and float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, v.shape[1]) >= _EXACT
     cuts = np.arange(0, len(v), block)
     high, low = np.maximum.reduceat(v, cuts, axis=0), np.minimum.reduceat(v, cuts, axis=0)
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    if big:
+        bound += 2.0 ** -40 * (np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T)
     ranked = np.argsort(-bound, axis=1, kind="stable")
     kth = np.full(len(q), -np.inf)
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -111,7 +110,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
             b = int(pair_block[group[0]])
             rows = pair_query[group]
             part = slice(b * block, (b + 1) * block)
-            scores = q[rows] @ v[part].T
+            scores = exact_products(whole_q[rows], whole_v[part]) if big else q[rows] @ v[part].T
             at, cand = np.nonzero((scores >= kth[rows][:, None]) & (q_ids[rows][:, None] != ids[part][None, :]))
             new.append((rows[at], ids[part][cand], scores[at, cand].astype(np.int64)))
         found = top(*(np.concatenate(x) for x in zip(*new)), k)
@@ -123,9 +122,13 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
     return found
 
 
+def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.clip(q.astype(object) @ v.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
 def top(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     """The k best of each query position: by score, then smaller id."""
-    order = np.lexsort((ids, -scores, at))
+    order = np.lexsort((ids, ~scores, at))          # ~ turns the order and never overflows
     at, ids, scores = at[order], ids[order], scores[order]
     first = np.searchsorted(at, at, "left")
     keep = np.arange(len(at)) - first < k

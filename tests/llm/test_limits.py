@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from curatio.llm import language, sharding, suffix_dedup, toxicity
+from curatio.llm import language, sharding, suffix_dedup, topk, toxicity
 from curatio.llm.common import packed, unpacked
 
 from . import plain
@@ -83,3 +83,43 @@ def test_slots_come_from_counts_inside_the_plan(shipped):
     for s in range(5):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
+
+
+def plain_top(rows, k, every):
+    """rows: (vec_id, integers) -> (query_id, rank, vec_id, score)."""
+    out = []
+    for q in sorted({i for i, _ in rows if i % every == 0}):
+        mine = min(v for i, v in rows if i == q)
+        found = []
+        for i, v in rows:
+            if i != q:
+                found.append((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(mine, v)))), i))
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 31])
+def test_blocks_prune_sums_beyond_floats(shipped, monkeypatch, scale):
+    rnd = np.random.default_rng(scale % 97)
+    rows = [(i, (rnd.integers(-50, 50, 8) + (200 if i % 3 == 0 else 0)).tolist()) for i in range(400)]
+    rows = [(i, [x * scale + i % 5 for x in v]) for i, v in rows]
+    df = shipped.createDataFrame(rows, "vec_id long, v array<long>")
+    scored = []
+    whole = topk.exact_products
+    monkeypatch.setattr(topk, "exact_products", lambda q, v: scored.append(len(v)) or whole(q, v))
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0, 5, shard_rows=150, chunk_rows=7).collect())
+    assert got == sorted(plain_top(rows, 5, 20))
+    ids, v = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    found = topk.best(ids[::20], v[::20], ids, v, 5)
+    assert len(found[0]) == 100 and (scale == 1 or 0 < sum(scored) < 20 * len(rows))       # some blocks were never scored
+
+
+def test_top_k_on_repeated_rows_long_vectors_and_clashing_columns(shipped):
+    rows = [(20, [3.0] * 2000), (20, [3.0] * 2000), (1, [1.0] * 2000), (1, [1.0] * 2000), (2, [2.0]), (3, []), (40, [0.5] * 1999 + [9.0]), (5, [-1.0] * 2000)]
+    df = shipped.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("rank", "score", "shard", "v", "chunk", "query_id"):
+        df = df.withColumn(name, F.lit("extra"))
+    got = topk.search(topk.quantised(df), F.col("vec_id") % 20 == 0, 20)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_top(whole, 20, 20))
