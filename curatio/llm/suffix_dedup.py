@@ -147,10 +147,10 @@ def _ask(n_buckets: int, length: int, gram: int):
         other = head.copy()
         if len(key):
             other[1:] |= whole[1:] != whole[:-1]
-        # one entry per gram and different segment: its hash, the lowest bit telling whether the block has it again
+        # one entry per gram and different segment: 31 bits of its hash, which only count, and whether the block has it again
         begin = np.flatnonzero(other)
         again = np.diff(np.append(begin, len(key))) > 1
-        keys, segment = key[begin], (whole[begin] & ~np.uint64(1)) | again.astype(np.uint64)
+        keys, segment = key[begin], (whole[begin] >> np.uint64(32)).astype(np.uint32) & ~np.uint32(1) | again.astype(np.uint32)
         cuts = hash_buckets(keys, n_buckets)
         used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
         return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()),
@@ -166,16 +166,16 @@ def _answer(hot: int):
     def run(table: pa.Table) -> pa.Table:
         per_block = [unpacked(k.as_py(), np.uint64) for k in table["keys"]]
         keys = np.concatenate(per_block)
-        segment = np.concatenate([unpacked(c.as_py(), np.uint64) for c in table["segments"]])
-        order = np.lexsort((segment >> np.uint64(1), keys))
+        segment = np.concatenate([unpacked(c.as_py(), np.uint32) for c in table["segments"]])
+        order = np.lexsort((segment >> np.uint32(1), keys))
         sorted_keys, sorted_segments = keys[order], segment[order]
         head = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
         other = head.copy()
-        other[1:] |= (sorted_segments[1:] >> np.uint64(1)) != (sorted_segments[:-1] >> np.uint64(1))
+        other[1:] |= (sorted_segments[1:] >> np.uint32(1)) != (sorted_segments[:-1] >> np.uint32(1))
         begin = np.flatnonzero(head)
         every = sorted_keys[begin]
         different = np.add.reduceat(other.astype(np.int64), begin)
-        inside = np.add.reduceat((sorted_segments & np.uint64(1)).astype(np.int64), begin)
+        inside = np.add.reduceat((sorted_segments & np.uint32(1)).astype(np.int64), begin)
         total = np.diff(np.append(begin, len(order)))
         state = np.where(different > hot, CROWDED, np.where((total > 1) | (inside > 0), REPEATED, UNIQUE)).astype(np.uint8)
         return pa.table({"block": table["block"], "bucket": table["bucket"],

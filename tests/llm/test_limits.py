@@ -16,7 +16,7 @@ def states(rows, hot=3):
     """rows: (block, [(gram, segment)]) -> per block the states of its grams."""
     table = pa.table({"bucket": pa.array([0] * len(rows), pa.int32()), "block": pa.array([b for b, _ in rows], pa.int32()),
                       "keys": pa.array([packed(np.array([k for k, _ in p], np.uint64)) for _, p in rows], pa.binary()),
-                      "segments": pa.array([packed(np.array([s for _, s in p], np.uint64)) for _, p in rows], pa.binary())})
+                      "segments": pa.array([packed(np.array([s for _, s in p], np.uint32)) for _, p in rows], pa.binary())})
     out = suffix_dedup._answer(hot)(table)
     return [unpacked(s.as_py(), np.uint8).tolist() for s in out["states"]]
 
