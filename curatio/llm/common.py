@@ -7,6 +7,10 @@ array, so that hashing and splitting into words is vectorised over many texts.
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+from inspect import signature
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +38,44 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)       # of the GNU C library
+
+
+def release() -> None:
+    """Gives freed memory back to the system.  Python workers are kept for later
+    tasks and stages, and what one of them has freed would still count as its own."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def releasing(run):
+    """A function of groups, or of two groups that meet, that releases the memory
+    it has freed after each."""
+    def one(table):
+        out = run(table)
+        release()
+        return out
+
+    def two(left, right):
+        out = run(left, right)
+        release()
+        return out
+    return one if len(signature(run).parameters) == 1 else two
+
+
+def releasing_batches(run):
+    """The same for a function of an iterator of batches."""
+    @wraps(run)
+    def wrapped(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                release()
+        yield from run(each())
+    return wrapped
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

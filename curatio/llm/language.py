@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import bounded_sample, id_remainder, read, row_schema, text_chunks, whole_rows
+from curatio.llm.common import bounded_sample, id_remainder, read, releasing_batches, row_schema, text_chunks, whole_rows
 from curatio.llm.recurrent import Adam, gru_backward, gru_forward, softmax
 
 WINDOW = 128
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        (id_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(network), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(releasing_batches(_predict(network)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> DataFrame:
@@ -175,7 +175,7 @@ def keep_identified(docs: DataFrame, min_score: float, texts_per_language: int =
     """The rows of ``docs``, whole, whose language is determined with at least
     ``min_score``."""
     network = train(docs, id_remainder("doc_id", FOLDS) != HELD_OUT, texts_per_language)
-    rows = whole_rows(docs).select("row", "text").mapInArrow(_predict(network), row_schema(docs, "lang_pred string", "score double"))
+    rows = whole_rows(docs).select("row", "text").mapInArrow(releasing_batches(_predict(network)), row_schema(docs, "lang_pred string", "score double"))
     return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
 
 

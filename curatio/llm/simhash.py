@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm.catalog import register
-from curatio.llm.common import read, whole_rows, written
+from curatio.llm.common import read, releasing_batches, whole_rows, written
 from curatio.llm.graph import components
 
 SHINGLE = 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     names a row."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, key long")
+    return docs.mapInArrow(releasing_batches(_fingerprints(shingle)), "doc_id long, fp long, key long")
 
 
 def range_masks(max_bits: int) -> list[int]:
@@ -211,7 +211,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, tree_nodes: int = TREE_NO
     cells = rows.select("fp", place.alias("at")).select("fp", "at.cell", "at.member")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (cells.repartition(n, "cell").sortWithinPartitions("cell", F.desc("member"), "fp")
-            .mapInArrow(_links(max_bits), "a long, b long"))
+            .mapInArrow(releasing_batches(_links(max_bits)), "a long, b long"))
 
 
 def groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatio.llm.catalog import register
-from curatio.llm.common import _power, _INV, _MULT, blocks, hash_buckets, mix, packed, read, span_hashes, unpacked
+from curatio.llm.common import _power, _INV, _MULT, blocks, hash_buckets, mix, packed, read, releasing, span_hashes, unpacked
 
 LENGTH = 100
 GRAM = 32
@@ -500,13 +500,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     kept is valid text."""
     rows, n = blocks(docs, block_bytes, carry)
     by_block = rows.groupBy("block")
-    asked = by_block.applyInArrow(_ask(n, length, gram), ASK_SCHEMA)
-    answers = asked.groupBy("bucket").applyInArrow(_answer(hot), ANSWER_SCHEMA)
-    runs = by_block.cogroup(answers.groupBy("block")).applyInArrow(_suffix_runs(n, length, gram), RUN_SCHEMA)
-    cuts = runs.groupBy("bucket").applyInArrow(_merge(length, gram), CUT_SCHEMA)
+    asked = by_block.applyInArrow(releasing(_ask(n, length, gram)), ASK_SCHEMA)
+    answers = asked.groupBy("bucket").applyInArrow(releasing(_answer(hot)), ANSWER_SCHEMA)
+    runs = by_block.cogroup(answers.groupBy("block")).applyInArrow(releasing(_suffix_runs(n, length, gram)), RUN_SCHEMA)
+    cuts = runs.groupBy("bucket").applyInArrow(releasing(_merge(length, gram)), CUT_SCHEMA)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(rows.schema[c] for c in carry),
                            *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return by_block.cogroup(cuts.groupBy("block")).applyInArrow(_cut(list(carry), characters), schema)
+    return by_block.cogroup(cuts.groupBy("block")).applyInArrow(releasing(_cut(list(carry), characters)), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
