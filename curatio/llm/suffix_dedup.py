@@ -11,9 +11,8 @@ a maximal range of window starts with one owner: about one per
 (LENGTH - GRAM) / 2 bytes.  It is represented by the suffix at the owner up to
 the end of its last window, followed by the bytes before the owner in reverse.
 
-1. Blocks of documents send the hashes of their owners' grams, each with those of
-   its different segments, by hash range and learn which occur in more than one
-   segment.  A unique gram needs no sorting:
+1. Blocks of documents send the hashes of their owners' grams by hash range and
+   learn which occur in more than one segment.  A unique gram needs no sorting:
    its suffix is told apart within GRAM bytes.
 2. The suffixes of the repeated grams are collapsed where equal within the block
    (all but the first are removed there), sorted, front-coded (length of the
@@ -26,9 +25,9 @@ the end of its last window, followed by the bytes before the owner in reverse.
    of different ones are matched one by one.
 4. The blocks cut the found ranges out of their documents.
 
-Hot grams: a gram that has more than ``HOT`` different segments, over all blocks,
-(the edge of a passage that very many documents share, each going on in another
-way; copies of one segment are one) is not gathered in one place.  Its
+Hot grams: a gram that has more than ``HOT`` different segments, added up over the
+blocks (so that a segment counts once in each block that has it), is not gathered
+in one place.  Its
 windows are sent one by one, by the hash range of two 64-bit fingerprints of the
 whole window, collapsed within each block; equal fingerprints are equal windows
 up to a chance of 2**-128 a pair.  All this gives the same result.
@@ -62,7 +61,7 @@ BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 19                # bytes hashed at once
 RUN, WINDOWS, REMOVED = 0, 1, 2
 UNIQUE, REPEATED, CROWDED = 0, 1, 2
-ASK_SCHEMA = "bucket int, block int, keys binary, segments binary"
+ASK_SCHEMA = "bucket int, block int, keys binary, counts binary"
 ANSWER_SCHEMA = "block int, bucket int, states binary"
 RUN_SCHEMA = "bucket int, block int, kind int, place binary, shape binary, data binary"
 CUT_SCHEMA = "block int, cuts binary"
@@ -147,39 +146,30 @@ def _ask(n_buckets: int, length: int, gram: int):
         other = head.copy()
         if len(key):
             other[1:] |= whole[1:] != whole[:-1]
-        # one entry per gram and different segment: 31 bits of its hash, which only count, and whether the block has it again
-        begin = np.flatnonzero(other)
-        again = np.diff(np.append(begin, len(key))) > 1
-        keys, segment = key[begin], (whole[begin] >> np.uint64(32)).astype(np.uint32) & ~np.uint32(1) | again.astype(np.uint32)
+        begin = np.flatnonzero(head)
+        different = np.add.reduceat(other.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+        total = np.diff(np.append(begin, len(key)))
+        # a gram of equal segments only is repeated but, with the first as its only entry, counts once towards HOT
+        counts = np.minimum(different, 1 << 20).astype(np.uint32) * np.uint32(2) + (total > 1)
+        keys = key[begin]
         cuts = hash_buckets(keys, n_buckets)
         used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
         return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()),
                          "keys": pa.array([packed(keys[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
-                         "segments": pa.array([packed(segment[cuts[b]:cuts[b + 1]]) for b in used], pa.binary())})
+                         "counts": pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in used], pa.binary())})
     return run
 
 
 def _answer(hot: int):
-    """Per block the states of its distinct grams.  A gram is repeated if any two
-    segments have it, and crowded if more than ``hot`` different ones do, over
-    all blocks: copies of a segment, in however many blocks, are one."""
     def run(table: pa.Table) -> pa.Table:
-        per_block = [unpacked(k.as_py(), np.uint64) for k in table["keys"]]
-        keys = np.concatenate(per_block)
-        segment = np.concatenate([unpacked(c.as_py(), np.uint32) for c in table["segments"]])
-        order = np.lexsort((segment >> np.uint32(1), keys))
-        sorted_keys, sorted_segments = keys[order], segment[order]
-        head = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
-        other = head.copy()
-        other[1:] |= (sorted_segments[1:] >> np.uint32(1)) != (sorted_segments[:-1] >> np.uint32(1))
-        begin = np.flatnonzero(head)
-        every = sorted_keys[begin]
-        different = np.add.reduceat(other.astype(np.int64), begin)
-        inside = np.add.reduceat((sorted_segments & np.uint32(1)).astype(np.int64), begin)
-        total = np.diff(np.append(begin, len(order)))
-        state = np.where(different > hot, CROWDED, np.where((total > 1) | (inside > 0), REPEATED, UNIQUE)).astype(np.uint8)
+        keys = [unpacked(k.as_py(), np.uint64) for k in table["keys"]]
+        counts = np.concatenate([unpacked(c.as_py(), np.uint32) for c in table["counts"]]).astype(np.int64)
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        different, inside = np.bincount(inverse, counts >> 1, len(every)), np.bincount(inverse, counts & 1, len(every))
+        state = np.where(different > hot, CROWDED, np.where((different > 1) | (inside > 0), REPEATED, UNIQUE)).astype(np.uint8)[inverse]
+        edges = np.cumsum([0, *map(len, keys)])
         return pa.table({"block": table["block"], "bucket": table["bucket"],
-                         "states": pa.array([packed(state[np.searchsorted(every, np.unique(k))]) for k in per_block], pa.binary())})
+                         "states": pa.array([packed(state[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())})
     return run
 
 

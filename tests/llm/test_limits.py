@@ -1,34 +1,15 @@
-"""Limits that count what they say: contexts of a gram, bounds of training samples."""
+"""Passages in many blocks, bounds of training samples, slots, large sums."""
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from curatio.llm import language, sharding, suffix_dedup, topk, toxicity
-from curatio.llm.common import packed, unpacked
 
 from . import plain
 from .conftest import DOCS
 
 
-def states(rows, hot=3):
-    """rows: (block, [(gram, segment)]) -> per block the states of its grams."""
-    table = pa.table({"bucket": pa.array([0] * len(rows), pa.int32()), "block": pa.array([b for b, _ in rows], pa.int32()),
-                      "keys": pa.array([packed(np.array([k for k, _ in p], np.uint64)) for _, p in rows], pa.binary()),
-                      "segments": pa.array([packed(np.array([s for _, s in p], np.uint32)) for _, p in rows], pa.binary())})
-    out = suffix_dedup._answer(hot)(table)
-    return [unpacked(s.as_py(), np.uint8).tolist() for s in out["states"]]
-
-
-def test_copies_of_one_segment_do_not_crowd_a_gram():
-    one, many = suffix_dedup.REPEATED, suffix_dedup.CROWDED
-    assert states([(b, [(7, 40)]) for b in range(2001)], 2000) == [[one]] * 2001
-    assert states([(b, [(7, 40 + 2 * b)]) for b in range(4)]) == [[many]] * 4
-    assert states([(b, [(7, 40 + 2 * (b % 3))]) for b in range(50)]) == [[one]] * 50
-    assert states([(0, [(5, 2), (7, 4)]), (1, [(7, 4), (9, 7)])]) == [[suffix_dedup.UNIQUE, one], [one, one]]      # 9: twice in its block
-
-
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_a_passage_in_many_blocks_is_found(shipped, hot):
     passage = "a passage that stands in very many documents, each of them in a block of its own, and longer than one hundred bytes. "
