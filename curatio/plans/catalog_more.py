@@ -675,10 +675,16 @@ def c23_training_table(spark, sf):
 
 # --------------------------------------------------------------------------- streaming
 
+STREAM_BATCH_BYTES = 1 << 30
+
+
 def _doc_stream(spark, sf):
+    """The documents table, one file or a folder of files: the pattern matches
+    either.  A batch is bounded by bytes, so that a table of many small files is
+    not as many batches."""
     schema = A.table(spark, sf, "documents").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf))
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", STREAM_BATCH_BYTES)
+            .parquet(f"{sf.rstrip('/')}/documents[.]parquet"))
 
 
 @register("t01_ingest_responses", f"SELECT DISTINCT key, topic, model FROM {RESP} WHERE inference_completed")

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from curatio.sources import adapters as A
 from curatio.streaming import ingest as T
 
 SCHEMA = "key LONG, inference_completed BOOLEAN"
@@ -102,3 +103,20 @@ def test_progress_of_null_groups(spark, tmp_dir):
         drop(src, name, rows)
         T.completion_progress(stream(spark, src), target, ck, group="key")
     assert {r.key: (r.n_completed, r.n_rows) for r in T.read_progress(spark, target).collect()} == {None: (1, 2), 1: (1, 1)}
+
+
+def test_the_document_stream_reads_a_folder_of_files(spark, tmp_dir):
+    from curatio.plans import catalog_more as C
+    rows = [(i, f"text {i}", "en" if i % 2 else "fr", f"src{i % 5}") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING")
+    folder, single = os.path.join(tmp_dir, "folder"), os.path.join(tmp_dir, "single")
+    d.repartition(4).write.parquet(os.path.join(folder, "documents.parquet"))
+    os.makedirs(single)
+    d.toPandas().to_parquet(os.path.join(single, "documents.parquet"))
+    for sf in (folder, single):
+        want = A.responses(spark, sf)
+        got = C.t01_ingest_responses(spark, sf).collect()
+        assert sorted(got) == sorted(want.where("inference_completed").select("key", "topic", "model").collect())
+        counts = {r.file: (r.n_completed, r.n_rows) for r in C.t02_completion_progress(spark, sf).collect()}
+        assert counts == {r.file: (r.c, r.n) for r in want.groupBy("file").agg(
+            F.count_if("inference_completed").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
