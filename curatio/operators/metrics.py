@@ -225,7 +225,7 @@ def output_confidence(df: DataFrame, scores: str, out: str = "confidence") -> Da
 
 def tokens(c) -> "F.Column":
     """Lower-cased whitespace tokens (empty parts removed)."""
-    return F.filter(F.split(F.lower(col(c)), r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(col(c)), r"(?U)\s+"), "")
 
 
 def token_sequence(c) -> "F.Column":
@@ -235,31 +235,36 @@ def token_sequence(c) -> "F.Column":
 
 def bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(kept columns, w1, w2): one row per pair of consecutive words of a text,
-    the first of them preceded by a start marker.  Words are 64-bit hashes."""
-    ids = F.transform(token_sequence(text), lambda w: F.xxhash64(w))
-    seq = df.select(*keep, ids.alias("_ids")).withColumn("_n", F.size("_ids") - 1).where(F.col("_n") > 0)
-    pairs = F.arrays_zip(F.slice("_ids", 1, F.col("_n")).alias("w1"), F.slice("_ids", 2, F.col("_n")).alias("w2"))
-    return seq.select(*keep, F.inline(pairs))
+    the first of them preceded by a start marker.  Words are 64-bit hashes.  No
+    step holds a lambda, so that equal exchanges of one plan are found to be equal."""
+    seq = df.select(*keep, token_sequence(text).alias("_seq")).withColumn("_n", F.size("_seq") - 1).where(F.col("_n") > 0)
+    pairs = F.arrays_zip(F.slice("_seq", 1, F.col("_n")).alias("w1"), F.slice("_seq", 2, F.col("_n")).alias("w2"))
+    return seq.select(*keep, F.inline(pairs)).select(*keep, F.xxhash64("w1").alias("w1"), F.xxhash64("w2").alias("w2"))
 
 
 HOT_SHARE = 1000
 
 
 def skewed_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: Column) -> DataFrame:
-    """``rows`` joined with ``table`` (one row per key) in two stages.
+    """``rows`` joined with ``table`` (one row per key of 64-bit hashes, none
+    null, aggregated by ``on``) in two stages.
 
     Keys that hold more than 1 / ``HOT_SHARE`` of the total ``weight`` number
     fewer than ``HOT_SHARE``, so they are broadcast; rows that find their key
-    there are spread by a hash in the second join, which brings the others
-    together with their keys.  No task gets a hot key's rows."""
+    there go on under another first hash, drawn from the row, which spreads them
+    over the second join.  That one joins by ``on`` itself, so the table stays
+    where its aggregate has put it.  No task gets a hot key's rows."""
     values = [c for c in table.columns if c not in on]
-    hot = table.where(F.col(weight) * HOT_SHARE > total)
-    first = rows.join(F.broadcast(hot.select(*on, F.lit(1).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])), list(on), "left")
-    keyed = first.withColumn("_stage", F.coalesce("_hot", F.lit(0))).withColumn("_key", F.when(F.col("_stage") == 1, F.xxhash64(*rows.columns, F.lit(1))).otherwise(F.xxhash64(*on)))
-    cold = table.where(F.col(weight) * HOT_SHARE <= total).select(F.lit(0).alias("_stage"), F.xxhash64(*on).alias("_key"), *[F.col(c).alias(f"_on_{c}") for c in on], *values)
-    same = [F.col("l._stage") == F.col("r._stage"), F.col("l._key") == F.col("r._key"), *[F.col(f"l.{c}") == F.col(f"r._on_{c}") for c in on]]
-    met = keyed.alias("l").join(cold.alias("r"), same, "left")
-    return met.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.coalesce(F.col(f"l._hot_{v}"), F.col(f"r.{v}")).alias(v) for v in values])
+    hot = table.where(F.col(weight) * HOT_SHARE > total).select(*on, F.struct(*values).alias("_hot"))
+    first = rows.join(F.broadcast(hot), list(on), "left")
+    own = F.when(F.col("_hot").isNotNull(), F.col(on[0])).alias("_own")
+    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns, F.lit(1))).otherwise(F.col(on[0])).alias(on[0])
+    keyed = first.select(*[c for c in rows.columns if c != on[0]], spread, own, "_hot")
+    cold = table.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[F.col(v).alias(f"_cold_{v}") for v in values])
+    met = keyed.join(cold, [keyed[c] == cold[f"_on_{c}"] for c in on], "left")
+    back = lambda c: F.coalesce("_own", c).alias(c) if c == on[0] else F.col(c)
+    return met.select(*[back(c) for c in rows.columns],
+                      *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot.{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values])
 
 
 def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: str) -> DataFrame:
@@ -284,15 +289,16 @@ def ngram_perplexity(corpus: DataFrame, texts: DataFrame, text_col: str, key: st
     one = F.sum(F.when(F.col("c12") > 0, 1))                 # reads c12, so that all three share one exchange
     contexts = pair_n.groupBy("w1").agg(F.sum("c12").alias("c1"), one.alias("n1"))
     followers = pair_n.groupBy("w2").agg(F.sum("c12").alias("c2"), one.alias("n2"))
-    totals = pair_n.agg(F.struct(F.sum("c12").alias("c"), one.alias("p"), F.count_distinct("w2").alias("v"),
-                                 F.count_if(F.col("c12") == 1).alias("once"), F.count_if(F.col("c12") == 2).alias("twice"))).scalar()
+    totals = pair_n.agg(F.struct(F.sum("c12").alias("c"), one.alias("p"), F.count_if(F.col("c12") == 1).alias("once"),
+                                 F.count_if(F.col("c12") == 2).alias("twice"))).scalar()
+    n_followers = followers.agg(F.count("n2")).scalar()
 
     own = bigrams(texts, text_col, key)
     met = skewed_lookup(own, pair_n, ["w1", "w2"], "c12", totals["c"])
     met = skewed_lookup(met, contexts, ["w1"], "c1", totals["c"])
-    met = skewed_lookup(met, followers, ["w2"], "c2", totals["c"]).withColumn("_t", totals)
+    met = skewed_lookup(met, followers, ["w2"], "c2", totals["c"]).withColumn("_t", totals).withColumn("_v", n_followers)
     d = F.when(F.col("_t.once") > 0, F.col("_t.once") / (F.col("_t.once") + 2 * F.col("_t.twice"))).otherwise(0.5)
-    p, v = F.col("_t.p"), F.col("_t.v")
+    p, v = F.col("_t.p"), F.col("_v")
     over = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) - d, F.lit(0.0))
     q = over("n2") / p + d * v / (p * (v + 1))
     prob = F.when(F.col("c1").isNull(), q).otherwise(over("c12") / F.col("c1") + d * F.col("n1") / F.col("c1") * q)
