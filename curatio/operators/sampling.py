@@ -69,6 +69,25 @@ def bucket_counts(keys_only: DataFrame, by: list[str]) -> DataFrame:
             .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)).cast("long")))
 
 
+HOT_ROWS = 10_000                 # a group with more rows is brought to them by broadcast
+
+
+def _meet_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Hashed rows with the row of their group, of which ``_total`` is the size.
+
+    Groups of more than ``HOT_ROWS`` rows, at most one in ``HOT_ROWS`` of all
+    rows, are broadcast; a row that finds its group there is spread by its own
+    hash over the second join, which brings the others to their groups.  So few
+    groups do not gather all rows in as few tasks."""
+    values = F.struct(*[c for c in groups.columns if c not in by])
+    hot = groups.where(F.col("_total") > HOT_ROWS).select(*by, values.alias("_hot"))
+    first = null_safe_join(rows, F.broadcast(hot), by, "left")
+    first = first.withColumn("_stage", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64("_h", F.lit(1))))
+    cold = groups.where(F.col("_total") <= HOT_ROWS).select(*by, F.lit(0).cast("long").alias("_stage"), values.alias("_cold"))
+    met = null_safe_join(first, cold, by + ["_stage"], "left")
+    return met.select(*rows.columns, F.coalesce("_hot", "_cold").alias("_group")).select(*rows.columns, "_group.*")
+
+
 def rank_cut(df: DataFrame, keys, seed=DEFAULT_SEED, by=(),
              thresholds: Callable[[DataFrame], DataFrame] | None = None,
              exact_all: bool = False, digits: int = DEFAULT_DIGITS) -> DataFrame:
@@ -102,7 +121,7 @@ def rank_cut(df: DataFrame, keys, seed=DEFAULT_SEED, by=(),
     cuts = found.groupBy(*by).agg(*[F.max(F.when(F.col("_m.i") == i, F.col("_cut"))).alias(f"_cut{t}") for i, t in enumerate(tcols)])
     rows = _hashed(df, keys, seed, digits)
     if by:
-        rows = null_safe_join(rows, null_safe_join(groups, cuts, by, "left"), by)
+        rows = _meet_groups(rows, null_safe_join(groups, cuts, by, "left"), by)
     else:                       # one row each
         rows = (rows.withColumn("_g", groups.select(F.struct("*")).scalar()).withColumn("_c", cuts.select(F.struct("*")).scalar())
                 .select("*", "_g.*", "_c.*").drop("_g", "_c"))

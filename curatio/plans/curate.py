@@ -88,7 +88,8 @@ def same_topic(resp: DataFrame, designs: list[str], seed=DEFAULT_SEED) -> DataFr
         F.struct(F.lit(d).alias("design"), F.lit(label).alias("label")) for d, label in PLACES[r] if d in designs])
         if any(d in designs for d, _ in PLACES[r]) else F.lit(None)).otherwise(acc), PLACES, F.lit(None))
     placed = _clean(rows.select("role", *COMBO, "split", "key", "output", F.inline(places)))
-    joined = placed.join(valid, ["design", "model", "temperature"]).where(
+    # one row per complete combination of response files: few, and a join by model would gather all rows in as few tasks
+    joined = placed.join(F.broadcast(valid), ["design", "model", "temperature"]).where(
         (F.col("role") == "default") | (F.col("topic") == F.col("for_topic")))
     joined = joined.withColumn("topic", F.col("for_topic")).select("design", *OUT_COLS)
     train = balance_classes(joined.where(F.col("split") == "train"), "label", ["key"], seed, group_by=["design", *COMBO])
