@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from curatio.functions.hashing import draw
 from curatio.functions.text import col, count_parts, split_lit, strip
+from curatio.llm.common import prepare, release
 from curatio.operators.sampling import DEFAULT_SEED, null_safe_join, rank_cut, shuffle_rank
 
 # ---------------------------------------------------------------------------
@@ -138,6 +139,7 @@ def pandas_tokenizer(encode):
 
     def tok(s):
         return s.map(lambda x: None if x is None else list(encode(x)))
+        release()                   # what the batch before has freed
     # real (not postponed) annotations: Spark infers the UDF kind from them
     tok.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return pandas_udf(tok, "array<string>")
@@ -157,6 +159,7 @@ def truncate_tokens(df: DataFrame, c: str, budgets: Sequence[int] = TOKEN_BUDGET
         return (df.withColumn(budget_col, F.explode(arr))
                 .withColumn(out, F.call_function("substring_index", F.col(c), F.lit(" "), F.col(budget_col))))
     toks = tokenizer(F.col(c))
+    prepare(df.sparkSession)        # a batch's tokens are Python strings: few rows at once
     return (df.withColumn("_toks", toks)
               .withColumn(budget_col, F.explode(arr))
               .withColumn(out, F.array_join(F.slice("_toks", 1, F.col(budget_col)), joiner))
@@ -187,6 +190,7 @@ def subword_ends(vocabulary: str, budgets: Sequence[int]):
             spans = encode(text, add_special_tokens=False).offsets
             return [len(text) if len(spans) <= k else spans[k - 1][1] if k > 0 else 0 for k in budgets]
         return texts.map(one)
+        release()                   # what the batch before has freed
     return ends
 
 
@@ -198,6 +202,7 @@ def truncate_subwords(df: DataFrame, c: str, vocabulary: str, budgets: Sequence[
     taken in the JVM from its offsets.  A character that a cut would split is
     kept whole.  A null text gives null cuts."""
     limits = F.array(*[F.lit(int(k)) for k in budgets])
+    prepare(df.sparkSession)
     ends = subword_ends(vocabulary, tuple(int(k) for k in budgets))(F.col(c))
     cuts = df.withColumn("_ends", ends).select("*", F.posexplode(limits).alias("_i", budget_col))
     return cuts.withColumn(out, F.left(F.col(c), F.get("_ends", F.col("_i")))).drop("_ends", "_i")
