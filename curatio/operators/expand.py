@@ -26,6 +26,7 @@ TOKEN_BUDGETS = (10, 50, 100, 500, 1000)
 # ---------------------------------------------------------------------------
 
 RANGE_ROWS = 4096                 # positions of a range of few-shot examples
+ID_RANGES = 1 << 16               # hash ranges of ids that are told apart by a broadcast table
 MAX_PROMPT_BYTES = 16 << 20       # a prompt table that is crossed with every row
 
 
@@ -138,8 +139,8 @@ def pandas_tokenizer(encode):
     from pyspark.sql.functions import pandas_udf
 
     def tok(s):
-        return s.map(lambda x: None if x is None else list(encode(x)))
         release()                   # what the batch before has freed
+        return s.map(lambda x: None if x is None else list(encode(x)))
     # real (not postponed) annotations: Spark infers the UDF kind from them
     tok.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return pandas_udf(tok, "array<string>")
@@ -158,8 +159,8 @@ def truncate_tokens(df: DataFrame, c: str, budgets: Sequence[int] = TOKEN_BUDGET
     if tokenizer is None:
         return (df.withColumn(budget_col, F.explode(arr))
                 .withColumn(out, F.call_function("substring_index", F.col(c), F.lit(" "), F.col(budget_col))))
-    toks = tokenizer(F.col(c))
     prepare(df.sparkSession)        # a batch's tokens are Python strings: few rows at once
+    toks = tokenizer(F.col(c))
     return (df.withColumn("_toks", toks)
               .withColumn(budget_col, F.explode(arr))
               .withColumn(out, F.array_join(F.slice("_toks", 1, F.col(budget_col)), joiner))
@@ -189,8 +190,8 @@ def subword_ends(vocabulary: str, budgets: Sequence[int]):
                 return None
             spans = encode(text, add_special_tokens=False).offsets
             return [len(text) if len(spans) <= k else spans[k - 1][1] if k > 0 else 0 for k in budgets]
-        return texts.map(one)
         release()                   # what the batch before has freed
+        return texts.map(one)
     return ends
 
 
@@ -201,23 +202,23 @@ def truncate_subwords(df: DataFrame, c: str, vocabulary: str, budgets: Sequence[
     its k-th subword.  A text is encoded once, in Arrow batches; the cuts are
     taken in the JVM from its offsets.  A character that a cut would split is
     kept whole.  A null text gives null cuts."""
-    limits = F.array(*[F.lit(int(k)) for k in budgets])
     prepare(df.sparkSession)
+    limits = F.array(*[F.lit(int(k)) for k in budgets])
     ends = subword_ends(vocabulary, tuple(int(k) for k in budgets))(F.col(c))
     cuts = df.withColumn("_ends", ends).select("*", F.posexplode(limits).alias("_i", budget_col))
     return cuts.withColumn(out, F.left(F.col(c), F.get("_ends", F.col("_i")))).drop("_ends", "_i")
 
 
 def explode_contexts(df: DataFrame, skip_label: str, labels: str = "labels", contexts: str = "contexts",
-                     id_col: str = "context_id") -> DataFrame:
-    """One row per sentence (with its position), skipping ``skip_label``
-    (a sentence without a label stays).  The background, all contexts joined by
+                     id_col: str = "context_id", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per sentence (with its position and the columns of ``carry``),
+    skipping ``skip_label`` (a sentence without a label stays).  The background, all contexts joined by
     a space, is once per context in :func:`context_backgrounds`."""
     z = F.arrays_zip(F.col(labels).alias("label"), F.col(contexts).alias("sentence"))
-    out = df.select(id_col, F.posexplode(z).alias("sentence_id", "s"))
+    out = df.select(id_col, *carry, F.posexplode(z).alias("sentence_id", "s"))
     return (out.where(~F.col("s.label").eqNullSafe(F.lit(skip_label)))
                .select(id_col, F.col("sentence_id").cast("long"), F.col("s.label").alias("label"),
-                       F.col("s.sentence").alias("input_context")))
+                       F.col("s.sentence").alias("input_context"), *carry))
 
 
 def context_backgrounds(df: DataFrame, contexts: str = "contexts", id_col: str = "context_id") -> DataFrame:
@@ -230,7 +231,10 @@ def prefix_by_sentence(df: DataFrame, backgrounds: DataFrame, prompts: dict[str,
     """One generation prompt per (sentence, prompt kind):
     ``head + background + mid + sentence + cue``.  Kinds are a bounded list.
     The one place where a background is printed for each sentence."""
-    df = df.join(backgrounds, id_col)
+    return _print_prompts(df.join(backgrounds, id_col), prompts)
+
+
+def _print_prompts(df: DataFrame, prompts: dict[str, tuple[str, str]]) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(h).alias("head"), F.lit(cue).alias("cue"))
                       for k, (h, cue) in prompts.items()])
     out = df.select("*", F.inline(kinds))
@@ -238,6 +242,24 @@ def prefix_by_sentence(df: DataFrame, backgrounds: DataFrame, prompts: dict[str,
                                             "input_context", "cue")).drop("head", "cue")
 
 
+def prompts_by_sentence(df: DataFrame, skip_label: str, prompts: dict[str, tuple[str, str]], labels: str = "labels",
+                        contexts: str = "contexts", id_col: str = "context_id") -> DataFrame:
+    """:func:`prefix_by_sentence` of a table's own sentences and backgrounds, with
+    no text moved for an id that stands in one row: its sentences meet their
+    background where they are.  Ids are dealt into ``ID_RANGES`` hash ranges, and
+    the rows of a range with a repeated id are joined."""
+    at = F.pmod(F.xxhash64(id_col), F.lit(ID_RANGES))
+    repeated = (df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                  .select(at.alias("_range")).distinct().withColumn("_joined", F.lit(True)))
+    dealt = df.where(F.col(id_col).isNotNull()).withColumn("_range", at).join(F.broadcast(repeated), "_range", "left").drop("_range")
+    alone, joined = dealt.where(F.col("_joined").isNull()).drop("_joined"), dealt.where(F.col("_joined")).drop("_joined")
+    own = explode_contexts(alone.withColumn("background_context", F.array_join(contexts, " ")), skip_label, labels, contexts, id_col,
+                           carry=["background_context"])
+    return _print_prompts(own, prompts).unionByName(
+        prefix_by_sentence(explode_contexts(joined, skip_label, labels, contexts, id_col),
+                           context_backgrounds(joined, contexts, id_col), prompts, id_col))
+
+
 def explode_outputs(df: DataFrame, c: str = "output", pos: str = "output_pos") -> DataFrame:
     """One row per returned sequence, other columns carried."""
     others = [x for x in df.columns if x != c]

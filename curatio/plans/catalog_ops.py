@@ -284,8 +284,7 @@ _SENT_SQL = f"(SELECT * FROM {A.abstract_sentences_sql()} WHERE label <> '{A.SKI
     k(kind, head, cue)""")
 def p23_prefix_by_sentence(spark, sf):
     a = A.abstracts(spark, sf)
-    s = E.explode_contexts(a, A.SKIP_SECTION)
-    return E.prefix_by_sentence(s, E.context_backgrounds(a), SENTENCE_PROMPTS).select("context_id", "sentence_id", "kind", "input")
+    return E.prompts_by_sentence(a, A.SKIP_SECTION, SENTENCE_PROMPTS).select("context_id", "sentence_id", "kind", "input")
 
 
 @register("p25_qa_output", f"""SELECT qid, question AS input, answer || chr(10) || 'Conclusion: ' ||
