@@ -25,7 +25,9 @@ higher rate; a caller may ask for first weights fitted on the driver to pieces o
 and biases of the softmax come from the exact subword counts of all training texts.
 
 The counts come from all training texts and follow the size of the corpus.
-Texts are dealt into blocks.  A block sends its distinct words (64-bit hashes)
+Texts are dealt into blocks, and each block is cut into words and subwords once and
+written as one row of numbers (``ENCODED``), which counting, learning and scoring read.
+A block sends its distinct words (64-bit hashes)
 with their counts, cut into hash ranges; per range the counts of all blocks are
 summed and each block gets back the totals of its own words.  So a word, however
 frequent, is one entry per block, and no table of all words is ever broadcast or
@@ -54,7 +56,7 @@ from pyspark.sql import functions as F
 
 from curatio.llm.bpe import byte_alphabet, default_vocabulary, vocabulary
 from curatio.llm.catalog import register
-from curatio.llm.common import (blocks, bounded_sample, hash_buckets, id_remainder, lower_ascii, packed, read, span_hashes, text_chunks, unpacked,
+from curatio.llm.common import (CHUNK_BYTES, blocks, bounded_sample, hash_buckets, id_remainder, lower_ascii, packed, read, span_hashes, text_chunks, unpacked,
                                 word_spans, written)
 from curatio.llm.recurrent import Adam
 
@@ -71,7 +73,8 @@ SAMPLE_CHARS = 2000
 PASSES = 2
 ROUNDS, FIRST_RATE, LEARN_RATE = 4, 0.02, 0.01
 BLOCK_BYTES = 8 << 20
-WINDOWS_AT_ONCE = 2048
+WINDOWS_AT_ONCE = 512
+SOFTMAX_ROWS = 1024
 END_KEY = np.uint64(0x454E44)      # stands for the end token among the word hashes
 _INF = np.int16(np.iinfo(np.int16).max)
 
@@ -131,6 +134,30 @@ class Subwords:
         return np.concatenate(done_symbol)[order], np.searchsorted(owner, np.arange(len(starts) + 1), "left")
 
 
+class Steps(Adam):
+    """The same updates in fewer passes over the weights."""
+
+    def update(self, grads: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        norm = math.sqrt(sum(float(np.dot(g, g)) for g in grads.values()))
+        scale = min(1.0, self.clip / (norm + 1e-12))
+        down, rate = 1 / math.sqrt(1 - 0.99 ** self.step), self.rate / (1 - 0.9 ** self.step)
+        for k, g in grads.items():
+            first, second = self.first[k], self.second[k]
+            first *= 0.9
+            t = g * (0.1 * scale)
+            first += t
+            second *= 0.99
+            t *= t
+            second += t                                 # (0.1 scale g) ** 2 = 0.01 (scale g) ** 2
+            np.sqrt(second, out=t)
+            t *= down
+            t += 1e-8
+            np.divide(first, t, out=t)
+            t *= rate
+            self.params[k] -= t
+
+
 class Attention:
     """One causal self-attention layer with a two-level softmax."""
 
@@ -154,124 +181,205 @@ class Attention:
         self.distance = np.clip(query - key, 0, CONTEXT - 1)
         self.future = key > query
 
+    def flat(self) -> np.ndarray:
+        """One vector of all weights, of which those in ``p`` are parts from now on."""
+        vector = np.concatenate([v.ravel() for v in self.p.values()])
+        self.p = parts(vector, self.p)
+        return vector
+
     def tables(self):
+        """Per subword: (query, skip path) and (key, value)."""
         p = self.p
         scale = np.float32(1 / np.sqrt(p["wq"].shape[1]))
-        return p["e"] @ p["wq"] * scale, np.concatenate((p["e"] @ p["wk"], p["e"] @ p["wv"] @ p["wo"]), axis=1), p["e"] @ p["wr"] + p["b"]
+        return (np.concatenate((p["e"] @ (p["wq"] * scale), p["e"] @ p["wr"] + p["b"]), axis=1),
+                p["e"] @ np.concatenate((p["wk"], p["wv"] @ p["wo"]), axis=1))
+
+    def weights(self, s: np.ndarray, fresh: np.ndarray, bound: float) -> None:
+        """Scores (windows, STEP, CONTEXT) to unscaled attention weights, in place."""
+        s += np.where(self.future, np.float32(-1e9), self.p["rel"][self.distance])
+        s[fresh, :, :STEP] = -1e9
+        if not bound + self.p["rel"].max() < 60:        # else no score can reach it
+            np.minimum(s, np.float32(60), out=s)
+        np.exp(s, out=s)
+
+    def by_class(self, y: np.ndarray):
+        """The order of the targets by class, their classes and members in that order, and where each class begins."""
+        cls = self.cls[y].astype(np.uint8 if self.classes < 256 else np.int64)
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order].astype(np.int64)
+        return order, cls, self.member[y[order]], np.searchsorted(cls, np.arange(self.classes + 1))
 
     def log_probs(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, tables) -> np.ndarray:
         """Natural log probability of each target.  ``x`` and ``y``: (windows,
         STEP) inputs and targets; ``fresh``: windows that begin a text, all
         others continue the window before them (row 0 must be fresh)."""
-        p, (q, kv, skip) = self.p, tables
-        width = q.shape[1]
-        now = kv[x]
-        both = np.concatenate((np.concatenate((now[:1], now[:-1])), now), axis=1)
-        s = q[x] @ both[:, :, :width].transpose(0, 2, 1)
-        s += np.where(self.future, np.float32(-1e9), p["rel"][self.distance])
-        s[fresh, :, :STEP] = -1e9
-        np.exp(np.minimum(s, np.float32(60), out=s), out=s)
+        p, (own, kv) = self.p, tables
+        width, n = kv.shape[1] // 2, len(x)
+        now = np.take(own, x, axis=0)
+        keys = np.empty(((n + 1) * STEP, 2 * width), np.float32)
+        keys[:STEP] = 0
+        np.take(kv, x.ravel(), axis=0, out=keys[STEP:], mode="clip")
+        row = keys.strides[0]
+        both = np.lib.stride_tricks.as_strided(keys, (n, CONTEXT, 2 * width), (STEP * row, row, keys.itemsize), writeable=False)
+        s = now[:, :, :width] @ both[:, :, :width].transpose(0, 2, 1)
+        self.weights(s, fresh, _reach(own[:, :width], kv[:, :width]))
         context = s @ both[:, :, width:]
-        context /= s @ np.ones((CONTEXT, 1), np.float32) + np.float32(1e-30)     # sums as products: much faster on short axes
-        context += skip[x]
-        h = np.tanh(context, out=context).reshape(-1, width)
+        total = s.reshape(-1, CONTEXT) @ np.ones((CONTEXT, 1), np.float32)       # sums as products: much faster on short axes
+        context /= (total + np.float32(1e-30)).reshape(n, STEP, 1)
+        context += now[:, :, width:]
         y = y.ravel()
-        cls, member = self.cls[y], self.member[y]
-        logits = h @ p["cw"].T + p["cb"]
-        out = logits[np.arange(len(y)), cls] - np.log(np.exp(logits) @ np.ones(self.classes, np.float32))
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        h = h[order]
-        inner = np.empty(len(y), np.float32)
+        order, cls, member, edges = self.by_class(y)
+        h = with_ones(np.tanh(context, out=context).reshape(-1, width), order)
+        logits = h @ with_bias(p["cw"], p["cb"]).T
+        inner = np.take(logits, np.arange(len(y)) * self.classes + cls)
+        inner -= np.log(np.exp(logits, out=logits) @ np.ones(self.classes, np.float32))
+        member_weights = with_bias(p["mw"], p["mb"])
+        member += np.arange(len(y)) * self.members
+        at_target, total = np.empty(len(y), np.float32), np.ones(len(y), np.float32)
+        ones, space = np.ones(self.members, np.float32), np.empty((int(np.diff(edges).max(initial=0)), self.members), np.float32)
         for c in range(self.classes):
             a, b = edges[c], edges[c + 1]
             if a < b:
-                logits = h[a:b] @ p["mw"][c].T + p["mb"][c]
-                inner[a:b] = logits[np.arange(b - a), member[order[a:b]]] - np.log(np.exp(logits) @ np.ones(self.members, np.float32))
-        out[order] += inner
+                logits = np.matmul(h[a:b], member_weights[c].T, out=space[:b - a])
+                at_target[a:b] = np.take(logits, member[a:b] - a * self.members)
+                np.matmul(np.exp(logits, out=logits), ones, out=total[a:b])
+        inner += at_target - np.log(total)
+        out = np.empty(len(y), np.float32)
+        out[order] = inner
         return out
 
     def fit(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, valid: np.ndarray, rows: int = 256, rate: float = 0.02, seed: int = 0,
-            opt: Adam | None = None):
+            opt: Steps | None = None):
         """One pass over the windows, by gradient descent; with the moments of
-        ``opt``, if given, and then at its rate."""
-        p = self.p
-        falls, opt = opt is None, opt or Adam(p, rate, clip=5.0)
-        before = np.concatenate((x[:1], x[:-1]))
+        ``opt`` (of ``flat``, in pieces), if given, and then at its rate."""
+        falls = opt is None
+        if falls:
+            opt = Steps(pieces(self.flat()), rate, clip=5.0)
+        p, width = self.p, self.p["wq"].shape[1]
+        gradient = np.empty(sum(v.size for v in p.values()), np.float32)
+        g, g_pieces = parts(gradient, p), pieces(gradient)
+        inputs = np.concatenate((np.concatenate((x[:1], x[:-1])), x), axis=1)
         order = np.random.default_rng(seed).permutation(len(x))
-        scale = np.float32(1 / np.sqrt(p["wq"].shape[1]))
+        scale = np.float32(1 / np.sqrt(width))
         ones = np.ones((CONTEXT, 1), np.float32)
-        product = lambda a, b: a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
+        # gradients by key, value, query and skip path, for each key; only the window's own positions have the last two
+        space = np.zeros((min(rows, len(x)), CONTEXT, 4 * width), np.float32)
         for i in range(0, len(order), rows):
             pick = order[i:i + rows]
-            ids = np.concatenate((before[pick], x[pick]), axis=1)
-            e = p["e"][ids]
-            eq = np.ascontiguousarray(e[:, STEP:])
-            q, k, v = eq @ p["wq"] * scale, e @ p["wk"], e @ p["wv"]
+            m, d_all = len(pick), space[:len(pick)]
+            ids = np.take(inputs, pick, axis=0)
+            w_all = np.concatenate((p["wk"], p["wv"] @ p["wo"], p["wq"] * scale, p["wr"]), axis=1)
+            kv, own = p["e"] @ w_all[:, :2 * width], p["e"] @ w_all[:, 2 * width:]
+            keys, now = np.take(kv, ids, axis=0), np.take(own, ids[:, STEP:], axis=0)
+            q, k, v = now[:, :, :width], keys[:, :, :width], keys[:, :, width:]
             a = q @ k.transpose(0, 2, 1)
-            a += np.where(self.future, np.float32(-1e9), p["rel"][self.distance])
-            a[fresh[pick], :, :STEP] = -1e9
-            np.exp(np.minimum(a, np.float32(60), out=a), out=a)
-            a /= a @ ones + np.float32(1e-30)           # sums as products, as in log_probs
-            ctx = a @ v
-            h = np.tanh(ctx @ p["wo"] + eq @ p["wr"] + p["b"])
-            t, weight = y[pick].ravel(), valid[pick].ravel().astype(np.float32)
+            self.weights(a, fresh[pick], _reach(own[:, :width], kv[:, :width]))
+            total = a.reshape(-1, CONTEXT) @ ones       # sums as products, as in log_probs
+            a *= np.reciprocal(total + np.float32(1e-30)).reshape(m, STEP, 1)
+            h = a @ v
+            h += now[:, :, width:]
+            h += p["b"]
+            h = np.tanh(h, out=h).reshape(-1, width)
+            weight = np.take(valid, pick, axis=0).ravel().astype(np.float32)
             weight /= max(1.0, float(weight.sum()))
-            by_class = np.argsort(self.cls[t].astype(np.uint8), kind="stable")
-            flat, t, weight = h.reshape(-1, h.shape[2])[by_class], t[by_class], weight[by_class]
-            cls, member, n = self.cls[t], self.member[t], np.arange(len(t))
-            dc = np.exp(np.minimum(flat @ p["cw"].T + p["cb"], np.float32(60)))
-            dc /= dc @ np.ones((self.classes, 1), np.float32)
-            dc[n, cls] -= 1
-            dc *= weight[:, None]
-            g = {"cw": dc.T @ flat, "cb": dc.sum(axis=0), "mw": np.zeros_like(p["mw"]), "mb": np.zeros_like(p["mb"])}
-            d_flat = dc @ p["cw"]
-            edges = np.searchsorted(cls, np.arange(self.classes + 1))
-            for c in range(self.classes):
-                at = slice(edges[c], edges[c + 1])
-                if at.start == at.stop:
-                    continue
-                dm = np.exp(np.minimum(flat[at] @ p["mw"][c].T + p["mb"][c], np.float32(60)))
-                dm /= dm @ np.ones((self.members, 1), np.float32)
-                dm[n[:len(dm)], member[at]] -= 1
-                dm *= weight[at, None]
-                g["mw"][c], g["mb"][c] = dm.T @ flat[at], dm.sum(axis=0)
-                d_flat[at] += dm @ p["mw"][c]
-            dz = np.empty_like(d_flat)
-            dz[by_class] = d_flat
-            dz = dz.reshape(h.shape) * (1 - h * h)
-            g["b"] = dz.sum(axis=(0, 1))
-            g["wo"], g["wr"] = product(ctx, dz), product(eq, dz)
-            d_ctx = dz @ p["wo"].T
-            ds = d_ctx @ v.transpose(0, 2, 1)
-            ds -= (a * ds) @ ones
+            d = self._softmax_gradient(h, np.take(y, pick, axis=0).ravel(), weight, g)
+            h *= h
+            d *= np.subtract(np.float32(1), h, out=h)
+            g["b"][:] = np.ones(len(d), np.float32) @ d
+            d = d.reshape(m, STEP, width)
+            d_all[:, STEP:, 3 * width:] = d
+            np.matmul(a.transpose(0, 2, 1), d, out=d_all[:, :, width:2 * width])
+            ds = d @ v.transpose(0, 2, 1)
             ds *= a
-            dv, dk, dq = a.transpose(0, 2, 1) @ d_ctx, ds.transpose(0, 2, 1) @ q, ds @ k * scale
-            g["rel"] = np.bincount(self.distance.ravel(), np.where(self.future, 0, ds.sum(axis=0)).ravel(), CONTEXT).astype(np.float32)
-            g["wq"] = product(eq, dq)
-            g["wk"], g["wv"] = product(e, dk), product(e, dv)
-            de = dk @ p["wk"].T + dv @ p["wv"].T
-            de[:, STEP:] += dq @ p["wq"].T + dz @ p["wr"].T
-            by_id = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
-            sorted_ids = ids.ravel()[by_id]
-            heads = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-            g["e"] = np.zeros_like(p["e"])
-            g["e"][sorted_ids[heads]] = np.add.reduceat(de.reshape(-1, de.shape[2])[by_id], heads, axis=0)
+            a *= (ds.reshape(-1, CONTEXT) @ ones).reshape(m, STEP, 1)
+            ds -= a
+            np.matmul(ds.transpose(0, 2, 1), q, out=d_all[:, :, :width])
+            np.matmul(ds, k, out=d_all[:, STEP:, 2 * width:3 * width])
+            per_place = np.ones(m, np.float32) @ ds.reshape(m, -1)
+            g["rel"][:] = np.bincount(self.distance.ravel(), np.where(self.future.ravel(), 0, per_place), CONTEXT)
+            ids, d_all = ids.ravel(), d_all.reshape(-1, 4 * width)
+            by = np.take(p["e"], ids, axis=0).T @ d_all
+            joint = by[:, width:2 * width]
+            g["wk"][:], g["wv"][:], g["wo"][:] = by[:, :width], joint @ p["wo"].T, p["wv"].T @ joint
+            g["wq"][:], g["wr"][:] = by[:, 2 * width:3 * width] * scale, by[:, 3 * width:]
+            for j, de in enumerate((d_all @ w_all.T).T.astype(np.float64, order="C")):
+                g["e"][:, j] = np.bincount(ids, de, self.size)
             if falls:
                 opt.rate = rate * max(0.05, 1 - i / len(order))
-            opt.update(g)
+            opt.update(g_pieces)
         return self
 
+    def _softmax_gradient(self, h: np.ndarray, y: np.ndarray, weight: np.ndarray, g: dict) -> np.ndarray:
+        """Gradient of the weighted loss of the targets by ``h``; that of the softmax's weights goes to ``g``.
+
+        The exponentials are not divided by their sums: the factors weight / sum go to the short side of the products."""
+        p, width, n = self.p, h.shape[1], np.arange(len(y))
+        order, cls, member, edges = self.by_class(y)
+        h, weight = with_ones(h, order), weight[order]
+        outer, inner = with_bias(p["cw"], p["cb"]), with_bias(p["mw"], p["mb"])
+        high = max(float(width * max(w.max(), -w.min()) + bias.max()) for w, bias in ((p["cw"], p["cb"]), (p["mw"], p["mb"]))) >= 60     # |h| is at most 1
+        d, d_inner = np.empty((2, len(y), width), np.float32)
+        space = np.empty(max(SOFTMAX_ROWS, int(np.diff(edges).max())) * max(self.classes, self.members), np.float32)
+        ones = np.ones(max(self.classes, self.members), np.float32)
+
+        def level(a, b, weights, vectors, at, d):
+            """Of the targets a to b, among as many weights; ``at``: their places among the exponentials."""
+            flat = space[:(b - a) * len(weights)]
+            e = flat.reshape(b - a, len(weights))
+            np.matmul(h[a:b], weights.T, out=e)
+            if high:
+                np.minimum(e, np.float32(60), out=e)
+            np.exp(e, out=e)
+            total = e @ ones[:len(weights)]
+            flat[at] -= total
+            factor = np.divide(weight[a:b], total, out=total)[:, None]
+            np.matmul(e, vectors, out=d[a:b])
+            d[a:b] *= factor
+            return e.T @ (h[a:b] * factor)
+
+        place = n % SOFTMAX_ROWS * self.classes + cls
+        found = sum(level(a, min(a + SOFTMAX_ROWS, len(y)), outer, p["cw"], place[a:a + SOFTMAX_ROWS], d) for a in range(0, len(y), SOFTMAX_ROWS))
+        g["cw"][:], g["cb"][:] = found[:, :width], found[:, width]
+        place = (n - edges[cls]) * self.members + member
+        found = np.zeros_like(inner)
+        edges = edges.tolist()
+        for c in range(self.classes):
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                found[c] = level(a, b, inner[c], p["mw"][c], place[a:b], d_inner)
+        g["mw"][:], g["mb"][:] = found[:, :, :width], found[:, :, width]
+        d += d_inner
+        out = d_inner
+        out[order] = d
+        return out
 
-def table_words(table: pa.Table):
-    """Per run of rows: bytes (lower-cased), word starts, ends, hashes and rows."""
-    done = 0
-    for batch in table.to_batches():
-        for first, end, data, offsets in text_chunks(batch, "text"):
-            data = lower_ascii(data)
-            starts, ends, rows = word_spans(data, offsets)
-            yield data, starts, ends, span_hashes(data, starts, ends), rows + first + done
-        done += batch.num_rows
+
+def parts(vector: np.ndarray, shapes: dict) -> dict:
+    """The parts of a vector that have the shapes of the arrays of ``shapes``."""
+    edges = np.cumsum([0, *(v.size for v in shapes.values())])
+    return {k: vector[a:b].reshape(v.shape) for (k, v), a, b in zip(shapes.items(), edges, edges[1:])}
+
+
+def pieces(vector: np.ndarray, size: int = 8192) -> dict:
+    """A vector in pieces small enough to stay near the processor."""
+    return {i: vector[i:i + size] for i in range(0, len(vector), size)}
+
+
+def with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate((weights, bias[..., None]), axis=-1)
+
+
+def with_ones(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows in an order, with a last column of ones for the biases."""
+    out = np.empty((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = np.take(h, order, axis=0)
+    out[:, -1] = 1
+    return out
+
+
+def _reach(queries: np.ndarray, keys: np.ndarray) -> float:
+    """What no product of a query and a key exceeds."""
+    return float(np.sqrt(np.einsum("ij,ij->i", queries, queries).max() * np.einsum("ij,ij->i", keys, keys).max()))
 
 
 def windows(first: np.ndarray, flat: np.ndarray, end_id: int):
@@ -279,15 +387,15 @@ def windows(first: np.ndarray, flat: np.ndarray, end_id: int):
     ``first`` (with the end) in ``flat``; the end id is also the start."""
     length = np.diff(first) + 1
     n = -(-length // STEP)
-    row = np.repeat(np.arange(len(length)), n)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = (k * STEP)[:, None] + np.arange(STEP)
-    valid = at < length[row][:, None]
-    place = at + first[:-1][row][:, None]
-    padded = np.append(flat, end_id)
-    y = np.where(at < (length - 1)[row][:, None], padded[np.minimum(place, len(flat))], end_id)
-    x = np.where((at > 0) & valid, padded[np.minimum(place, len(flat)) - 1], end_id)
-    return x, y, k == 0, valid
+    begin = np.cumsum(n) - n
+    x = np.full((int(n.sum()), STEP), end_id, np.int64)
+    y, valid, fresh = x.copy(), np.ones(x.shape, bool), np.zeros(len(x), bool)
+    place = np.arange(len(flat)) + np.repeat(begin * STEP - first[:-1], length - 1)
+    y.ravel()[place] = flat
+    x.ravel()[place + 1] = flat
+    valid[begin + n - 1] = np.arange(STEP) < (length - (n - 1) * STEP)[:, None]
+    fresh[begin] = True
+    return x, y, fresh, valid
 
 
 class Pieces:
@@ -305,44 +413,126 @@ class Pieces:
         per_row = np.bincount(self.rows, size, self.n).astype(np.int64)
         return np.concatenate(([0], np.cumsum(per_row))), self.flat[at], size
 
-    def counts(self, trained: np.ndarray):
-        """How often each distinct word and each subword stands in the trained rows."""
-        words = np.bincount(self.inverse, trained[self.rows], len(self.keys)).astype(np.int64)
-        return words, np.bincount(self.flat, np.repeat(words, np.diff(self.begin)))
-
 
 def id_cuts(size: int, n: int) -> np.ndarray:
     """The n ranges of the subword ids, as even as can be."""
     return np.arange(n + 1) * size // n
 
 
-def _ask(n_buckets: int, subwords: Subwords):
-    """A block's distinct words and their training counts, by hash range; with
-    each range the training counts of a range of the subword ids."""
-    ranges = id_cuts(subwords.size, n_buckets)
+ENCODED = ("block int, trained int, doc_id array<long>, held_out array<boolean>, n_bytes array<long>, n_words array<long>, "
+           "end_word int, words binary, keys binary, subwords binary, n_subwords binary")
 
+
+def _encode(subwords: Subwords):
+    """A block's texts as one row: the hashes of its distinct words (and the end)
+    in ascending order, each cut once into subwords, and the places of all words among them."""
     def run(table: pa.Table) -> pa.Table:
-        trained = ~table["held_out"].to_numpy(zero_copy_only=False)
-        frequency = np.zeros(subwords.size, np.int64)
-        frequency[subwords.end] = trained.sum()
-        found, done = [(np.array([END_KEY]), np.array([trained.sum()]))], 0
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        every, n_words, n_bytes = [], [], []
+        known, cut = np.array([END_KEY]), [(np.array([END_KEY]), np.zeros(0, np.int32), np.zeros(1, np.int64))]
         for batch in table.to_batches():
             for first, stop, data, offsets in text_chunks(batch, "text"):
                 data = lower_ascii(data)
                 starts, ends, rows = word_spans(data, offsets)
-                here = Pieces(subwords, data, starts, ends, span_hashes(data, starts, ends), rows, stop - first)
-                words, pieces = here.counts(trained[done + first:done + stop])
-                found.append((here.keys, words))
-                frequency[:len(pieces)] += pieces.astype(np.int64)
-            done += batch.num_rows
-        keys, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
-        cuts = hash_buckets(keys, n_buckets)
-        used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1] or frequency[ranges[b]:ranges[b + 1]].any()]
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(used), pa.int32()),
-                         "keys": pa.array([packed(keys[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
-                         "counts": pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
-                         "pieces": pa.array([packed(frequency[ranges[b]:ranges[b + 1]]) for b in used], pa.binary())})
+                hashes = span_hashes(data, starts, ends)
+                keys, at = np.unique(hashes, return_index=True)
+                new = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] != keys
+                flat, begin = subwords.segment(data, starts[at[new]], ends[at[new]])
+                cut.append((keys[new], flat, np.diff(begin)))
+                known = np.sort(np.concatenate((known, keys[new])))
+                every.append(hashes)
+                n_words.append(np.bincount(rows, minlength=stop - first))
+                n_bytes.append(np.diff(offsets))
+        sizes = np.concatenate([c[2] for c in cut])
+        order = np.argsort(np.concatenate([c[0] for c in cut]))
+        begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        flat = np.concatenate([c[1] for c in cut])[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
+        whole = lambda found: pa.array([np.concatenate(found)], pa.list_(pa.int64()))
+        held = table["held_out"].combine_chunks()
+        return pa.table({"block": table["block"][:1], "trained": pa.array([len(held) - held.true_count], pa.int32()),
+                         "doc_id": pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table["doc_id"].combine_chunks()),
+                         "held_out": pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), held),
+                         "n_bytes": whole(n_bytes), "n_words": whole(n_words),
+                         "end_word": pa.array([int(np.searchsorted(known, END_KEY))], pa.int32()),
+                         "words": pa.array([packed(np.searchsorted(known, np.concatenate(every)).astype(np.int32))], pa.binary()),
+                         "keys": pa.array([packed(known)], pa.binary()),
+                         "subwords": pa.array([packed(flat.astype(np.uint16))], pa.binary()),
+                         "n_subwords": pa.array([packed(size.astype(np.int32))], pa.binary())})
+    return run
+
+
+def encoded(rows: DataFrame, subwords: Subwords) -> DataFrame:
+    """One row (``ENCODED``) per block of (block, doc_id, text, held_out)."""
+    return rows.select("block", "doc_id", "text", "held_out").groupBy("block").applyInArrow(_encode(subwords), ENCODED)
+
+
+class Block:
+    """A row of ``ENCODED``; without ``keys`` it still has all but the words' hashes."""
+
+    def __init__(self, table: pa.Table, i: int = 0):
+        self.number = table["block"][i].as_py()
+        self.doc_id = table["doc_id"][i].values
+        self.held_out = table["held_out"][i].values.to_numpy(zero_copy_only=False).astype(bool)
+        self.n_bytes, self.n_words = (table[c][i].values.to_numpy() for c in ("n_bytes", "n_words"))
+        self.words = unpacked(table["words"][i].as_py(), np.int32)
+        self.keys = unpacked(table["keys"][i].as_py(), np.uint64) if "keys" in table.schema.names else None
+        self.subwords = unpacked(table["subwords"][i].as_py(), np.uint16)
+        self.size = unpacked(table["n_subwords"][i].as_py(), np.int32).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.end_word = table["end_word"][i].as_py()
+        self.first_word = np.concatenate(([0], np.cumsum(self.n_words)))
+
+    def counts(self, size: int):
+        """How often each distinct word (and the end) and each of ``size`` subwords stands in the trained rows."""
+        trained = ~self.held_out
+        words = np.bincount(self.words, np.repeat(trained, self.n_words), len(self.size)).astype(np.int64)
+        pieces = np.bincount(self.subwords, np.repeat(words, self.size), size).astype(np.int64)
+        words[self.end_word] += trained.sum()
+        pieces[-1] += trained.sum()
+        return words, pieces
+
+    def chunks(self, rows: np.ndarray, limit: int = CHUNK_BYTES):
+        """Runs of the given rows (ascending) of about ``limit`` bytes of text."""
+        edges = np.concatenate(([0], np.cumsum(self.n_bytes[rows])))
+        at = 0
+        while at < len(rows):
+            stop = min(max(int(np.searchsorted(edges, edges[at] + limit, "right")) - 1, at + 1), len(rows))
+            yield rows[at:stop]
+            at = stop
+
+    def runs(self, rows: np.ndarray):
+        """Of some rows: the words (places in ``keys``); first subword of each row (and the end), all subwords, and how many each word has."""
+        n_words = self.n_words[rows]
+        words = self.words[np.arange(int(n_words.sum())) + np.repeat(self.first_word[rows] - (np.cumsum(n_words) - n_words), n_words)]
+        size = self.size[words]
+        ends = np.cumsum(size)
+        flat = self.subwords[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[words] - (ends - size), size)]
+        return words, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_words)))], flat, size
+
+
+def _ask_encoded(n_buckets: int, size: int):
+    """Each block's distinct words and their training counts, by hash range; with
+    each range the training counts of a range of the subword ids."""
+    ranges = id_cuts(size, n_buckets)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                block = Block(batch, i)
+                counts, frequency = block.counts(size)
+                cuts, keys = hash_buckets(block.keys, n_buckets), block.keys
+                used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1] or frequency[ranges[b]:ranges[b + 1]].any()]
+                yield pa.record_batch({"bucket": pa.array(used, pa.int32()), "block": pa.array([block.number] * len(used), pa.int32()),
+                                       "keys": pa.array([packed(keys[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
+                                       "counts": pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in used], pa.binary()),
+                                       "pieces": pa.array([packed(frequency[ranges[b]:ranges[b + 1]]) for b in used], pa.binary())})
+    return run
+
+
+def _ask(n_buckets: int, subwords: Subwords):
+    """The same of a block's texts."""
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_ask_encoded(n_buckets, subwords.size)(_encode(subwords)(table).to_batches()))
     return run
 
 
@@ -370,51 +560,41 @@ def _score(model: Attention, subwords: Subwords, n_tokens: int, n_distinct: int)
     rest = 1 - MIX if n_tokens else 1.0
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        n = len(table)
-        if not n:
+        if not len(table):
             return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                                                              ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        block = Block(table)
         order = np.argsort(answers["bucket"].to_numpy())
         blobs = answers["totals"]
         totals = np.concatenate([unpacked(blobs[int(i)].as_py(), np.int64) for i in order])
-        keys = np.unique(np.concatenate([h for _, _, _, h, _ in table_words(table)] + [np.repeat(END_KEY, 1)]))
-        end_count = totals[np.searchsorted(keys, END_KEY)]
+        end_count = totals[block.end_word]
         tables = model.tables()
-        count = np.ones(n, np.int64)
-        known = np.full(n, int(end_count > 0), np.int64)
-        base = np.full(n, np.log10(end_count + 0.5))
-        score = np.zeros(n)
-        done = 0
-        for batch in table.to_batches():
-            for first, stop, data, offsets in text_chunks(batch, "text"):
-                data = lower_ascii(data)
-                starts, ends, rows = word_spans(data, offsets)
-                hashes = span_hashes(data, starts, ends)
-                here = slice(done + first, done + stop)
-                m = stop - first
-                c = totals[np.searchsorted(keys, hashes)]
-                n_words = np.bincount(rows, minlength=m)
-                count[here] += n_words
-                known[here] += np.bincount(rows, c > 0, m).astype(np.int64)
-                base[here] += np.bincount(rows, np.log10(c + 0.5), m)
-                heads, flat, size = Pieces(subwords, data, starts, ends, hashes, rows, m).runs()
-                x, y, fresh, valid = windows(heads, flat, subwords.end)
-                logs = attention_logs(model, tables, x, fresh, y)[valid]
-                # a row's subwords, then its end: sums per word
-                tokens = np.repeat(np.arange(m), n_words + 1)
-                lengths = np.ones(len(tokens), np.int64)
-                last = np.cumsum(n_words + 1) - 1
-                inner = np.ones(len(tokens), bool)
-                inner[last] = False
-                lengths[inner] = size
-                word_log = np.add.reduceat(logs.astype(np.float64), np.cumsum(lengths) - lengths)
-                seen = np.empty(len(tokens), np.float64)
-                seen[inner], seen[last] = c, end_count
-                mixed = (1 - rest) * seen / max(1, n_tokens) + rest * np.exp(word_log)
-                logged = np.where(mixed > 1e-290, np.log10(np.maximum(mixed, 1e-300)), np.log10(rest) + word_log / np.log(10))
-                score[here] = np.bincount(tokens, logged, m)
-            done += batch.num_rows
-        return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(count), "n_known": pa.array(known),
+        n = len(block.n_words)
+        count = block.n_words + 1
+        known, base, score = np.full(n, int(end_count > 0), np.int64), np.full(n, np.log10(end_count + 0.5)), np.zeros(n)
+        word_base = np.log10(totals + 0.5)
+        for here in block.chunks(np.arange(n)):
+            words, heads, flat, size = block.runs(here)
+            n_words, m = block.n_words[here], len(here)
+            rows, c = np.repeat(np.arange(m), n_words), totals[words]
+            known[here] += np.bincount(rows, c > 0, m).astype(np.int64)
+            base[here] += np.bincount(rows, word_base[words], m)
+            x, y, fresh, valid = windows(heads, flat, subwords.end)
+            logs = attention_logs(model, tables, x, fresh, y)[valid]
+            # a row's subwords, then its end: sums per word
+            tokens = np.repeat(np.arange(m), n_words + 1)
+            lengths = np.ones(len(tokens), np.int64)
+            last = np.cumsum(n_words + 1) - 1
+            inner = np.ones(len(tokens), bool)
+            inner[last] = False
+            lengths[inner] = size
+            word_log = np.add.reduceat(logs.astype(np.float64), np.cumsum(lengths) - lengths)
+            seen = np.empty(len(tokens), np.float64)
+            seen[inner], seen[last] = c, end_count
+            mixed = (1 - rest) * seen / max(1, n_tokens) + rest * np.exp(word_log)
+            logged = np.where(mixed > 1e-290, np.log10(np.maximum(mixed, 1e-300)), np.log10(rest) + word_log / np.log(10))
+            score[here] = np.bincount(tokens, logged, m)
+        return pa.table({"doc_id": block.doc_id, "held_out": pa.array(block.held_out), "n_tokens": pa.array(count), "n_known": pa.array(known),
                          "base_score": pa.array(base - count * floor), "score": pa.array(score)})
     return run
 
@@ -453,14 +633,15 @@ def train(texts: list[str], subwords: Subwords, frequency: np.ndarray) -> Attent
 def _learn(model: Attention, subwords: Subwords, rate: float, rounds: int, n_groups: int):
     """The weights after one pass over all windows of a block's texts."""
     def run(table: pa.Table) -> pa.Table:
-        block, n = table["block"][0].as_py(), 0
+        block, n = Block(table), 0
         mine = copy.copy(model)
-        mine.p = {k: v.copy() for k, v in model.p.items()}
-        opt = Adam(mine.p, rate, clip=5.0)
-        for k, (x, y, fresh, valid) in enumerate(text_windows(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]), subwords)):
+        opt = Steps(pieces(mine.flat()), rate, clip=5.0)
+        for k, here in enumerate(block.chunks(np.flatnonzero(~block.held_out))):
+            _, heads, flat, _ = block.runs(here)
+            x, y, fresh, valid = windows(heads, flat, subwords.end)
             mine.fit(x, fresh, y, valid, seed=k, opt=opt)
             n += int(valid.sum())
-        return pa.table({"part": pa.array([block // rounds % n_groups], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([n], pa.int64()),
+        return pa.table({"part": pa.array([block.number // rounds % n_groups], pa.int32()), "block": pa.array([block.number], pa.int32()), "n": pa.array([n], pa.int64()),
                          "weights": pa.array([model_bytes(mine.p)], pa.binary())})
     return run
 
@@ -478,16 +659,16 @@ def _mean(table: pa.Table) -> pa.Table:
                      "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def learn_all(model: Attention, subwords: Subwords, rows: DataFrame, n_blocks: int, rounds: int = ROUNDS, first_rate: float = LEARN_RATE) -> int:
-    """Trains ``model`` on all texts of ``rows``, whole, in rounds of blocks;
-    the number of subwords learned from.
+def learn_all(model: Attention, subwords: Subwords, texts: DataFrame, n_blocks: int, rounds: int = ROUNDS, first_rate: float = LEARN_RATE) -> int:
+    """Trains ``model`` on all training texts of ``texts`` (``ENCODED``), whole, in
+    rounds of blocks; the number of subwords learned from.
 
     The means of about as many blocks as there are means are taken by Spark, so
     the driver gets the weights of the square root of the blocks of a round."""
     schema, learned = "part int, block int, n long, weights binary", 0
     n_groups = math.isqrt(n_blocks // rounds) + 1
     for k in range(min(rounds, n_blocks)):
-        trained = rows.where(F.col("block") % rounds == k).groupBy("block").applyInArrow(
+        trained = texts.drop("keys").where((F.col("block") % rounds == k) & (F.col("trained") > 0)).repartition(n_blocks, "block").groupBy("block").applyInArrow(
             _learn(model, subwords, LEARN_RATE / (1 + k) if k else first_rate, rounds, n_groups), schema)
         parts = trained.groupBy("part").applyInArrow(_mean, schema).collect()
         if not parts:
@@ -503,16 +684,18 @@ def learn_all(model: Attention, subwords: Subwords, rows: DataFrame, n_blocks: i
 
 
 def learned_model(docs: DataFrame, rows: DataFrame, answers: DataFrame, n_blocks: int, subwords: Subwords,
-                  sample_texts: int = SAMPLE_TEXTS) -> tuple[Attention, int]:
+                  sample_texts: int = SAMPLE_TEXTS, texts: DataFrame | None = None) -> tuple[Attention, int]:
     """The attention model of all training texts, and the number of subwords it
-    was learned from; ``rows``: (block, doc_id, text, held_out) of ``docs``."""
+    was learned from; ``rows``: (block, doc_id, text, held_out) of ``docs``, ``texts``: these ``encoded``."""
+    if texts is None:
+        texts = written(encoded(rows, subwords), "encoded-texts")
     frequency = np.zeros(subwords.size)
     ranges = id_cuts(subwords.size, n_blocks)
     for r in answers.where(F.col("pieces").isNotNull()).select("bucket", "pieces").toLocalIterator():      # one number per subword id
         frequency[ranges[r["bucket"]]:ranges[r["bucket"] + 1]] = unpacked(r["pieces"], np.int64)
     if not sample_texts:
         model = Attention(subwords.size, frequency)
-        return model, learn_all(model, subwords, rows.where(~F.col("held_out")), n_blocks, first_rate=FIRST_RATE)
+        return model, learn_all(model, subwords, texts, n_blocks, first_rate=FIRST_RATE)
     trained = id_remainder("doc_id", FOLDS) != HELD_OUT
     start = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     pieces = docs.where(trained & (F.length("text") > 0)).select(
@@ -520,7 +703,7 @@ def learned_model(docs: DataFrame, rows: DataFrame, answers: DataFrame, n_blocks
     sample = bounded_sample(pieces, {1: sample_texts}, "one", 17).select("t", "_rank").collect()
     sample.sort(key=lambda r: (r["_rank"], r["t"]))
     model = train([r["t"] for r in sample], subwords, frequency)
-    return model, learn_all(model, subwords, rows.where(~F.col("held_out")), n_blocks)
+    return model, learn_all(model, subwords, texts, n_blocks)
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, sample_texts: int = SAMPLE_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -528,13 +711,14 @@ def score_documents(docs: DataFrame, vocabulary_path: str, sample_texts: int = S
     subwords = Subwords(vocabulary(vocabulary_path))
     rows, n = blocks(docs, block_bytes)
     rows = rows.withColumn("held_out", id_remainder("doc_id", FOLDS) == HELD_OUT)
-    asked = rows.groupBy("block").applyInArrow(_ask(n, subwords), "bucket int, block int, keys binary, counts binary, pieces binary")
+    texts = written(encoded(rows, subwords), "encoded-texts")
+    asked = texts.mapInArrow(_ask_encoded(n, subwords.size), "bucket int, block int, keys binary, counts binary, pieces binary")
     answers = written(asked.groupBy("bucket").applyInArrow(
         _answer, "block int, bucket int, totals binary, tokens long, distinct long, pieces binary"), "word-counts")
     sums = answers.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n_tokens, n_distinct = int(sums["n"] or 0), int(sums["v"] or 0)
-    model, _ = learned_model(docs, rows, answers, n, subwords, sample_texts)
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    model, _ = learned_model(docs, rows, answers, n, subwords, sample_texts, texts)
+    scored = texts.drop("keys").repartition(n, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(model, subwords, n_tokens, n_distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,60 @@ def test_language_model_learns_from_whole_texts(shipped):
     assert n > language_model.ROUNDS and frequency == learned == want
 
 
+def test_texts_are_cut_into_subwords_once(monkeypatch):
+    """What counting, learning and scoring read of a block is that of its texts cut one by one."""
+    subwords = language_model.Subwords(bpe.vocabulary(bpe.default_vocabulary()))
+    texts = ["One two  naïve", None, "two " * 40 + "x" * 130, "", "one\ttwo", "One two  naïve"]
+    words = [[w.encode().lower() for w in (t or "").split()] for t in texts]
+    cut = [[subwords.segment(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0].tolist() for w in ws] for ws in words]
+    table = pa.table({"block": pa.array([3] * 6, pa.int32()), "doc_id": pa.array([7, 1, None, 4, 5, 7], pa.int64()), "text": pa.array(texts),
+                      "held_out": pa.array([False, False, False, True, True, False])})
+    row = language_model._encode(subwords)(table)
+    monkeypatch.setattr(language_model.Subwords, "segment", None)          # no later step cuts a text again
+    block = language_model.Block(row.drop_columns("keys"))
+    of = [1, 3, 4, 0, 5, 2]                                                # ascending ids, null last
+    assert block.doc_id.to_pylist() == [1, 4, 5, 7, 7, None] and block.held_out.tolist() == [False, True, True, False, False, False]
+    _, heads, flat, size = block.runs(np.arange(6))
+    assert [flat[a:b].tolist() for a, b in zip(heads, heads[1:])] == [[s for c in cut[i] for s in c] for i in of]
+    assert size.tolist() == [len(c) for i in of for c in cut[i]]
+    assert [r.tolist() for r in block.chunks(np.array([0, 3, 5]), limit=20)] == [[0, 3], [5]]
+
+    asked = next(language_model._ask_encoded(1, subwords.size)(row.to_batches()))
+    keys, counts = (language_model.unpacked(asked[c][0].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+    trained = Counter(w for i in (0, 1, 2, 5) for w in [*words[i], None])
+    assert sorted(counts) == sorted([*trained.values()]) and counts[keys == language_model.END_KEY] == 4
+    frequency = language_model.unpacked(asked["pieces"][0].as_py(), np.int64)
+    assert {i: n for i, n in enumerate(frequency) if n} == Counter(s for i in (0, 1, 2, 5) for c in [*cut[i], [subwords.end]] for s in c)
+
+    model = language_model.Attention(subwords.size, frequency)
+    learned = language_model._learn(model, subwords, 0.01, 1, 1)(row.drop_columns("keys"))
+    assert learned["n"].to_pylist() == [frequency.sum()]
+    answers = pa.table({"bucket": pa.array([0], pa.int32()), "totals": [language_model.packed(counts)]})
+    scores = language_model._score(model, subwords, int(counts.sum()), len(counts))(row.drop_columns("keys"), answers)
+    assert scores["n_tokens"].to_pylist() == [len(words[i]) + 1 for i in of] and scores["score"][3] == scores["score"][4]
+
+
+def test_gradients_of_the_model_are_those_of_its_loss(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = language_model.Attention(30, rng.random(30), width=4, classes=5)
+    model.p["rel"] = rng.normal(size=language_model.CONTEXT).astype(np.float32)
+    x, y = rng.integers(0, 30, (2, 6, language_model.STEP))
+    fresh, valid = np.array([True, False, False, True, False, False]), np.ones(y.shape, bool)
+    found = {}
+    monkeypatch.setattr(language_model.Steps, "update", lambda self, g: found.setdefault("all", np.concatenate([*g.values()]).copy()))
+    model.fit(x, fresh, y, valid, rows=6)
+    got = language_model.parts(found["all"], model.p)
+    loss = lambda: -float(model.log_probs(x, fresh, y, model.tables()).astype(float).mean())
+    for name, weights in model.p.items():
+        for at in rng.integers(0, weights.size, 6):
+            was, two = weights.flat[at], []
+            for move in (0.02, -0.02):
+                weights.flat[at] = was + np.float32(move)
+                two.append(loss())
+            weights.flat[at] = was
+            assert abs((two[0] - two[1]) / 0.04 - got[name].flat[at]) < 5e-4 + 0.02 * abs(got[name].flat[at]), name
+
+
 def test_language_model_on_odd_rows(odd, nothing):
     got = language_model.score_documents(odd, bpe.default_vocabulary(), sample_texts=20, block_bytes=100_000)
     rows = rows_of(got, "doc_id", "n_tokens", "score", "base_score")
